@@ -9,9 +9,11 @@ minhashes, 289 tables of 6) a pair of similarity 0.8 is missed with probability
 2. Keys of the first collection that only one class has cannot lead to a pair; only the others are combined with the
    second collection. The pair tables that remain are grouped by key.
 3. Each class is held against the least class of each of its tables, on full sets. Components of these links are formed.
-4. Tables that still hold several components are joined with themselves across components, on sizes that allow the
-   similarity; pairs that agree in signature are verified on full sets. So each candidate pair is either verified or
-   already inside one component, and a group of k near copies costs about k verifications, not k * k.
+4. Documents of tables that still hold several components are compared across components by an exact prefix join: with
+   shingles in order of rising frequency, two similar sets share one of their first few, at places and sizes that leave
+   room for the overlap. A document with many shingles of its own has nothing to join on. What remains is verified on full
+   sets. So each candidate pair is either verified, ruled out or already inside one component, and a group of k near copies
+   costs about k verifications, not k * k.
 """
 
 from __future__ import annotations
@@ -108,6 +110,39 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
 
 
+def _prefix_pairs(open_: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (x, y) of documents of different components (``open_``: rep, comp) that can reach the similarity.
+
+    With shingles ordered by frequency, the first one that two similar sets share stands at places px, py with
+    min(nx - px, ny - py) >= percent / (100 + percent) * (nx + ny). The smaller set shows a short beginning under its size's
+    bucket; the larger one asks, for each shingle of its own beginning, only for the sizes that its place there allows.
+    """
+
+    def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = list(T.shingle_sets(part, k))
+        n = np.array([len(x) for x in own])
+        row = pa.array(np.repeat(np.arange(len(own)), n))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(np.repeat(n, n)), pa.array(np.concatenate(own).view(np.int64))], ["rep", "comp", "n", "shingle"])
+
+    texts = docs.join(open_, docs["doc_id"] == open_["rep"]).select("doc_id", "text", "comp")
+    rows = T.map_slices(texts, run, "rep long, comp long, n long, shingle long")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    lists = rows.join(often, "shingle").groupBy("rep", "comp", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "shingle"))), 1, F.first(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")).alias("s"))
+    begin = lists.select("rep", "comp", "n", F.posexplode(F.transform("s", lambda e: F.when(e["df"] > 1, e["shingle"]))).alias("place", "shingle")).where("shingle is not null")
+
+    def bucket(n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.03))).cast("int")
+
+    n, place = F.col("n"), F.col("place")
+    small = begin.where(place <= n - F.ceil(n * 2 * percent / (100 + percent))).select("shingle", bucket(n).alias("bucket"), F.col("rep").alias("x"), F.col("comp").alias("xc"), n.alias("xn"), place.alias("xp"))
+    least, most = F.ceil(n * percent / 100), F.least(n, F.floor((n - place) * (100 + percent) / percent - n + 1e-6))
+    large = begin.where(least <= most).select("shingle", F.explode(F.sequence(bucket(least), bucket(most))).alias("bucket"), F.col("rep").alias("y"), F.col("comp").alias("yc"), n.alias("yn"), place.alias("yp"))
+    room = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent
+    fits = (F.col("xc") != F.col("yc")) & (F.col("xn") <= F.col("yn")) & (F.col("xn") * 100 >= F.col("yn") * percent) & room
+    found = small.join(large, (small["shingle"] == large["shingle"]) & (small["bucket"] == large["bucket"]) & fits)
+    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, side: int = SIDE, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (ids are integers).
 
@@ -132,20 +167,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch.drop("paired")
 
     known = classes.select("rep", "n_shingles", "sig")
+    near = scratch.save(docs.join(tables.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "near")
     x, y = (known.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"{c}n"), F.col("sig").alias(f"{c}s")) for c in "xy")
     stars = tables.where("rep <> lead").select(F.col("lead").alias("x"), F.col("rep").alias("y")).distinct()
     stars = _agree(stars.join(x, "x").join(y, "y").where(_similar_sizes("xn", "yn", percent)), percent)
-    links = scratch.save(_verified(stars, docs, shingle, percent), "links-star")
+    links = scratch.save(_verified(stars, near, shingle, percent), "links-star")
     comp = scratch.save(connected_components(links, scratch, "cc-star"), "comp-star")
 
     labelled = tables.select("key", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_ = scratch.save(labelled.join(mixed, "key", "left_semi").join(known.select("rep", "n_shingles"), "rep"), "open")
-    p, q = (open_.select("key", F.col("rep").alias(c), F.col("comp").alias(f"{c}c"), F.col("n_shingles").alias(f"{c}n")) for c in "xy")
-    cross = p.join(q, (p.key == q.key) & (F.col("xc") < F.col("yc")) & _similar_sizes("xn", "yn", percent)).select("x", "y").distinct()
-    cross = _agree(cross.join(x.select("x", "xs"), "x").join(y.select("y", "ys"), "y"), percent)
-    more = scratch.save(_verified(cross, docs, shingle, percent), "links-cross")
-    scratch.drop("tables", "open")
+    open_ = scratch.save(labelled.join(mixed, "key", "left_semi").select("rep", "comp").distinct(), "open")
+    cross = _agree(_prefix_pairs(open_, near, shingle, percent).join(x.select("x", "xs"), "x").join(y.select("y", "ys"), "y"), percent)
+    more = scratch.save(_verified(cross, near, shingle, percent), "links-cross")
+    scratch.drop("tables", "open", "near")
     final = scratch.save(connected_components(links.union(more), scratch, "cc-final"), "comp")
 
     by_class = classes.select("fp", "rep").join(final, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
