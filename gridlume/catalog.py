@@ -1,4 +1,10 @@
 """All registered queries of the library and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from gridlume.plans import join_queries, rollup_queries, scalar_queries
+
+_MODULES = (scalar_queries, rollup_queries, join_queries)
+
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: text for m in _MODULES for name, text in m.ORACLE_SQL.items()}
