@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gridlume.llm import textops as T
 from gridlume.llm.membership import mark_members
 from gridlume.llm.scratch import Scratch
+from gridlume.runtime import ship
 
 
 def _buckets(part: T.Slice, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,6 +39,7 @@ def bucket_counts(rows: DataFrame, buckets: int) -> DataFrame:
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], ["bucket", "n_raw", "n_target"])
 
+    ship(rows.sparkSession)
     counts = rows.select("text", "target").mapInArrow(run, "bucket long, n_raw long, n_target long")
     return counts.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridlume.llm import textops as T
 from gridlume.llm.membership import mark_members
+from gridlume.runtime import ship
 
 
 def _cells(part: T.Slice, bits: int, pair_bits: int) -> tuple[T.Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,6 +59,7 @@ def ngram_counts(rows: DataFrame, bits: int, pair_bits: int) -> DataFrame:
                     seen = 0
         yield from out()
 
+    ship(rows.sparkSession)
     counts = rows.select("text", "target").mapInArrow(run, "cell int, n_background long, n_target long")
     return counts.groupBy("cell").agg(F.sum("n_background").alias("n_background"), F.sum("n_target").alias("n_target"))
 

@@ -20,7 +20,7 @@ from gridlume.llm import textops as T
 from gridlume.llm.scratch import Scratch
 
 #: Words of which a worker keeps the ids at once, and bytes of the longest such word.
-CACHE_WORDS, CACHE_LEN = 900_000, 64
+CACHE_WORDS, CACHE_LEN = 700_000, 64
 _TAIL = frozenset(b".,;:!?")
 
 
@@ -38,7 +38,13 @@ class CachedTokenizer:
 
     def _encode(self, found: list[bytes]) -> None:
         """Learn the ids of new words; those of lower-case letters alone go as one text, cut at end-of-word tokens."""
-        alpha = [w for w in found if w.isalpha() and w.islower()]
+        alpha, rest = [], []
+        for w in found:
+            text = w.decode()
+            if text.isalpha() and text.islower():
+                alpha.append(w)
+            else:
+                rest.append((w, text))
         if alpha:
             ids = np.array(self.model.encode_batch_fast([b" ".join(alpha).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
@@ -47,8 +53,7 @@ class CachedTokenizer:
             for w, e in zip(alpha, (4 * ends).tolist(), strict=True):
                 self.known[w] = raw[at:e]
                 at = e
-        rest = [w for w in found if not (w.isalpha() and w.islower())]
-        for w, e in zip(rest, self.model.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+        for (w, _), e in zip(rest, self.model.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
@@ -57,7 +62,7 @@ class CachedTokenizer:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
-        new = {w for p in parts for w in p if w not in known}
+        new = set().union(*parts).difference(known)
         plain, simple = set(), {}
         for w in new:
             # a final mark after an ASCII letter or digit is a token run of its own; ASCII letters are lowered one by one

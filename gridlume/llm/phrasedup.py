@@ -81,34 +81,100 @@ def _text_tags(part: T.Slice) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(part.text(i), digest_size=4).digest(), "little") >> 9 for i in range(len(part))], np.int64)
 
 
+def _again(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which entries repeat an earlier (row, value); entries of a row are in order of their position."""
+    order = np.lexsort((np.arange(len(row)), value, row))
+    out = np.zeros(len(row), bool)
+    same = (row[order][1:] == row[order][:-1]) & (value[order][1:] == value[order][:-1])
+    out[order[1:][same]] = True
+    return out
+
+
 #: place: text tag (23 bits), start of the first window (32), number of windows minus one (8).
 def _parse(docs: DataFrame, length: int) -> DataFrame:
+    """Every phrase occurrence; one that repeats a phrase of its own document has no trigger (it is a repeat for certain)."""
+
     def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
         row, trigger, phrase, lo, count = phrases(part, length)
         place = _text_tags(part)[row] << 40 | (lo - part.offsets[row]) << 8 | (count - 1)
-        return pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(place)], ["trigger", "phrase", "doc_id", "place"])
+        own = _again(row, phrase)
+        return pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64), mask=own), pa.array(phrase.view(np.int64), mask=own), batch.column(0).take(pa.array(row)), pa.array(place)], ["trigger", "phrase", "doc_id", "place"])
 
     return T.map_slices(docs, run, "trigger long, phrase long, doc_id long, place long")
 
 
 def _suffixes(rows: DataFrame, length: int) -> DataFrame:
-    """Hash and position of each window of the phrases listed for a document (``places`` of ``doc_id, text``)."""
+    """Hash and position of each window of the phrases listed for a document (``doc_id, text, places``, ids ascending in a task).
 
-    def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        tags, lists = _text_tags(part), batch.column(2)
-        own = lists.flatten().to_numpy()
-        row = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
-        keep = own >> 40 == tags[row]
-        own, row = own[keep], row[keep]
-        n = (own & 255) + 1
-        pos = np.repeat((own >> 8 & 0xFFFFFFFF) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        row = np.repeat(row, n)
-        order = np.argsort(pos + part.offsets[row], kind="stable")
-        pos, row = pos[order], row[order]
-        at = pos + part.offsets[row]
-        return pa.RecordBatch.from_arrays([pa.array(T.hash_spans(part.buf, at, at + length).view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(tags[row] << 40 | pos << 8)], ["suffix", "doc_id", "place"])
+    ``known``: the same window came before in this task, so it is a repeat whatever the other tasks hold; such a row's hash
+    is its own. What is left of a frequent window is one row a task. Each task remembers its windows' hashes.
+    """
 
-    return T.map_slices(rows, run, "suffix long, doc_id long, place long")
+    def run(batches):
+        seen, fresh = np.zeros(0, T.U64), []
+        # windows of the last id, which other rows of that id are not held against
+        last_id, last = None, np.zeros(0, T.U64)
+        for batch in batches:
+            for part in T.slices(batch.column(1)):
+                own = batch.slice(part.row, len(part))
+                tags, lists = _text_tags(part), own.column(2)
+                place = lists.flatten().to_numpy()
+                row = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
+                keep = place >> 40 == tags[row]
+                place, row = place[keep], row[keep]
+                if not len(row):
+                    continue
+                n = (place & 255) + 1
+                pos = np.repeat((place >> 8 & 0xFFFFFFFF) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                row = np.repeat(row, n)
+                order = np.argsort(pos + part.offsets[row], kind="stable")
+                pos, row = pos[order], row[order]
+                at = pos + part.offsets[row]
+                value = T.hash_spans(part.buf, at, at + length)
+                ids = own.column(0).to_numpy()[row]
+                known = _again(row, value)
+                order = np.argsort(value, kind="stable")
+                head = np.ones(len(order), bool)
+                head[1:] = value[order][1:] != value[order][:-1]
+                known[order] |= ids[order] > ids[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+                if len(fresh) > 8:
+                    seen, fresh = np.sort(np.concatenate([seen, *fresh])), []
+                for old, against in ((seen, True), *((x, True) for x in fresh), (last, ids != last_id)):
+                    if len(old):
+                        known |= against & (old[np.minimum(np.searchsorted(old, value), len(old) - 1)] == value)
+                new, newest = value[~known], ids[~known] == ids[-1]
+                if last_id != ids[-1]:
+                    fresh.append(last)
+                    last_id, last = ids[-1], np.zeros(0, T.U64)
+                fresh.append(np.sort(new[~newest]))
+                last = np.sort(np.concatenate([last, new[newest]]))
+                value = np.where(known, T.mix(value + T.mix(at.astype(T.U64) + T.U64(part.row))), value)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids), pa.array(tags[row] << 40 | pos << 8), pa.array(known)], ["suffix", "doc_id", "place", "known"])
+
+    return rows.mapInArrow(run, "suffix long, doc_id long, place long, known boolean")
+
+
+def _repeats(rows: DataFrame) -> DataFrame:
+    """Positions of the windows that a smaller id has too, from rows sorted by hash and id; one pass, nothing held."""
+
+    def run(batches):
+        last, first = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            suffix, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            known = batch.column(3).to_numpy(zero_copy_only=False)
+            new = np.ones(len(suffix), bool)
+            new[1:] = suffix[1:] != suffix[:-1]
+            least = ids[np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))]
+            if last is not None and suffix[0] == last:
+                head = np.arange(len(ids)) < (np.flatnonzero(new)[1] if new.sum() > 1 else len(ids))
+                least = np.where(head, first, least)
+            last, first = suffix[-1], least[-1]
+            keep = pa.array(known | (ids > least))
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(keep), batch.column(2).filter(keep)], ["doc_id", "place"])
+
+    return rows.repartition("suffix").sortWithinPartitions("suffix", "doc_id").mapInArrow(run, "doc_id long, place long")
 
 
 def _apply(rows: DataFrame, length: int) -> DataFrame:
@@ -143,27 +209,29 @@ def repeated_strings(docs: DataFrame, *, length: int = 100, id_col: str = "doc_i
 
     Removed is each byte inside a ``length``-byte string (of the UTF-8 text) that also starts earlier: in a document of smaller
     id, or earlier in the same one. A null text is empty; texts under ``length`` bytes keep all. A null id stands before all
-    others. Rows that repeat an id come in the order of a hash of their texts; if the texts are equal too, they are
-    one document and get one result. Other columns are not read. ``length`` is 33 to 255.
+    others. Rows that repeat an id are versions of one document: each is held against other documents and itself, not against
+    the others of its id; equal rows get equal results. Other columns are not read. ``length`` is 33 to 255.
     """
     scratch = Scratch(docs.sparkSession, "phrasedup")
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     parse = scratch.save(_parse(docs, length), "parse")
-    shared = parse.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger")
-    cand = scratch.save(parse.join(shared, "trigger", "left_semi"), "shared")
+    shared = parse.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1 and trigger is not null").select("trigger")
+    cand = scratch.save(parse.join(shared, "trigger", "left_semi").union(parse.where("trigger is null")), "shared")
     scratch.drop("parse")
-    first = cand.groupBy("trigger", "phrase").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    dictionary = scratch.save(first, "dictionary")
-    later = cand.join(dictionary, ["trigger", "phrase"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place"))).select("doc_id", "place")
-
-    several = dictionary.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger")
-    open_ = dictionary.join(several, "trigger", "left_semi").select("first.doc_id", "first.place")
-    open_ = open_.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    suffix = scratch.save(_suffixes(docs.join(open_, "doc_id").select("doc_id", "text", "places"), length), "suffixes")
-    least = suffix.groupBy("suffix").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    partly = suffix.join(least, "suffix").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place"))).select("doc_id", "place")
-
-    removed = scratch.save(later.union(partly).groupBy("doc_id").agg(F.collect_list("place").alias("places")), "removed")
-    scratch.drop("shared", "dictionary", "suffixes")
+    # a phrase is once in a document, so its least document holds its first occurrence
+    dictionary = cand.where("trigger is not null").groupBy("trigger", "phrase").agg(F.min("doc_id").alias("first"))
+    dictionary = scratch.save(dictionary, "dictionary")
+    several = dictionary.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger", F.lit(True).alias("several"))
+    graded = cand.where("trigger is not null").join(dictionary, ["trigger", "phrase"]).join(several, "trigger", "left")
+    graded = graded.where("doc_id > first or several").select("doc_id", "place", (F.col("doc_id") > F.col("first")).alias("later"))
+    graded = scratch.save(graded.union(cand.where("trigger is null").select("doc_id", "place", F.lit(True))), "graded")
+    scratch.drop("shared", "dictionary")
+
+    open_ = graded.where("not later").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    texts = docs.join(open_, "doc_id").select("doc_id", "text", "places").sortWithinPartitions("doc_id")
+    partly = scratch.save(_repeats(_suffixes(texts, length)), "partly")
+
+    removed = scratch.save(graded.where("later").select("doc_id", "place").union(partly).groupBy("doc_id").agg(F.collect_list("place").alias("places")), "removed")
+    scratch.drop("graded", "partly")
     out = _apply(docs.join(removed, "doc_id", "left").select("doc_id", "text", "places"), length)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))

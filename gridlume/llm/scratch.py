@@ -2,38 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only in local mode, where it may be unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="gridlume-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], True)
-    return f"file://{_LOCAL[0]}"
-
+from gridlume.runtime import shared_dir, ship
 
 class Scratch:
     """Written tables of one operator call: lineage is cut and lost executors only cost a re-read."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
-        """Write ``df`` as Parquet and return the written table."""
+        """Write ``df`` as Parquet and return the written table; shuffle files of the finished job can go then."""
         df.write.mode("overwrite").parquet(f"{self.root}/{table}")
+        self.spark._jvm.System.gc()  # Spark drops shuffle files once the driver has collected their handles
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{table}")
 
     def drop(self, *tables: str) -> None:

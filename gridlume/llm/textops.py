@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
+from gridlume.runtime import ship
+
 U64 = np.uint64
 SLICE_BYTES = 2 << 20
 #: Bytes hashed in one go, and the longest string that the prefix hash covers (longer ones: xxhash).
@@ -116,6 +118,7 @@ def map_slices(df: DataFrame, fn: Callable[[Slice, pa.RecordBatch], pa.RecordBat
                 if out is not None and out.num_rows:
                     yield out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
