@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridlume.functions.scalars import fixed, js_number
+from gridlume.functions.scalars import fixed, js_number, let
 from gridlume.functions.text import trim
 
 EARTH_RADIUS = 6_371_000.0
@@ -91,26 +91,32 @@ def parse_bounds(values: dict[str, Column]) -> Column:
 
     South and north are swapped if need be; boxes over the antimeridian, beyond the globe or without area are errors.
     """
-    missing = [F.when(values[s].isNull(), F.lit(f"missing {s}")) for s in SIDES]
-    any_ = F.lit(False)
-    for s in SIDES:
-        any_ = any_ | values[s].isNotNull()
-    number = {s: js_number(values[s]) for s in SIDES}
-    # js_number gives 0 for what it can't read; a coordinate must be readable
-    readable = {s: F.rlike(trim(values[s]), F.lit(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^0[xX][0-9a-fA-F]+$")) & (F.coalesce(F.abs(trim(values[s]).try_cast("double")), F.lit(0.0)) < float("inf")) for s in SIDES}
-    invalid = [F.when(~readable[s], F.lit(f"invalid {s}")) for s in SIDES]
-    south, north = F.least(number["south"], number["north"]), F.greatest(number["south"], number["north"])
-    west, east = number["west"], number["east"]
-    faults = [
-        F.when(west > east, F.lit("bounds crossing the antimeridian are not supported")),
-        F.when((south < -90) | (south > 90), F.lit("south must be between -90 and 90")),
-        F.when((north < -90) | (north > 90), F.lit("north must be between -90 and 90")),
-        F.when((west < -180) | (west > 180), F.lit("west must be between -180 and 180")),
-        F.when((east < -180) | (east > 180), F.lit("east must be between -180 and 180")),
-        F.when((north - south <= 0) | (east - west <= 0), F.lit("bounds must have a positive area")),
-    ]
-    error = F.when(any_, F.coalesce(*missing, *invalid, *faults))
-    return F.struct(any_.alias("present"), error.alias("error"), F.when(any_ & error.isNull(), bounds(south, west, north, east)).alias("bounds"))
+    number = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^0[xX][0-9a-fA-F]+$"
+    read = [F.struct(values[s].alias("raw"), js_number(values[s]).alias("number"), F.rlike(trim(values[s]), F.lit(number)).alias("readable"), trim(values[s]).try_cast("double").alias("plain")).alias(s) for s in SIDES]
+
+    def check(v: Column) -> Column:
+        some = v["south"]["raw"].isNotNull()
+        for s in SIDES[1:]:
+            some = some | v[s]["raw"].isNotNull()
+        missing = [F.when(v[s]["raw"].isNull(), F.lit(f"missing {s}")) for s in SIDES]
+        # what can't be read is 0 as a number, but no coordinate; nor is an overflow
+        good = lambda s: v[s]["readable"] & (F.coalesce(F.abs(v[s]["plain"]), F.lit(0.0)) < float("inf"))
+        invalid = [F.when(~good(s), F.lit(f"invalid {s}")) for s in SIDES]
+        south, north = F.least(v["south"]["number"], v["north"]["number"]), F.greatest(v["south"]["number"], v["north"]["number"])
+        west, east = v["west"]["number"], v["east"]["number"]
+        faults = [
+            F.when(west > east, F.lit("bounds crossing the antimeridian are not supported")),
+            F.when((south < -90) | (south > 90), F.lit("south must be between -90 and 90")),
+            F.when((north < -90) | (north > 90), F.lit("north must be between -90 and 90")),
+            F.when((west < -180) | (west > 180), F.lit("west must be between -180 and 180")),
+            F.when((east < -180) | (east > 180), F.lit("east must be between -180 and 180")),
+            F.when((north - south <= 0) | (east - west <= 0), F.lit("bounds must have a positive area")),
+        ]
+        error = F.when(some, F.coalesce(*missing, *invalid, *faults))
+        return F.struct(some.alias("present"), error.alias("error"), bounds(south, west, north, east).alias("box"))
+
+    done = let(F.struct(*read), check)
+    return let(done, lambda r: F.struct(r["present"].alias("present"), r["error"].alias("error"), F.when(r["present"] & r["error"].isNull(), r["box"]).alias("bounds")))
 
 
 def _lng_meters(delta: Column, latitude: Column) -> Column:
