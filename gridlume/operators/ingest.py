@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridlume.functions.scalars import fixed, js_number
 from gridlume.functions.text import department_code, postal_label
 
 #: A report as it lands; numbers or texts are read as texts, opaque parts stay JSON.
-REPORT = T._parse_datatype_string(
+REPORT = (
     "polygon string, resultMegacache struct<compteurIncidentHTA string, compteurTravauxHTA string, compteurBT string, recap string, listeCrises string, "
     "listeCoupuresInfoReseau array<struct<idCoupure string, etatCoupure string, incidentCoupure string, codeInsee string, etatElectrique string, "
     "nbFoyersCoupes string, dateCoupure string, dateRealimentation string, listeAdresses array<struct<localisation string, nbFoyersCoupes string>>>>>"
 )
 
 
-def decode_json(rows: DataFrame, text: str, schema: T.StructType | str, out: str = "value", error: str = "error") -> DataFrame:
+def decode_json(rows: DataFrame, text: str, schema: str, out: str = "value", error: str = "error") -> DataFrame:
     """``rows`` with the decoded struct and an error text; a row that can't be read keeps its place with a null struct.
 
     Partial failure stays in its row: callers route rows with an error to a warnings frame and go on with the rest.

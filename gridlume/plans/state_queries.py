@@ -27,7 +27,7 @@ select user_id, event_id, ms, allowed, round(tokens, 6) as tokens, retry_after f
 """
 
 
-RATE, BURST = 0.0001, 3.0
+RATE, BURST = 1 / 7000, 3.0
 
 
 def token_bucket(spark: SparkSession, d: str) -> DataFrame:
