@@ -11,7 +11,9 @@ from gridlume.plans.scalar_queries import LOCATION_CTES
 from gridlume.plans.standins import DUCK_INCIDENTS, addresses, incidents
 from gridlume.sources.landing import tables
 
-_ADDR = F.array(F.struct(F.col("flag").alias("location"), F.col("households").alias("households")))
+def _addr():
+    return F.array(F.struct(F.col("flag").alias("location"), F.col("households").alias("households")))
+
 
 #: DuckDB: milliseconds of a date text of the stand-ins (they hold no overflow).
 _MS = "case when {c} = 'x' then 0 else epoch_ms(try_strptime({c}, '%d/%m/%Y %H:%M')) end"
@@ -36,7 +38,7 @@ def entity_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Orders as incidents, re-nested: each order's lines become one report's list and are exploded again."""
     rows = incidents(spark, d)
     nested = rows.groupBy("okey").agg(F.array_sort(F.collect_list(F.struct("seq", "flag", "households", "start", "restore"))).alias("lines"))
-    flat = nested.select("okey", F.posexplode("lines").alias("pos", "l")).select("okey", "pos", "l.*").withColumn("addresses", _ADDR)
+    flat = nested.select("okey", F.posexplode("lines").alias("pos", "l")).select("okey", "pos", "l.*").withColumn("addresses", _addr())
     out = rollup.incident_rollup(flat, ["okey"], "pos")
     flags = F.array_distinct(F.transform("addresses", lambda a: a["location"]))
     return out.select("okey", "households", "start", "restore", F.size("addresses").cast("long").alias("n_addresses"), F.array_join(flags, ",").alias("flags"))
@@ -233,7 +235,7 @@ DEDUPE_LAST = "select user_id, event_type, arg_max(value, event_id) as value, mi
 
 def merge_incidents(spark: SparkSession, d: str) -> DataFrame:
     """Two pages of incident facts under the merge key (place, id, start)."""
-    rows = incidents(spark, d).select((F.col("okey") % 50).cast("string").alias("place_code"), F.col("flag").alias("id"), "start", "restore", "households", _ADDR.alias("addresses"), (F.col("okey") * 100 + F.col("seq")).alias("seq"), F.lit("s").alias("status"), F.lit("t").alias("type"), F.lit(0.0).alias("electric_state"))
+    rows = incidents(spark, d).select((F.col("okey") % 50).cast("string").alias("place_code"), F.col("flag").alias("id"), "start", "restore", "households", _addr().alias("addresses"), (F.col("okey") * 100 + F.col("seq")).alias("seq"), F.lit("s").alias("status"), F.lit("t").alias("type"), F.lit(0.0).alias("electric_state"))
     out = rollup.merge_incidents(rows)
     return out.select("merge_key", "households", "restore", F.size("addresses").cast("long").alias("n_addresses"))
 
