@@ -71,7 +71,7 @@ def test_permits(spark, rows, kw, want):
 
 
 def test_keyed(spark):
-    new = spark.createDataFrame([("a", "1", 0), ("b", "2", 30), ("c", "3", -1)], "key string, value string, ttl double")
+    new = spark.createDataFrame([("a", "1", 0.0), ("b", "2", 30.0), ("c", "3", -1.0)], "key string, value string, ttl double")
     table = keyed.put(new, F.lit(0), F.col("ttl"))
     keys = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
     assert {r.key: r.value for r in keyed.get(table, keys, F.lit(59_999)).collect()} == {"a": None, "b": "2", "c": None}
