@@ -184,5 +184,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     by_class = classes.select("fp", "rep").join(final, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("doc_id", "n_shingles", "fp").join(by_class, "fp", "left")
-    own = F.coalesce("component", "doc_id")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))

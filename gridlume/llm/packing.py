@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from gridlume.llm.scratch import Scratch
 
 #: Words of which a worker keeps the ids at once, and bytes of the longest such word.
 CACHE_WORDS, CACHE_LEN = 700_000, 64
+#: Bytes of the words that stay when there are too many; texts of which a worker remembers the pieces.
+SHORT, CACHE_TEXTS = 7, 50_000
 _TAIL = frozenset(b".,;:!?")
 
 
@@ -60,7 +63,10 @@ class CachedTokenizer:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
         parts = [t.split() for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            # short words are the frequent ones; the others come again if they are needed
+            self.known = {w: v for w, v in self.known.items() if len(w) <= SHORT}
+            if len(self.known) > CACHE_WORDS // 2:
+                self.known = {}
         known = self.known
         new = set().union(*parts).difference(known)
         plain, simple = set(), {}
@@ -87,15 +93,25 @@ class CachedTokenizer:
 def token_pieces(docs: DataFrame, tokenizer: str, max_len: int, end_id: int) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each document's ids and ``end_id``, cut into at most ``max_len``."""
     state: dict[str, CachedTokenizer] = {}
+    # copies of a text are tokenised once a worker; texts go by a 128-bit digest
+    done: dict[int, list[tuple[int, int]]] = {}
+    end = end_id.to_bytes(4, "little")
 
     def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
         tok = state.get("t") or state.setdefault("t", CachedTokenizer(tokenizer))
+        if len(done) > CACHE_TEXTS:
+            done.clear()
+        texts = [part.text(i) for i in range(len(part))]
+        digests = [xxhash.xxh3_128_intdigest(t) for t in texts]
+        new = {d: t for d, t in zip(digests, texts, strict=True) if d not in done}
+        for d, ids in zip(new, tok.ids(list(new.values())), strict=True):
+            ids += end
+            cuts = (ids[at : at + 4 * max_len] for at in range(0, len(ids), 4 * max_len))
+            done[d] = [(len(own) // 4, zlib.crc32(own)) for own in cuts]
         row, piece, start, length, crc = [], [], [], [], []
-        for i, ids in enumerate(tok.ids([part.text(i) for i in range(len(part))])):
-            ids += end_id.to_bytes(4, "little")
-            for p, at in enumerate(range(0, len(ids), 4 * max_len)):
-                own = ids[at : at + 4 * max_len]
-                row.append(i), piece.append(p), start.append(at // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))
+        for i, d in enumerate(digests):
+            for p, (n, c) in enumerate(done[d]):
+                row.append(i), piece.append(p), start.append(p * max_len), length.append(n), crc.append(c)
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return T.map_slices(docs, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -149,7 +165,7 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return bins, offsets, used
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, bins long, bound long"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, load long, gap boolean"
 
 
 def _pack(pieces: DataFrame, parts: int, salt: int, size: int) -> DataFrame:
@@ -157,11 +173,11 @@ def _pack(pieces: DataFrame, parts: int, salt: int, size: int) -> DataFrame:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = table["length"].to_numpy()
         bins, offsets, used = best_fit_decreasing(lengths, size)
-        n = len(lengths)
-        own = {"bin": bins, "offset": offsets, "bins": np.full(n, used), "bound": np.full(n, lower_bound(lengths, size))}
-        for name in ("bin", "offset", "bins", "bound"):
-            table = table.append_column(name, pa.array(own[name], pa.int64()))
-        return table
+        load = np.bincount(bins, lengths, used).astype(np.int64)[bins]
+        gap = used > lower_bound(lengths, size)
+        for name, own in (("bin", bins), ("offset", offsets), ("load", load)):
+            table = table.append_column(name, pa.array(own, pa.int64()))
+        return table.append_column("gap", pa.array(np.full(len(lengths), gap)))
 
     dealt = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(parts)).alias("part"))
     return dealt.groupBy("part").applyInArrow(run, _PACKED)
@@ -182,16 +198,17 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     now = scratch.save(_pack(pieces, parts, 0, size), "round-0")
     done = [now.withColumn("round", F.lit(0))]
     for k in range(1, rounds + 1):
-        gap = now.where("bins > bound")
-        before = gap.select("part", "bins", "bound").distinct().agg(F.count("*"), F.sum("bins"), F.sum("bound"), F.sum("bound") * size).first()
-        if not before[0] or before[1] - before[2] <= 0:
+        loose = F.col("gap") | (F.col("load") * 4 <= size * 3)
+        moved = now.where(loose)
+        before, parts, tokens = moved.select("part", "bin", "load").distinct().agg(F.count("*"), F.countDistinct("part"), F.coalesce(F.sum("load"), F.lit(0))).first()
+        if before <= -(-tokens // size):
             break
-        fewer = max(1, before[0] // 2)
-        again = scratch.save(_pack(gap, fewer, k, size), f"round-{k}")
-        after = again.select("part", "bins").distinct().agg(F.sum("bins")).first()[0]
-        if after >= before[1]:
+        fewer = max(1, min(parts // 2, -(-tokens // (size * bins_per_partition)) * 2))
+        again = scratch.save(_pack(moved, fewer, k, size), f"round-{k}")
+        after = again.select("part", "bin").distinct().count()
+        if after >= before:
             break
-        done[-1] = done[-1].where("bins <= bound")
+        done[-1] = done[-1].where(~loose)
         done.append(again.withColumn("round", F.lit(k)))
         now = again
     out = done[0]

@@ -149,6 +149,15 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
         return F.struct(F.when(outside, new).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     clean = F.aggregate("_secret_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.size("_secret_spans") > 0, clean).otherwise(text)
-    columns = [F.when(F.size("_secret_spans") > 0, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else new.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return spans.select(*columns)
+    dirty = F.size("_secret_spans") > 0
+    rows = spans.select(*docs.columns, dirty.alias("_secret_dirty"), F.when(dirty, clean).otherwise(text).alias("_secret_text"))
+    new, changed = F.col("_secret_text"), F.col("_secret_dirty")
+
+    def column(name: str) -> Column:
+        if name == text_col:
+            return new.alias(name)
+        if name == "n_chars":
+            return F.when(changed, F.length(new).cast(docs.schema[name].dataType)).otherwise(F.col(name)).alias(name)
+        return F.col(name)
+
+    return rows.select(*map(column, docs.columns))
