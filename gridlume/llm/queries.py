@@ -142,4 +142,51 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, d.doc_id
 from documents d join comp on comp.u = d.doc_id left join n on n.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_tool_calls": OP2_SQL, "op5_near_duplicates": OP5_SQL}
+
+
+OP6_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+w as (select doc_id, p, hash(substr(x, 2 * p + 1, 200)) as h from (select doc_id, x, unnest(range(0, length(x) // 2 - 99)) as p from d)),
+r as (select doc_id, p from (select doc_id, p, row_number() over (partition by h order by doc_id, p) as k from w) where k > 1),
+e as (select doc_id, p, lag(p) over (partition by doc_id order by p) as before from r),
+g as (select doc_id, p, sum(case when before is null or p > before + 100 then 1 else 0 end) over (partition by doc_id order by p) as run from e),
+s as (select doc_id, run, min(p) as a, max(p) + 100 as b from g group by 1, 2),
+s2 as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as prev from s),
+k as (select s2.doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans, string_agg(substr(x, 2 * prev + 1, 2 * (a - prev)), '' order by a) as head, max(b) as last from s2 join d using (doc_id) group by s2.doc_id)
+select d.doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) as kept_sha256 from d left join k on k.doc_id = d.doc_id
+"""
+
+
+def _sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _sql_spans(pattern: str, kind: int, keep: str = "true") -> str:
+    """DuckDB: (start, kind, end, body) of the leftmost matches, from the lengths between and of them."""
+    p = _sql_text(pattern)
+    return f"""list_filter(list_transform(regexp_extract_all(t, {p}), lambda m, i: (
+    list_sum(list_transform(regexp_split_to_array(t, {p})[1:i], lambda g: length(g)))::bigint + coalesce(list_sum(list_transform(regexp_extract_all(t, {p})[1:i - 1], lambda b: length(b))), 0)::bigint, {kind},
+    list_sum(list_transform(regexp_split_to_array(t, {p})[1:i], lambda g: length(g)))::bigint + list_sum(list_transform(regexp_extract_all(t, {p})[1:i], lambda b: length(b)))::bigint, m)), lambda s: {keep})"""
+
+
+def _op4_sql() -> str:
+    from gridlume.llm import secrets as s
+
+    long = f"length(regexp_extract(s[4], {_sql_text(s.ASSIGN)}, 2)) >= 12"
+    bits = "case " + " ".join(f"when regexp_matches(body, {_sql_text(c.whole)}) then {c.bits}" for c in s.CLASSES) + " end"
+    allowed = " or ".join(f"regexp_matches(body, {_sql_text(p)})" for p in s.ALLOW)
+    joined = lambda x: f"coalesce(array_to_string(list_transform({x}, lambda s: ['assign', 'access', 'hex', 'entropy'][s[2] + 1] || ':' || s[1] || ':' || s[3]), ','), '')"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+b as (select doc_id, t, list_sort(list_concat({_sql_spans(s.ASSIGN, 0, long)}, {_sql_spans(s.ACCESS, 1)}, {_sql_spans(s.HEX, 2)})) as base, {_sql_spans(s.CANDIDATE, 3)} as cand from d),
+c as (select doc_id, x[1] as a, x[3] as z, x[4] as body from (select doc_id, base, unnest(cand) as x from b) where not list_bool_or(list_append(list_transform(base, lambda s: s[1] < x[3] and x[1] < s[3]), false))),
+w as (select doc_id, a, z, body, unnest(range(1, length(body) - {s.WINDOW} + 2)) as i from c where regexp_matches(body, '[0-9]') and regexp_matches(body, '[A-Za-z]') and not ({allowed})),
+h as (select doc_id, a, z, body, list_sum(list_transform(list_distinct(string_split(substr(body, i, {s.WINDOW}), '')), lambda c: -((length(substr(body, i, {s.WINDOW})) - length(replace(substr(body, i, {s.WINDOW}), c, ''))) / {s.WINDOW}.0::double) * log2((length(substr(body, i, {s.WINDOW})) - length(replace(substr(body, i, {s.WINDOW}), c, ''))) / {s.WINDOW}.0::double))) as bits from w),
+e as (select doc_id, list((a, 3, z, body)) as more from (select doc_id, a, z, body from h group by all having max(bits) >= any_value({bits}) - 1e-9) group by 1)
+select b.doc_id, len(list_filter(base, lambda s: s[2] = 0))::bigint as n_assign, len(list_filter(base, lambda s: s[2] = 1))::bigint as n_access, len(list_filter(base, lambda s: s[2] = 2))::bigint as n_hex,
+  sha256({joined('base')}) as base_sha256, {joined('list_sort(list_concat(base, coalesce(more, [])))')} as spans
+from b left join e on e.doc_id = b.doc_id
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_tool_calls": OP2_SQL, "op4_secrets": _op4_sql(), "op5_near_duplicates": OP5_SQL, "op6_repeated_strings": OP6_SQL}

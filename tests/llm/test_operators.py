@@ -142,6 +142,10 @@ def test_repeated_strings(spark):
     rows = [(i, text(rng, rng.randint(1, 80)) + rng.choice(["", shared[0], shared[1][:130], shared[2][7:]]) + text(rng, 20)) for i in range(40)]
     rows += [(40 + i, rows[i][1]) for i in range(5)] + [(50, "a" * 350), (51, "ab" * 200), (52, "a" * 150 + "x" + "ab" * 90), (53, None), (54, ""), (55, "é" * 120), (56, "zz" + "é" * 60), (57, "a" * 99)]
     assert found_repeats(spark, rows) == repeats(rows)
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert {r[0]: r[1:] for r in con.sql(queries.OP6_SQL).fetchall()} == repeats(rows)
 
 
 @settings(max_examples=8, deadline=None)
@@ -192,6 +196,11 @@ def test_secrets(spark):
         more = [s for s in entropy_spans(t) if not any(a < s[2] and s[0] < b for a, _, b in base)]
         assert got[i] == sorted(base + more), (i, t)
     assert any(k == 3 for spans in got.values() for _, k, _ in spans)
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    want = {r[0]: r[1] for r in con.sql(f"select doc_id, spans from ({queries.ORACLE_SQL['op4_secrets']})").fetchall()}
+    assert {i: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in s) for i, s in got.items()} == want
 
 
 def test_redact(spark):
