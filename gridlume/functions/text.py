@@ -40,7 +40,7 @@ NUMBERED_TYPES = ("RUE ", "R. ", "R ", "BD ", "BOULEVARD ", "AV ", "AVENUE ", "P
 SMALL_WORDS = ("a", "au", "aux", "d", "de", "des", "du", "et", "l", "la", "le", "les")
 
 #: White space as the reference dialect has it; Java's \s knows the ASCII part only.
-SPACES = r"[\s   -     　﻿]"
+SPACES = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 HOUSE_NUMBER = r"^\d+(?:[.\s]\d+)*[A-Z]?\s+"
 
 
@@ -163,7 +163,7 @@ def detail_text(summary: Column, restore: Column) -> Column:
 
 def group_digits(n: Column) -> Column:
     """French digit groups, set apart by narrow no-break spaces."""
-    return F.replace(F.format_number(F.coalesce(n, F.lit(0)), 0), F.lit(","), F.lit(" "))
+    return F.replace(F.format_number(F.coalesce(n, F.lit(0)), 0), F.lit(","), F.lit("\u202f"))
 
 
 def status_text(streets: Column, with_lines: Column, geocoded: Column, communes: Column, total: Column, source: str) -> Column:

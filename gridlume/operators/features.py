@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlume.functions.geo import points_bounds
-from gridlume.functions.text import trim
 
 # Colour of a street by its gravest kind of incident.
 COLOURS = (("Incident HTA", "#e45245"), ("Incident BT", "#e98a19"))
@@ -93,6 +92,3 @@ def headline(incidents: Column, works: Column) -> Column:
     """Medium-voltage incidents and works as one number."""
     return F.coalesce(incidents, F.lit(0)) + F.coalesce(works, F.lit(0))
 
-
-def blank(query: Column) -> Column:
-    return trim(query) == ""

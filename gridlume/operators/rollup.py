@@ -80,8 +80,11 @@ def counters(reports: DataFrame, addresses: DataFrame) -> DataFrame:
     from gridlume.functions.scalars import js_number
 
     data = F.col("report.resultMegacache")
-    sums = reports.agg(*[F.coalesce(F.sum(js_number(data[c])), F.lit(0.0)).alias(n) for c, n in (("compteurIncidentHTA", "incidents"), ("compteurTravauxHTA", "works"), ("compteurBT", "low_voltage"))])
-    return sums.crossJoin(F.broadcast(addresses.agg(F.count("*").alias("address_rows"))))  # one row each
+    names = {"compteurIncidentHTA": "incidents", "compteurTravauxHTA": "works", "compteurBT": "low_voltage"}
+    sums = reports.agg(*[F.sum(js_number(data[c])).alias(n) for c, n in names.items()]).withColumn("address_rows", F.lit(0).cast("long"))
+    rows = addresses.agg(F.count("*").alias("address_rows")).select(*[F.lit(0.0).alias(n) for n in names.values()], "address_rows")
+    return sums.unionByName(rows).agg(*[F.sum(n).alias(n) for n in names.values()], F.sum("address_rows").alias("address_rows"))
+
 
 
 def merge_streets(partials: DataFrame, *, seq: str = "seq", sort_lists: bool = False) -> DataFrame:

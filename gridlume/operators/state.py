@@ -36,7 +36,7 @@ def token_bucket(events: DataFrame, key: str, rate: float, burst: float, millis:
     Elapsed time refills up to the burst (a clock that goes back mints nothing); an event takes one token if there is one, else waits
     at least a second; the balance is kept even on refusal.
     """
-    kind = f"struct<tokens:double,at:bigint,out:array<struct<event_id:bigint,ms:bigint,allowed:boolean,tokens:double,retry_after:bigint>>>"  # noqa: F541
+    kind = "struct<tokens:double,at:bigint,out:array<struct<event_id:bigint,ms:bigint,allowed:boolean,tokens:double,retry_after:bigint>>>"
     start = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(None).cast("bigint").alias("at"), F.expr("array()").alias("out")).cast(kind)
 
     def step(acc: Column, e: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlume.operators import enrich, features, ingest, paging, rollup
 from gridlume.plans.standins import addresses
-from gridlume.sources import keyed
+from gridlume.sources import keyed, sinks
 from gridlume.sources.landing import tables
 
 
@@ -249,6 +249,22 @@ def public_places(spark: SparkSession, d: str) -> DataFrame:
 
 PUBLIC_PLACES = f"select code as insee, 'V' || code || case when code::int % 2 = 0 then ' ' || code else '' end as CPVille, code[1:2] as department, printf('%.6f', lng) as longitude, printf('%.6f', lat) as latitude, lat, true as bare from {_PLACES}"
 
-_ALL = (lookup_with_miss, fallback_key_join, source_fallback, failure_only_fallback, best_match, unseen_keys, warnings_union, line_requests, allowed_requests, parameter_faults, nearest_pages, limit_guard, cursor_state, street_filter, feature_style, geojson_features, area_features, json_decode, keyed_cache, public_places)
+def json_sink(spark: SparkSession, d: str) -> DataFrame:
+    """What is written: one JSON object a row, nulls left out, constants added."""
+    n = tables(spark, d, "nation")[0].select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey")).alias("n_regionkey"), *sinks.metadata(source="x"))
+    return sinks.json_lines(n)
+
+
+JSON_SINK = """select '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"' || case when n_nationkey % 2 = 0 then ',"n_regionkey":' || n_regionkey else '' end || ',"source":"x"}' as json from nation"""
+
+
+def headlines(spark: SparkSession, d: str) -> DataFrame:
+    o = tables(spark, d, "orders")[0]
+    return o.select("o_orderkey", features.headline(F.col("o_orderkey") % 5, F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 7)).alias("n"))
+
+
+HEADLINES = "select o_orderkey, o_orderkey % 5 + case when o_orderkey % 3 > 0 then o_orderkey % 7 else 0 end as n from orders"
+
+_ALL = (lookup_with_miss, fallback_key_join, source_fallback, failure_only_fallback, best_match, unseen_keys, warnings_union, line_requests, allowed_requests, parameter_faults, nearest_pages, limit_guard, cursor_state, street_filter, feature_style, geojson_features, area_features, json_decode, keyed_cache, public_places, json_sink, headlines)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {f.__name__: globals()[f.__name__.upper()] for f in _ALL}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlume.functions import scalars as S
+from gridlume.functions import signing
 from gridlume.functions import text as X
 from gridlume.plans.standins import LOCATION, addresses, street_text
 from gridlume.sources.landing import tables
@@ -21,7 +22,7 @@ def _folded(c: str) -> str:
 def _street_steps(source: str, keep: str) -> tuple[str, str]:
     """CTEs (DuckDB) that normalise column v of ``source``, and the name of the last one."""
     types = "|".join(t.replace(".", r"\.") for t in X.NUMBERED_TYPES)
-    parts = [rf"n0 as (select {keep}, trim(regexp_replace(regexp_replace(upper({_folded('v')}), '[()]', ' ', 'g'), '[\s ]+', ' ', 'g')) as v from {source})"]
+    parts = [rf"n0 as (select {keep}, trim(regexp_replace(regexp_replace(upper({_folded('v')}), '[()]', ' ', 'g'), '[\s\x{{00A0}}]+', ' ', 'g')) as v from {source})"]
     for i, (pattern, words) in enumerate(X.STREET_REWRITES):
         everywhere = ", 'g'" if pattern.startswith(r"\b") else ""
         parts.append(rf"r{i} as (select {keep}, regexp_replace(trim(regexp_replace(v, '{pattern}', '{words}'{everywhere})), '^/+\s*', '') as v from n{i})")
@@ -200,8 +201,29 @@ def name_patterns(spark: SparkSession, d: str) -> DataFrame:
 _CHAR = "case c when 'A' then '[AÀÁÂÃÄÅàáâãäå]' when 'C' then '[CÇç]' when 'E' then '[EÈÉÊËèéêë]' when 'I' then '[IÌÍÎÏìíîï]' when 'N' then '[NÑñ]' when 'O' then '[OÒÓÔÕÖòóôõö]' when 'U' then '[UÙÚÛÜùúûü]' when 'Y' then '[YÝŸýÿ]' when '(' then '\\(' when ')' then '\\)' else c end"
 NAME_PATTERNS = f"select n_nationkey, array_to_string(list_transform(list_filter(string_split(n_name || '  D''(X)', ' '), lambda w: w <> ''), lambda w: array_to_string(list_transform(string_split(w, ''), lambda c: {_CHAR}), '')), '[ ./''’-]+') as pattern from nation"
 
-QUERIES = {f.__name__: f for f in (accent_fold, street_normalize, location_parse, js_number, duration_parse, date_parse, digest_key, department_code, fixed_decimals, request_keys, error_texts, display_texts, name_patterns)}
+
+
+def french_times(spark: SparkSession, d: str) -> DataFrame:
+    e = tables(spark, d, "events")[0]
+    iso = F.when(F.col("event_id") % 9 == 0, F.lit("")).when(F.col("event_id") % 9 == 1, F.lit("oops")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return e.select("event_id", S.french_time(iso).alias("shown"), X.group_digits(F.col("event_id") * 1000).alias("grouped"))
+
+
+FRENCH_TIMES = "select event_id, case when event_id % 9 < 2 then '-' else strftime(ts, '%d/%m %H:%M') end as shown, replace(format('{:,}', event_id * 1000), ',', chr(8239)) as grouped from events"
+
+
+def signed_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of places' JSON, read back, and read with a wrong key."""
+    n = tables(spark, d, "nation")[0].select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")).alias("p"))
+    t = n.withColumn("t", signing.sign(F.col("p"), "k" * 32))
+    return t.select("n_nationkey", F.substring_index("t", ".", 1).alias("head"), signing.verify(F.col("t"), "k" * 32).alias("back"), signing.verify(F.col("t"), "other").alias("wrong"))
+
+
+_JSON = """'{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}'"""
+SIGNED_TOKENS = f"select n_nationkey, rtrim(replace(replace(base64(encode({_JSON})), '+', '-'), '/', '_'), '=') as head, {_JSON} as back, null::varchar as wrong from nation"
+
+QUERIES = {f.__name__: f for f in (accent_fold, street_normalize, location_parse, js_number, duration_parse, date_parse, digest_key, department_code, fixed_decimals, request_keys, error_texts, display_texts, name_patterns, french_times, signed_tokens)}
 ORACLE_SQL = {
     "accent_fold": ACCENT_FOLD, "street_normalize": STREET_NORMALIZE, "location_parse": LOCATION_PARSE, "js_number": JS_NUMBER, "duration_parse": DURATION_PARSE, "date_parse": DATE_PARSE,
-    "digest_key": DIGEST_KEY, "department_code": DEPARTMENT_CODE, "fixed_decimals": FIXED_DECIMALS, "request_keys": REQUEST_KEYS, "error_texts": ERROR_TEXTS, "display_texts": DISPLAY_TEXTS, "name_patterns": NAME_PATTERNS,
+    "digest_key": DIGEST_KEY, "department_code": DEPARTMENT_CODE, "fixed_decimals": FIXED_DECIMALS, "request_keys": REQUEST_KEYS, "error_texts": ERROR_TEXTS, "display_texts": DISPLAY_TEXTS, "name_patterns": NAME_PATTERNS, "french_times": FRENCH_TIMES, "signed_tokens": SIGNED_TOKENS,
 }
