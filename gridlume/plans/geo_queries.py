@@ -213,15 +213,17 @@ select n_nationkey as key, coalesce(s, case when n_nationkey % 2 = 0 then 1.0::d
 
 
 def places_in(spark: SparkSession, d: str) -> DataFrame:
-    """Places of a viewport with the guard's verdict."""
+    """Places of a viewport, and the guard's verdict in a row of its own."""
     rows = _boxes(spark, d).where("id % 7 > 1 and id % 11 > 0").select((F.col("id") % 400).alias("code"), F.col("id").alias("seq"), "b.*")
     own, guard = landing.places_in(rows, G.bounds(F.lit(48.0), F.lit(2.0), F.lit(48.4), F.lit(2.4)), 20)
-    return own.select("code", "seq", F.round("center.lat", 9).alias("lat")).withColumn("k", F.lit(1)).join(F.broadcast(guard.select(F.lit(1).alias("k"), "too_many")), "k").drop("k")  # one row
+    none = F.lit(None)
+    verdict = guard.select(none.cast("long").alias("code"), none.cast("long").alias("seq"), none.cast("double").alias("lat"), "too_many")
+    return own.select("code", "seq", F.round("center.lat", 9).alias("lat"), none.cast("boolean").alias("too_many")).unionByName(verdict)
 
 
 PLACES_IN = f"""
 with h as (select id % 400 as code, * from {_BOX} where id % 7 > 1 and id % 11 > 0 and w <= 2.4001::double and e >= 1.9999::double and s <= 48.4001::double and n >= 47.9999::double)
-select code, min(id) as seq, round(arg_min((s + n) / 2, id), 9) as lat, (select count(*) > 20 from h) as too_many from h group by 1
+select code, min(id) as seq, round(arg_min((s + n) / 2, id), 9) as lat, null::boolean as too_many from h group by 1 union all select null, null, null, count(*) > 20 from h
 """
 
 _ALL = (snap_pad, viewport_limits, bounds_validate, bbox_agg, bbox_join, point_in_polygon, coverage_forall, segment_distance, nearest_component, clean_line, hit_test, street_boxes, places_in)
