@@ -3,36 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridlume.llm import queries as q
-from gridlume.llm.decontam import contaminated_documents
+from gridlume.llm.decontam import without_contaminated
 from gridlume.llm.neardup import near_duplicates
 from gridlume.llm.scratch import Scratch
 from gridlume.llm.secrets import redact
-from gridlume.llm.toxicity import toxicity
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less those whose id is in the only column of ``ids``; rows without an id stay."""
-    return docs.join(ids, "doc_id", "left_anti")
+from gridlume.llm.toxicity import CATEGORIES, train, without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not reject."""
-    scored = toxicity(docs, q.table(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("toxic and doc_id is not null").select("doc_id"))
+    """Documents that the classifier chain, trained on the labelled ones, does not reject."""
+    return without_toxic(docs, train(docs, q.table(spark, sf_dir, "labels"), CATEGORIES))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, 0.8): the one of least id."""
-    return _without(docs, near_duplicates(docs).where("not kept").select("doc_id"))
+    return docs.join(near_duplicates(docs).where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, whatever its numbers, names and units."""
-    found = contaminated_documents(docs, q.table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated").select("doc_id"))
+    return without_contaminated(docs, q.table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

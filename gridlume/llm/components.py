@@ -32,13 +32,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str, most_roun
     """
     a, b = edges.columns[:2]
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` is not null and `{b}` is not null and u <> v").distinct()
-    now, seen, last = scratch.save(now, f"{tag}-0"), None, f"{tag}-0"
+    now, seen, last = scratch.save(now, f"{tag}-0", release=False), None, f"{tag}-0"
     for k in range(1, most_rounds + 1):
         print_ = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.sum(F.col("u") - F.col("v"))).first()
         if tuple(print_) == seen:
             break
         seen = tuple(print_)
-        now = scratch.save(_star(_star(now, False), True), f"{tag}-{k}")
+        now = scratch.save(_star(_star(now, False), True), f"{tag}-{k}", release=False)
         scratch.drop(last)
         last = f"{tag}-{k}"
     else:

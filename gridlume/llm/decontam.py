@@ -145,31 +145,59 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     pass over the documents for each block, so none has to fit in memory as a whole. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = None
+    for index in _blocks(benchmark, item_col, item_text_col, window, least, most_windows):
+        hits = _matches(docs, index, percent)
+        out = hits if out is None else out.union(hits)
+    return out
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, least: int = 4, percent: int = 50, most_windows: int = 1_000_000) -> DataFrame:
+    """``docs`` less the rows that hold an item (see ``contamination``); columns stay, and no row moves."""
+    for index in _blocks(benchmark, item_col, item_text_col, window, least, most_windows):
+        docs = _unmatched(docs, index, percent, text_col)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, least: int, most_windows: int):
+    """The benchmark's windows in blocks of whole items, each sent to all tasks; sizes are counted first."""
     items = benchmark.where(f"`{item_col}` is not null").groupBy(F.col(item_col).cast("long").alias("item_id")).agg(F.min(F.col(item_text_col).cast("string")).alias("text"))
     keys = _benchmark_windows(items, window, least)
     blocks = max(1, -(-keys.count() // most_windows))
-    out = None
     for b in range(blocks):
         own = keys.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else keys
-        index = docs.sparkSession.sparkContext.broadcast(own.collect())
-        hits = _matches(docs, index, percent)
-        out = hits if out is None else out.union(hits)
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast(own.collect())
+
+
+def _found(part: T.Slice, index: _Index, percent: int) -> list[tuple]:
+    """(row, item, windows, matched, consistent, contaminated) of a slice."""
+    t, found = Templates(part), []
+    for d, hits in sorted(index.hits(t).items()):
+        by = defaultdict(list)
+        for h in hits:
+            by[h[0]].append(h)
+        for item, own in sorted(by.items()):
+            good, total = len(_consistent(own, t.filler)), index.total[item]
+            found.append((d, item, total, len({h[1] for h in own}), good, 100 * good >= percent * total))
+    return found
+
+
+def _unmatched(docs: DataFrame, rows, percent: int, text_col: str) -> DataFrame:
+    state: dict[str, _Index] = {}
+
+    def keep(part: T.Slice) -> np.ndarray:
+        out = np.ones(len(part), bool)
+        out[[x[0] for x in _found(part, state.get("i") or state.setdefault("i", _Index(rows.value)), percent) if x[5]]] = False
+        return out
+
+    return T.filter_slices(docs, keep, text_col)
 
 
 def _matches(docs: DataFrame, rows, percent: int) -> DataFrame:
     state: dict[str, _Index] = {}
 
     def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
-        index = state.get("i") or state.setdefault("i", _Index(rows.value))
-        t, found = Templates(part), []
-        for d, hits in sorted(index.hits(t).items()):
-            by = defaultdict(list)
-            for h in hits:
-                by[h[0]].append(h)
-            for item, own in sorted(by.items()):
-                good, total = len(_consistent(own, t.filler)), index.total[item]
-                found.append((d, item, total, len({h[1] for h in own}), good, 100 * good >= percent * total))
+        found = _found(part, state.get("i") or state.setdefault("i", _Index(rows.value)), percent)
         cols = list(zip(*found, strict=True)) if found else [[]] * 6
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:5]), pa.array(cols[5], pa.bool_())], ["doc_id", "item_id", "n_windows", "n_matched", "n_consistent", "contaminated"])
 

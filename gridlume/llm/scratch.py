@@ -15,10 +15,11 @@ class Scratch:
         ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, table: str) -> DataFrame:
-        """Write ``df`` as Parquet and return the written table; shuffle files of the finished job can go then."""
+    def save(self, df: DataFrame, table: str, release: bool = True) -> DataFrame:
+        """Write ``df`` as Parquet and return the written table; ``release`` the shuffle files of the finished job then."""
         df.write.mode("overwrite").parquet(f"{self.root}/{table}")
-        self.spark._jvm.System.gc()  # Spark drops shuffle files once the driver has collected their handles
+        if release:
+            self.spark._jvm.System.gc()  # Spark drops shuffle files once the driver has collected their handles
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{table}")
 
     def drop(self, *tables: str) -> None:

@@ -122,6 +122,20 @@ def map_slices(df: DataFrame, fn: Callable[[Slice, pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+def filter_slices(df: DataFrame, keep: Callable[[Slice], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text ``keep`` marks true; columns stay as they are, and nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text)).cast(pa.string())
+            marks = [np.asarray(keep(part), bool) for part in slices(column)]
+            if marks:
+                yield batch.filter(pa.array(np.concatenate(marks)))
+
+    ship(df.sparkSession)
+    return df.mapInArrow(run, df.schema)
+
+
 @dataclass
 class Words:
     """Words of a slice: byte range, document, hash; ``first[d]:first[d + 1]`` are those of document d."""

@@ -19,6 +19,8 @@ from gridlume.llm import textops as T
 #: Letters of a word's beginning that make a feature besides the whole word.
 BEGINNINGS = (4, 5, 6)
 BITS = 22
+#: Probability of the last category from which a document is rejected; the classes lie far apart on both sides.
+THRESHOLD = 0.05
 #: Everything but letters, digits and bytes beyond ASCII divides words.
 _DIVIDES = np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
 _MARKS = b"#*$%&|<>!"
@@ -85,15 +87,15 @@ class Link:
 def _choose(doc: np.ndarray, code: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     """The features with the largest likelihood-ratio statistic against the class; pairs are distinct."""
     pos, n = y.sum(), len(y)
-    names, back = np.unique(code, return_inverse=True)
-    both = np.bincount(back, y[doc], len(names))
-    seen = np.bincount(back, minlength=len(names)).astype(float)
+    seen = np.bincount(code, minlength=1 << BITS)
+    names = np.flatnonzero(seen >= 2).astype(np.int32)
+    both = np.bincount(code[(y > 0)[doc]], minlength=1 << BITS)[names].astype(float)
+    seen = seen[names].astype(float)
 
     def part(a, of):
         return a * np.log(np.maximum(a, 1e-9) / np.maximum(of, 1e-9))
 
     g = part(both, seen * pos / n) + part(seen - both, seen * (n - pos) / n) + part(pos - both, (n - seen) * pos / n) + part(n - pos - seen + both, (n - seen) * (n - pos) / n)
-    g[seen < 2] = -1
     best = np.argsort(-g, kind="stable")[:most]
     return np.sort(names[best[g[best] > 3]])
 
@@ -123,11 +125,11 @@ def fit_chain(doc: np.ndarray, code: np.ndarray, labels: dict[str, np.ndarray],
         own = np.zeros(n)
         for f in range(folds):
             train, rest = fold != f, np.flatnonzero(fold == f)
-            number = np.cumsum(train) - 1
+            number = (np.cumsum(train) - 1).astype(np.int32)
             pick = train[doc]
             link = _fit_link(name, number[doc[pick]], code[pick], y[train], out_of_fold[train], most, ridge)
             held = ~pick
-            back = np.full(n, -1)
+            back = np.full(n, -1, np.int32)
             back[rest] = np.arange(len(rest))
             own[rest] = link.scores(back[doc[held]], code[held], len(rest), out_of_fold[rest])
         chain.append(_fit_link(name, doc, code, y, out_of_fold, most, ridge))
@@ -135,7 +137,7 @@ def fit_chain(doc: np.ndarray, code: np.ndarray, labels: dict[str, np.ndarray],
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 8000) -> list[Link]:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 6000) -> list[Link]:
     """The chain from labelled documents. ``categories``: name -> SQL condition on ``labels`` that marks its members.
 
     At most ``max_labelled`` labelled ids, chosen by hash, are used; that bounds what reaches the driver. Ids that are null
@@ -160,11 +162,20 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, id_
         return [Link(c, np.zeros(0, np.int32), np.zeros(0), np.zeros(k), -14.0) for k, c in enumerate(categories)]
     lists = table["codes"].combine_chunks()
     code = lists.flatten().to_numpy()
-    doc = np.repeat(np.arange(len(table)), lists.value_lengths().to_numpy())
+    doc = np.repeat(np.arange(len(table), dtype=np.int32), lists.value_lengths().to_numpy())
     return fit_chain(doc, code, {c: table[c].to_numpy() for c in categories})
 
 
-def score(docs: DataFrame, chain: list[Link], *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.05) -> DataFrame:
+def _probabilities(part: T.Slice, chain: list[Link]) -> np.ndarray:
+    """One column a link."""
+    doc, code = features(part)
+    before = np.zeros((len(part), 0))
+    for link in chain:
+        before = np.hstack([before, link.scores(doc, code, len(part), before)[:, None]])
+    return before
+
+
+def score(docs: DataFrame, chain: list[Link], *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, p_<category>..., toxic`` for every row; toxic: the last category's probability reaches ``threshold``.
 
     Null and empty texts get the chain's base rate (and so are not toxic). Rows that repeat an id are scored one by one.
@@ -173,20 +184,22 @@ def score(docs: DataFrame, chain: list[Link], *, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, code = features(part)
-        before = np.zeros((len(part), 0))
-        for link in chain:
-            before = np.hstack([before, link.scores(doc, code, len(part), before)[:, None]])
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(before[:, k]) for k in range(len(chain))), pa.array(before[:, -1] >= threshold)], ["doc_id", *(f"p_{x.name}" for x in chain), "toxic"])
+        p = _probabilities(part, chain)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(len(chain))), pa.array(p[:, -1] >= threshold)], ["doc_id", *(f"p_{x.name}" for x in chain), "toxic"])
 
     return T.map_slices(texts, run, "doc_id long, " + ", ".join(f"`p_{x.name}` double" for x in chain) + ", toxic boolean")
 
 
+def without_toxic(docs: DataFrame, chain: list[Link], *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` less the rows that ``score`` calls toxic; columns stay, and no row moves."""
+    return T.filter_slices(docs, lambda part: _probabilities(part, chain)[:, -1] < threshold, text_col)
+
+
 #: The label table's categories in chain order: poor quality first, toxicity on top of it.
 CATEGORIES = {"poor": "quality = 0", "toxic": "toxic = 1"}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, categories: dict[str, str] | None = None, max_labelled: int = 8000, threshold: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, categories: dict[str, str] | None = None, max_labelled: int = 6000, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train the chain on the labelled part of ``docs`` and score all of it; see ``train`` and ``score``."""
     chain = train(docs, labels, categories or CATEGORIES, id_col=id_col, text_col=text_col, max_labelled=max_labelled)
     return score(docs, chain, id_col=id_col, text_col=text_col, threshold=threshold)
