@@ -8,110 +8,34 @@ new hash and pack again, into ever fewer partitions; a round that doesn't save a
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlume.llm import textops as T
 from gridlume.llm.scratch import Scratch
-
-#: Words of which a worker keeps the ids at once, and bytes of the longest such word.
-CACHE_WORDS, CACHE_LEN = 700_000, 64
-#: Bytes of the words that stay when there are too many; texts of which a worker remembers the pieces.
-SHORT, CACHE_TEXTS = 7, 50_000
-_TAIL = frozenset(b".,;:!?")
-
-
-class CachedTokenizer:
-    """Token ids of a text, word by word: the vocabulary never joins across ASCII white space, so words repeat."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model, self.known = Tokenizer.from_file(path), {}
-        vocab = self.model.get_vocab()
-        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-
-    def _encode(self, found: list[bytes]) -> None:
-        """Learn the ids of new words; those of lower-case letters alone go as one text, cut at end-of-word tokens."""
-        alpha, rest = [], []
-        for w in found:
-            text = w.decode()
-            if text.isalpha() and text.islower():
-                alpha.append(w)
-            else:
-                rest.append((w, text))
-        if alpha:
-            ids = np.array(self.model.encode_batch_fast([b" ".join(alpha).decode()], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            assert len(ends) == len(alpha)
-            raw, at = ids.tobytes(), 0
-            for w, e in zip(alpha, (4 * ends).tolist(), strict=True):
-                self.known[w] = raw[at:e]
-                at = e
-        for (w, _), e in zip(rest, self.model.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        parts = [t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            # short words are the frequent ones; the others come again if they are needed
-            self.known = {w: v for w, v in self.known.items() if len(w) <= SHORT}
-            if len(self.known) > CACHE_WORDS // 2:
-                self.known = {}
-        known = self.known
-        new = set().union(*parts).difference(known)
-        plain, simple = set(), {}
-        for w in new:
-            # a final mark after an ASCII letter or digit is a token run of its own; ASCII letters are lowered one by one
-            core = w[:-1] if len(w) > 1 and w[-1] in _TAIL and w[-2:-1].isalnum() else w
-            low = core.lower() if core.isascii() else core
-            if low != w:
-                simple[w] = (low, w[len(core) :])
-                plain.add(low)
-                if len(core) < len(w):
-                    plain.add(w[len(core) :])
-            else:
-                plain.add(w)
-        self._encode([w for w in plain if w not in known])
-        for w, (low, tail) in simple.items():
-            known[w] = known[low] + (known[tail] if tail else b"")
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        for w in [w for w in new if len(w) > CACHE_LEN]:
-            known.pop(w, None)
-        return out
+from gridlume.llm.tokens import UnitTokenizer
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, max_len: int, end_id: int) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each document's ids and ``end_id``, cut into at most ``max_len``."""
-    state: dict[str, CachedTokenizer] = {}
-    # copies of a text are tokenised once a worker; texts go by a 128-bit digest
-    done: dict[int, list[tuple[int, int]]] = {}
+    state: dict[str, UnitTokenizer] = {}
     end = end_id.to_bytes(4, "little")
 
     def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
-        tok = state.get("t") or state.setdefault("t", CachedTokenizer(tokenizer))
-        if len(done) > CACHE_TEXTS:
-            done.clear()
-        texts = [part.text(i) for i in range(len(part))]
-        digests = [xxhash.xxh3_128_intdigest(t) for t in texts]
-        new = {d: t for d, t in zip(digests, texts, strict=True) if d not in done}
-        for d, ids in zip(new, tok.ids(list(new.values())), strict=True):
-            ids += end
-            cuts = (ids[at : at + 4 * max_len] for at in range(0, len(ids), 4 * max_len))
-            done[d] = [(len(own) // 4, zlib.crc32(own)) for own in cuts]
+        tok = state.get("t") or state.setdefault("t", UnitTokenizer(tokenizer))
         row, piece, start, length, crc = [], [], [], [], []
-        for i, d in enumerate(digests):
-            for p, (n, c) in enumerate(done[d]):
-                row.append(i), piece.append(p), start.append(p * max_len), length.append(n), crc.append(c)
+        ids, bounds = tok.ids(part)
+        for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            n = b - a + 1
+            for p, at in enumerate(range(0, n, max_len)):
+                size = min(max_len, n - at)
+                last = at + size == n
+                value = zlib.crc32(ids[a + at : a + at + size - last])
+                row.append(d), piece.append(p), start.append(at), length.append(size), crc.append(zlib.crc32(end, value) if last else value)
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return T.map_slices(docs, run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from gridlume.runtime import ship
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes hashed in one go, and the longest string that the prefix hash covers (longer ones: xxhash).
 BLOCK, LONG = 1 << 17, 1024
 BASE = 0x9E3779B97F4A7C15 | 1

@@ -1,5 +1,6 @@
 """The ten operators: brute force, held-out accuracy, and odd inputs."""
 
+import functools
 import hashlib
 import itertools
 import json
@@ -16,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridlume.llm import decontam, importance, lmscore, neardup, packing, phrasedup, quality, queries, secrets, toolcalls, toxicity
+from gridlume.llm import decontam, importance, lmscore, neardup, packing, phrasedup, quality, queries, secrets, tokens, toolcalls, toxicity
 from gridlume.llm import textops as T
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -297,6 +298,23 @@ def test_packing(spark, tokenizer):
     assert packing.pack_documents(empty(spark), tokenizer).collect() == []
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("aB’'é.,!?9١ \n\t\x1c\xa0…ÀİΣſ😀́-_<|>ß²", max_size=40), min_size=1, max_size=6))
+def test_units_equal_the_tokenizer(texts):
+    import pyarrow as pa
+
+    tok = _unit_tokenizer()
+    for part in T.slices(pa.array([*texts, "<|endoftext|> x"])):
+        ids, at = tok.ids(part)
+        got = [ids[at[d] : at[d + 1]].tolist() for d in range(len(part))]
+        assert got == [tok.model.encode(part.text(d).decode(), add_special_tokens=False).ids for d in range(len(part))]
+
+
+@functools.cache
+def _unit_tokenizer():
+    return tokens.UnitTokenizer(queries.tokenizer_file())
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(4, 40), st.data())
 def test_bounds_and_bins(size, data):
