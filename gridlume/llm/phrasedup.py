@@ -76,8 +76,10 @@ def phrases(part: T.Slice, length: int, gram: int = GRAM) -> tuple[np.ndarray, .
     return row[at], grams[trig], T.mix(body + (trig - lo).astype(T.U64) * T._SHINGLE[7]), lo, count
 
 
-def _text_tags(part: T.Slice) -> np.ndarray:
-    """23 bits of each text's hash: rows that repeat an id but not its text stay apart."""
+def _text_tags(part: T.Slice, tagged: bool) -> np.ndarray:
+    """23 bits of each text's hash, so that rows that repeat an id but not its text stay apart; zeros where no id repeats."""
+    if not tagged:
+        return np.zeros(len(part), np.int64)
     return np.array([int.from_bytes(hashlib.blake2b(part.text(i), digest_size=4).digest(), "little") >> 9 for i in range(len(part))], np.int64)
 
 
@@ -91,19 +93,19 @@ def _again(row: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 #: place: text tag (23 bits), start of the first window (32), number of windows minus one (8).
-def _parse(docs: DataFrame, length: int) -> DataFrame:
+def _parse(docs: DataFrame, length: int, tagged: bool) -> DataFrame:
     """Every phrase occurrence; one that repeats a phrase of its own document has no trigger (it is a repeat for certain)."""
 
     def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
         row, trigger, phrase, lo, count = phrases(part, length)
-        place = _text_tags(part)[row] << 40 | (lo - part.offsets[row]) << 8 | (count - 1)
+        place = _text_tags(part, tagged)[row] << 40 | (lo - part.offsets[row]) << 8 | (count - 1)
         own = _again(row, phrase)
         return pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64), mask=own), pa.array(phrase.view(np.int64), mask=own), batch.column(0).take(pa.array(row)), pa.array(place)], ["trigger", "phrase", "doc_id", "place"])
 
     return T.map_slices(docs, run, "trigger long, phrase long, doc_id long, place long")
 
 
-def _suffixes(rows: DataFrame, length: int) -> DataFrame:
+def _suffixes(rows: DataFrame, length: int, tagged: bool) -> DataFrame:
     """Hash and position of each window of the phrases listed for a document (``doc_id, text, places``, ids ascending in a task).
 
     ``known``: the same window came before in this task, so it is a repeat whatever the other tasks hold; such a row's hash
@@ -117,7 +119,7 @@ def _suffixes(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for part in T.slices(batch.column(1)):
                 own = batch.slice(part.row, len(part))
-                tags, lists = _text_tags(part), own.column(2)
+                tags, lists = _text_tags(part, tagged), own.column(2)
                 place = lists.flatten().to_numpy()
                 row = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
                 keep = place >> 40 == tags[row]
@@ -148,8 +150,17 @@ def _suffixes(rows: DataFrame, length: int) -> DataFrame:
                     last_id, last = ids[-1], np.zeros(0, T.U64)
                 fresh.append(np.sort(new[~newest]))
                 last = np.sort(np.concatenate([last, new[newest]]))
-                value = np.where(known, T.mix(value + T.mix(at.astype(T.U64) + T.U64(part.row))), value)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids), pa.array(tags[row] << 40 | pos << 8), pa.array(known)], ["suffix", "doc_id", "place", "known"])
+                place = tags[row] << 40 | pos << 8
+                # neighbouring known windows are one row: place counts them
+                run_start = np.ones(len(pos), bool)
+                run_start[1:] = ~known[1:] | ~known[:-1] | (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)
+                at_run = np.flatnonzero(run_start)
+                size = np.diff(np.append(at_run, len(pos)))
+                parts = -(-size // 256)
+                head = np.repeat(at_run, parts) + 256 * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
+                count = np.minimum(np.repeat(at_run + size, parts) - head, 256)
+                value = np.where(known[head], T.mix(value[head] + T.mix(at[head].astype(T.U64) + T.U64(part.row))), value[head])
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[head]), pa.array(place[head] + count - 1), pa.array(known[head])], ["suffix", "doc_id", "place", "known"])
 
     return rows.mapInArrow(run, "suffix long, doc_id long, place long, known boolean")
 
@@ -177,9 +188,9 @@ def _repeats(rows: DataFrame) -> DataFrame:
     return rows.repartition("suffix").sortWithinPartitions("suffix", "doc_id").mapInArrow(run, "doc_id long, place long")
 
 
-def _apply(rows: DataFrame, length: int) -> DataFrame:
+def _apply(rows: DataFrame, length: int, tagged: bool) -> DataFrame:
     def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
-        tags, lists = _text_tags(part), batch.column(2)
+        tags, lists = _text_tags(part, tagged), batch.column(2)
         n_removed, n_spans, digest, spans = [], [], [], []
         for i in range(len(part)):
             own = lists[i].values
@@ -214,7 +225,9 @@ def repeated_strings(docs: DataFrame, *, length: int = 100, id_col: str = "doc_i
     """
     scratch = Scratch(docs.sparkSession, "phrasedup")
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parse = scratch.save(_parse(docs, length), "parse")
+    rows, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    tagged = rows != ids
+    parse = scratch.save(_parse(docs, length, tagged), "parse")
     shared = parse.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1 and trigger is not null").select("trigger")
     cand = scratch.save(parse.join(shared, "trigger", "left_semi").union(parse.where("trigger is null")), "shared")
     scratch.drop("parse")
@@ -228,10 +241,12 @@ def repeated_strings(docs: DataFrame, *, length: int = 100, id_col: str = "doc_i
     scratch.drop("shared", "dictionary")
 
     open_ = graded.where("not later").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    texts = docs.join(open_, "doc_id").select("doc_id", "text", "places").sortWithinPartitions("doc_id")
-    partly = scratch.save(_repeats(_suffixes(texts, length)), "partly")
+    # written first, so that the texts' shuffle is gone before the windows' begins
+    texts = scratch.save(docs.join(open_, "doc_id").select("doc_id", "text", "places"), "texts")
+    partly = scratch.save(_repeats(_suffixes(texts.sortWithinPartitions("doc_id"), length, tagged)), "partly")
+    scratch.drop("texts")
 
     removed = scratch.save(graded.where("later").select("doc_id", "place").union(partly).groupBy("doc_id").agg(F.collect_list("place").alias("places")), "removed")
     scratch.drop("graded", "partly")
-    out = _apply(docs.join(removed, "doc_id", "left").select("doc_id", "text", "places"), length)
+    out = _apply(docs.join(removed, "doc_id", "left").select("doc_id", "text", "places"), length, tagged)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))

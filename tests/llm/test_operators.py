@@ -451,3 +451,19 @@ def test_words(texts, limit):
             hashes.setdefault(low[a:b].tobytes(), set()).add(h)
     assert seen == [[x.encode() for x in WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] for t in texts]
     assert all(len(h) == 1 for h in hashes.values()) and len({next(iter(h)) for h in hashes.values()}) == len(hashes)
+
+
+def test_tables_miss_nothing_that_the_exact_join_finds(spark, data):
+    """All driver documents: components of the operator against those of the exact prefix join over every pair of classes."""
+    from gridlume.llm.components import connected_components
+    from gridlume.llm.scratch import Scratch
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    scratch = Scratch(spark, "test")
+    sigs = scratch.save(neardup.signatures(docs, 4).select("doc_id", "n_shingles", "fp"), "sigs")
+    reps = sigs.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    links = neardup._verified(neardup._prefix_pairs(reps.select("rep", F.col("rep").alias("comp")), docs, 4, 80), docs, 4, 80)
+    found = connected_components(scratch.save(links, "links"), scratch, "cc")
+    want = sigs.join(reps, "fp", "left").join(found, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep", "doc_id").alias("c"))
+    got = neardup.near_duplicates(docs, shingle=4)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {r.doc_id: r.c for r in want.collect()}
