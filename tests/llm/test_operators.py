@@ -265,6 +265,39 @@ def test_ngram_counts(spark):
     assert sorted(got) == [(1, 1), (2, 1), (2, 1), (3, 2)]
 
 
+def test_lm_scores_equal_an_exact_model(spark):
+    """More distinct words and pairs than any fixed table of cells tells apart, over several chunks and hash ranges."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(rng.choice([50, 400_000]))}" for _ in range(900))) for i in range(400)]
+    wanted = set(range(0, 400, 3))
+    count, word = [Counter(), Counter()], [0, 0]
+    for i, t in rows:
+        w = t.split()
+        for k in (0, 1) if i in wanted else (0,):
+            count[k].update(w + list(itertools.pairwise(w)))
+            word[k] += len(w)
+    vocabulary = sum(isinstance(x, str) for x in count[0])
+    assert vocabulary > 1 << 16
+    scale = (sum(count[1].values()) / sum(count[0].values()), 1.0)
+
+    def bits(t, k):
+        w, out = t.split(), 0.0
+        for j, x in enumerate(w):
+            p = (count[k][x] * scale[k] + 1) / (word[k] * scale[k] + vocabulary)
+            if j:
+                p = (count[k][w[j - 1], x] * scale[k] + 8 * p) / (count[k][w[j - 1]] * scale[k] + 8)
+            out -= math.log2(p)
+        return out / len(w)
+
+    target = spark.createDataFrame([(i,) for i in wanted], "id long")
+    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(frame(spark, rows), target, chunk_mb=1, range_mb=1).collect()}
+    assert len(got) == 400
+    for i, t in rows[::20]:
+        assert got[i].background_bits == pytest.approx(bits(t, 0), rel=1e-9) and got[i].target_bits == pytest.approx(bits(t, 1), rel=1e-9)
+    marked = spark.createDataFrame([(t, i in wanted) for i, t in rows], "text string, target boolean")
+    assert lmscore.ngram_counts(marked, 3).count() == len(count[0])
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return queries.tokenizer_file()
