@@ -3,8 +3,8 @@
 Words become template codes: numbers, units after a number and names inside a sentence are typed placeholders, runs of
 equal placeholders are one; other words keep their lower-case form. Windows of ``window`` codes of the benchmark are
 hash-joined with those of the documents. A matched window counts only if the fillers of its slots fit the others of that
-document and item: one filler of the item always stands for one filler of the document. Questions with other
-numbers and names are caught that way, and chance fits of unrelated slots are not.
+occurrence of the item: one filler of the item always stands for one filler of the document. Questions with other
+numbers and names are caught that way, several variants in one document too, and chance fits of unrelated slots are not.
 """
 
 from __future__ import annotations
@@ -136,10 +136,40 @@ def _consistent(hits: list, filler: np.ndarray) -> set[int]:
     return {pos for _, pos, slots, i in hits if all(best[f] == int(filler[i + j]) for j, f in slots)}
 
 
+def _occurrences(hits: list) -> list[list]:
+    """Hits that may be one copy of the item: those of equal shift, those that run forward through item and document, and all.
+
+    A copy has one shift unless words were put in or left out; its windows still follow one another then.
+    """
+    shifts, runs, last = defaultdict(list), [], None
+    by_place = defaultdict(list)
+    for h in hits:
+        shifts[h[3] - h[1]].append(h)
+        by_place[h[3]].append(h)
+    for _, here in sorted(by_place.items()):
+        here.sort(key=lambda h: h[1])
+        on = next((h for h in here if last is not None and h[1] > last), None)
+        if on is None:
+            runs.append([])
+        runs[-1].append(on or here[0])
+        last = runs[-1][-1][1]
+    return [hits] if len(shifts) == 1 else [*shifts.values(), *runs, hits]
+
+
+def _most_consistent(hits: list, filler: np.ndarray) -> int:
+    """Consistent windows of the item's best occurrence."""
+    most = 0
+    for own in _occurrences(hits):
+        if len(own) > most:
+            most = max(most, len(_consistent(own, filler)))
+    return most
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, least: int = 4, percent: int = 50, most_windows: int = 1_000_000) -> DataFrame:
     """``doc_id, item_id, n_windows, n_matched, n_consistent, contaminated`` for every document and item that share a window.
 
-    contaminated: at least ``percent`` of the item's windows are found with consistent slots. Items of under ``least``
+    contaminated: at least ``percent`` of the item's windows are found with consistent slots in one occurrence (or, where
+    its parts lie scattered, in the whole document); n_consistent are those of the best one. Items of under ``least``
     codes, null texts and null item ids match nothing. Rows that repeat a document id are judged one by one. The benchmark
     is sent to all tasks only in blocks of about ``most_windows`` windows (its size is counted first), with one
     pass over the documents for each block, so none has to fit in memory as a whole. Other columns are not read.
@@ -177,7 +207,7 @@ def _found(part: T.Slice, index: _Index, percent: int) -> list[tuple]:
         for h in hits:
             by[h[0]].append(h)
         for item, own in sorted(by.items()):
-            good, total = len(_consistent(own, t.filler)), index.total[item]
+            good, total = _most_consistent(own, t.filler), index.total[item]
             found.append((d, item, total, len({h[1] for h in own}), good, 100 * good >= percent * total))
     return found
 

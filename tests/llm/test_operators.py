@@ -394,6 +394,23 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontam.contaminated_documents(frame(spark, rows), bench.limit(0)).collect())
 
 
+def test_decontamination_of_several_variants(spark):
+    """Each copy of an item is read by itself, whatever other copies the document holds."""
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+
+    def variant(k):
+        return ITEM.replace("Paris", f"Paris{k}").replace("Lyon", f"Lyon{k}").replace("90", str(91 + k)).replace("120", str(130 + k)).replace("km", ["miles", "feet", "yards", "m", "cm"][k])
+
+    rng = random.Random(8)
+    rows = [(n, " ".join(text(rng, 12) + ". " + variant(k) for k in range(n))) for n in (2, 3, 5)]
+    # every copy with words put in, so that none has a single shift
+    rows.append((9, " ".join(variant(k).replace("another train", "another slow old train") for k in range(5))))
+    got = {r.doc_id: r for r in decontam.contamination(frame(spark, rows), bench).collect()}
+    assert all(got[n].contaminated and got[n].n_consistent == got[n].n_windows for n in (2, 3, 5)), got
+    alone = decontam.contamination(frame(spark, [(9, variant(0).replace("another train", "another slow old train"))]), bench).first()
+    assert got[9].n_consistent >= alone.n_consistent and got[9].contaminated == alone.contaminated
+
+
 def labelled(rng, n):
     bad, junk = ["vilo", "grumak", "tosser"], ["###", "%%%"]
     rows, labels = [], []
