@@ -1,7 +1,8 @@
 """Benchmark decontamination on templates.
 
 Words become template codes: numbers, units after a number and names inside a sentence are typed placeholders, runs of
-equal placeholders are one; other words keep their lower-case form. Windows of ``window`` codes of the benchmark are
+equal placeholders are one; other words keep their lower-case form. In a second reading words in capitals that open a sentence are names
+too; an item counts in whichever reading more of it is found. Windows of ``window`` codes of the benchmark are
 hash-joined with those of the documents. A matched window counts only if the fillers of its slots fit the others of that
 occurrence of the item: one filler of the item always stands for one filler of the document. Questions with other
 numbers and names are caught that way, several variants in one document too, and chance fits of unrelated slots are not.
@@ -45,29 +46,11 @@ _SLOT = T.mix(np.arange(1, 4, dtype=T.U64) * T.U64(0xD6E8FEB86659FD93))
 class Templates:
     """Template codes of a slice: ``codes``, slot kinds and fillers of the words that remain, in ``words``' layout."""
 
-    def __init__(self, part: T.Slice):
-        buf = part.buf
-        divides = _DIVIDES[buf]
-        if len(buf) > 2:
-            point = ((buf == ord(".")) | (buf == ord(",")))[1:-1] & _DIGIT[buf[:-2]] & _DIGIT[buf[2:]]
-            divides[1:-1] &= ~point
-        # the word finder takes a table of separators; what divides by context is masked to a space first
-        masked = np.where(divides, np.uint8(0x20), np.where(_DIVIDES[buf], np.uint8(0x30), buf))
-        w = T.words(T.Slice(part.row, masked, part.offsets), True, _DIVIDES)
+    def __init__(self, part: T.Slice, w: T.Words, kind: np.ndarray, inner: np.ndarray):
         n = len(w.start)
-        kind = np.zeros(n, np.int8)
-        if n:
-            kind[_DIGIT[buf[w.start]]] = NUMBER
-            after = np.zeros(n, bool)
-            after[1:] = (kind[:-1] == NUMBER) & (w.doc[1:] == w.doc[:-1])
-            place = np.minimum(np.searchsorted(_UNITS, w.hash), len(_UNITS) - 1)
-            kind[after & (kind == 0) & (_UNITS[place] == w.hash)] = UNIT
-            stops = np.concatenate([[0], np.cumsum(_STOP[buf] & divides)])
-            inner = np.zeros(n, bool)
-            inner[1:] = (stops[w.start[1:]] == stops[w.end[:-1]]) & (w.doc[1:] == w.doc[:-1])
-            kind[inner & (kind == 0) & _UPPER[buf[w.start]]] = NAME
         stay = np.ones(n, bool)
-        stay[1:] = (kind[1:] == 0) | (kind[1:] != kind[:-1]) | (w.doc[1:] != w.doc[:-1])
+        # a name that opens a sentence does not go on with one that ends the sentence before
+        stay[1:] = (kind[1:] == 0) | (kind[1:] != kind[:-1]) | (w.doc[1:] != w.doc[:-1]) | ((kind[1:] == NAME) & ~inner[1:])
         group = np.cumsum(stay) - 1
         keep = np.flatnonzero(stay)
         filler = np.zeros(len(keep), T.U64)
@@ -80,26 +63,57 @@ class Templates:
         return T.shingles(self.words, n, self.codes)
 
 
+def templates(part: T.Slice) -> tuple[Templates, Templates]:
+    """Two readings of a slice: names inside sentences are slots; and words in capitals that open a sentence are, too.
+
+    Whether a word is a slot follows from the word and the mark before it alone, so a copy reads alike in any document.
+    """
+    buf = part.buf
+    divides = _DIVIDES[buf]
+    if len(buf) > 2:
+        point = ((buf == ord(".")) | (buf == ord(",")))[1:-1] & _DIGIT[buf[:-2]] & _DIGIT[buf[2:]]
+        divides[1:-1] &= ~point
+    # the word finder takes a table of separators; what divides by context is masked to a space first
+    masked = np.where(divides, np.uint8(0x20), np.where(_DIVIDES[buf], np.uint8(0x30), buf))
+    w = T.words(T.Slice(part.row, masked, part.offsets), True, _DIVIDES)
+    n = len(w.start)
+    kind, inner, capital = np.zeros(n, np.int8), np.zeros(n, bool), np.zeros(n, bool)
+    if n:
+        kind[_DIGIT[buf[w.start]]] = NUMBER
+        after = np.zeros(n, bool)
+        after[1:] = (kind[:-1] == NUMBER) & (w.doc[1:] == w.doc[:-1])
+        place = np.minimum(np.searchsorted(_UNITS, w.hash), len(_UNITS) - 1)
+        kind[after & (kind == 0) & (_UNITS[place] == w.hash)] = UNIT
+        stops = np.concatenate([[0], np.cumsum(_STOP[buf] & divides)])
+        inner[1:] = (stops[w.start[1:]] == stops[w.end[:-1]]) & (w.doc[1:] == w.doc[:-1])
+        capital = (kind == 0) & _UPPER[buf[w.start]]
+    return tuple(Templates(part, w, np.where(own, NAME, kind).astype(np.int8), inner) for own in (capital & inner, capital))
+
+
 def _benchmark_windows(items: DataFrame, window: int, least: int) -> DataFrame:
-    """``item_id, n, pos, key, kinds, fillers``: windows of each item; the whole of one with fewer codes, from ``least`` on."""
+    """``item_id, reading, n, pos, key, kinds, fillers``: windows of each item in both readings (see ``templates``).
+
+    An item of fewer codes is one window as a whole, from ``least`` codes on.
+    """
 
     def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
-        t, ids, rows = Templates(part), batch.column(0).to_pylist(), []
-        for n in range(least, window + 1):
-            value, at = t.windows(n)
-            for v, i in zip(value.view(np.int64).tolist(), at.tolist(), strict=True):
-                d = t.words.doc[i]
-                if n == window or t.words.first[d + 1] - t.words.first[d] == n:
-                    rows.append((ids[d], n, int(i - t.words.first[d]), v, t.kind[i : i + n].tolist(), t.filler[i : i + n].view(np.int64).tolist()))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], ["item_id", "n", "pos", "key", "kinds", "fillers"])
+        ids, rows = batch.column(0).to_pylist(), []
+        for reading, t in enumerate(templates(part)):
+            for n in range(least, window + 1):
+                value, at = t.windows(n)
+                for v, i in zip(value.view(np.int64).tolist(), at.tolist(), strict=True):
+                    d = t.words.doc[i]
+                    if n == window or t.words.first[d + 1] - t.words.first[d] == n:
+                        rows.append((ids[d], reading, n, int(i - t.words.first[d]), v, t.kind[i : i + n].tolist(), t.filler[i : i + n].view(np.int64).tolist()))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], ["item_id", "reading", "n", "pos", "key", "kinds", "fillers"])
 
-    return T.map_slices(items, run, "item_id long, n int, pos int, key long, kinds array<int>, fillers array<long>")
+    return T.map_slices(items, run, "item_id long, reading int, n int, pos int, key long, kinds array<int>, fillers array<long>")
 
 
 class _Index:
-    """Benchmark windows by size and hash, with a bitmap that turns nearly all other windows away."""
+    """Benchmark windows of one reading by size and hash, with a bitmap that turns nearly all other windows away."""
 
     def __init__(self, rows: list):
         self.by = defaultdict(lambda: defaultdict(list))
@@ -199,35 +213,42 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, window: int
         yield benchmark.sparkSession.sparkContext.broadcast(own.collect())
 
 
-def _found(part: T.Slice, index: _Index, percent: int) -> list[tuple]:
-    """(row, item, windows, matched, consistent, contaminated) of a slice."""
-    t, found = Templates(part), []
-    for d, hits in sorted(index.hits(t).items()):
-        by = defaultdict(list)
-        for h in hits:
-            by[h[0]].append(h)
-        for item, own in sorted(by.items()):
-            good, total = _most_consistent(own, t.filler), index.total[item]
-            found.append((d, item, total, len({h[1] for h in own}), good, 100 * good >= percent * total))
-    return found
+def _indexes(rows: list) -> list[_Index]:
+    return [_Index([r for r in rows if r["reading"] == k]) for k in (0, 1)]
+
+
+def _found(part: T.Slice, indexes: list[_Index], percent: int) -> list[tuple]:
+    """(row, item, windows, matched, consistent, contaminated) of a slice, by the reading with the larger consistent share."""
+    best = {}
+    for t, index in zip(templates(part), indexes, strict=True):
+        for d, hits in index.hits(t).items():
+            by = defaultdict(list)
+            for h in hits:
+                by[h[0]].append(h)
+            for item, own in by.items():
+                good, total = _most_consistent(own, t.filler), index.total[item]
+                old = best.get((d, item))
+                if old is None or good * old[2] > old[4] * total:
+                    best[d, item] = (d, item, total, len({h[1] for h in own}), good, 100 * good >= percent * total)
+    return [best[k] for k in sorted(best)]
 
 
 def _unmatched(docs: DataFrame, rows, percent: int, text_col: str) -> DataFrame:
-    state: dict[str, _Index] = {}
+    state: dict[str, list[_Index]] = {}
 
     def keep(part: T.Slice) -> np.ndarray:
         out = np.ones(len(part), bool)
-        out[[x[0] for x in _found(part, state.get("i") or state.setdefault("i", _Index(rows.value)), percent) if x[5]]] = False
+        out[[x[0] for x in _found(part, state.get("i") or state.setdefault("i", _indexes(rows.value)), percent) if x[5]]] = False
         return out
 
     return T.filter_slices(docs, keep, text_col)
 
 
 def _matches(docs: DataFrame, rows, percent: int) -> DataFrame:
-    state: dict[str, _Index] = {}
+    state: dict[str, list[_Index]] = {}
 
     def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = _found(part, state.get("i") or state.setdefault("i", _Index(rows.value)), percent)
+        found = _found(part, state.get("i") or state.setdefault("i", _indexes(rows.value)), percent)
         cols = list(zip(*found, strict=True)) if found else [[]] * 6
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:5]), pa.array(cols[5], pa.bool_())], ["doc_id", "item_id", "n_windows", "n_matched", "n_consistent", "contaminated"])
 

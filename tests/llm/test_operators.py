@@ -411,6 +411,17 @@ def test_decontamination_of_several_variants(spark):
     assert got[9].n_consistent >= alone.n_consistent and got[9].contaminated == alone.contaminated
 
 
+def test_decontamination_of_names_that_open_sentences(spark):
+    item = "Maria has 12 red apples. Maria gives Tom 5 apples. Maria buys 3 more. How many apples does Maria have?"
+    bench = spark.createDataFrame([(1, item), (2, ITEM)], "item_id long, text string")
+    again = item.replace("Maria", "Lena").replace("Tom", "Olaf").replace("12", "31").replace("5", "7").replace("3", "4")
+    other = again.replace("Lena gives", "Carl gives").replace("Lena buys", "Dora buys").replace("does Lena", "does Emil")
+    rng = random.Random(2)
+    rows = [(1, f"{text(rng, 20)}. {again} {text(rng, 20)}"), (2, f"He said {item}"), (3, other), (4, text(rng, 200).title()), (5, ITEM)]
+    got = {r.doc_id: r for r in decontam.contaminated_documents(frame(spark, rows), bench).collect()}
+    assert {i: r.item_ids for i, r in got.items() if r.contaminated} == {1: "1", 2: "1", 5: "2"}  # 3: one name stands for four
+
+
 def labelled(rng, n):
     bad, junk = ["vilo", "grumak", "tosser"], ["###", "%%%"]
     rows, labels = [], []
