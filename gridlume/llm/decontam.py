@@ -91,25 +91,25 @@ def templates(part: T.Slice) -> tuple[Templates, Templates]:
 
 
 def _benchmark_windows(items: DataFrame, window: int, least: int) -> DataFrame:
-    """``item_id, reading, n, pos, key, kinds, fillers``: windows of each item in both readings (see ``templates``).
+    """``item_id, text_key, reading, n, pos, key, kinds, fillers``: windows of each item in both readings (see ``templates``).
 
     An item of fewer codes is one window as a whole, from ``least`` codes on.
     """
 
     def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, rows = batch.column(0).to_pylist(), []
+        ids, texts, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
         for reading, t in enumerate(templates(part)):
             for n in range(least, window + 1):
                 value, at = t.windows(n)
                 for v, i in zip(value.view(np.int64).tolist(), at.tolist(), strict=True):
                     d = t.words.doc[i]
                     if n == window or t.words.first[d + 1] - t.words.first[d] == n:
-                        rows.append((ids[d], reading, n, int(i - t.words.first[d]), v, t.kind[i : i + n].tolist(), t.filler[i : i + n].view(np.int64).tolist()))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], ["item_id", "reading", "n", "pos", "key", "kinds", "fillers"])
+                        rows.append((ids[d], texts[d], reading, n, int(i - t.words.first[d]), v, t.kind[i : i + n].tolist(), t.filler[i : i + n].view(np.int64).tolist()))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], ["item_id", "text_key", "reading", "n", "pos", "key", "kinds", "fillers"])
 
-    return T.map_slices(items, run, "item_id long, reading int, n int, pos int, key long, kinds array<int>, fillers array<long>")
+    return T.map_slices(items, run, "item_id long, text_key long, reading int, n int, pos int, key long, kinds array<int>, fillers array<long>")
 
 
 class _Index:
@@ -119,8 +119,8 @@ class _Index:
         self.by = defaultdict(lambda: defaultdict(list))
         self.total = Counter()
         for r in rows:
-            self.by[r["n"]][r["key"]].append((r["item_id"], r["pos"], [(j, f) for j, (k, f) in enumerate(zip(r["kinds"], r["fillers"], strict=True)) if k]))
-            self.total[r["item_id"]] += 1
+            self.by[r["n"]][r["key"]].append(((r["item_id"], r["text_key"]), r["pos"], [(j, f) for j, (k, f) in enumerate(zip(r["kinds"], r["fillers"], strict=True)) if k]))
+            self.total[r["item_id"], r["text_key"]] += 1
         self.by = {n: dict(x) for n, x in self.by.items()}
         self.total = dict(self.total)
         self.maps = {}
@@ -182,6 +182,8 @@ def _most_consistent(hits: list, filler: np.ndarray) -> int:
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, least: int = 4, percent: int = 50, most_windows: int = 1_000_000) -> DataFrame:
     """``doc_id, item_id, n_windows, n_matched, n_consistent, contaminated`` for every document and item that share a window.
 
+    Each distinct text of an item id is an item of its own, with rows of its own under that id.
+
     contaminated: at least ``percent`` of the item's windows are found with consistent slots in one occurrence (or, where
     its parts lie scattered, in the whole document); n_consistent are those of the best one. Items of under ``least``
     codes, null texts and null item ids match nothing. Rows that repeat a document id are judged one by one. The benchmark
@@ -205,11 +207,11 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str
 
 def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, least: int, most_windows: int):
     """The benchmark's windows in blocks of whole items, each sent to all tasks; sizes are counted first."""
-    items = benchmark.where(f"`{item_col}` is not null").groupBy(F.col(item_col).cast("long").alias("item_id")).agg(F.min(F.col(item_text_col).cast("string")).alias("text"))
+    items = benchmark.where(f"`{item_col}` is not null").select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).distinct().select("item_id", F.xxhash64("text").alias("text_key"), "text")
     keys = _benchmark_windows(items, window, least)
     blocks = max(1, -(-keys.count() // most_windows))
     for b in range(blocks):
-        own = keys.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else keys
+        own = keys.where(F.pmod(F.xxhash64("item_id", "text_key"), F.lit(blocks)) == b) if blocks > 1 else keys
         yield benchmark.sparkSession.sparkContext.broadcast(own.collect())
 
 
@@ -229,7 +231,7 @@ def _found(part: T.Slice, indexes: list[_Index], percent: int) -> list[tuple]:
                 good, total = _most_consistent(own, t.filler), index.total[item]
                 old = best.get((d, item))
                 if old is None or good * old[2] > old[4] * total:
-                    best[d, item] = (d, item, total, len({h[1] for h in own}), good, 100 * good >= percent * total)
+                    best[d, item] = (d, item[0], total, len({h[1] for h in own}), good, 100 * good >= percent * total)
     return [best[k] for k in sorted(best)]
 
 

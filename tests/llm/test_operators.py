@@ -422,6 +422,16 @@ def test_decontamination_of_names_that_open_sentences(spark):
     assert {i: r.item_ids for i, r in got.items() if r.contaminated} == {1: "1", 2: "1", 5: "2"}  # 3: one name stands for four
 
 
+def test_decontamination_of_repeated_item_ids(spark):
+    other = "plain words of a second item that nobody else writes in this very order at all"
+    bench = spark.createDataFrame([(1, ITEM), (1, other), (1, other), (1, None)], "item_id long, text string")
+    rows = [(1, ITEM), (2, other), (3, f"{ITEM} {other}"), (4, "nothing of the kind is written here at any place")]
+    for most in (1_000_000, 3):
+        got = {r.doc_id: r for r in decontam.contaminated_documents(frame(spark, rows), bench, most_windows=most).collect()}
+        assert {i: (r.n_items, r.item_ids) for i, r in got.items() if r.contaminated} == {i: (1, "1") for i in (1, 2, 3)}
+        assert sorted(r.doc_id for r in decontam.without_contaminated(frame(spark, rows), bench, most_windows=most).collect()) == [4]
+
+
 def labelled(rng, n):
     bad, junk = ["vilo", "grumak", "tosser"], ["###", "%%%"]
     rows, labels = [], []
