@@ -75,7 +75,7 @@ def _similar_sizes(x: str, y: str, percent: int) -> Column:
 
 
 def _agree(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose signatures do not rule the similarity out (five standard deviations below it; one true pair in 3e6 goes)."""
+    """Pairs whose signatures do not rule the similarity out (five standard deviations below it; of true pairs at 0.8 a share of 2.4e-6 goes)."""
 
     def run(batches):
         for batch in batches:
@@ -177,8 +177,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labelled = tables.select("key", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     open_ = scratch.save(labelled.join(mixed, "key", "left_semi").select("rep", "comp").distinct(), "open")
-    cross = _agree(_prefix_pairs(open_, near, shingle, percent).join(x.select("x", "xs"), "x").join(y.select("y", "ys"), "y"), percent)
-    more = scratch.save(_verified(cross, near, shingle, percent), "links-cross")
+    more = scratch.save(_verified(_prefix_pairs(open_, near, shingle, percent), near, shingle, percent), "links-cross")
     scratch.drop("tables", "open", "near")
     final = scratch.save(connected_components(links.union(more), scratch, "cc-final"), "comp")
 
