@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str, most_roun
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` is not null and `{b}` is not null and u <> v").distinct()
     now, seen, last = scratch.save(now, f"{tag}-0", release=False), None, f"{tag}-0"
     for k in range(1, most_rounds + 1):
-        print_ = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.sum(F.col("u") - F.col("v"))).first()
+        # no arithmetic on the ids: they may be any 64-bit numbers
+        print_ = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if tuple(print_) == seen:
             break
         seen = tuple(print_)

@@ -11,9 +11,13 @@ minhashes, 289 tables of 6) a pair of similarity 0.8 is missed with probability
 3. Each class is held against the least class of each of its tables, on full sets. Components of these links are formed.
 4. Documents of tables that still hold several components are compared across components by an exact prefix join: with
    shingles in order of rising frequency, two similar sets share one of their first few, at places and sizes that leave
-   room for the overlap. A document with many shingles of its own has nothing to join on. What remains is verified on full
-   sets. So each candidate pair is either verified, ruled out or already inside one component, and a group of k near copies
-   costs about k verifications, not k * k.
+   room for the overlap. A document with many shingles of its own has nothing to join on. The join also compares bitmaps
+   of the sets: their differing bits are no more than the elements that only one set has, so what the bitmaps turn away
+   is never a link. What remains is verified on full sets. A group of k near copies costs about k verifications, and of a
+   family of k texts from one template, all below the similarity, only pairs that come close to it leave the join.
+
+Classes are numbered when their table is written; ids come back only at the end. Rows that share an id but not the text
+are therefore told apart, and ids may be any 64-bit numbers.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlume.llm import textops as T
@@ -29,6 +33,9 @@ from gridlume.llm.components import connected_components
 from gridlume.llm.scratch import Scratch
 
 SIDE, ROWS = 17, 3
+#: Bits of the bitmaps that the exact join compares, as words of 64.
+MAP_WORDS = 4
+_MAP = [f"m{i}" for i in range(MAP_WORDS)]
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,14 +54,21 @@ def _minhashes(sets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least
 
 
+def _bitmap(sets: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of the set's elements fall on it: two sets differ in no fewer elements than bits."""
+    odd = np.bincount((sets >> T.U64(20)).astype(np.int64) % (64 * MAP_WORDS), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame, k: int, side: int = SIDE, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, fp, a, b, sig``: set size, fingerprint, both key collections, low bytes of the minhashes."""
+    """``doc_id, text_key, n_shingles, fp, a, b, sig, m0...``: the row, its set's size, fingerprint, key collections, low bytes of
+    the minhashes, and bitmap."""
     a, b = _permutations(2 * side * rows)
 
     def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
-        size, fp, keys, sig = [], [], [], []
+        size, fp, keys, sig, bitmap = [], [], [], [], []
         for s in T.shingle_sets(part, k):
-            size.append(len(s))
+            size.append(len(s)), bitmap.append(_bitmap(s))
             if not len(s):
                 fp.append(None), keys.append(np.zeros((2 * side,), np.int64)), sig.append(b"")
                 continue
@@ -65,9 +79,10 @@ def signatures(docs: DataFrame, k: int, side: int = SIDE, rows: int = ROWS) -> D
             sig.append((m >> np.uint32(11)).astype(np.uint8).tobytes())
         both = np.stack(keys)
         lists = [pa.ListArray.from_arrays(np.arange(len(size) + 1, dtype=np.int32) * side, pa.array(np.ascontiguousarray(x).ravel())) for x in (both[:, :side], both[:, side:])]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), *lists, pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "fp", "a", "b", "sig"])
+        maps = [pa.array(np.ascontiguousarray(x)) for x in np.stack(bitmap).T]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), *lists, pa.array(sig, pa.binary()), *maps], ["doc_id", "text_key", "n_shingles", "fp", "a", "b", "sig", *_MAP])
 
-    return T.map_slices(docs, run, "doc_id long, n_shingles long, fp binary, a array<long>, b array<long>, sig binary")
+    return T.map_slices(docs.select("doc_id", "text_key", "text"), run, "doc_id long, text_key long, n_shingles long, fp binary, a array<long>, b array<long>, sig binary, " + ", ".join(f"{m} long" for m in _MAP))
 
 
 def _similar_sizes(x: str, y: str, percent: int) -> Column:
@@ -90,9 +105,9 @@ def _agree(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (x, y) whose full shingle sets reach the similarity."""
-    left = docs.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
-    right = docs.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
+    """Pairs (x, y) whose full shingle sets reach the similarity; ``docs``: rep, text."""
+    left = docs.select(F.col("rep").alias("x"), F.col("text").alias("tx"))
+    right = docs.select(F.col("rep").alias("y"), F.col("text").alias("ty"))
 
     def sets(column: pa.Array) -> list[np.ndarray]:
         return [s for part in T.slices(column) for s in T.shingle_sets(part, k)]
@@ -111,51 +126,60 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 
 def _prefix_pairs(open_: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (x, y) of documents of different components (``open_``: rep, comp) that can reach the similarity.
+    """Pairs (x, y) of classes of different components that can reach the similarity (``open_``: rep, comp, bitmap; ``docs``: rep, text).
 
     With shingles ordered by frequency, the first one that two similar sets share stands at places px, py with
     min(nx - px, ny - py) >= percent / (100 + percent) * (nx + ny). The smaller set shows a short beginning under its size's
     bucket; the larger one asks, for each shingle of its own beginning, only for the sizes that its place there allows.
+    Two sets whose bitmaps differ in more bits than the similarity leaves elements to differ in are no pair.
     """
 
     def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
         own = list(T.shingle_sets(part, k))
         n = np.array([len(x) for x in own])
         row = pa.array(np.repeat(np.arange(len(own)), n))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(np.repeat(n, n)), pa.array(np.concatenate(own).view(np.int64))], ["rep", "comp", "n", "shingle"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(np.repeat(n, n)), pa.array(np.concatenate(own).view(np.int64))], ["rep", "n", "shingle"])
 
-    texts = docs.join(open_, docs["doc_id"] == open_["rep"]).select("doc_id", "text", "comp")
-    rows = T.map_slices(texts, run, "rep long, comp long, n long, shingle long")
+    rows = T.map_slices(docs.join(open_.select("rep"), "rep").select("rep", "text"), run, "rep long, n long, shingle long")
     often = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    lists = rows.join(often, "shingle").groupBy("rep", "comp", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "shingle"))), 1, F.first(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")).alias("s"))
-    begin = lists.select("rep", "comp", "n", F.posexplode(F.transform("s", lambda e: F.when(e["df"] > 1, e["shingle"]))).alias("place", "shingle")).where("shingle is not null")
+    # places by a sort that spills, so that a text of any length needs no row that holds all its shingles
+    ranked = rows.join(often, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle")) - 1)
+    n, place = F.col("n"), F.col("place")
+    begin = ranked.where((place < n - F.ceil(n * percent / 100) + 1) & (F.col("df") > 1)).select("rep", "n", "shingle", "place").join(open_, "rep")
 
     def bucket(n: Column) -> Column:
         return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.03))).cast("int")
 
-    n, place = F.col("n"), F.col("place")
-    small = begin.where(place <= n - F.ceil(n * 2 * percent / (100 + percent))).select("shingle", bucket(n).alias("bucket"), F.col("rep").alias("x"), F.col("comp").alias("xc"), n.alias("xn"), place.alias("xp"))
+    small = begin.where(place <= n - F.ceil(n * 2 * percent / (100 + percent))).select("shingle", bucket(n).alias("bucket"), F.col("rep").alias("x"), F.col("comp").alias("xc"), n.alias("xn"), place.alias("xp"), *(F.col(m).alias(f"x{m}") for m in _MAP))
     least, most = F.ceil(n * percent / 100), F.least(n, F.floor((n - place) * (100 + percent) / percent - n + 1e-6))
-    large = begin.where(least <= most).select("shingle", F.explode(F.sequence(bucket(least), bucket(most))).alias("bucket"), F.col("rep").alias("y"), F.col("comp").alias("yc"), n.alias("yn"), place.alias("yp"))
-    room = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent
-    fits = (F.col("xc") != F.col("yc")) & (F.col("xn") <= F.col("yn")) & (F.col("xn") * 100 >= F.col("yn") * percent) & room
+    large = begin.where(least <= most).select("shingle", F.explode(F.sequence(bucket(least), bucket(most))).alias("bucket"), F.col("rep").alias("y"), F.col("comp").alias("yc"), n.alias("yn"), place.alias("yp"), *(F.col(m).alias(f"y{m}") for m in _MAP))
+    both = F.col("xn") + F.col("yn")
+    room = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) * (100 + percent) >= both * percent
+    bits = sum((F.bit_count(F.col(f"x{m}").bitwiseXOR(F.col(f"y{m}"))) for m in _MAP[1:]), F.bit_count(F.col(f"x{_MAP[0]}").bitwiseXOR(F.col(f"y{_MAP[0]}"))))
+    fits = (F.col("xc") != F.col("yc")) & (F.col("xn") <= F.col("yn")) & (F.col("xn") * 100 >= F.col("yn") * percent) & room & (bits * (100 + percent) <= both * (100 - percent))
     found = small.join(large, (small["shingle"] == large["shingle"]) & (small["bucket"] == large["bucket"]) & fits)
     return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, side: int = SIDE, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (ids are integers).
+    """``doc_id, n_shingles, component_id, kept, text_key`` for every row of ``docs`` (ids are integers of up to 64 bits).
 
     Words are runs of non-space bytes with A-Z lowered; documents with 100 * intersection >= percent * union of their
     k-word shingle sets are linked, and component_id is the least id reachable. Null and empty texts have no shingles
     and are linked with nothing. Texts of under ``shingle`` words count as one shingle. A row without an id is its own
-    component (null) and kept. Repeated rows get equal results. Other columns of ``docs`` are not read.
+    component (null) and kept. Rows that share an id but not the text are documents of their own, each in the component of its
+    text; if one component holds several texts of its least id, the rows of one of them are kept. Rows that
+    repeat id and text get equal results. text_key is the text's xxhash64 (null for a null text), to tell such rows apart.
+    Other columns of ``docs`` are not read.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "neardup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.withColumn("text_key", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
     sigs = scratch.save(signatures(docs, shingle, side, rows), "sigs")
-    classes = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "a", "b", "sig"), "doc_id").alias("s")).select("fp", "rep", "s.*")
-    classes = scratch.save(classes, "classes")
+    lead = F.min_by(F.struct("n_shingles", "a", "b", "sig", *_MAP), F.struct("doc_id", "text_key"))
+    classes = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), lead.alias("s")).select("fp", "at.*", "s.*")
+    # a class's number is fixed by writing it
+    classes = scratch.save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     first = classes.select("rep", F.explode("a").alias("key"))
     crowded = first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -166,8 +190,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tables = scratch.save(paired.join(lead, "key"), "tables")
     scratch.drop("paired")
 
+    # one row of each class that a table names: rows that repeat id and text are one
+    named = classes.join(tables.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "text_key")
+    near = docs.join(named, ["doc_id", "text_key"]).groupBy("doc_id", "text_key").agg(F.first("rep").alias("rep"), F.first("text").alias("text")).select("rep", "text")
+    near = scratch.save(near, "near")
     known = classes.select("rep", "n_shingles", "sig")
-    near = scratch.save(docs.join(tables.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "near")
     x, y = (known.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"{c}n"), F.col("sig").alias(f"{c}s")) for c in "xy")
     stars = tables.where("rep <> lead").select(F.col("lead").alias("x"), F.col("rep").alias("y")).distinct()
     stars = _agree(stars.join(x, "x").join(y, "y").where(_similar_sizes("xn", "yn", percent)), percent)
@@ -176,12 +203,42 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     labelled = tables.select("key", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_ = scratch.save(labelled.join(mixed, "key", "left_semi").select("rep", "comp").distinct(), "open")
+    open_ = labelled.join(mixed, "key", "left_semi").select("rep", "comp").distinct()
+    open_ = scratch.save(open_.join(classes.select("rep", *_MAP), "rep"), "open")
     more = scratch.save(_verified(_prefix_pairs(open_, near, shingle, percent), near, shingle, percent), "links-cross")
     scratch.drop("tables", "open", "near")
     final = scratch.save(connected_components(links.union(more), scratch, "cc-final"), "comp")
 
-    by_class = classes.select("fp", "rep").join(final, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("doc_id", "n_shingles", "fp").join(by_class, "fp", "left")
+    # a component's own row: its least id, and of that id's texts one
+    own = F.struct("doc_id", "fp")
+    linked = classes.join(final, F.col("rep") == F.col("node")).select("rep", own.alias("own"), "component")
+    linked = linked.join(linked.groupBy("component").agg(F.min("own").alias("least")), "component").select("rep", "least")
+    by_class = classes.select("rep", "fp", own.alias("own")).join(linked, "rep", "left").select("fp", F.coalesce("least", "own").alias("least"))
+    by_class = by_class.select("fp", F.col("least.doc_id").alias("component"), F.col("least.fp").alias("least_fp"))
+    out = sigs.select("doc_id", "text_key", "n_shingles", "fp").join(by_class, "fp", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    kept = F.coalesce((own == F.col("doc_id")) & (F.col("least_fp").isNull() | (F.col("least_fp") == F.col("fp"))), F.lit(True))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), kept.alias("kept"), "text_key")
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 1_000_000, **options) -> DataFrame:
+    """``docs`` with one row left of each group of near duplicates; columns stay.
+
+    The row left is the one of the least id. Rows that repeat id and text are one document, too: the least by the other
+    columns stays. Rows without an id or without words stay as they are, each of them. Only ids and text hashes decide, never the
+    id alone: other texts under a dropped row's id stay. Rows are matched in place if no more than ``most_broadcast``
+    rows are affected (counted first), else by shuffle.
+    """
+    scratch = Scratch(docs.sparkSession, "neardup-rows")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id is not null and n_shingles > 0")
+    # one row a distinct (id, text); a row that is fine as it is needs no mark
+    marks = found.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
+    marks = scratch.save(marks.select(F.col("doc_id").alias("_nd_id"), F.col("text_key").alias("_nd_key"), F.col("kept").alias("_nd_kept")), "marks")
+    if marks.limit(most_broadcast + 1).count() <= most_broadcast:
+        marks = F.broadcast(marks)
+    key = F.xxhash64(F.col(text_col).cast("string"))
+    marked = docs.join(marks, (F.col(id_col).cast("long") == F.col("_nd_id")) & (key == F.col("_nd_key")), "left")
+    rest = marked.where("_nd_id is null").select(docs.columns)
+    # the others that stay are rows that repeat id and text
+    again = marked.where("_nd_kept").groupBy("_nd_id", "_nd_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return rest.unionByName(again)

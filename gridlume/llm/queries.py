@@ -67,7 +67,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("text_key")
 
 
 def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,12 +101,35 @@ def test_near_duplicate_group(spark):
     assert got == components(rows, 5)
 
 
+def opened(docs, k):
+    """All documents as open classes, each its own component."""
+    sigs = neardup.signatures(docs.withColumn("text_key", F.lit(0).cast("long")), k).where("n_shingles > 0")
+    return sigs.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp"), *neardup._MAP)
+
+
+def test_a_family_below_the_limit_makes_no_pairs(spark):
+    """Texts from one template, mean similarity about 0.6: fewer candidate pairs than texts, of n * n / 2 pairs."""
+    rng = random.Random(11)
+    template = [text(rng, 11) for _ in range(10)]
+    slots = [[text(rng, 1) for _ in range(20)] for _ in template]
+    made = {}
+    for n in (200, 400, 800):
+        rows = [(i, " ".join(f"{t} {rng.choice(s)}" for t, s in zip(template, slots, strict=True))) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        made[n] = neardup._prefix_pairs(opened(docs, 3), docs.withColumnRenamed("doc_id", "rep"), 3, 80).count()
+        if n == 200:
+            s = sets(rows, 3)
+            mean = [len(s[a] & s[b]) / len(s[a] | s[b]) for a, b in itertools.combinations(range(60), 2)]
+            assert 0.45 < sum(mean) / len(mean) < 0.7
+            assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, shingle=3).collect()} == components(rows, 3)
+    assert all(made[n] < n for n in made), made
+
+
 def test_prefix_pairs_is_exact(spark):
     """Without any MinHash table: the prefix join alone finds every similar pair."""
     rows = [r for r in corpus(3) if r[1]]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    open_ = docs.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp"))
-    found = {(r.x, r.y) for r in neardup._prefix_pairs(open_, docs, 5, 80).collect()}
+    found = {(r.x, r.y) for r in neardup._prefix_pairs(opened(docs, 5), docs.withColumnRenamed("doc_id", "rep"), 5, 80).collect()}
     s = sets(rows, 5)
     want = {(a, b) for a, b in itertools.combinations(sorted(s), 2) if s[a] & s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])}
     assert want <= found
@@ -128,6 +151,36 @@ def test_near_duplicates_odd(spark):
     assert got == [(-1, -1, True), (1, 1, True), (1, 1, True), (2, 2, True), (3, 1, False)]
 
 
+def test_near_duplicates_of_wide_ids(spark):
+    """Ids at both ends of 64 bits: no sum of them leaves the type."""
+    rng = random.Random(12)
+    ids = [9 * 10**18, -9 * 10**18, 2**63 - 1, -(2**63), 0, 7]
+    rows = []
+    for k in range(3):
+        t = text(rng, 60).split()
+        rows += [(ids[2 * k], " ".join(t)), (ids[2 * k + 1], " ".join([*t[:-1], "other"]))]
+    rows += [(rng.randrange(-(2**63), 2**63), rows[rng.randrange(6)][1] + " tail") for _ in range(60)]
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows)).collect()} == components(rows, 5)
+
+
+def test_rows_that_share_an_id(spark):
+    """Texts of one id are told apart; of each group one row stays, and no text is lost."""
+    rng = random.Random(13)
+    t, u, long_ = text(rng, 50), text(rng, 50), text(rng, 9000)
+    rows = [(1, t), (5, t), (5, u), (5, u), (7, u + " more"), (None, t), (None, t), (8, None), (8, None), (9, ""), (10, long_), (11, long_ + " x"), (11, t)]
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.n_shingles, r.kept) for r in neardup.near_duplicates(frame(spark, rows)).collect())
+    n = len(sets([(0, long_)], 5)[0])
+    assert got == sorted([(1, 1, 46, True), (5, 1, 46, False), (5, 5, 46, True), (5, 5, 46, True), (7, 5, 47, False), (-1, -1, 46, True), (-1, -1, 46, True), (8, 8, 0, True), (8, 8, 0, True), (9, 9, 0, True), (10, 10, n, True), (11, 10, n + 1, False), (11, 1, 46, False)])
+    for most in (1000, 0):
+        left = neardup.without_near_duplicates(frame(spark, rows), most_broadcast=most)
+        assert left.columns == frame(spark, rows).columns
+        assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(1, t), (5, u), (None, t), (None, t), (8, None), (8, None), (9, ""), (10, long_)])
+    both = [(3, t), (3, t + " x"), (4, t + " y")]
+    got = neardup.near_duplicates(frame(spark, both)).collect()
+    assert {r.component_id for r in got} == {3} and sum(r.kept for r in got) == 1
+    assert neardup.without_near_duplicates(empty(spark)).collect() == []
+
+
 def repeats(rows, length=100):
     seen, out = set(), {}
     for i, t in sorted(rows):
@@ -540,9 +593,10 @@ def test_tables_miss_nothing_that_the_exact_join_finds(spark, data):
 
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     scratch = Scratch(spark, "test")
-    sigs = scratch.save(neardup.signatures(docs, 4).select("doc_id", "n_shingles", "fp"), "sigs")
-    reps = sigs.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    links = neardup._verified(neardup._prefix_pairs(reps.select("rep", F.col("rep").alias("comp")), docs, 4, 80), docs, 4, 80)
+    sigs = scratch.save(neardup.signatures(docs.withColumn("text_key", F.lit(0).cast("long")), 4), "sigs")
+    reps = sigs.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), *(F.first(m).alias(m) for m in neardup._MAP))
+    texts = docs.withColumnRenamed("doc_id", "rep")
+    links = neardup._verified(neardup._prefix_pairs(reps.select("rep", F.col("rep").alias("comp"), *neardup._MAP), texts, 4, 80), texts, 4, 80)
     found = connected_components(scratch.save(links, "links"), scratch, "cc")
     want = sigs.join(reps, "fp", "left").join(found, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep", "doc_id").alias("c"))
     got = neardup.near_duplicates(docs, shingle=4)
