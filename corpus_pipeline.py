@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridlume.llm import queries as q
 from gridlume.llm.decontam import without_contaminated
-from gridlume.llm.neardup import near_duplicates
+from gridlume.llm.neardup import without_near_duplicates
 from gridlume.llm.scratch import Scratch
 from gridlume.llm.secrets import redact
 from gridlume.llm.toxicity import CATEGORIES, train, without_toxic
@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, 0.8): the one of least id."""
-    return docs.join(near_duplicates(docs).where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return without_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
