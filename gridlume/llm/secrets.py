@@ -1,10 +1,14 @@
 """Secret scans in DataFrame functions alone: key patterns, and sliding-window entropy over candidate strings.
 
 Spans come from two regular-expression passes: ``split`` gives the text between matches, ``regexp_extract_all`` the matches,
-and a fold over both their lengths gives the positions (code points, end exclusive). Candidate strings are runs of
-base-64 characters. Over each a window slides; its Shannon entropy follows from character counts that a step only
-changes for the character that leaves and the one that enters. A window over the limit of the candidate's character class makes
-the candidate a span, unless an allow-list pattern covers it or a key pattern has found it already.
+and running sums over both their lengths give the positions (code points, end exclusive). Candidate strings are runs of
+base-64 characters, less what key patterns have found and less stretches that the allow-list names; each piece that is left is a
+candidate of its own. Over each a window slides; its Shannon entropy follows from character counts, of which a step
+changes two: of the character that leaves and of the one that enters. A window over the limit of the candidate's
+character class makes the candidate a span, unless the allow-list knows it as a whole.
+
+A fold copies its state at each step, so lists are never gathered in one: running sums and maxima are taken in blocks, and all
+else is mapped over them. A text with very many matches costs its length times a constant.
 """
 
 from __future__ import annotations
@@ -40,34 +44,102 @@ CLASSES = (
     CharacterClass("base36", r"^([0-9a-z]+|[0-9A-Z]+)$", _DIGITS + _LOWER + _LOWER.upper(), 3.5),
     CharacterClass("base64", r"^[A-Za-z0-9+/_-]+=*$", _DIGITS + _LOWER + _LOWER.upper() + "+/_-=", 3.7),
 )
-#: Candidates that are no secrets: UUIDs, digits and marks only, integrity hashes, version or date paths, sample keys.
+#: Candidates that are no secrets: UUIDs, digits and marks only, integrity hashes, sample keys.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9+/_=-]+$",
     r"^sha(1|256|384|512)-",
-    r"(^|/)v?[0-9]+([-_/][0-9]+)+(/|$)",
     r"(EXAMPLE|example|SAMPLE|sample|xxxx|XXXX)",
 )
+#: Stretches of a candidate that are none, whatever stands beside them: version or date paths, and folders of samples.
+ALLOW_PARTS = r"(^|/)(v?[0-9]+([-_/][0-9]+)+|examples?|samples?)(/|$)"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 WINDOW = 20
 
+#: Numbers that a running total takes in one fold, and characters of a block of text.
+_FOLD, _BLOCK = 64, 4096
 
-def _found(text: Column, pattern: str, kind: int) -> Column:
-    """Spans of the leftmost matches of ``pattern``."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    bodies = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    step = F.arrays_zip(gaps.alias("gap"), bodies.alias("body"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["body"])
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("k"), end.alias("end"), x["body"].alias("body"))).cast(_SPANS)
-        hit = x["body"].isNotNull()
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(hit, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+def _none() -> Column:
+    return F.array().cast(_SPANS)
 
-    spans = F.aggregate(step, empty, add, lambda acc: acc["spans"])
-    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(F.array().cast(_SPANS))
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(values: Column, op, levels: int = 2) -> Column:
+    """Running totals (by ``op``, of whole numbers from 0 on) of an array: folds over blocks, then the blocks' totals likewise."""
+
+    def fold(a: Column) -> Column:
+        return F.aggregate(a, F.array().cast("array<int>"), lambda acc, v: F.concat(acc, F.array(op(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)), v))))
+
+    def joined(blocks: Column) -> Column:
+        totals = _running(F.transform(blocks, lambda b: F.get(b, F.size(b) - 1)), op, levels - 1)
+        before = F.concat(F.array(F.lit(0)), totals)
+        return _let(before, lambda t: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda v: op(F.get(t, i), v)))))
+
+    def blocked(a: Column) -> Column:
+        return _let(F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _FOLD).cast("int")), lambda j: fold(F.slice(a, j * _FOLD + 1, _FOLD))), joined)
+
+    if not levels:
+        return fold(values)
+    return _let(values, lambda a: F.when(F.size(a) > 0, blocked(a)).otherwise(F.array().cast("array<int>")))
+
+
+def _span(start: Column, k: int, end: Column, body: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), F.lit(k).alias("k"), end.cast("int").alias("end"), body.alias("body"))
+
+
+def _lengths(strings: Column) -> Column:
+    return F.transform(strings, lambda x: F.length(x))
+
+
+def _found(text: Column, pattern: str, kind: int, between: bool = False) -> Column:
+    """Spans of the leftmost matches of ``pattern``; or of what is ``between`` them, before the first and after the last."""
+
+    def spans(x: Column) -> Column:
+        # where each gap ends and, but for the last one, a match begins
+        ends = _running(F.zip_with(_lengths(x["gaps"]), F.concat(F.array(F.lit(0)), _lengths(x["bodies"])), lambda g, b: g + b), lambda a, b: a + b)
+        if between:
+            rows = F.arrays_zip(ends.alias("at"), x["gaps"].alias("gap"))
+            return F.transform(rows, lambda r: _span(r["at"] - F.length(r["gap"]), kind, r["at"], r["gap"]))
+        rows = F.slice(F.arrays_zip(ends.alias("at"), x["bodies"].alias("body")), 1, F.size(x["bodies"]))
+        return F.transform(rows, lambda r: _span(r["at"], kind, r["at"] + F.length(r["body"]), r["body"]))
+
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("bodies"))
+    whole = F.array(_span(F.lit(0), kind, F.length(text), text)) if between else _none()
+    return F.when(F.rlike(text, F.lit(pattern)), _let(parts, spans)).otherwise(whole).cast(_SPANS)
+
+
+def _outside(base: Column, candidates: Column) -> Column:
+    """The pieces of ``candidates`` (which do not overlap each other) outside ``base``, of at least a window.
+
+    In order of starts, each span ends a piece of the candidate before it; a piece begins where that candidate does, or where
+    the key patterns' spans before end, if that is later.
+    """
+    most = lambda a, b: F.greatest(a, b)
+
+    def pieces(x: Column) -> Column:
+        items = x["items"]
+
+        def piece(i: Column) -> Column:
+            own = F.get(items, F.get(x["last"], i) - 1)
+            at = F.greatest(own["start"], F.get(x["covered"], i))
+            cut = F.get(items, i + 1)
+            upto = F.when(cut["k"] < 3, F.least(own["end"], cut["start"])).otherwise(own["end"])
+            fits = own.isNotNull() & (upto - at >= WINDOW)
+            return F.when(fits, _span(at, 3, upto, F.substring(own["body"], at - own["start"] + 1, upto - at)))
+
+        return F.filter(F.transform(F.sequence(F.lit(0), F.size(items) - 1), piece), lambda p: p.isNotNull())
+
+    def walked(items: Column) -> Column:
+        covered = _running(F.transform(items, lambda s: F.when(s["k"] < 3, s["end"]).otherwise(0)), most)
+        last = _running(F.transform(items, lambda s, i: F.when(s["k"] == 3, i + 1).otherwise(0)), most)
+        return _let(F.struct(items.alias("items"), covered.alias("covered"), last.alias("last")), pieces)
+
+    return F.when(F.size(candidates) > 0, _let(F.array_sort(F.concat(base, candidates)), walked)).otherwise(_none()).cast(_SPANS)
 
 
 def _plogp(n: Column) -> Column:
@@ -75,34 +147,43 @@ def _plogp(n: Column) -> Column:
 
 
 def most_entropy(string: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy (bits a character) of any ``window`` neighbouring characters; shorter strings: null.
+    """The largest Shannon entropy (bits a character) of any ``window`` (up to 60) neighbouring characters; shorter strings: null.
 
     The fold's state holds the counts of the window by character, the sum of n * log2(n) over them and the least such
-    sum so far; entropy is log2(window) - sum / window. A step changes two counts and two terms.
+    sum so far; entropy is log2(window) - sum / window. Counts are a string with one character for each of the alphabet's, of
+    which a step overlays two.
     """
     chars = F.transform(F.split(string, ""), lambda c: F.instr(F.lit(alphabet), c))
     codes = F.filter(chars, lambda c: c > 0)
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"), F.lit(0).alias("n")
-    )
+    zero = ord("@")
+    start = F.struct(F.lit("@" * len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"), F.lit(0).alias("n"))
+
+    def count(counts: Column, c: Column) -> Column:
+        return F.ascii(F.substring(counts, c, F.lit(1))) - zero
 
-    def count(acc: Column, c: Column) -> Column:
-        return F.coalesce(F.get(acc["counts"], c - 1), F.lit(0))
+    def changed(counts: Column, c: Column, by: int) -> Column:
+        return F.overlay(counts, F.char(count(counts, c) + zero + by), c, F.lit(1))
 
-    def slide(acc: Column, x: Column) -> Column:
-        enter, leave = x["enter"], x["leave"]
+    def step(acc: Column, x: Column) -> Column:
         full = acc["n"] >= window
-        out = F.when(full, leave)
-        gone = F.when(full, _plogp(count(acc, out) - 1) - _plogp(count(acc, out))).otherwise(F.lit(0.0))
-        now = count(acc, enter) - F.when(full & (out == enter), 1).otherwise(0)
-        total = acc["sum"] + gone + _plogp(now + 1) - _plogp(now)
-        counts = F.transform(acc["counts"], lambda v, i: v + F.when(i == enter - 1, 1).otherwise(0) - F.when(full & (i == out - 1), 1).otherwise(0))
-        n = acc["n"] + 1
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(n >= window, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"), n.alias("n"))
-
-    leaving = F.concat(F.array_repeat(F.lit(0), window), F.slice(codes, 1, F.greatest(F.size(codes) - window, F.lit(0))))
+        n = count(acc["counts"], x["leave"])
+        left = F.struct(
+            F.when(full, changed(acc["counts"], x["leave"], -1)).otherwise(acc["counts"]).alias("counts"),
+            F.when(full, acc["sum"] + _plogp(n - 1) - _plogp(n)).otherwise(acc["sum"]).alias("sum"),
+            acc["least"].alias("least"),
+            (acc["n"] + 1).alias("n"),
+        )
+        return _let(left, lambda a: entered(a, x["enter"]))
+
+    def entered(acc: Column, c: Column) -> Column:
+        n = count(acc["counts"], c)
+        total = acc["sum"] + _plogp(n + 1) - _plogp(n)
+        least = F.when(acc["n"] >= window, F.least(acc["least"], total)).otherwise(acc["least"])
+        return F.struct(changed(acc["counts"], c, 1).alias("counts"), total.alias("sum"), least.alias("least"), acc["n"].alias("n"))
+
+    leaving = F.concat(F.array_repeat(F.lit(1), window), F.slice(codes, 1, F.greatest(F.size(codes) - window, F.lit(0))))
     pairs = F.filter(F.arrays_zip(codes.alias("enter"), leaving.alias("leave")), lambda p: p["enter"].isNotNull())
-    least = F.aggregate(pairs, start, slide, lambda acc: acc["least"])
+    least = F.aggregate(pairs, start, step, lambda acc: acc["least"])
     return F.when(F.length(string) >= window, F.log2(F.lit(float(window))) - least / window)
 
 
@@ -128,8 +209,13 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     assign = F.filter(_found(t, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["body"], ASSIGN, 2)) >= 12)
     base = F.concat(assign, _found(t, ACCESS, 1), _found(t, HEX, 2))
     rows = docs.select("doc_id", base.alias("base"), _found(t, CANDIDATE, 3).alias("candidates"))
-    fresh = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & _is_secret(c["body"]))
-    added = F.when(F.size("candidates") > 0, fresh).otherwise(F.array().cast(_SPANS))
+
+    def allowed_cut(c: Column) -> Column:
+        parts = F.filter(_found(c["body"], ALLOW_PARTS, 3, between=True), lambda p: p["end"] - p["start"] >= WINDOW)
+        return F.transform(parts, lambda p: F.struct((c["start"] + p["start"]).alias("start"), p["k"].alias("k"), (c["start"] + p["end"]).alias("end"), p["body"].alias("body")))
+
+    pieces = F.flatten(F.transform(_outside(F.col("base"), F.col("candidates")), allowed_cut))
+    added = F.when(F.size("candidates") > 0, F.filter(pieces, lambda c: _is_secret(c["body"]))).otherwise(_none())
     spans = F.transform(F.array_sort(F.concat("base", added)), lambda s: F.struct(s["start"].alias("start"), F.element_at(F.array(*map(F.lit, KINDS)), s["k"] + 1).alias("kind"), s["end"].alias("end"), s["body"].alias("body")))
     return rows.select("doc_id", spans.alias("spans"))
 
@@ -142,13 +228,25 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     spans = secret_spans(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), id_col="row").select("doc_id.*", F.col("spans").alias("_secret_spans"))
     text = F.col(text_col)
 
-    def cut(acc: Column, s: Column) -> Column:
-        # substring counts from 1; a span that starts inside the last one only moves the end
-        outside = s["start"] >= acc["at"]
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]"))
-        return F.struct(F.when(outside, new).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def between(blocks: Column, a: Column, b: Column) -> Column:
+        # substring walks its string from the beginning, so it is given blocks only
+        i, j = F.floor(a / _BLOCK).cast("int"), F.floor(b / _BLOCK).cast("int")
+        inner = F.array_join(F.slice(blocks, i + 2, j - i - 1), "")
+        far = F.concat(F.substring(F.get(blocks, i), a % _BLOCK + 1, F.lit(_BLOCK)), inner, F.coalesce(F.substring(F.get(blocks, j), F.lit(1), b % _BLOCK), F.lit("")))
+        return F.when(b <= a, "").when(i == j, F.substring(F.get(blocks, i), a % _BLOCK + 1, b - a)).otherwise(far)
+
+    def cleaned(x: Column) -> Column:
+        # a span that starts inside those before it only moves their end
+        ends = F.concat(F.array(F.lit(0)), _running(F.transform("_secret_spans", lambda s: s["end"]), lambda a, b: F.greatest(a, b)))
+
+        def joined(at: Column) -> Column:
+            pieces = F.transform("_secret_spans", lambda s, i: F.when(s["start"] >= F.get(at, i), F.concat(between(x, F.get(at, i), s["start"]), F.lit("[SECRET]"))).otherwise(""))
+            return F.concat(F.array_join(pieces, ""), between(x, F.get(at, F.size(at) - 1), F.length(text)))
+
+        return _let(ends, joined)
 
-    clean = F.aggregate("_secret_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    clean = _let(blocks, cleaned)
     dirty = F.size("_secret_spans") > 0
     rows = spans.select(*docs.columns, dirty.alias("_secret_dirty"), F.when(dirty, clean).otherwise(text).alias("_secret_text"))
     new, changed = F.col("_secret_text"), F.col("_secret_dirty")
