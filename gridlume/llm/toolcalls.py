@@ -12,22 +12,36 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlume.llm.scratch import Scratch
 
 
+#: Brackets within brackets beyond which a text counts as plain text, not as JSON.
+MOST_NESTED = 200
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"?', re.S)
+_NO_BRACKET = re.compile(r"[^\[\]{}]+")
+
+
+def whole_text(s: str) -> str:
+    """``s`` with surrogates that stand alone (JSON can name them, UTF-8 cannot hold them) as U+FFFD."""
+    return s.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
 def canonical(value: Any) -> str:
-    """JSON with sorted keys and no spaces; what JSON cannot hold (NaN, infinity) is null."""
+    """JSON with sorted keys and no spaces; what JSON cannot hold (NaN, infinity) is null, lone surrogates are U+FFFD."""
     try:
-        return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+        out = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
     except ValueError:
-        return json.dumps(_finite(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        out = json.dumps(_finite(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return whole_text(out)
 
 
 def _finite(v: Any) -> Any:
@@ -38,30 +52,61 @@ def _finite(v: Any) -> Any:
     return [_finite(x) for x in v] if isinstance(v, list) else v
 
 
+def _nested(text: str) -> int:
+    """How deep brackets stand within brackets, strings left out."""
+    deep = most = 0
+    for c in _NO_BRACKET.sub("", _STRING.sub("", text)):
+        deep += 1 if c in "[{" else -1
+        most = max(most, deep)
+    return most
+
+
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float)}
 
 
+def _is(value: Any, kind: str) -> bool:
+    if isinstance(value, bool):
+        return kind == "boolean" or kind not in _TYPES
+    return isinstance(value, _TYPES.get(kind, object)) or (kind == "integer" and isinstance(value, float) and value.is_integer())
+
+
+def _same(a: Any, b: Any) -> bool:
+    """Equality of JSON values: 1 is 1.0 but not true."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return set(a) == set(b) and all(_same(a[k], b[k]) for k in a)
+    return a == b
+
+
 def schema_error(value: Any, schema: dict, path: str = "$") -> str | None:
     """The first way in which ``value`` breaks ``schema`` (type, enum, const, required, properties, items, bounds, pattern), or None.
 
-    A ``{"$ref": id}`` object stands for a later value and fits everything.
+    A ``{"$ref": id}`` object stands for a later value and fits everything. A pattern that is no regular expression fits nothing.
     """
     if isinstance(value, dict) and set(value) == {"$ref"}:
         return None
     kind = schema.get("type")
     if kind:
         kinds = kind if isinstance(kind, list) else [kind]
-        if not any(isinstance(value, _TYPES.get(k, object)) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
+        if not any(_is(value, k) for k in kinds):
             return f"{path}: not {'/'.join(kinds)}"
-    if "enum" in schema and value not in schema["enum"] or "const" in schema and value != schema["const"]:
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]) or "const" in schema and not _same(value, schema["const"]):
         return f"{path}: not an allowed value"
     if isinstance(value, (int, float)) and not isinstance(value, bool) and (value < schema.get("minimum", value) or value > schema.get("maximum", value)):
         return f"{path}: out of range"
     if isinstance(value, str):
         if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
             return f"{path}: length"
-        if "pattern" in schema and not re.search(schema["pattern"], value):
-            return f"{path}: pattern"
+        if "pattern" in schema:
+            try:
+                found = re.search(schema["pattern"], value)
+            except re.error:
+                return f"{path}: pattern of the schema is broken"
+            if not found:
+                return f"{path}: pattern"
     if isinstance(value, dict):
         for k in schema.get("required", []):
             if k not in value:
@@ -87,7 +132,7 @@ def _refs(value: Any) -> set[str]:
 
 
 def _object(text: str | None) -> dict | None:
-    if text and text.lstrip()[:1] == "{":
+    if text and text.lstrip()[:1] == "{" and _nested(text) <= MOST_NESTED:
         try:
             value = json.loads(text)
         except (ValueError, RecursionError):
@@ -105,7 +150,7 @@ def events(chats: DataFrame, tools: dict[str, dict] | None) -> DataFrame:
     def rows(conv: Any, turn: Any, role: str | None, text: str | None) -> Iterator[tuple]:
         value = _object(text) if role in ("assistant", "tool") else None
         if role == "tool" and value and value.get("tool_call_id") is not None:
-            own = str(value["tool_call_id"])
+            own = whole_text(str(value["tool_call_id"]))
             yield conv, turn, role, 0, "result", own, None, None, [], canonical({"content": value.get("content"), "role": role, "tool_call_id": own})
             return
         calls = value.get("tool_calls") if value and role == "assistant" else None
@@ -125,9 +170,9 @@ def events(chats: DataFrame, tools: dict[str, dict] | None) -> DataFrame:
                 problem = "arguments are no object"
             elif tools is not None:
                 problem = schema_error(args, tools[call["name"]]) if call["name"] in tools else "unknown tool"
-            own = None if call.get("id") is None else str(call["id"])
-            name = call.get("name") if isinstance(call.get("name"), str) else None
-            yield conv, turn, role, k, "call", own, name, problem, sorted(_refs(args)), canonical({"arguments": args, "id": own, "name": name})
+            own = None if call.get("id") is None else whole_text(str(call["id"]))
+            name = whole_text(call["name"]) if isinstance(call.get("name"), str) else None
+            yield conv, turn, role, k, "call", own, name, problem and whole_text(problem), sorted(map(whole_text, _refs(args))), canonical({"arguments": args, "id": own, "name": name})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in _EVENTS.split(", ")]
@@ -140,36 +185,93 @@ def events(chats: DataFrame, tools: dict[str, dict] | None) -> DataFrame:
     return chats.mapInPandas(run, _EVENTS)
 
 
-def link_tool_calls(chats: DataFrame, *, tools: dict[str, dict] | None = None, most_depth: int = 64) -> DataFrame:
+_AT = "at struct<turn:long,rank:long>"
+
+
+def _ordered_in_groups(needs: DataFrame, groups: int) -> DataFrame:
+    """``conv_id, call_id, at`` for calls whose needs can all be met; whole conversations (of counted, bounded size) share a group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own, at, left, behind = set(), {}, Counter(), defaultdict(list)
+        for conv, call, need, first, dep in zip(*(table[c].to_pylist() for c in ("conv_id", "call_id", "needed", "at", "dep")), strict=True):
+            own.add((conv, call))
+            at[conv, call], at[conv, need] = (first["turn"], first["rank"]), (dep["turn"], dep["rank"])
+            behind[conv, need].append((conv, call))
+            left[conv, call] += 1
+        ready, done = [c for c in at if not left[c]], []
+        while ready:
+            c = ready.pop()
+            if c in own:
+                done.append(c)
+            for b in behind[c]:
+                at[b] = max(at[b], (at[c][0], at[c][1] + 2))
+                left[b] -= 1
+                if not left[b]:
+                    ready.append(b)
+        ats = pa.array([{"turn": at[c][0], "rank": at[c][1]} for c in done], pa.struct([("turn", pa.int64()), ("rank", pa.int64())]))
+        return pa.table([pa.array([c[0] for c in done], pa.int64()), pa.array([c[1] for c in done], pa.string()), ats], ["conv_id", "call_id", "at"])
+
+    return needs.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(groups))).applyInArrow(run, f"conv_id long, call_id string, {_AT}")
+
+
+def _ordered_by_rounds(needs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for conversations of any size: each round takes the calls whose needs are all met, until a round finds none."""
+    key = ["conv_id", "call_id"]
+    calls = needs.groupBy(*key).agg(F.max("at").alias("at"), F.count("*").alias("left"))
+    roots = needs.join(calls.select("conv_id", F.col("call_id").alias("needed")), ["conv_id", "needed"], "left_anti")
+    front = scratch.save(roots.select("conv_id", "needed", F.col("dep").alias("at")).distinct(), "front-0")
+    edges = needs.select(*key, "needed")
+    calls, done, k = scratch.save(calls, "open-0"), [], 0
+    while front.limit(1).count():
+        k += 1
+        met = edges.join(front.withColumnRenamed("at", "dep"), ["conv_id", "needed"]).groupBy(*key).agg(F.count("*").alias("met"), F.max("dep").alias("dep"))
+        behind = F.struct(F.col("dep.turn").alias("turn"), (F.col("dep.rank") + 2).alias("rank"))
+        calls = calls.join(met, key, "left").select(*key, F.when(F.col("dep").isNull(), F.col("at")).otherwise(F.greatest("at", behind)).alias("at"), (F.col("left") - F.coalesce("met", F.lit(0))).alias("left"))
+        calls = scratch.save(calls, f"open-{k}")
+        now = scratch.save(calls.where("left = 0").select(*key, "at"), f"done-{k}")
+        done.append(now)
+        calls = calls.where("left > 0")
+        front = now.withColumnRenamed("call_id", "needed")
+        if k > 1:
+            scratch.drop(f"open-{k - 2}")
+    out = done[0] if done else needs.select(*key, "at").limit(0)
+    for d in done[1:]:
+        out = out.union(d)
+    return out
+
+
+def link_tool_calls(chats: DataFrame, *, tools: dict[str, dict] | None = None, most_in_group: int = 100_000) -> DataFrame:
     """``conv_id, turn, pos, role, kind, call_id, name, status, linked_turn, order_turn, order_rank, json`` for every event.
 
     status of a call: ``invalid`` (JSON or schema, with the reason in ``problem``), ``repeated`` (its id was used before in the
-    conversation), ``unanswered``, else ``ok``; of a result: ``orphan`` or ``ok``; of a message: null. ``cycle`` marks calls
-    that wait for one another, or chains of more than ``most_depth`` calls. Null texts are empty messages; null roles, turns
-    and conversation ids stay null, and link with nothing. Repeated rows are repeated events. Other columns are not read.
+    conversation), ``cycle`` (it waits for itself, for calls that wait for it, or for such calls), ``unanswered``, else ``ok``;
+    of a result: ``orphan`` or ``ok``; of a message: null. An id stands for its first call: that one's arguments tell
+    what it needs. References to ids that no call has are ignored. Null texts are empty messages; null roles, turns
+    and conversation ids stay null, and link with nothing. Texts nested deeper than ``MOST_NESTED`` are plain messages. Repeated
+    rows are repeated events. Other columns are not read. Conversations with up to ``most_in_group`` references between their calls are
+    ordered in one task each, others by rounds of joins; both are exact.
     """
     scratch = Scratch(chats.sparkSession, "toolcalls")
     chats = chats.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     all_ = scratch.save(events(chats, tools), "events")
     key = ["conv_id", "call_id"]
-    calls = all_.where("kind = 'call' and call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "pos")).alias("first"), F.max(F.struct(F.lit(1).alias("x"), F.col("refs"))).getField("refs").alias("refs"))
-    if not all_.where("kind <> 'message'").limit(1).count():
-        # nothing to link: the rows are final as they are
-        none = F.lit(None)
-        return all_.select("conv_id", "turn", "pos", "role", "kind", "call_id", "name", none.cast("string").alias("status"), "problem", none.cast("long").alias("linked_turn"), F.col("turn").alias("order_turn"), F.lit(0).cast("long").alias("order_rank"), "json")
+    # repeated rows tie in turn and pos and have equal references
+    calls = all_.where("kind = 'call' and call_id is not null and conv_id is not null").groupBy(*key).agg(F.min(F.struct(F.struct("turn", "pos").alias("first"), "refs")).alias("x")).select(*key, "x.first", "x.refs")
     answered = all_.where("kind = 'result'").groupBy(*key).agg(F.min("turn").alias("answer"))
-    level = scratch.save(calls.select(*key, F.struct(F.col("first.turn").alias("turn"), F.lit(1).cast("long").alias("rank")).alias("at"), F.lit(False).alias("moved")), "level-0")
-    needs = calls.select(*key, F.explode("refs").alias("needed")).where("needed <> call_id")
-    needs = scratch.save(needs, "needs")
-    if needs.limit(1).count():
-        for k in range(1, most_depth + 1):
-            before = level.select("conv_id", F.col("call_id").alias("needed"), F.col("at").alias("dep"))
-            pushed = needs.join(before, ["conv_id", "needed"]).groupBy(*key).agg(F.max("dep").alias("dep"))
-            behind = F.struct(F.col("dep.turn").alias("turn"), (F.col("dep.rank") + 2).alias("rank"))
-            level = level.join(pushed, key, "left").select(*key, F.greatest(F.col("at"), F.coalesce(behind, F.col("at"))).alias("at"), (behind > F.col("at")).alias("moved"))
-            level = scratch.save(level, f"level-{k}")
-            if not level.where("moved").limit(1).count():
-                break
+    at = F.struct(F.col("first.turn").alias("turn"), F.lit(1).cast("long").alias("rank"))
+    needs = calls.select(*key, at.alias("at"), F.explode("refs").alias("needed"))
+    needs = scratch.save(needs.join(calls.select("conv_id", F.col("call_id").alias("needed"), at.alias("dep")), ["conv_id", "needed"]), "needs")
+    large = needs.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > most_in_group).select("conv_id")
+    groups = max(1, -(-needs.count() // most_in_group))
+    if large.limit(1).count():
+        large = scratch.save(large, "large")
+        small = needs.join(large, "conv_id", "left_anti")
+        met = _ordered_in_groups(small, groups).unionByName(_ordered_by_rounds(scratch.save(needs.join(large, "conv_id", "left_semi"), "needs-large"), scratch))
+    else:
+        met = _ordered_in_groups(needs, groups)
+    waits = needs.select(*key).distinct().withColumn("waits", F.lit(True))
+    level = calls.join(waits, key, "left").join(met.withColumnRenamed("at", "met"), key, "left")
+    level = level.select(*key, F.coalesce("met", at).alias("at"), (F.col("waits").isNotNull() & F.col("met").isNull()).alias("moved"))
     out = all_.join(calls.select(*key, "first"), key, "left").join(level, key, "left").join(answered, key, "left")
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     status = (
