@@ -5,12 +5,17 @@ depends on nothing but the window's bytes and every window has one. Windows that
 bytes from the first window's start to the last one's end. Neighbouring phrases overlap, and no phrase begins another of
 the same trigger and place. The corpus becomes a dictionary of distinct phrases and the parse, the phrases' occurrences.
 
-Of the suffix arrays only the runs of suffixes that agree in ``length`` bytes matter, with the least position of each run.
-The parse gives them for whole phrases: an occurrence of a dictionary phrase that is not its first repeats all of its
-windows. The dictionary gives the rest: suffixes of different phrases with one trigger are grouped by their first
-``length`` bytes, each at its phrase's first occurrence. Grouping by hash takes the place of sorting, which would order
-groups that nobody asks about. Triggers seen once end the work for their windows, which is nearly all of them in
-ordinary text; text that repeats much is a small dictionary.
+The parse, in order of its phrases and of the corpus, gives each phrase its first occurrence; an occurrence that is not
+the first repeats all of its windows. The dictionary's suffix arrays give the rest: phrases of a trigger are sorted by
+their suffixes from the trigger on, and by their beginnings up to it read backwards, and the longest common prefixes
+of neighbours in both orders tell which windows (suffixes of ``length`` bytes or more, cut to that) are the same string: those
+that agree before the trigger as far back, and after it as far on, as the window reaches. Both orders and the places of
+first occurrences combine into the runs of equal windows in corpus order. A window never leaves its phrase, so the parse is
+needed to the depth of one phrase only. All of this compares bytes; a hash only decides what is compared.
+
+Triggers seen once end the work for their windows, which is nearly all of them in ordinary text; text that repeats much is a
+small dictionary. Phrases are sorted in groups of bounded size. A trigger with more phrases than a group takes is
+dealt to several; what each leaves is then compared across them by the windows' bytes.
 """
 
 from __future__ import annotations
@@ -19,14 +24,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlume.llm import textops as T
 from gridlume.llm.scratch import Scratch
 
 GRAM = 32
+#: Windows that are parsed in one go, and dictionary phrases that a group sorts.
+STEP, GROUP_ROWS = 1 << 20, 1 << 14
 _POS_BITS = T.U64(28)
+_NO_ID = -(1 << 63)
 
 
 def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
@@ -49,38 +57,37 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def phrases(part: T.Slice, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Row, trigger hash, phrase hash, start of the first window (in the slice), number of windows of each phrase."""
-    size = np.diff(part.offsets)
-    windows = np.maximum(size - length + 1, 0)
-    total = int(windows.sum())
-    if not total:
-        return tuple(np.zeros(0, t) for t in (np.int64, T.U64, T.U64, np.int64, np.int64))
-    grams = gram_hashes(part.buf, gram)
-    # the slice is far under 2**28 bytes unless one text is larger; then positions count from the text's blocks
-    place = np.arange(len(grams), dtype=T.U64) & ((T.U64(1) << _POS_BITS) - T.U64(1))
-    least = _sliding_min((grams >> _POS_BITS << _POS_BITS) | place, length - gram + 1)
-    row = np.repeat(np.arange(len(part)), windows)
-    first = np.cumsum(windows) - windows
-    start = np.arange(total) - first[row] + part.offsets[:-1][row]
-    trigger = (least[start] & ((T.U64(1) << _POS_BITS) - T.U64(1))).astype(np.int64)
-    if len(grams) >> int(_POS_BITS):
-        trigger += start >> int(_POS_BITS) << int(_POS_BITS)
-        trigger += (trigger < start).astype(np.int64) << int(_POS_BITS)
-    new = np.ones(total, bool)
-    new[1:] = (trigger[1:] != trigger[:-1]) | (row[1:] != row[:-1])
-    at = np.flatnonzero(new)
-    count = np.diff(np.append(at, total))
-    lo, trig = start[at], trigger[at]
-    body = T.hash_spans(part.buf, lo, lo + count + length - 1)
-    return row[at], grams[trig], T.mix(body + (trig - lo).astype(T.U64) * T._SHINGLE[7]), lo, count
-
-
-def _text_tags(part: T.Slice, tagged: bool) -> np.ndarray:
-    """23 bits of each text's hash, so that rows that repeat an id but not its text stay apart; zeros where no id repeats."""
-    if not tagged:
-        return np.zeros(len(part), np.int64)
-    return np.array([int.from_bytes(hashlib.blake2b(part.text(i), digest_size=4).digest(), "little") >> 9 for i in range(len(part))], np.int64)
+def phrases(part: T.Slice, length: int, gram: int = GRAM, step: int = STEP, bits: int = 64) -> tuple[np.ndarray, ...]:
+    """Row, trigger hash, phrase hash and check, start of the first window (in the slice), number of windows and trigger offset of each phrase.
+
+    A long text is taken ``step`` windows at a time. A phrase that a step's end cuts in two is two phrases of one trigger, whose
+    windows are compared like those of any others.
+    """
+    found = [tuple(np.zeros(0, t) for t in (np.int64, T.U64, T.U64, np.int32, np.int64, np.int64, np.int64))]
+    for a in range(0, max(0, len(part.buf) - length + 1), step):
+        buf = part.buf[a : a + step + length - 1]
+        start = np.arange(len(buf) - length + 1)
+        row = np.searchsorted(part.offsets, start + a, "right") - 1
+        inside = start + a + length <= part.offsets[row + 1]
+        start, row = start[inside], row[inside]
+        if not len(start):
+            continue
+        grams = gram_hashes(buf, gram) >> T.U64(64 - bits)
+        # ties go to the first gram of a window, which depends on its bytes alone
+        ordered = T.mix(grams) >> _POS_BITS << _POS_BITS
+        least = _sliding_min(ordered | np.arange(len(grams), dtype=T.U64), length - gram + 1)
+        trigger = (least[start] & ((T.U64(1) << _POS_BITS) - T.U64(1))).astype(np.int64)
+        new = np.ones(len(start), bool)
+        new[1:] = (trigger[1:] != trigger[:-1]) | (row[1:] != row[:-1])
+        at = np.flatnonzero(new)
+        count = np.diff(np.append(at, len(start)))
+        lo, trig = start[at], trigger[at]
+        end = lo + count + length - 1
+        body = T.hash_spans(buf, lo, end)
+        sums = np.concatenate([np.zeros(1, T.U64), np.cumsum(T.mix(grams + T.U64(1)))])
+        check = ((sums[end - gram + 1] - sums[lo]) >> T.U64(32)).astype(np.uint32).view(np.int32)
+        found.append((row[at], grams[trig], T.mix(body + (trig - lo).astype(T.U64) * T._SHINGLE[7]), check, lo + a, count, trig - lo))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _again(row: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -92,111 +99,150 @@ def _again(row: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-#: place: text tag (23 bits), start of the first window (32), number of windows minus one (8).
-def _parse(docs: DataFrame, length: int, tagged: bool) -> DataFrame:
+#: place: start of the first window, trigger offset (8 bits), number of windows minus one (8).
+def _place(lo: np.ndarray, toff: np.ndarray | int, count: np.ndarray) -> np.ndarray:
+    return lo.astype(np.int64) << 16 | toff << 8 | (count - 1)
+
+
+def _parse(docs: DataFrame, length: int, step: int, bits: int) -> DataFrame:
     """Every phrase occurrence; one that repeats a phrase of its own document has no trigger (it is a repeat for certain)."""
 
     def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, trigger, phrase, lo, count = phrases(part, length)
-        place = _text_tags(part, tagged)[row] << 40 | (lo - part.offsets[row]) << 8 | (count - 1)
-        own = _again(row, phrase)
-        return pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64), mask=own), pa.array(phrase.view(np.int64), mask=own), batch.column(0).take(pa.array(row)), pa.array(place)], ["trigger", "phrase", "doc_id", "place"])
+        row, trigger, phrase, check, lo, count, toff = phrases(part, length, step=step, bits=bits)
+        place = _place(lo - part.offsets[row], toff, count)
+        own = _again(row, phrase + (check.view(np.uint32).astype(T.U64) << T.U64(32)))
+        rows = pa.array(row)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(trigger.view(np.int64), mask=own), pa.array(phrase.view(np.int64), mask=own), pa.array(check, mask=own), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place)],
+            ["trigger", "phrase", "check", "doc_id", "tag", "place"],
+        )
 
-    return T.map_slices(docs, run, "trigger long, phrase long, doc_id long, place long")
+    return T.map_slices(docs, run, "trigger long, phrase long, check int, doc_id long, tag long, place long")
 
 
-def _suffixes(rows: DataFrame, length: int, tagged: bool) -> DataFrame:
-    """Hash and position of each window of the phrases listed for a document (``doc_id, text, places``, ids ascending in a task).
+def _bodies(rows: DataFrame, length: int) -> DataFrame:
+    """``group, dealt, doc_id, tag, place, body``: the bytes of the phrases listed for a document (``doc_id, tag, text, items``)."""
 
-    ``known``: the same window came before in this task, so it is a repeat whatever the other tasks hold; such a row's hash
-    is its own. What is left of a frequent window is one row a task. Each task remembers its windows' hashes.
+    def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(3)
+        items = lists.flatten()
+        row = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
+        place = items.field(0).to_numpy()
+        lo = (place >> 16) + part.offsets[row]
+        size = (place & 255) + length
+        ends = np.cumsum(size)
+        flat = part.buf[np.repeat(lo - (ends - size), size) + np.arange(int(size.sum()))]
+        body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append([0], ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+        rows = pa.array(row)
+        return pa.RecordBatch.from_arrays([items.field(1), items.field(2), batch.column(0).take(rows), batch.column(1).take(rows), items.field(0), body], ["group", "dealt", "doc_id", "tag", "place", "body"])
+
+    return T.map_slices(rows, run, "group int, dealt boolean, doc_id long, tag long, place long, body binary")
+
+
+def _sorted_prefixes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows (byte strings of one length), and what each has in common with the row before it."""
+    n, width = x.shape
+    order = np.argsort(np.ascontiguousarray(x).view(f"S{width}").ravel(), kind="stable")
+    common = np.zeros(n, np.int64)
+    for a in range(1, n, 4096):
+        differ = x[order[a : a + 4096]] != x[order[a - 1 : a - 1 + len(order[a : a + 4096])]]
+        common[a : a + 4096] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return order, common
+
+
+def equal_windows(body: np.ndarray, start: np.ndarray, toff: np.ndarray, count: np.ndarray, doc: np.ndarray, tag: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase, window in it) of those windows that a phrase before it has too; phrases are in corpus order (doc, tag, place).
+
+    ``body[start[i]:start[i + 1]]`` is phrase i. A phrase of the same doc with another tag is no phrase before it.
+    """
+    n, side = len(toff), length - gram
+    last = len(body) - 1
+
+    def context(at: np.ndarray, inside) -> np.ndarray:
+        return np.where(inside(at), body[np.clip(at, 0, last)], 0).astype(np.uint8)
+
+    trigger = (start[:-1] + toff)[:, None]
+    onward, common_on = _sorted_prefixes(context(trigger + np.arange(length), lambda at: at < start[1:, None]))
+    back, common_back = _sorted_prefixes(context(trigger - 1 - np.arange(max(side, 1)), lambda at: at >= start[:-1, None]))
+    on, before = np.empty(n, np.int64), np.empty(n, np.int64)
+    rows, windows = [], []
+    for t in range(side + 1):  # the trigger's place in the window
+        own = np.flatnonzero((t <= toff) & (toff - t < count))
+        if len(own) < 2:
+            continue
+        on[onward], before[back] = np.cumsum(common_on < length - t), np.cumsum(common_back < t)
+        run = on[own] * (n + 1) + before[own]
+        order = np.argsort(run, kind="stable")
+        run, at = run[order], own[order]
+        same = np.append([False], run[1:] == run[:-1])
+        if not same.any():
+            continue
+        first = at[np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))]
+        previous = np.append(at[:1], at[:-1])
+        known = same & ((doc[at] > doc[first]) | ((doc[at] == doc[previous]) & (tag[at] == tag[previous])))
+        rows.append(at[known]), windows.append(toff[at[known]] - t)
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(rows), np.concatenate(windows)
+
+
+_RUNS = "doc_id long, tag long, place long, window binary"
+
+
+def _runs(bodies: DataFrame, length: int) -> DataFrame:
+    """Repeated windows of each group as places of neighbours (``window`` null); of dealt phrases, one row for each other window."""
+
+    def run(table: pa.Table) -> pa.Table:
+        place = table["place"].to_numpy()
+        doc, tag = table["doc_id"].to_numpy(), table["tag"].to_numpy()
+        order = np.lexsort(((place >> 16) + (place >> 8 & 255), tag, doc))
+        table = table.take(pa.array(order)).combine_chunks()
+        doc, tag, place = doc[order], tag[order], place[order]
+        text = table["body"].combine_chunks()
+        offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+        body = np.frombuffer(text.buffers()[2], np.uint8)
+        lo, toff, count = place >> 16, place >> 8 & 255, (place & 255) + 1
+        row, window = equal_windows(body, offsets, toff, count, doc, tag, length)
+        order = np.lexsort((window, row))
+        row, window = row[order], window[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(row)))
+        head = row[at]
+        out = [(doc[head], tag[head], _place(lo[head] + window[at], 0, size), pa.nulls(len(at), pa.binary()))]
+        dealt = np.flatnonzero(table["dealt"].to_numpy())
+        if len(dealt):
+            many = count[dealt]
+            r = np.repeat(dealt, many)
+            w = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            fresh = ~np.isin(r << 8 | w, row << 8 | window)
+            r, w = r[fresh], w[fresh]
+            bytes_ = body[(offsets[r] + w)[:, None] + np.arange(length)]
+            out.append((doc[r], tag[r], _place(lo[r] + w, 0, np.ones(len(r), np.int64)), pa.array([x.tobytes() for x in bytes_], pa.binary())))
+        return pa.concat_tables([pa.table([pa.array(d), pa.array(g), pa.array(p), b], ["doc_id", "tag", "place", "window"]) for d, g, p, b in out])
+
+    return bodies.groupBy("group").applyInArrow(run, _RUNS)
+
+
+def _across(rest: DataFrame) -> DataFrame:
+    """Of the windows that the groups of one trigger left, those that a smaller id, or their own document before, has too.
+
+    A group leaves a window once (or once for each version of its least document), so a window's rows are as few as its groups.
     """
+    same = Window.partitionBy("window")
+    ranked = rest.select("*", F.min("doc_id").over(same).alias("least"), F.row_number().over(Window.partitionBy("window", "doc_id", "tag").orderBy("place")).alias("k"))
+    return ranked.where("doc_id > least or k > 1").select("doc_id", "tag", "place")
+
 
-    def run(batches):
-        seen, fresh = np.zeros(0, T.U64), []
-        # windows of the last id, which other rows of that id are not held against
-        last_id, last = None, np.zeros(0, T.U64)
-        for batch in batches:
-            for part in T.slices(batch.column(1)):
-                own = batch.slice(part.row, len(part))
-                tags, lists = _text_tags(part, tagged), own.column(2)
-                place = lists.flatten().to_numpy()
-                row = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
-                keep = place >> 40 == tags[row]
-                place, row = place[keep], row[keep]
-                if not len(row):
-                    continue
-                n = (place & 255) + 1
-                pos = np.repeat((place >> 8 & 0xFFFFFFFF) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                row = np.repeat(row, n)
-                order = np.argsort(pos + part.offsets[row], kind="stable")
-                pos, row = pos[order], row[order]
-                at = pos + part.offsets[row]
-                value = T.hash_spans(part.buf, at, at + length)
-                ids = own.column(0).to_numpy()[row]
-                known = _again(row, value)
-                order = np.argsort(value, kind="stable")
-                head = np.ones(len(order), bool)
-                head[1:] = value[order][1:] != value[order][:-1]
-                known[order] |= ids[order] > ids[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-                if len(fresh) > 8:
-                    seen, fresh = np.sort(np.concatenate([seen, *fresh])), []
-                for old, against in ((seen, True), *((x, True) for x in fresh), (last, ids != last_id)):
-                    if len(old):
-                        known |= against & (old[np.minimum(np.searchsorted(old, value), len(old) - 1)] == value)
-                new, newest = value[~known], ids[~known] == ids[-1]
-                if last_id != ids[-1]:
-                    fresh.append(last)
-                    last_id, last = ids[-1], np.zeros(0, T.U64)
-                fresh.append(np.sort(new[~newest]))
-                last = np.sort(np.concatenate([last, new[newest]]))
-                place = tags[row] << 40 | pos << 8
-                # neighbouring known windows are one row: place counts them
-                run_start = np.ones(len(pos), bool)
-                run_start[1:] = ~known[1:] | ~known[:-1] | (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)
-                at_run = np.flatnonzero(run_start)
-                size = np.diff(np.append(at_run, len(pos)))
-                parts = -(-size // 256)
-                head = np.repeat(at_run, parts) + 256 * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
-                count = np.minimum(np.repeat(at_run + size, parts) - head, 256)
-                value = np.where(known[head], T.mix(value[head] + T.mix(at[head].astype(T.U64) + T.U64(part.row))), value[head])
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[head]), pa.array(place[head] + count - 1), pa.array(known[head])], ["suffix", "doc_id", "place", "known"])
-
-    return rows.mapInArrow(run, "suffix long, doc_id long, place long, known boolean")
-
-
-def _repeats(rows: DataFrame) -> DataFrame:
-    """Positions of the windows that a smaller id has too, from rows sorted by hash and id; one pass, nothing held."""
-
-    def run(batches):
-        last, first = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            suffix, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            known = batch.column(3).to_numpy(zero_copy_only=False)
-            new = np.ones(len(suffix), bool)
-            new[1:] = suffix[1:] != suffix[:-1]
-            least = ids[np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))]
-            if last is not None and suffix[0] == last:
-                head = np.arange(len(ids)) < (np.flatnonzero(new)[1] if new.sum() > 1 else len(ids))
-                least = np.where(head, first, least)
-            last, first = suffix[-1], least[-1]
-            keep = pa.array(known | (ids > least))
-            yield pa.RecordBatch.from_arrays([batch.column(1).filter(keep), batch.column(2).filter(keep)], ["doc_id", "place"])
-
-    return rows.repartition("suffix").sortWithinPartitions("suffix", "doc_id").mapInArrow(run, "doc_id long, place long")
-
-
-def _apply(rows: DataFrame, length: int, tagged: bool) -> DataFrame:
+def _apply(rows: DataFrame, length: int) -> DataFrame:
     def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
-        tags, lists = _text_tags(part, tagged), batch.column(2)
+        lists = batch.column(2)
         n_removed, n_spans, digest, spans = [], [], [], []
         for i in range(len(part)):
             own = lists[i].values
-            own = np.zeros(0, np.int64) if own is None else own.to_numpy()
-            own = np.sort(own[own >> 40 == tags[i]])
-            lo = own >> 8 & 0xFFFFFFFF
+            own = np.zeros(0, np.int64) if own is None else np.sort(own.to_numpy())
+            lo = own >> 16
             hi = np.maximum.accumulate(lo + (own & 255) + length) if len(own) else lo
             cut = np.flatnonzero(lo[1:] > hi[:-1]) + 1
             a, b = lo[np.append([0], cut)] if len(lo) else lo, hi[np.append(cut - 1, len(hi) - 1)] if len(lo) else lo
@@ -215,38 +261,52 @@ def _apply(rows: DataFrame, length: int, tagged: bool) -> DataFrame:
     return T.map_slices(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
-def repeated_strings(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_strings(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, step: int = STEP, trigger_bits: int = 64) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` for every row; spans: from, to, from, to, ... in bytes.
 
     Removed is each byte inside a ``length``-byte string (of the UTF-8 text) that also starts earlier: in a document of smaller
     id, or earlier in the same one. A null text is empty; texts under ``length`` bytes keep all. A null id stands before all
     others. Rows that repeat an id are versions of one document: each is held against other documents and itself, not against
     the others of its id; equal rows get equal results. Other columns are not read. ``length`` is 33 to 255.
+    Occurrences of one phrase are told by 96 bits of hash beside its trigger's, windows of different phrases by their bytes.
+    ``group_rows`` phrases are sorted together, ``step`` windows parsed together; fewer ``trigger_bits`` make more phrases share
+    a trigger. None of the three changes a result.
     """
     scratch = Scratch(docs.sparkSession, "phrasedup")
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    # where ids repeat, a document is its id and its text
     tagged = rows != ids
-    parse = scratch.save(_parse(docs, length, tagged), "parse")
+    docs = docs.select("doc_id", (F.xxhash64("text") if tagged else F.lit(0).cast("long")).alias("tag"), "text")
+    parse = scratch.save(_parse(docs, length, step, trigger_bits), "parse")
     shared = parse.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1 and trigger is not null").select("trigger")
-    cand = scratch.save(parse.join(shared, "trigger", "left_semi").union(parse.where("trigger is null")), "shared")
+    cand = parse.join(shared, "trigger", "left_semi").union(parse.where("trigger is null"))
+    cand = scratch.save(cand.distinct() if tagged else cand, "shared")
     scratch.drop("parse")
     # a phrase is once in a document, so its least document holds its first occurrence
-    dictionary = cand.where("trigger is not null").groupBy("trigger", "phrase").agg(F.min("doc_id").alias("first"))
-    dictionary = scratch.save(dictionary, "dictionary")
-    several = dictionary.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger", F.lit(True).alias("several"))
-    graded = cand.where("trigger is not null").join(dictionary, ["trigger", "phrase"]).join(several, "trigger", "left")
-    graded = graded.where("doc_id > first or several").select("doc_id", "place", (F.col("doc_id") > F.col("first")).alias("later"))
-    graded = scratch.save(graded.union(cand.where("trigger is null").select("doc_id", "place", F.lit(True))), "graded")
-    scratch.drop("shared", "dictionary")
-
-    open_ = graded.where("not later").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    # written first, so that the texts' shuffle is gone before the windows' begins
-    texts = scratch.save(docs.join(open_, "doc_id").select("doc_id", "text", "places"), "texts")
-    partly = scratch.save(_repeats(_suffixes(texts.sortWithinPartitions("doc_id"), length, tagged)), "partly")
-    scratch.drop("texts")
-
-    removed = scratch.save(graded.where("later").select("doc_id", "place").union(partly).groupBy("doc_id").agg(F.collect_list("place").alias("places")), "removed")
-    scratch.drop("graded", "partly")
-    out = _apply(docs.join(removed, "doc_id", "left").select("doc_id", "text", "places"), length, tagged)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
+    phrase = ["trigger", "phrase", "check"]
+    dictionary = scratch.save(cand.where("trigger is not null").groupBy(*phrase).agg(F.min("doc_id").alias("first")), "dictionary")
+    several = scratch.save(dictionary.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    groups = max(1, -(-(several.agg(F.sum("n")).first()[0] or 0) // group_rows))
+    later = F.col("doc_id") > F.col("first")
+    shares = F.ceil(F.col("n") / group_rows)
+    group = F.pmod(F.xxhash64("trigger", F.pmod(F.xxhash64("phrase", "check"), shares)), F.lit(groups)).cast("int")
+    graded = cand.where("trigger is not null").join(dictionary, phrase).join(several, "trigger", "left").where(later | F.col("n").isNotNull())
+    graded = graded.select("doc_id", "tag", "place", F.when(~later, group).alias("group"), F.when(~later, shares > 1).alias("dealt"))
+    none = cand.where("trigger is null").select("doc_id", "tag", "place", F.lit(None).cast("int").alias("group"), F.lit(None).cast("boolean").alias("dealt"))
+    graded = scratch.save(graded.union(none), "graded")
+    scratch.drop("shared", "dictionary", "several")
+
+    open_ = graded.where("group is not null").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "group", "dealt")).alias("items"))
+    # one row of each document that is there several times
+    texts = docs.join(open_, ["doc_id", "tag"])
+    texts = texts.groupBy("doc_id", "tag").agg(F.first("text").alias("text"), F.first("items").alias("items")) if tagged else texts
+    bodies = scratch.save(_bodies(texts.select("doc_id", "tag", "text", "items"), length), "bodies")
+    found = scratch.save(_runs(bodies, length), "found")
+    scratch.drop("bodies")
+
+    places = graded.where("group is null").select("doc_id", "tag", "place").union(found.where("window is null").select("doc_id", "tag", "place")).union(_across(found.where("window is not null")))
+    removed = scratch.save(places.groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places")), "removed")
+    scratch.drop("graded", "found")
+    out = _apply(docs.join(removed, ["doc_id", "tag"], "left").select("doc_id", "text", "places"), length)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
