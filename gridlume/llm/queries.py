@@ -45,8 +45,25 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), report=REPORT).select("doc_id", *REPORT, "base_failed", "kept")
 
 
+#: The one tool of ``tool_calls_of``: answers of under 40 characters break its schema.
+ANSWER_TOOL = {"answer": {"type": "object", "required": ["n_chars"], "properties": {"n_chars": {"type": "integer", "minimum": 40}, "after": {"type": "string"}}, "additionalProperties": False}}
+
+
+def tool_calls_of(chats: DataFrame) -> DataFrame:
+    """A conversation as one with tools, as the table holds no calls: each assistant turn calls ``answer``, and each user
+    turn is the result of the turn before it (of none, at the beginning: an orphan). An answer of one line comes after the answer two turns
+    before it, one of several lines after the answer two turns later; two that name each other are a cycle."""
+    ref = F.concat(F.lit("c"), F.col("turn") + F.when(F.contains("text", F.lit("\n")), 2).otherwise(-2))
+    after = F.struct(ref.alias("$ref"))
+    call = F.struct(F.struct(after.alias("after"), F.length("text").alias("n_chars")).alias("arguments"), F.concat(F.lit("c"), F.col("turn")).alias("id"), F.lit("answer").alias("name"))
+    asked = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("content"), F.array(call).alias("tool_calls")))
+    result = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("content"), F.concat(F.lit("c"), F.col("turn") - 1).alias("tool_call_id")))
+    is_user = F.col("role") == "user"
+    return chats.select("conv_id", "turn", F.when(is_user, "tool").otherwise(F.col("role")).alias("role"), F.when(is_user, result).when(F.col("role") == "assistant", asked).otherwise(F.col("text")).alias("text"))
+
+
 def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_tool_calls(table(spark, sf_dir, "conversations"))
+    return link_tool_calls(tool_calls_of(table(spark, sf_dir, "conversations")), tools=ANSWER_TOOL)
 
 
 def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +139,29 @@ from m
 """
 
 OP2_SQL = """
+with recursive calls as (
+  select conv_id, turn, role, coalesce(text, '') as text, turn + case when contains(text, chr(10)) then 2 else -2 end as needs, length(text) as n from conversations where role = 'assistant'),
+size as (select conv_id, count(*) as most from calls group by 1),
+walk as (
+  select conv_id, turn as first, turn as here, 0 as k from calls
+  union all select w.conv_id, w.first, d.turn, w.k + 1 from walk w join calls c on c.conv_id = w.conv_id and c.turn = w.here join calls d on d.conv_id = c.conv_id and d.turn = c.needs join size s on s.conv_id = w.conv_id where w.k < s.most),
+walked as (select w.conv_id, first as turn, max(k) = any_value(most) as cycle, max({'turn': here, 'rank': 1 + 2 * k}) as reach from walk w join size s on s.conv_id = w.conv_id group by 1, 2),
+placed as (
+  select c.*, cycle, case when cycle then {'turn': c.turn, 'rank': 1} else reach end as place, u.turn as answer
+  from calls c join walked w on w.conv_id = c.conv_id and w.turn = c.turn left join conversations u on u.conv_id = c.conv_id and u.turn = c.turn + 1 and u.role = 'user')
 select conv_id, turn, 0::int as pos, role, 'message' as kind, null::varchar as call_id, null::varchar as name, null::varchar as status, null::varchar as problem,
   null::bigint as linked_turn, turn as order_turn, 0::bigint as order_rank, json_object('content', coalesce(text, ''), 'role', role)::varchar as json
-from conversations
+from conversations where role <> 'user'
+union all
+select conv_id, turn, 1, role, 'call', 'c' || turn, 'answer',
+  case when n is null or n < 40 then 'invalid' when cycle then 'cycle' when answer is null then 'unanswered' else 'ok' end, case when n is null then '$.n_chars: missing' when n < 40 then '$.n_chars: out of range' end,
+  answer, place.turn, place.rank, '{"arguments":{"after":{"$ref":"c' || needs || '"}' || coalesce(',"n_chars":' || n, '') || '},"id":"c' || turn || '","name":"answer"}'
+from placed
+union all
+select u.conv_id, u.turn, 0, 'tool', 'result', 'c' || (u.turn - 1), null, case when c.turn is null then 'orphan' else 'ok' end, null, c.turn,
+  case when place.turn > u.turn then place.turn else u.turn end, case when place.turn > u.turn or place.turn = u.turn and place.rank + 1 > 2 then place.rank + 1 else 2 end,
+  json_object('content', coalesce(u.text, ''), 'role', 'tool', 'tool_call_id', 'c' || (u.turn - 1))::varchar
+from conversations u left join placed c on c.conv_id = u.conv_id and c.turn = u.turn - 1 where u.role = 'user'
 """
 
 OP5_SQL = rf"""
@@ -179,7 +216,17 @@ def _op4_sql() -> str:
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 b as (select doc_id, t, list_sort(list_concat({_sql_spans(s.ASSIGN, 0, long)}, {_sql_spans(s.ACCESS, 1)}, {_sql_spans(s.HEX, 2)})) as base, {_sql_spans(s.CANDIDATE, 3)} as cand from d),
-c as (select doc_id, x[1] as a, x[3] as z, x[4] as body from (select doc_id, base, unnest(cand) as x from b) where not list_bool_or(list_append(list_transform(base, lambda s: s[1] < x[3] and x[1] < s[3]), false))),
+cand as (select doc_id, x[1] as a, x[3] as z, x[4] as body from (select doc_id, unnest(cand) as x from b)),
+cuts as (select cand.doc_id, a, z, body, x[1] as s, x[3] as e from cand join (select doc_id, unnest(base) as x from b) o on o.doc_id = cand.doc_id and x[1] < z and a < x[3]),
+pieces as (
+  select doc_id, a, body, greatest(a, coalesce(max(e) over (partition by doc_id, a order by s, e rows between unbounded preceding and 1 preceding), a)) as p, s as q from cuts
+  union all select doc_id, a, body, greatest(a, max(e)), z from cuts group by doc_id, a, z, body
+  union all select doc_id, a, body, a, z from cand where not exists (from cuts where cuts.doc_id = cand.doc_id and cuts.a = cand.a)),
+whole as (select doc_id, p, substr(body, (p - a + 1)::bigint, (q - p)::bigint) as body from pieces where q - p >= {s.WINDOW}),
+parts as (select doc_id, p, regexp_split_to_array(body, {_sql_text(s.ALLOW_PARTS)}) as g, regexp_extract_all(body, {_sql_text(s.ALLOW_PARTS)}) as m from whole),
+gaps as (select doc_id, p, g, m, unnest(range(1, len(g) + 1)) as i from parts),
+c as (select doc_id, a, (a + length(body))::bigint as z, body from (
+  select doc_id, g[i] as body, (p + coalesce(list_sum(list_transform(g[1:i - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint as a from gaps) where length(body) >= {s.WINDOW}),
 w as (select doc_id, a, z, body, unnest(range(1, length(body) - {s.WINDOW} + 2)) as i from c where regexp_matches(body, '[0-9]') and regexp_matches(body, '[A-Za-z]') and not ({allowed})),
 h as (select doc_id, a, z, body, list_sum(list_transform(list_distinct(string_split(substr(body, i, {s.WINDOW}), '')), lambda c: -((length(substr(body, i, {s.WINDOW})) - length(replace(substr(body, i, {s.WINDOW}), c, ''))) / {s.WINDOW}.0::double) * log2((length(substr(body, i, {s.WINDOW})) - length(replace(substr(body, i, {s.WINDOW}), c, ''))) / {s.WINDOW}.0::double))) as bits from w),
 e as (select doc_id, list((a, 3, z, body)) as more from (select doc_id, a, z, body from h group by all having max(bits) >= any_value({bits}) - 1e-9) group by 1)
