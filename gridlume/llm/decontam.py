@@ -6,6 +6,9 @@ too; an item counts in whichever reading more of it is found. Windows of ``windo
 hash-joined with those of the documents. A matched window counts only if the fillers of its slots fit the others of that
 occurrence of the item: one filler of the item always stands for one filler of the document. Questions with other
 numbers and names are caught that way, several variants in one document too, and chance fits of unrelated slots are not.
+
+Both sides of the join are tables. A bitmap of the benchmark's window hashes, of bounded size, goes to all tasks and turns
+nearly all windows of the documents away before they are rows; it decides nothing, as the join follows.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlume.llm import textops as T
+from gridlume.llm.scratch import Scratch
 
 #: Words that are units when a number stands before them.
 UNITS = (
@@ -90,64 +94,62 @@ def templates(part: T.Slice) -> tuple[Templates, Templates]:
     return tuple(Templates(part, w, np.where(own, NAME, kind).astype(np.int8), inner) for own in (capital & inner, capital))
 
 
-def _benchmark_windows(items: DataFrame, window: int, least: int) -> DataFrame:
-    """``item_id, text_key, reading, n, pos, key, kinds, fillers``: windows of each item in both readings (see ``templates``).
+def _slots(t: Templates, at: np.ndarray, n: int) -> pa.ListArray:
+    """The fillers of the slots in each window of ``n`` codes that begins at ``at``."""
+    place = at[:, None] + np.arange(n)
+    slot = t.kind[place] > 0
+    return pa.ListArray.from_arrays(np.append(0, np.cumsum(slot.sum(axis=1))).astype(np.int32), pa.array(t.filler[place][slot].view(np.int64)))
 
-    An item of fewer codes is one window as a whole, from ``least`` codes on.
-    """
 
-    def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, texts, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-        for reading, t in enumerate(templates(part)):
-            for n in range(least, window + 1):
-                value, at = t.windows(n)
-                for v, i in zip(value.view(np.int64).tolist(), at.tolist(), strict=True):
-                    d = t.words.doc[i]
-                    if n == window or t.words.first[d + 1] - t.words.first[d] == n:
-                        rows.append((ids[d], texts[d], reading, n, int(i - t.words.first[d]), v, t.kind[i : i + n].tolist(), t.filler[i : i + n].view(np.int64).tolist()))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], ["item_id", "text_key", "reading", "n", "pos", "key", "kinds", "fillers"])
-
-    return T.map_slices(items, run, "item_id long, text_key long, reading int, n int, pos int, key long, kinds array<int>, fillers array<long>")
-
-
-class _Index:
-    """Benchmark windows of one reading by size and hash, with a bitmap that turns nearly all other windows away."""
-
-    def __init__(self, rows: list):
-        self.by = defaultdict(lambda: defaultdict(list))
-        self.total = Counter()
-        for r in rows:
-            self.by[r["n"]][r["key"]].append(((r["item_id"], r["text_key"]), r["pos"], [(j, f) for j, (k, f) in enumerate(zip(r["kinds"], r["fillers"], strict=True)) if k]))
-            self.total[r["item_id"], r["text_key"]] += 1
-        self.by = {n: dict(x) for n, x in self.by.items()}
-        self.total = dict(self.total)
-        self.maps = {}
-        for n, x in self.by.items():
-            bits = np.zeros(1 << 22, bool)
-            bits[(np.array(list(x), np.int64).view(T.U64) >> T.U64(42)).astype(np.int64)] = True
-            self.maps[n] = bits
-
-    def hits(self, t: Templates) -> dict[int, list]:
-        found = defaultdict(list)
-        for n, known in self.by.items():
+def _windows(part: T.Slice, batch: pa.RecordBatch, sizes: list[int], keep) -> pa.RecordBatch | None:
+    """``doc_id, text_key, reading, n, at, key, fillers``: windows of both readings that ``keep(reading, n, hashes, document, codes of it)`` marks."""
+    out = []
+    for reading, t in enumerate(templates(part)):
+        size = np.diff(t.words.first)
+        for n in sizes:
             value, at = t.windows(n)
-            near = np.flatnonzero(self.maps[n][(value >> T.U64(42)).astype(np.int64)])
-            for v, i in zip(value[near].view(np.int64).tolist(), at[near].tolist(), strict=True):
-                if v in known:
-                    found[int(t.words.doc[i])] += [(item, pos, slots, i) for item, pos, slots in known[v]]
-        return found
+            doc = t.words.doc[at]
+            own = np.flatnonzero(keep(n, value, size[doc]))
+            if len(own):
+                value, at, doc = value[own], at[own], doc[own]
+                row = pa.array(doc)
+                same = lambda x, of=len(own): pa.array(np.full(of, x, np.int32))
+                out.append(pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), same(reading), same(n), pa.array((at - t.words.first[doc]).astype(np.int64)), pa.array(value.view(np.int64)), _slots(t, at, n)], _NAMES))
+    if not out:
+        return None
+    return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+
+
+_NAMES = ["doc_id", "text_key", "reading", "n", "at", "key", "fillers"]
+_SCHEMA = "doc_id long, text_key long, reading int, n int, at long, key long, fillers array<long>"
+
 
+def _benchmark_windows(items: DataFrame, window: int, least: int) -> DataFrame:
+    """Windows of each item (``doc_id, text_key, text``) in both readings. An item of fewer codes is one window as a whole, from ``least`` codes on."""
+    return T.map_slices(items, lambda part, batch: _windows(part, batch, list(range(least, window + 1)), lambda n, value, size: (size == n) | (n == window)), _SCHEMA)
+
+
+def _bitmap(keys: DataFrame, most_bits: int = 27) -> tuple[np.ndarray, int]:
+    """Bits set at two places of each key; at most 2 ** ``most_bits`` of them, whatever the benchmark."""
+    bits = int(min(most_bits, max(22, np.ceil(np.log2(keys.count() * 64 + 1)))))
+    places = keys.select(F.explode(F.array(F.shiftrightunsigned("key", 64 - bits), F.col("key").bitwiseAND((1 << bits) - 1))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy()
+    return out.view(T.U64), bits
 
-def _consistent(hits: list, filler: np.ndarray) -> set[int]:
-    """Item windows (by position) whose slot fillers agree with the commonest reading of each of the item's fillers."""
+
+def _consistent(hits: list) -> set[int]:
+    """Item windows (by position) whose slot fillers agree with the commonest reading of each of the item's fillers.
+
+    A hit is an item window's position, the document's, and pairs of the fillers of both.
+    """
     votes = defaultdict(Counter)
-    for _, _, slots, i in hits:
-        for j, f in slots:
-            votes[f][int(filler[i + j])] += 1
+    for _, _, slots in hits:
+        for f, g in slots:
+            votes[f][g] += 1
     best = {f: max(c.items(), key=lambda x: (x[1], -x[0]))[0] for f, c in votes.items()}
-    return {pos for _, pos, slots, i in hits if all(best[f] == int(filler[i + j]) for j, f in slots)}
+    return {pos for pos, _, slots in hits if all(best[f] == g for f, g in slots)}
 
 
 def _occurrences(hits: list) -> list[list]:
@@ -158,108 +160,111 @@ def _occurrences(hits: list) -> list[list]:
     shifts, runs, last = defaultdict(list), [], None
     by_place = defaultdict(list)
     for h in hits:
-        shifts[h[3] - h[1]].append(h)
-        by_place[h[3]].append(h)
+        shifts[h[1] - h[0]].append(h)
+        by_place[h[1]].append(h)
     for _, here in sorted(by_place.items()):
-        here.sort(key=lambda h: h[1])
-        on = next((h for h in here if last is not None and h[1] > last), None)
+        here.sort(key=lambda h: h[0])
+        on = next((h for h in here if last is not None and h[0] > last), None)
         if on is None:
             runs.append([])
         runs[-1].append(on or here[0])
-        last = runs[-1][-1][1]
+        last = runs[-1][-1][0]
     return [hits] if len(shifts) == 1 else [*shifts.values(), *runs, hits]
 
 
-def _most_consistent(hits: list, filler: np.ndarray) -> int:
+def _most_consistent(hits: list) -> int:
     """Consistent windows of the item's best occurrence."""
     most = 0
     for own in _occurrences(hits):
         if len(own) > most:
-            most = max(most, len(_consistent(own, filler)))
+            most = max(most, len(_consistent(own)))
     return most
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, least: int = 4, percent: int = 50, most_windows: int = 1_000_000) -> DataFrame:
-    """``doc_id, item_id, n_windows, n_matched, n_consistent, contaminated`` for every document and item that share a window.
+def _judged(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``good``, the consistent windows of each row's hits."""
 
-    Each distinct text of an item id is an item of its own, with rows of its own under that id.
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("hits")).to_pylist()
+            good = [_most_consistent([(h["pos"], h["at"], list(zip(h["own"], h["other"], strict=True))) for h in hits]) for hits in lists]
+            keep = [c for c in batch.schema.names if c != "hits"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(good, pa.int64())], [*keep, "good"])
 
-    contaminated: at least ``percent`` of the item's windows are found with consistent slots in one occurrence (or, where
-    its parts lie scattered, in the whole document); n_consistent are those of the best one. Items of under ``least``
-    codes, null texts and null item ids match nothing. Rows that repeat a document id are judged one by one. The benchmark
-    is sent to all tasks only in blocks of about ``most_windows`` windows (its size is counted first), with one
-    pass over the documents for each block, so none has to fit in memory as a whole. Other columns are not read.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for index in _blocks(benchmark, item_col, item_text_col, window, least, most_windows):
-        hits = _matches(docs, index, percent)
-        out = hits if out is None else out.union(hits)
-    return out
-
-
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, least: int = 4, percent: int = 50, most_windows: int = 1_000_000) -> DataFrame:
-    """``docs`` less the rows that hold an item (see ``contamination``); columns stay, and no row moves."""
-    for index in _blocks(benchmark, item_col, item_text_col, window, least, most_windows):
-        docs = _unmatched(docs, index, percent, text_col)
-    return docs
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema if f.name != "hits")
+    return pairs.mapInArrow(run, f"{fields}, good long")
 
 
-def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, least: int, most_windows: int):
-    """The benchmark's windows in blocks of whole items, each sent to all tasks; sizes are counted first."""
-    items = benchmark.where(f"`{item_col}` is not null").select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).distinct().select("item_id", F.xxhash64("text").alias("text_key"), "text")
-    keys = _benchmark_windows(items, window, least)
-    blocks = max(1, -(-keys.count() // most_windows))
-    for b in range(blocks):
-        own = keys.where(F.pmod(F.xxhash64("item_id", "text_key"), F.lit(blocks)) == b) if blocks > 1 else keys
-        yield benchmark.sparkSession.sparkContext.broadcast(own.collect())
+def _hits(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, least: int, percent: int, found_only: bool, most_broadcast: int) -> DataFrame:
+    """``doc_id, text_key, item_id, n_windows, n_matched, n_consistent`` of ``docs`` (``doc_id, text``); ``found_only``: of those pairs that can count."""
+    scratch = Scratch(docs.sparkSession, "decontam")
+    items = benchmark.where(f"`{item_col}` is not null").select(F.col(item_col).cast("long").alias("doc_id"), F.col(item_text_col).cast("string").alias("text")).distinct()
+    keys = scratch.save(_benchmark_windows(items.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), window, least), "keys")
+    bitmap, bits = _bitmap(keys)
+    sizes = sorted(r["n"] for r in keys.select("n").distinct().collect())
 
+    def is_set(place: np.ndarray) -> np.ndarray:
+        return (bitmap[(place >> T.U64(6)).astype(np.int64)] >> (place & T.U64(63)) & T.U64(1)).astype(bool)
 
-def _indexes(rows: list) -> list[_Index]:
-    return [_Index([r for r in rows if r["reading"] == k]) for k in (0, 1)]
+    def known(n: int, value: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return is_set(value >> T.U64(64 - bits)) & is_set(value & T.U64((1 << bits) - 1))
 
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    seen = T.map_slices(texts, lambda part, batch: _windows(part, batch, sizes, known), _SCHEMA)
+    item = ["item_id", "item_key", "reading"]
+    keys = keys.select(F.col("doc_id").alias("item_id"), F.col("text_key").alias("item_key"), "reading", "n", F.col("at").alias("pos"), "key", F.col("fillers").alias("own"))
+    total = keys.groupBy(*item).agg(F.count("*").alias("total"))
+    keys = keys.join(total, item)
+    if keys.limit(most_broadcast + 1).count() <= most_broadcast:
+        keys = F.broadcast(keys)
+    met = seen.withColumnRenamed("fillers", "other").join(keys, ["reading", "n", "key"]).where(F.size("own") == F.size("other"))
+    # equal rows of a document are one: what is collected is a set, and no longer than the document
+    pairs = met.groupBy("doc_id", "text_key", *item, "total").agg(F.collect_set(F.struct("pos", "at", "own", "other")).alias("hits"))
+    pairs = pairs.withColumn("matched", F.size(F.array_distinct(F.transform("hits", lambda h: h["pos"]))).cast("long"))
+    if found_only:
+        pairs = pairs.where(F.col("matched") * 100 >= F.col("total") * percent)
+    best = F.max_by(F.struct("total", "matched", "good"), F.struct(F.col("good") / F.col("total"), -F.col("reading")))
+    out = _judged(pairs).groupBy("doc_id", "text_key", "item_id", "item_key").agg(best.alias("b"))
+    return out.select("doc_id", "text_key", "item_id", F.col("b.total").alias("n_windows"), F.col("b.matched").alias("n_matched"), F.col("b.good").alias("n_consistent"))
 
-def _found(part: T.Slice, indexes: list[_Index], percent: int) -> list[tuple]:
-    """(row, item, windows, matched, consistent, contaminated) of a slice, by the reading with the larger consistent share."""
-    best = {}
-    for t, index in zip(templates(part), indexes, strict=True):
-        for d, hits in index.hits(t).items():
-            by = defaultdict(list)
-            for h in hits:
-                by[h[0]].append(h)
-            for item, own in by.items():
-                good, total = _most_consistent(own, t.filler), index.total[item]
-                old = best.get((d, item))
-                if old is None or good * old[2] > old[4] * total:
-                    best[d, item] = (d, item[0], total, len({h[1] for h in own}), good, 100 * good >= percent * total)
-    return [best[k] for k in sorted(best)]
 
+#: Rows (of benchmark windows, or of documents to drop) up to which they go to all tasks; their number is counted first.
+MOST_BROADCAST = 200_000
 
-def _unmatched(docs: DataFrame, rows, percent: int, text_col: str) -> DataFrame:
-    state: dict[str, list[_Index]] = {}
 
-    def keep(part: T.Slice) -> np.ndarray:
-        out = np.ones(len(part), bool)
-        out[[x[0] for x in _found(part, state.get("i") or state.setdefault("i", _indexes(rows.value)), percent) if x[5]]] = False
-        return out
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, least: int = 4, percent: int = 50, found_only: bool = False, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """``doc_id, text_key, item_id, n_windows, n_matched, n_consistent, contaminated`` for every document and item that share a window.
 
-    return T.filter_slices(docs, keep, text_col)
+    Each distinct text of an item id is an item of its own, with rows of its own under that id; a document is its id and its text
+    (text_key, the text's xxhash64), so rows that repeat an id with another text are judged by themselves and equal rows are one.
 
+    contaminated: at least ``percent`` of the item's windows are found with consistent slots in one occurrence (or, where
+    its parts lie scattered, in the whole document); n_consistent are those of the best one. Items of under ``least``
+    codes, null texts and null item ids match nothing. ``found_only`` leaves out pairs that share too few windows to count. The
+    benchmark's windows go to all tasks if there are no more than ``most_broadcast``, else both sides are shuffled by
+    window. Other columns are not read.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    hits = _hits(docs, benchmark, item_col, item_text_col, window, least, percent, found_only, most_broadcast)
+    return hits.withColumn("contaminated", F.col("n_consistent") * 100 >= F.col("n_windows") * percent)
 
-def _matches(docs: DataFrame, rows, percent: int) -> DataFrame:
-    state: dict[str, list[_Index]] = {}
 
-    def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = _found(part, state.get("i") or state.setdefault("i", _indexes(rows.value)), percent)
-        cols = list(zip(*found, strict=True)) if found else [[]] * 6
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:5]), pa.array(cols[5], pa.bool_())], ["doc_id", "item_id", "n_windows", "n_matched", "n_consistent", "contaminated"])
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = MOST_BROADCAST, **options) -> DataFrame:
+    """``docs`` less the rows that hold an item (see ``contamination``); columns stay.
 
-    return T.map_slices(docs, run, "doc_id long, item_id long, n_windows long, n_matched long, n_consistent long, contaminated boolean")
+    Rows go by id and text, null ids too. Rows are matched in place if no more than ``most_broadcast`` are to go, else by shuffle.
+    """
+    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, found_only=True, most_broadcast=most_broadcast, **options).where("contaminated")
+    bad = Scratch(docs.sparkSession, "decontam-rows").save(bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct(), "bad")
+    if bad.limit(most_broadcast + 1).count() <= most_broadcast:
+        bad = F.broadcast(bad)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_bad_key"))
+    return docs.join(bad, same, "left_anti")
 
 
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``doc_id, n_items, item_ids, n_consistent, contaminated`` for every distinct non-null document id."""
-    hits = contamination(docs, benchmark, **options)
+    hits = contamination(docs, benchmark, found_only=True, **options)
     bad = hits.where("contaminated").groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.array_join(F.array_sort(F.collect_set("item_id")).cast("array<string>"), ",").alias("item_ids"), F.max("n_consistent").alias("n_consistent"))
     ids = docs.select(F.col(options.get("id_col", "doc_id")).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     return ids.join(bad, "doc_id", "left").select("doc_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.lit("")).alias("item_ids"), F.coalesce("n_consistent", F.lit(0)).cast("long").alias("n_consistent"), F.col("n_items").isNotNull().alias("contaminated"))

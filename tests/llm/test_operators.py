@@ -526,8 +526,8 @@ def test_decontamination(spark):
     assert got[1].item_ids == "1" and got[7].item_ids == "2"
     hits = {(r.doc_id, r.item_id): r for r in decontam.contamination(frame(spark, rows), bench).collect()}
     assert hits[8, 1].n_consistent < hits[8, 1].n_matched  # one name stands for two
-    blocks = decontam.contaminated_documents(frame(spark, rows), bench, most_windows=3).collect()
-    assert {r.doc_id: r.item_ids for r in blocks} == {i: r.item_ids for i, r in got.items()}
+    by_shuffle = decontam.contaminated_documents(frame(spark, rows), bench, most_broadcast=0).collect()
+    assert {r.doc_id: r.item_ids for r in by_shuffle} == {i: r.item_ids for i, r in got.items()}
     assert decontam.contaminated_documents(empty(spark), bench).collect() == []
     assert not any(r.contaminated for r in decontam.contaminated_documents(frame(spark, rows), bench.limit(0)).collect())
 
@@ -564,10 +564,94 @@ def test_decontamination_of_repeated_item_ids(spark):
     other = "plain words of a second item that nobody else writes in this very order at all"
     bench = spark.createDataFrame([(1, ITEM), (1, other), (1, other), (1, None)], "item_id long, text string")
     rows = [(1, ITEM), (2, other), (3, f"{ITEM} {other}"), (4, "nothing of the kind is written here at any place")]
-    for most in (1_000_000, 3):
-        got = {r.doc_id: r for r in decontam.contaminated_documents(frame(spark, rows), bench, most_windows=most).collect()}
+    for most in (1_000_000, 0):
+        got = {r.doc_id: r for r in decontam.contaminated_documents(frame(spark, rows), bench, most_broadcast=most).collect()}
         assert {i: (r.n_items, r.item_ids) for i, r in got.items() if r.contaminated} == {i: (1, "1") for i in (1, 2, 3)}
-        assert sorted(r.doc_id for r in decontam.without_contaminated(frame(spark, rows), bench, most_windows=most).collect()) == [4]
+        assert sorted(r.doc_id for r in decontam.without_contaminated(frame(spark, rows), bench, most_broadcast=most).collect()) == [4]
+
+
+def template_codes(t, reading):
+    """Brute force of the templates: (code, filler) of each word or run of placeholders; the filler is None for plain words."""
+    out, last, end, kind = [], None, 0, 0
+    for m in re.finditer(r"(?:[A-Za-z0-9\x80-\U0010ffff]|(?<=[0-9])[.,](?=[0-9]))+", t or ""):
+        word = m[0]
+        inner = last is not None and not set(t[end : m.start()]) & set('.!?:;\n\r"()[]')
+        if word[0] in "0123456789":
+            kind = decontam.NUMBER
+        elif last == decontam.NUMBER and re.sub("[A-Z]", lambda x: x[0].lower(), word) in decontam.UNITS:
+            kind = decontam.UNIT
+        elif "A" <= word[0] <= "Z" and (inner or reading):
+            kind = decontam.NAME
+        else:
+            kind = 0
+        low = re.sub("[A-Z]", lambda x: x[0].lower(), word)
+        if kind and kind == last and not (kind == decontam.NAME and not inner):
+            out[-1] = (kind, (*out[-1][1], low))
+        else:
+            out.append((kind, (low,)) if kind else (low, None))
+        last, end = kind, m.end()
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    """Windows, matches and consistent windows of every pair with one copy, from the texts alone."""
+    rng = random.Random(31)
+    names, units, plain = "Paris Lyon Ada Tom Zoe Max".split(), "km miles kg hours".split(), [text(rng, 1) for _ in range(40)]
+
+    def sentence(n):
+        made = []
+        for _ in range(n):
+            made.append(rng.choice([rng.choice(plain)] * 4 + [rng.choice(names), str(rng.randint(1, 99)), f"{rng.randint(1, 9)},{rng.randint(100, 999)} {rng.choice(units)}", rng.choice(plain).title() + "."]))
+        return " ".join(made)
+
+    def changed(t):
+        swap, mixed = dict(zip(names, rng.sample(names, len(names)), strict=True)), rng.random() < 0.4
+        return " ".join((rng.choice(names) if mixed else swap[w]) if w in swap else str(int(w) + 5) if w.isdigit() else w for w in t.split(" "))
+
+    items = [(i, sentence(rng.randint(3, 24))) for i in range(12)]
+    rows = [(i, f"{sentence(rng.randint(0, 20))} {changed(rng.choice(items)[1]) if i % 3 else sentence(20)} {sentence(rng.randint(0, 20))}") for i in range(60)]
+    rows += [(70, items[0][1]), (71, None), (72, ""), (73, text(rng, 20_000) + " " + items[1][1])]
+    want, sure = {}, {}
+    for d, t in rows:
+        for i, u in items:
+            best = None
+            for reading in (0, 1):
+                a, b = template_codes(u, reading), template_codes(t, reading)
+                n = 8 if len(a) >= 8 else len(a)
+                if n < 4:
+                    continue
+                key = lambda c, p, n=n: tuple(x for x, _ in c[p : p + n])
+                of = Counter()
+                hits = [(p, q) for p in range(len(a) - n + 1) for q in range(len(b) - n + 1) if key(a, p) == key(b, q)]
+                if not hits:
+                    continue
+                for p, q in hits:
+                    of.update((a[p + k][1], b[q + k][1]) for k in range(n) if a[p + k][1])
+                top = {f: max(c for (g, _), c in of.items() if g == f) for f, _ in of}
+                tie = any(sum(c == top[f] for (g, _), c in of.items() if g == f) > 1 for f in top)
+                good = {p for p, q in hits if all(of[a[p + k][1], b[q + k][1]] == top[a[p + k][1]] for k in range(n) if a[p + k][1])}
+                found = (len(a) - n + 1, len({p for p, _ in hits}), len(good))
+                one = len({q - p for p, q in hits}) == 1 and not tie
+                if best is None or found[2] * best[0][0] > best[0][2] * found[0]:
+                    best = (found, one)
+                elif not one:
+                    best = (best[0], False)
+            if best:
+                want[d, i], sure[d, i] = best
+    for most in (0, 10_000):
+        got = {(r.doc_id, r.item_id): (r.n_windows, r.n_matched, r.n_consistent) for r in decontam.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), most_broadcast=most).collect()}
+        assert set(got) == set(want)
+        assert {k: got[k] for k in want if sure[k]} == {k: want[k] for k in want if sure[k]} and sum(sure.values()) > 20
+    assert any(a != b for _, a, b in want.values()) and any(2 * c >= a for a, _, c in want.values())
+
+
+def test_decontamination_keeps_other_texts_of_an_id(spark):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    rows = [(1, ITEM), (1, "other words of the same document id that nobody asks about"), (None, ITEM), (None, "clean words here"), (2, ITEM), (2, ITEM), (3, None)]
+    for most in (1000, 0):
+        left = decontam.without_contaminated(frame(spark, rows), bench, most_broadcast=most)
+        assert left.columns == frame(spark, rows).columns
+        assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([rows[1], rows[3], rows[6]])
 
 
 def labelled(rng, n):
