@@ -2,8 +2,11 @@
 
 Documents are cut only where they are longer than a sequence. Pieces are dealt by hash into partitions of about
 ``bins_per_partition`` sequences; each packs its pieces by best-fit decreasing and compares its bin count with a lower
-bound from dual feasible functions. Partitions at their bound are done. The others exchange their pieces under a
-new hash and pack again, into ever fewer partitions; a round that doesn't save a sequence is dropped and ends the work.
+bound from dual feasible functions. Partitions at their bound are done, but for sequences that are far from full. All others
+exchange their pieces under a new hash and pack again, into fewer partitions. A round that saves no sequence is dropped and
+tried under another hash. Rounds end when the count reaches the bound of all pieces together (which follows
+from the numbers of pieces by length), when what was exchanged is as full as it can be, or after some rounds without gain. Every
+row carries its partition's bin count and bound, so what is not certified can be seen.
 """
 
 from __future__ import annotations
@@ -42,10 +45,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_len: int, end_id: int) ->
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:
-    """Bins that any packing of ``lengths`` needs at least: the best of three families of dual feasible functions."""
+    """Bins that any packing of ``lengths`` needs at least."""
+    return bound_of(*np.unique(lengths, return_counts=True), size)
+
+
+def bound_of(lengths: np.ndarray, number: np.ndarray, size: int) -> int:
+    """The same of ``number`` items of each of the ``lengths``: the best of three families of dual feasible functions."""
     if not len(lengths):
         return 0
-    count = np.bincount(lengths, minlength=size + 1).astype(np.int64)
+    count = np.zeros(size + 1, object)  # whole numbers of any size: a corpus has very many pieces
+    count[lengths] = number
     x = np.arange(size + 1, dtype=np.int64)
     best = -(-int((count * x).sum()) // size)
     # over a threshold t: items above size - t fill a bin, items under t cost nothing
@@ -89,7 +98,9 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return bins, offsets, used
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, load long, gap boolean"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, load long, part_bins long, part_bound long"
+#: Pieces that meet in one task at most, on average.
+PIECES_PER_PARTITION = 500_000
 
 
 def _pack(pieces: DataFrame, parts: int, salt: int, size: int) -> DataFrame:
@@ -98,44 +109,58 @@ def _pack(pieces: DataFrame, parts: int, salt: int, size: int) -> DataFrame:
         lengths = table["length"].to_numpy()
         bins, offsets, used = best_fit_decreasing(lengths, size)
         load = np.bincount(bins, lengths, used).astype(np.int64)[bins]
-        gap = used > lower_bound(lengths, size)
-        for name, own in (("bin", bins), ("offset", offsets), ("load", load)):
+        same = np.ones(len(lengths), np.int64)
+        for name, own in (("bin", bins), ("offset", offsets), ("load", load), ("part_bins", same * used), ("part_bound", same * lower_bound(lengths, size))):
             table = table.append_column(name, pa.array(own, pa.int64()))
-        return table.append_column("gap", pa.array(np.full(len(lengths), gap)))
+        return table
 
-    dealt = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(parts)).alias("part"))
+    dealt = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("doc_id", "piece", "nr", F.lit(salt)), F.lit(parts)).alias("part"))
     return dealt.groupBy("part").applyInArrow(run, _PACKED)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1, bins_per_partition: int = 2048, rounds: int = 3) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of every document.
+def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1, bins_per_partition: int = 2048, rounds: int = 16, patience: int = 2) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset, part_bins, part_bound`` for every piece of every document.
 
     A document is its ids (tokenizer file ``tokenizer``, no special tokens added) and ``end_id``; a null or empty text is
     ``end_id`` alone. Only longer documents are cut, into pieces of ``size`` ids. Rows with a null id or a repeated id
-    are packed like any other. Other columns are not read; an empty table gives no rows.
+    are packed like any other. part_bins are the sequences of the piece's last partition, part_bound those that any packing of
+    its pieces needs. At most ``rounds`` exchanges are made, and ``patience`` more after one that saves nothing. Other columns are not read;
+    an empty table gives no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "packing")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = scratch.save(token_pieces(docs, tokenizer, size, end_id), "pieces")
-    n, tokens = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    parts = max(1, -(-tokens // (size * bins_per_partition)), -(-n // 500_000))
+    # written, so a piece's number is fixed; it deals rows that share id and piece apart
+    pieces = scratch.save(token_pieces(docs, tokenizer, size, end_id).withColumn("nr", F.monotonically_increasing_id()), "pieces")
+    by_length = pieces.groupBy("length").count().toArrow()  # at most ``size`` rows
+    lengths, number = by_length["length"].to_numpy(), by_length["count"].to_numpy()
+    n, tokens, bound = int(number.sum()), int((lengths * number).sum()), bound_of(lengths, number, size)
+    parts = max(1, -(-tokens // (size * bins_per_partition)), -(-n // PIECES_PER_PARTITION))
     now = scratch.save(_pack(pieces, parts, 0, size), "round-0")
-    done = [now.withColumn("round", F.lit(0))]
+    done, used, failed = [now.withColumn("round", F.lit(0))], _bins(now), 0
     for k in range(1, rounds + 1):
-        loose = F.col("gap") | (F.col("load") * 4 <= size * 3)
+        if used <= bound or failed > patience:
+            break
+        loose = (F.col("part_bins") > F.col("part_bound")) | (F.col("load") * 4 <= size * 3)
         moved = now.where(loose)
-        before, parts, tokens = moved.select("part", "bin", "load").distinct().agg(F.count("*"), F.countDistinct("part"), F.coalesce(F.sum("load"), F.lit(0))).first()
+        before, parts, tokens, n = moved.groupBy("part", "bin").agg(F.max("load").alias("load"), F.count("*").alias("n")).agg(F.count("*"), F.countDistinct("part"), F.coalesce(F.sum("load"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if before <= -(-tokens // size):
             break
-        fewer = max(1, min(parts // 2, -(-tokens // (size * bins_per_partition)) * 2))
-        again = scratch.save(_pack(moved, fewer, k, size), f"round-{k}")
-        after = again.select("part", "bin").distinct().count()
+        fewer = max(1, -(-n // PIECES_PER_PARTITION), min(parts // 2, -(-tokens // (size * bins_per_partition)) * 2))
+        again = scratch.save(_pack(moved.withColumn("nr", F.xxhash64("part", "bin", "offset")), fewer, k, size), f"round-{k}")
+        after = _bins(again)
         if after >= before:
-            break
+            failed += 1
+            scratch.drop(f"round-{k}")
+            continue
+        failed, used = 0, used - before + after
         done[-1] = done[-1].where(~loose)
         done.append(again.withColumn("round", F.lit(k)))
         now = again
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", ((F.col("round").cast("long") * (1 << 24) + F.col("part")) * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", ((F.col("round").cast("long") * (1 << 24) + F.col("part")) * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset", "part_bins", "part_bound")
+
+
+def _bins(packed: DataFrame) -> int:
+    return packed.groupBy("part").agg(F.max("part_bins").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
