@@ -362,10 +362,40 @@ def test_quality(spark):
     assert quality.quality_rules(empty(spark), report=queries.REPORT).collect() == []
 
 
+def test_quality_odd(spark):
+    """Null and repeated ids are rows like any other; the order of rules changes no verdict; a given one fixes the reason."""
+    rows = [(None, "a b c"), (None, None), (1, "a b c"), (1, text(random.Random(1), 80)), (1, text(random.Random(1), 80)), (2, "\n\n \n"), (3, "xx yy zz " * 40_000), (4, "\x85 \u00a0 é\u2028ü " * 30)]
+    rules = [r.name for r in quality.RULES]
+    want = {}
+    for order in ((), tuple(rules), tuple(reversed(rules))):
+        got = quality.quality_rules(frame(spark, rows), report=queries.REPORT, order=order).collect()
+        assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 2
+        want.setdefault("kept", sorted(map(str, (r[:8] for r in [(*r[:-2], r.kept) for r in got]))))
+        assert sorted(map(str, (r[:8] for r in [(*r[:-2], r.kept) for r in got]))) == want["kept"]
+        assert all((r.failed_rule is None) == r.kept for r in got)
+    by = {r.doc_id: r for r in got if r.doc_id in (3, 4)}
+    assert by[3].n_words == 120_000 and by[3].n_repeat_words == 120_000 and by[3].failed_rule == "repeats"
+    assert by[4].n_words == 90 and by[4].word_chars == 150
+    plain = {r.doc_id: r.kept for r in quality.quality_rules(frame(spark, rows), base=()).collect()}
+    assert plain[3] is False and quality.quality_rules(frame(spark, rows), base=()).columns[:2] == ["doc_id", "base_failed"]
+
+
+def test_sample_of_many_partitions(spark):
+    df = spark.range(0, 4000, 1, 40).selectExpr("concat('t', id) as text")
+    got = quality.sample_texts(df, 20, 100)
+    assert 5 < len(got) <= 20 and len({int(x[1:]) // 100 for x in got}) == len(got) and set(got) <= {f"t{i}" for i in range(4000)}
+    assert len(quality.sample_texts(df, 400, 100)) == 400 and quality.sample_texts(df, 20, 1) == [] and quality.sample_texts(df.limit(0), 5, 9) == []
+
+
 def test_rule_order():
-    slow = quality.Rule("slow", (), lambda m: [sum(range(20_000)), False][1], "")
-    fast = quality.Rule("fast", (), lambda m: True, "")
+    slow = quality.Rule("slow", (), lambda m: [sum(range(200_000)), np.zeros(len(m), bool)][1], "")
+    fast = quality.Rule("fast", (), lambda m: np.ones(len(m), bool), "")
     assert [r.name for r in quality.order_rules(["x"] * 5, (slow, fast))] == ["fast", "slow"]
+    # what is measured anyway, or for a rule before, costs nothing
+    first = quality.Rule("first", ("n_words",), lambda m: m["n_words"] < 3, "")
+    again = quality.Rule("again", ("n_words",), lambda m: m["n_words"] < 5, "")
+    assert [r.name for r in quality.order_rules(["a b c d"] * 50 + ["a b"], (first, again))] == ["again", "first"]
+    assert [r.name for r in quality.order_rules([], (first, again))] == ["first", "again"]
 
 
 def test_importance(spark):
@@ -466,9 +496,30 @@ def test_packing(spark, tokenizer):
         assert at <= size
     lengths = np.array([r.length for r in got])
     assert packing.lower_bound(lengths, size) <= len(bins) <= packing.best_fit_decreasing(lengths, size)[2] + 2
+    assert all(r.part_bound <= r.part_bins for r in got)
     assert packing.pack_documents(empty(spark), tokenizer).collect() == []
 
 
+def test_packing_of_odd_rows(spark, tokenizer):
+    """Null and repeated ids are packed like any other, a text over a slice is cut whole, and rounds go on until the bound is met."""
+    rng = random.Random(8)
+    long_ = text(rng, 250_000)
+    assert len(long_) > T.SLICE_BYTES
+    rows = [(None, "a b c"), (None, "a b c"), (None, None), (5, "x y"), (5, "x y"), (5, "other"), (6, long_)] + [(100 + i, text(rng, rng.choice([40, 41, 90]))) for i in range(150)]
+    got = packing.pack_documents(frame(spark, rows), tokenizer, size=512, bins_per_partition=3).collect()
+    own = [r for r in got if r.doc_id == 6]
+    assert sorted(r.piece for r in own) == list(range(len(own))) and {r.length for r in own if r.piece < len(own) - 1} == {512}
+    assert sum(r.doc_id is None for r in got) == 3 and sum(r.doc_id == 5 for r in got) == 3 and {r.doc_id for r in got} == {i for i, _ in rows}
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for x in bins.values():
+        assert sum(n for _, n in x) <= 512 and [o for o, _ in sorted(x)] == list(itertools.accumulate([n for _, n in sorted(x)], initial=0))[:-1]
+    lengths = np.array([r.length for r in got])
+    once = packing.pack_documents(frame(spark, rows), tokenizer, size=512, bins_per_partition=3, rounds=0).collect()
+    assert packing.lower_bound(lengths, 512) <= len(bins) < len({r.sequence_id for r in once})
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("aB’'é.,!?9١ \n\t\x1c\xa0…ÀİΣſ😀́-_<|>ß²", max_size=40), min_size=1, max_size=6))
 def test_units_equal_the_tokenizer(texts):
