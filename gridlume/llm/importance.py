@@ -75,8 +75,8 @@ def importance_resample(docs: DataFrame, target_ids: DataFrame, *, fraction: flo
     """``doc_id, log_weight, gumbel_key, kept`` for every row with an id; kept: among the k largest keys.
 
     ``target_ids`` (one column of ids) names the target documents; k defaults to ``fraction`` of the rows. Both models count
-    all documents. Null texts have weight 0; rows without an id are left out; rows that repeat an id are drawn
-    together while k allows. Equal keys go by id. Without target documents all weights are alike.
+    all documents. Null texts have weight 0; rows without an id are left out. Equal keys go by id; rows that repeat id and text are
+    drawn together, so more than k rows stay where the last place falls on such rows. Without target documents all weights are alike.
     """
     scratch = Scratch(docs.sparkSession, "importance")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlume.llm import textops as T
+from gridlume.llm.scratch import Scratch
 
 #: Letters of a word's beginning that make a feature besides the whole word.
 BEGINNINGS = (4, 5, 6)
@@ -137,17 +138,19 @@ def fit_chain(doc: np.ndarray, code: np.ndarray, labels: dict[str, np.ndarray],
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 6000) -> list[Link]:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 6000, max_pairs: int = 20_000_000) -> list[Link]:
     """The chain from labelled documents. ``categories``: name -> SQL condition on ``labels`` that marks its members.
 
-    At most ``max_labelled`` labelled ids, chosen by hash, are used; that bounds what reaches the driver. Ids that are null
-    or have several labels count once (the largest condition wins).
+    At most ``max_labelled`` labelled ids, chosen by hash, are used, one text of each (the least by hash, if rows repeat the id), and
+    of those as many, in that order, as have ``max_pairs`` distinct features together; that bounds the rows and the bytes
+    that reach the driver. Ids that are null are not used, those with several labels once (the largest condition wins).
     """
     conditions = [F.max(F.coalesce(F.expr(c).cast("int"), F.lit(0))).alias(name) for name, c in categories.items()]
     own = labels.where(f"`{id_col}` is not null").groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(*conditions)
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(own), "doc_id")  # bounded by max_labelled
+    one = rows.groupBy("doc_id", *(F.col(c) for c in categories)).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(part: T.Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
         doc, code = features(part)
@@ -156,7 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, id_
         codes = pa.ListArray.from_arrays(cut.astype(np.int32), pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32)))
         return pa.RecordBatch.from_arrays([batch.column(0), codes, *(batch.column(i) for i in range(2, batch.num_columns))], ["doc_id", "codes", *categories])
 
-    table = T.map_slices(rows, run, "doc_id long, codes array<int>, " + ", ".join(f"`{c}` int" for c in categories)).toArrow()
+    found = T.map_slices(one.select("doc_id", "text", *categories), run, "doc_id long, codes array<int>, " + ", ".join(f"`{c}` int" for c in categories))
+    found = Scratch(docs.sparkSession, "toxicity").save(found, "features")
+    # one window over at most max_labelled numbers
+    upto = F.sum(F.size("codes")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    some = found.select("doc_id", upto.alias("upto")).where(F.col("upto") <= max_pairs).select("doc_id")
+    table = found.join(F.broadcast(some), "doc_id", "left_semi").toArrow()
     table = table.sort_by("doc_id").combine_chunks()
     if not len(table):
         return [Link(c, np.zeros(0, np.int32), np.zeros(0), np.zeros(k), -14.0) for k, c in enumerate(categories)]
