@@ -410,6 +410,31 @@ def test_importance(spark):
     assert {r.kept for r in importance.importance_resample(frame(spark, rows), target.limit(0), fraction=1.0).collect()} == {True}
 
 
+def test_importance_against_brute_force(spark):
+    """Weights recomputed from word and pair counts: as many buckets that the few n-grams do not meet."""
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choices("red green blue one two three four".split(), k=rng.randint(0, 30)))) for i in range(60)] + [(100, None), (101, "RED  Green\n"), (102, text(rng, 1000))]
+    wanted, buckets, raw, target = set(range(0, 60, 4)), 1 << 22, Counter(), Counter()
+    grams = {}
+    for i, t in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        grams[i] = [*w, *itertools.pairwise(w)]
+        raw.update(grams[i])
+        target.update(grams[i] if i in wanted else ())
+    sums = (buckets + sum(raw.values()), buckets + sum(target.values()))
+    got = importance.importance_resample(frame(spark, [*rows, (None, "red"), (7, rows[7][1])]), spark.createDataFrame([(i,) for i in wanted], "id long"), k=20, buckets=buckets).collect()
+    raw.update(grams[7])
+    sums = (sums[0] + len(grams[7]), sums[1])
+    want = {i: sum(math.log((1 + target[g]) / sums[1]) - math.log((1 + raw[g]) / sums[0]) for g in gs) for i, gs in grams.items()}
+    assert len(got) == len(rows) + 1 and {r.doc_id for r in got} == set(want)
+    # the long text's own n-grams may share buckets, which moves a weight a little
+    assert all(r.log_weight == pytest.approx(want[r.doc_id], abs=1e-6) for r in got if r.doc_id != 102)
+    best = sorted(got, key=lambda r: (-r.gumbel_key, r.doc_id))
+    assert [r.doc_id for r in best if r.kept] == [r.doc_id for r in best][: sum(r.kept for r in got)] and sum(r.kept for r in got) in (20, 21)
+    noise = [r.gumbel_key - r.log_weight for r in importance.importance_resample(spark.range(4000).selectExpr("id as doc_id", "'x' as text"), spark.createDataFrame([], "id long"), k=1).collect()]
+    assert abs(sum(noise) / len(noise) - 0.5772) < 0.08  # the mean of a standard Gumbel variable
+
+
 def test_threshold_ties(spark):
     df = spark.createDataFrame([(float(i // 3), i) for i in range(300)], "key double, tie long")
     key, tie = importance.top_k_threshold(df, 50, few=5)
@@ -427,6 +452,17 @@ def test_lm_scores(spark):
     assert lmscore.cross_entropy_difference(empty(spark), target).collect() == []
 
 
+def test_lm_scores_odd(spark):
+    """Null and repeated ids are rows like any other, a long text is scored whole, and null target ids mark nothing."""
+    rng = random.Random(15)
+    long_ = text(rng, 200_000)
+    rows = [(1, "a b"), (1, "a b"), (1, "b c d"), (None, "a b"), (None, None), (2, long_)]
+    got = lmscore.cross_entropy_difference(frame(spark, rows), spark.createDataFrame([(1,), (None,)], "id long"), chunk_mb=1, range_mb=1).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 0), (0, 2), (1, 2), (1, 2), (1, 3), (2, 200_000)]
+    assert len({r.difference for r in got if r.n_tokens == 2}) == 1
+    assert next(r.difference for r in got if r.doc_id == 2) > next(r.difference for r in got if r.n_tokens == 3)
+
+
 def test_ngram_counts(spark):
     rows = spark.createDataFrame([("a b a", True), ("a b", False), (None, True)], "text string, target boolean")
     got = [(r.n_background, r.n_target) for r in lmscore.ngram_counts(rows, 16, 20).collect()]
@@ -737,6 +773,19 @@ def test_toxicity_odd(spark):
     assert len(toxicity.toxicity(frame(spark, rows), one).collect()) == 3
 
 
+def test_toxicity_bounds_what_it_learns_from(spark):
+    """A labelled id with very many rows is one text, and features stop at their limit; a long text is scored whole."""
+    rows, labels = labelled(random.Random(16), 200)
+    known = spark.createDataFrame(labels[:120], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(frame(spark, rows), known, toxicity.CATEGORIES)
+    repeated = toxicity.train(frame(spark, [*rows, *[rows[3]] * 300]), known, toxicity.CATEGORIES)
+    assert [x.weights.tolist() for x in repeated] == [x.weights.tolist() for x in chain]
+    assert [len(x.chosen) for x in toxicity.train(frame(spark, rows), known, toxicity.CATEGORIES, max_pairs=10)] == [0, 0]
+    long_ = text(random.Random(17), 300_000)
+    got = {r.doc_id: r for r in toxicity.score(frame(spark, [(1, long_), (2, long_ + " vilo grumak tosser"), (3, None)]), chain).collect()}
+    assert got[2].p_toxic > got[1].p_toxic and got[2].toxic and not got[3].toxic
+
+
 def test_chain_feeds_forward():
     """A category that only follows from an earlier one is learnt through the chain."""
     rng = np.random.default_rng(0)
