@@ -23,11 +23,25 @@ _DATE = r"^([0-9]{2})/([0-9]{2})/([0-9]{4}) ([0-9]{2}):([0-9]{2})$"
 def js_number(c: Column) -> Column:
     """A text read as a number; blank, unreadable, infinite and null texts are 0."""
     t = trim(c.cast("string"))
-    hexadecimal = F.conv(F.regexp_extract(t, r"^0[xX]([0-9a-fA-F]{1,15})$", 1), 16, 10).cast("double")
-    value = F.when(F.rlike(t, F.lit(_DECIMAL)), t.try_cast("double")).when(F.rlike(t, F.lit("^0[xX][0-9a-fA-F]{1,15}$")), hexadecimal)
+    value = F.when(F.rlike(t, F.lit(_DECIMAL)), t.try_cast("double"))
+    for base, mark, digits in ((16, "xX", "0-9a-fA-F"), (8, "oO", "0-7"), (2, "bB", "01")):
+        value = value.when(F.rlike(t, F.lit(f"^0[{mark}][{digits}]+$")), _whole_number(F.substring(t, 3, 1 << 20), base))
     return F.coalesce(F.when(F.abs(value) < float("inf"), value), F.lit(0.0))
 
 
+def _whole_number(digits: Column, base: int) -> Column:
+    """The double nearest to a whole number in base 2, 8 or 16.
+
+    The first 60 bits decide, the last of them set if any digit after them is: then the cast rounds as all digits would.
+    """
+    width = {2: 1, 8: 3, 16: 4}[base]
+    take = 60 // width
+    bare = F.regexp_replace(digits, "^0+", "")
+    rest = F.when(F.rlike(F.substring(bare, take + 1, 1 << 20), F.lit("[^0]")), 1).otherwise(0)
+    head = F.coalesce(F.conv(F.substring(bare, 1, take), base, 10).cast("long"), F.lit(0)).bitwiseOR(rest.cast("long"))
+    return head.cast("double") * F.pow(F.lit(2.0), F.greatest(F.length(bare) - take, F.lit(0)) * width)
+
+
 def french_millis(c: Column) -> Column:
     """Milliseconds of a ``dd/MM/yyyy HH:mm`` text in UTC; days and months roll over, other texts are 0."""
     part = lambda k: F.regexp_extract(c, _DATE, k).try_cast("int")
@@ -44,9 +58,9 @@ def earliest(value: Column, seq: Column) -> Column:
 
 
 def latest(value: Column, seq: Column) -> Column:
-    """Aggregate: the non-empty text of greatest date, the first of equals; ``seq`` is a whole number."""
+    """Aggregate: the non-empty text of greatest date, the first of equals."""
     some = F.nullif(value, F.lit(""))
-    return F.coalesce(F.max_by(some, F.when(some.isNotNull(), F.struct(french_millis(some), -seq))), F.lit(""))
+    return F.coalesce(F.min_by(some, F.when(some.isNotNull(), F.struct(-french_millis(some), seq))), F.lit(""))
 
 
 def duration_seconds(c: Column, fallback: float) -> Column:
@@ -80,12 +94,17 @@ def _fixed(c: Column, digits: int) -> Column:
     unit = F.lit(10**digits).cast("long")
     whole = F.floor(n / unit).cast("long") if digits else n
     text = F.concat(whole.cast("string"), F.lit("."), F.lpad((n % unit).cast("string"), digits, "0")) if digits else n.cast("string")
-    return F.when((c < 0) & (n > 0), F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when(c < 0, F.concat(F.lit("-"), text)).otherwise(text)  # also where all digits round to 0
+
+
+def locale_sorted(values: Column) -> Column:
+    """An array of texts in language-aware order (root locale), as names are shown: case and accents decide last."""
+    return F.array_sort(values.cast("array<string collate UNICODE>")).cast("array<string>")
 
 
 def digest_key(values: Column) -> Column:
-    """SHA-256 of the JSON text of the sorted distinct non-empty values."""
-    return F.sha2(F.to_json(F.array_sort(F.array_distinct(F.filter(values, lambda v: v != "")))), 256)
+    """SHA-256 of the JSON text of the distinct non-empty values in language-aware order."""
+    return F.sha2(F.to_json(locale_sorted(F.array_distinct(F.filter(values, lambda v: v != "")))), 256)
 
 
 def request_key(method: Column, url: Column, body: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlume.functions.geo import street_bounds
 from gridlume.functions.text import fold_key, lookup_query, trim
 
 
@@ -69,6 +70,20 @@ def line_requests(rows: DataFrame, seq: str = "seq") -> DataFrame:
     return keyed.groupBy("result_key").agg(F.max_by(F.struct(*rest), F.col(seq)).alias("r")).select("result_key", "r.*")
 
 
+def ways_in(requests: DataFrame, ways: DataFrame, place: str = "place") -> DataFrame:
+    """``place, key, seq, name, line``: named ways (``seq``, ``type``, ``name``, ``line``) that a place asks for, by name key and box.
+
+    ``requests``: place, name and box (bounds) of each street. Names meet by their keys in one equi-join for all places; a way of
+    under two points, without a name, or whose box does not meet the request's is not found. A name asked for twice is asked for once.
+    """
+    wanted = requests.select(place, fold_key(F.col("name")).alias("key"), F.col("box").alias("_box")).where("key <> ''").dropDuplicates([place, "key"])
+    ok = ways.where((F.col("type") == "way") & (F.size("line") >= 2)).select("seq", trim(F.coalesce("name", F.lit(""))).alias("name"), "line")
+    ok = ok.withColumn("key", fold_key(F.col("name"))).withColumn("_way", street_bounds(F.array("line"), F.lit(None).cast("struct<lat:double,lng:double>")))
+    a, b = F.col("_box"), F.col("_way")
+    meets = (a["west"] <= b["east"]) & (b["west"] <= a["east"]) & (a["south"] <= b["north"]) & (b["south"] <= a["north"])
+    return wanted.join(ok, "key").where(meets).select(place, "key", "seq", "name", "line")
+
+
 def unseen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """Rows whose key was not visited yet."""
     return rows.join(seen.select(key), key, "left_anti")

@@ -72,7 +72,7 @@ def area_features(collections: DataFrame, text: str = "text", key: str = "key")
     deep = F.when(kind == "Polygon", F.coalesce(F.forall(one, lambda r: F.coalesce(F.forall(r, lambda p: F.coalesce(F.forall(p, lambda v: v.isNotNull()), F.lit(False))), F.lit(False))), F.lit(False))).otherwise(F.coalesce(F.forall(many, lambda g: F.coalesce(F.forall(g, lambda r: r.isNotNull()), F.lit(False))), F.lit(False)))
     good = (F.get_json_object("f", "$.type") == "Feature") & polygons.isNotNull() & deep
     properties = F.get_json_object("f", "$.properties")
-    each = each.select(key, "pos", F.when(F.rlike(properties, F.lit(r"^\{")), properties).otherwise(F.lit("{}")).alias("properties"), polygons.alias("polygons"), (F.col("f").isNull() | F.coalesce(good, F.lit(False))).alias("good"))
+    each = each.select(key, "pos", F.when(F.rlike(properties, F.lit(r"^\{")), properties).otherwise(F.lit("{}")).alias("properties"), polygons.alias("polygons"), (F.col("pos").isNull() | F.coalesce(good, F.lit(False))).alias("good"))
     bad = each.where("not good").select(key).distinct()
     return each.where("pos is not null").join(bad, key, "left_anti").drop("good")
 

@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 PAGE_SIZE, MOST_PLACES = 6, 200
 
 
-def nearest_pages(places: DataFrame, lat: Column, lng: Column, group: list[str] | None = None, page_size: int = PAGE_SIZE) -> DataFrame:
+def nearest_pages(places: DataFrame, lat: Column, lng: Column, group: list[str] | None = None, page_size: int = PAGE_SIZE, most: int | None = None) -> DataFrame:
     """``places`` (code, lat, lng) with rank and page by squared degree distance to a point, ties by code, unplaced last.
 
-    Without ``group`` the places of one viewport (a few hundred at most) are ranked together; with it, each group is.
+    Without ``group`` the places of one viewport (a few hundred) are ranked together; with it, each group is. ``most``: only
+    the nearest so many are wanted; they are found by a distributed top-k before anything meets in one task.
     """
     dy, dx = F.col("lat") - lat, F.col("lng") - lng
+    order = [(dy * dy + dx * dx).asc_nulls_last(), F.col("code")]
+    if most is not None and not group:
+        places = places.orderBy(*order).limit(most)
     w = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
-    rank = F.row_number().over(w.orderBy((dy * dy + dx * dx).asc_nulls_last(), F.col("code")))
+    rank = F.row_number().over(w.orderBy(*order))
     return places.withColumn("rank", rank).withColumn("page", F.floor((F.col("rank") - 1) / page_size).cast("int"))
 
 
@@ -42,6 +46,12 @@ def next_offset(offset: Column, total: Column, page_size: int = PAGE_SIZE) -> Co
     return F.when(after < total, after)
 
 
+def label_rank(rows: DataFrame, label: str, key: str, group: list[str], out: str = "rank") -> DataFrame:
+    """``rows`` with their place in presentation order within each group (a page, a place): language-aware on the label, then the key."""
+    w = W.partitionBy(*group).orderBy(F.collate(F.col(label), "UNICODE"), F.col(key))
+    return rows.withColumn(out, F.row_number().over(w))
+
+
 def by_label(rows: DataFrame, label: str = "label", key: str = "key") -> DataFrame:
     """Presentation order: language-aware on the label, then the key."""
     return rows.orderBy(F.collate(F.col(label), "UNICODE"), F.col(key))

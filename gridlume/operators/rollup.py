@@ -1,7 +1,7 @@
 """Mergeable incident and street facts.
 
-Order matters in these roll-ups (first value wins, lists keep their order), so each takes a whole-number ``seq`` and
-never relies on row order. Sums count duplicates; only lists are distinct. All aggregates have map-side partials except the
+Order matters in these roll-ups (first value wins, lists keep their order), so each takes a ``seq`` (a number, or a struct of
+positions) and never relies on row order. Sums count duplicates; only lists are distinct. All aggregates have map-side partials except the
 ordered lists, which hold a key's distinct values.
 """
 
@@ -108,16 +108,17 @@ def merge_incidents(partials: DataFrame, seq: str = "seq") -> DataFrame:
     return incident_rollup(keyed, ["merge_key"], seq)
 
 
-def merge_headers(pages: DataFrame, seq: str = "seq") -> DataFrame:
-    """The one-row header of merged pages: summed counters, greatest update time, first recap and crises, distinct warnings.
+def merge_headers(pages: DataFrame, seq: str = "seq", distinct_warnings: bool = True) -> DataFrame:
+    """The one-row header of merged pages: summed counters, greatest update time, first recap and crises, warnings.
 
     The cursor comes from the last page, viewport and total from the first. No pages give one row of nulls and zeros.
+    ``distinct_warnings``: the browser's rule, each warning once; else the server's, all pages' lists one after another.
     """
     s = F.col(seq)
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("address_rows", "incidents", "works", "low_voltage") if c in pages.columns]
     firsts = [first_some(c, s).alias(c) for c in ("recap", "crises") if c in pages.columns] + [first_by(c, s).alias(c) for c in ("viewport", "place_total") if c in pages.columns]
     lasts = [F.max_by(F.struct(F.col(c).alias("v")), s)["v"].alias(c) for c in ("next_cursor",) if c in pages.columns]
-    return pages.agg(F.max("updated_at").alias("updated_at"), *sums, *firsts, *lasts, *([_flat_ordered(F.col("warnings"), s).alias("warnings")] if "warnings" in pages.columns else []))
+    return pages.agg(F.max("updated_at").alias("updated_at"), *sums, *firsts, *lasts, *([(_flat_ordered if distinct_warnings else _flat_kept)(F.col("warnings"), s).alias("warnings")] if "warnings" in pages.columns else []))
 
 
 def distinct_first(rows: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
@@ -153,12 +154,18 @@ def cache_outcomes(results: DataFrame, outcome: str = "outcome") -> DataFrame:
 
 
 def group_lines(ways: DataFrame) -> DataFrame:
-    """Named ways (``seq``, ``type``, ``name``, ``line``) by name key: sorted distinct names and all lines in order."""
+    """Named ways (``seq``, ``type``, ``name``, ``line``) by name key: distinct names in language-aware order and all lines in order."""
+    from gridlume.functions.scalars import locale_sorted
     from gridlume.functions.text import fold_key, trim
 
     ok = ways.where((F.col("type") == "way") & (F.size("line") >= 2)).select("seq", trim(F.coalesce("name", F.lit(""))).alias("name"), "line")
     ok = ok.withColumn("key", fold_key(F.col("name"))).where("key <> ''")
-    return ok.groupBy("key").agg(F.array_sort(F.collect_set("name")).alias("names"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]).alias("lines"))
+    return ok.groupBy("key").agg(locale_sorted(F.collect_set("name")).alias("names"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]).alias("lines"))
+
+
+def union_distinct(*lists: Column) -> Column:
+    """The elements of several lists, each once, in order of first appearance."""
+    return F.array_distinct(F.concat(*lists))
 
 
 def combine_polygons(rows: DataFrame, polygon: str = "polygon", seq: str = "seq", strict: bool = True) -> DataFrame:

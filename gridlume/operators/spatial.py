@@ -20,19 +20,46 @@ def _cells(b: Column, grid: float) -> Column:
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
 
+#: Levels of the grid pyramid: cells grow by a factor of four, so eight levels reach from 0.1 degrees around the earth.
+LEVELS = 8
+
+
+def _levels(box: Column, grid: float) -> Column:
+    """(level, own, x, y): the cells that a box touches on its own level, where cells are no smaller than it, and on all coarser ones.
+
+    That is at most four cells a level, whatever the box.
+    """
+    size = F.greatest(box["east"] - box["west"], box["north"] - box["south"])
+    own = sum((F.when(size > grid * 4**k, 1).otherwise(0) for k in range(LEVELS - 1)), F.lit(0))
+
+    def at(level: int) -> Column:
+        cells = _cells(box, grid * 4**level)
+        return F.when(own <= level, F.transform(cells, lambda c: F.struct(F.lit(level).alias("level"), (own == level).alias("own"), c["x"].alias("x"), c["y"].alias("y"))))
+
+    return F.flatten(F.array_compact(F.array(*map(at, range(LEVELS)))))
+
+
 def bbox_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, left_key: str, right_key: str, grid: float = 0.1) -> DataFrame:
-    """Pairs of keys whose boxes overlap: an equi-join on grid cells, then the exact test.
+    """Pairs of keys whose boxes overlap: an equi-join on cells of a grid pyramid, then the exact test.
 
-    A pair shares one first cell (the greater of both lower corners), so it comes out once without a distinct. Boxes far
-    larger than the grid make many cells; choose the grid near the usual size.
+    Boxes meet on the level of the larger one, so a box of any size makes few rows and small boxes do not meet in large cells. A
+    pair shares one first cell there (the greater of both lower corners), so it comes out once without a distinct.
+    Boxes with null or reversed sides overlap nothing. Cells that very many boxes touch are split by the adaptive skew join. ``grid``: near the usual size.
     """
-    a = left.select(F.col(left_key).alias("_lk"), F.col(left_box).alias("_lb")).withColumn("_c", F.explode(_cells(F.col("_lb"), grid)))
-    b = right.select(F.col(right_key).alias("_rk"), F.col(right_box).alias("_rb")).withColumn("_c", F.explode(_cells(F.col("_rb"), grid)))
+
+    def rows(df: DataFrame, key: str, box: str, k: str) -> DataFrame:
+        b = F.col(f"_{k}b")
+        named = df.select(F.col(key).alias(f"_{k}k"), F.col(box).alias(f"_{k}b")).where((b["west"] <= b["east"]) & (b["south"] <= b["north"]))
+        return named.select("*", F.explode(_levels(b, grid)).alias("_c")).select(f"_{k}k", f"_{k}b", F.col("_c.level").alias("level"), F.col("_c.x").alias("x"), F.col("_c.y").alias("y"), F.col("_c.own").alias(f"_{k}own"))
+
+    a, b = rows(left, left_key, left_box, "l"), rows(right, right_key, right_box, "r")
     p, q = F.col("_lb"), F.col("_rb")
     overlap = (p["west"] <= q["east"]) & (q["west"] <= p["east"]) & (p["south"] <= q["north"]) & (q["south"] <= p["north"])
-    lo = lambda c: F.floor(c / F.lit(grid)).cast("long")
-    home = (F.col("_c.x") == lo(F.greatest(p["west"], q["west"]))) & (F.col("_c.y") == lo(F.greatest(p["south"], q["south"])))
-    return a.join(b, "_c").where(overlap & home).select(F.col("_lk").alias(left_key), F.col("_rk").alias(right_key))
+    cell = F.lit(grid) * F.pow(F.lit(4.0), F.col("level"))
+    lo = lambda c: F.floor(c / cell).cast("long")
+    home = (F.col("x") == lo(F.greatest(p["west"], q["west"]))) & (F.col("y") == lo(F.greatest(p["south"], q["south"])))
+    met = [a.where("_lown").join(b, ["level", "x", "y"]), a.where("not _lown").join(b.where("_rown"), ["level", "x", "y"])]
+    return met[0].unionByName(met[1]).where(overlap & home).select(F.col("_lk").alias(left_key), F.col("_rk").alias(right_key))
 
 
 def covered_boxes(boxes: DataFrame, contours: DataFrame, key: str) -> DataFrame:

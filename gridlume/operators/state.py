@@ -1,19 +1,27 @@
-"""Stateful operators as folds over a key's ordered events.
+"""Stateful operators as walks over ordered events.
 
-A fold holds one key's events in an array (``aggregate`` over a sorted ``collect_list``), which suits up to some 100,000 events a
-key; beyond that use the streaming twins, which hold one state. Events of a key are ordered by time, then id.
+Events are dealt by key and sorted within their partition (a sort that spills), and one pass carries the state of the key at
+hand from batch to batch. Neither a key's events nor its results are ever held, and a key of any length costs its length;
+as each step needs the one before, one key is one task's work. The streaming twins keep the same state between micro-batches.
+Events of a key are ordered by time, then id; keys may be null, and a null time adds none.
 """
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict, deque
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridlume.runtime import ship
+
 # Per provider refill a second, burst, concurrency, timeout (ms) and body limit (bytes).
 POLICIES = {
     "reports": (1.0, 12, 6, 5_000, 2 * 1024 * 1024),
@@ -26,8 +34,37 @@ RECENT_TTL_MS, RECENT_ENTRIES, RECENT_BYTES = 10_000, 128, 16 * 1024 * 1024
 QUEUE_LENGTH, QUEUE_WAIT_MS = 64, 15_000
 
 
-def _ordered(events: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    return events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_events"))
+def _walk(events: DataFrame, key: str, columns: list[str], start: Callable[[], Any], step: Callable[..., tuple], fields: dict[str, pa.DataType]) -> DataFrame:
+    """``key`` and ``fields`` of every event: ``step(state, *columns)`` gives the next state and the values of ``fields``.
+
+    ``columns`` begin with those that order a key's events.
+    """
+    kind = dict(events.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: Any = run  # no key is equal to a function
+        state: Any = None
+        for batch in batches:
+            out = []
+            for k, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != now:
+                    now, state = k, start()
+                state, row = step(state, *values)
+                out.append(row)
+            made = zip(*out, strict=True) if out else [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(made, fields.values(), strict=True))], [key, *fields])
+
+    ship(events.sparkSession)
+    rows = events.select(key, *columns).repartition(key).sortWithinPartitions(key, *columns)
+    names = {pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean", pa.string(): "string"}
+    return rows.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{c} {names[t]}" for c, t in fields.items()))
+
+
+def _timed(events: DataFrame, key: str, millis: str, event_id: str, *more: Column) -> DataFrame:
+    return events.select(key, F.col(millis).cast("long").alias("ms"), F.col(event_id).cast("long").alias("event_id"), *more)
+
+
+_EVENT = {"event_id": pa.int64(), "ms": pa.int64()}
 
 
 def token_bucket(events: DataFrame, key: str, rate: float, burst: float, millis: str = "ms", event_id: str = "event_id") -> DataFrame:
@@ -36,20 +73,18 @@ def token_bucket(events: DataFrame, key: str, rate: float, burst: float, millis:
     Elapsed time refills up to the burst (a clock that goes back mints nothing); an event takes one token if there is one, else waits
     at least a second; the balance is kept even on refusal.
     """
-    kind = "struct<tokens:double,at:bigint,out:array<struct<event_id:bigint,ms:bigint,allowed:boolean,tokens:double,retry_after:bigint>>>"
-    start = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(None).cast("bigint").alias("at"), F.expr("array()").alias("out")).cast(kind)
+    rate, burst = float(rate), float(burst)
 
-    def step(acc: Column, e: Column) -> Column:
-        elapsed = F.greatest(F.lit(0), e["ms"] - F.coalesce(acc["at"], e["ms"]))
-        have = F.least(F.lit(float(burst)), acc["tokens"] + elapsed * F.lit(float(rate)) / 1000)
+    def step(state: tuple[float, int | None], ms: int | None, event: int) -> tuple:
+        tokens, at = state
+        elapsed = 0 if ms is None or at is None else max(0, ms - at)
+        have = min(burst, tokens + elapsed * rate / 1000)
         ok = have >= 1
-        left = F.when(ok, have - 1).otherwise(have)
-        wait = F.when(~ok, F.greatest(F.lit(1), F.ceil((1 - have) / F.lit(float(rate)))))
-        row = F.struct(e["id"].alias("event_id"), e["ms"].alias("ms"), ok.alias("allowed"), left.alias("tokens"), wait.alias("retry_after"))
-        return F.struct(left.alias("tokens"), e["ms"].alias("at"), F.array_append(acc["out"], row).alias("out")).cast(kind)
+        left = have - 1 if ok else have
+        return (left, ms), (event, ms, ok, left, None if ok else max(1, math.ceil((1 - have) / rate)))
 
-    rows = _ordered(events.select(key, F.col(millis).alias("ms"), F.col(event_id).cast("long").alias("id")), key, ["ms", "id"])
-    return rows.select(key, F.explode(F.aggregate("_events", start, step, lambda acc: acc["out"])).alias("r")).select(key, "r.*")
+    fields = _EVENT | {"allowed": pa.bool_(), "tokens": pa.float64(), "retry_after": pa.int64()}
+    return _walk(_timed(events, key, millis, event_id), key, ["ms", "event_id"], lambda: (burst, None), step, fields)
 
 
 def swr_cache(events: DataFrame, key: str, fresh_ms: int, stale_ms: int | None = None, millis: str = "ms", event_id: str = "event_id") -> DataFrame:
@@ -57,33 +92,26 @@ def swr_cache(events: DataFrame, key: str, fresh_ms: int, stale_ms: int | None =
 
     An entry is kept for the longer of both times; misses and stale reads renew it, hits don't.
     """
-    keep = max(fresh_ms, stale_ms or fresh_ms)
-    kind = "struct<at:bigint,out:array<struct<event_id:bigint,ms:bigint,outcome:string>>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("at"), F.expr("array()").alias("out")).cast(kind)
+    keep = None if stale_ms is None else max(fresh_ms, stale_ms)
 
-    def step(acc: Column, e: Column) -> Column:
-        age = e["ms"] - acc["at"]
-        outcome = F.when(acc["at"].isNull() | (age >= (keep if stale_ms is not None else 1 << 62)), "MISS").when(age < fresh_ms, "HIT").otherwise("STALE")
-        row = F.struct(e["id"].alias("event_id"), e["ms"].alias("ms"), outcome.alias("outcome"))
-        return F.struct(F.when(outcome == "HIT", acc["at"]).otherwise(e["ms"]).alias("at"), F.array_append(acc["out"], row).alias("out")).cast(kind)
+    def step(at: int | None, ms: int | None, event: int) -> tuple:
+        age = None if at is None or ms is None else ms - at
+        outcome = "MISS" if age is None or (keep is not None and age >= keep) else "HIT" if age < fresh_ms else "STALE"
+        return (at if outcome == "HIT" else ms), (event, ms, outcome)
 
-    rows = _ordered(events.select(key, F.col(millis).alias("ms"), F.col(event_id).cast("long").alias("id")), key, ["ms", "id"])
-    return rows.select(key, F.explode(F.aggregate("_events", start, step, lambda acc: acc["out"])).alias("r")).select(key, "r.*")
+    return _walk(_timed(events, key, millis, event_id), key, ["ms", "event_id"], lambda: None, step, _EVENT | {"outcome": pa.string()})
 
 
 def coalesce_requests(events: DataFrame, key: str, lasts_ms: int, millis: str = "ms", event_id: str = "event_id") -> DataFrame:
     """``key, event_id, ms, leader``: requests that arrive while an equal one runs share it; ``leader`` is that one's id."""
-    kind = "struct<until:bigint,leader:bigint,out:array<struct<event_id:bigint,ms:bigint,leader:bigint>>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("until"), F.lit(None).cast("bigint").alias("leader"), F.expr("array()").alias("out")).cast(kind)
 
-    def step(acc: Column, e: Column) -> Column:
-        new = acc["until"].isNull() | (e["ms"] >= acc["until"])
-        leader = F.when(new, e["id"]).otherwise(acc["leader"])
-        row = F.struct(e["id"].alias("event_id"), e["ms"].alias("ms"), leader.alias("leader"))
-        return F.struct(F.when(new, e["ms"] + lasts_ms).otherwise(acc["until"]).alias("until"), leader.alias("leader"), F.array_append(acc["out"], row).alias("out")).cast(kind)
+    def step(state: tuple[int | None, int | None], ms: int | None, event: int) -> tuple:
+        until, leader = state
+        if until is None or ms is None or ms >= until:
+            until, leader = None if ms is None else ms + lasts_ms, event
+        return (until, leader), (event, ms, leader)
 
-    rows = _ordered(events.select(key, F.col(millis).alias("ms"), F.col(event_id).cast("long").alias("id")), key, ["ms", "id"])
-    return rows.select(key, F.explode(F.aggregate("_events", start, step, lambda acc: acc["out"])).alias("r")).select(key, "r.*")
+    return _walk(_timed(events, key, millis, event_id), key, ["ms", "event_id"], lambda: (None, None), step, _EVENT | {"leader": pa.int64()})
 
 
 def rate_window(events: DataFrame, key: str, most: int, seconds: int, time: str = "ts", event_id: str = "event_id") -> DataFrame:
@@ -113,29 +141,27 @@ def expired(expires_at: Column, now: Column) -> Column:
 def recent_cache(events: DataFrame, cache: str, key: str, ttl_ms: int = RECENT_TTL_MS, entries: int = RECENT_ENTRIES, most_bytes: int = RECENT_BYTES, millis: str = "ms", chars: str = "chars", event_id: str = "event_id") -> DataFrame:
     """``cache, event_id, hit``: a bounded cache that evicts in order of insertion; reading doesn't renew, two bytes a character.
 
-    The limits tie all keys of a cache together, so a cache is one task's work; its events are walked in order.
+    The limits tie all keys of a cache together, so a cache is one walk.
     """
-    kind = dict(events.dtypes)[cache]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["ms", "event_id"])
-        held: OrderedDict[object, tuple[int, int]] = OrderedDict()
-        used, hits = 0, []
-        for now, k, n in zip(f["ms"], f["key"], f["chars"], strict=True):
-            for old in [x for x, (until, _) in held.items() if until <= now]:
-                used -= held.pop(old)[1]
-            hits.append(k in held)
-            size = 2 * int(n)
-            if k in held or entries <= 0 or size > most_bytes:
-                continue
-            while len(held) >= entries or used + size > most_bytes:
+    def start() -> list:
+        return [OrderedDict(), 0]
+
+    def step(state: list, now: int, event: int, k: Any, n: int) -> tuple:
+        held, used = state
+        # entries live equally long, so the oldest goes first
+        while held and next(iter(held.values()))[0] <= now:
+            used -= held.popitem(last=False)[1][1]
+        hit, size = k in held, 2 * int(n or 0)
+        if not hit and entries > 0 and size <= most_bytes:
+            while held and (len(held) >= entries or used + size > most_bytes):
                 used -= held.popitem(last=False)[1][1]
-            held[k] = (int(now) + ttl_ms, size)
+            held[k] = (now + ttl_ms, size)
             used += size
-        return pd.DataFrame({cache: f[cache], "event_id": f["event_id"], "hit": hits})
+        return [held, used], (event, hit)
 
-    rows = events.select(cache, F.col(key).alias("key"), F.col(millis).alias("ms"), F.col(chars).alias("chars"), F.col(event_id).cast("long").alias("event_id"))
-    return rows.groupBy(cache).applyInPandas(run, f"`{cache}` {kind}, event_id long, hit boolean")
+    rows = _timed(events, cache, millis, event_id, F.col(key).alias("key"), F.col(chars).alias("chars"))
+    return _walk(rows, cache, ["ms", "event_id", "key", "chars"], start, step, {"event_id": pa.int64(), "hit": pa.bool_()})
 
 
 def permit_queue(events: DataFrame, provider: str, rate: float, burst: float, concurrency: int, queue: int = QUEUE_LENGTH, wait_ms: int = QUEUE_WAIT_MS, millis: str = "ms", lasts: str = "lasts_ms", event_id: str = "event_id") -> DataFrame:

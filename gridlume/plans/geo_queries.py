@@ -77,14 +77,29 @@ def bbox_agg(spark: SparkSession, d: str) -> DataFrame:
 BBOX_AGG = "with p as (select vec_id, unnest(range(32)) as i, embedding from embeddings), q as (select vec_id, embedding[2 * i + 1]::double as x, embedding[2 * i + 2]::double as y from p) select vec_id, min(y) as south, min(x) as west, max(y) as north, max(x) as east from q group by 1"
 
 
+def _plots(spark: SparkSession, d: str, step: int) -> DataFrame:
+    """Boxes of many sizes: most of some hundredths of a degree, a few of one or two degrees, some without any extent."""
+    c = tables(spark, d, "customer")[0]
+    k = F.col("c_custkey") + step
+    south, west = 47 + k * 37 % 1999 / 1000.0, 1 + k * 53 % 2003 / 1000.0
+    size = F.when(k % 499 == 0, 2.0).when(k % 97 == 0, 0.5).otherwise((k % 7) / 200.0)
+    return c.select(F.col("c_custkey").alias("id"), G.bounds(south, west, south + size, west + size * 0.75).alias("b"))
+
+
+def _plots_sql(step: int) -> str:
+    k = f"(c_custkey + {step})"
+    size = f"(case when {k} % 499 = 0 then 2.0::double when {k} % 97 = 0 then 0.5::double else ({k} % 7) / 200.0::double end)"
+    s, w = f"(47 + {k} * 37 % 1999 / 1000.0::double)", f"(1 + {k} * 53 % 2003 / 1000.0::double)"
+    return f"(select c_custkey as id, {s} as s, {w} as w, {s} + {size} as n, {w} + {size} * 0.75::double as e from customer)"
+
+
 def bbox_join(spark: SparkSession, d: str) -> DataFrame:
-    b = _boxes(spark, d)
-    left = b.where("id % 3 = 0 and id % 7 > 0").select(F.col("id").alias("a"), F.col("b").alias("ab"))
-    right = b.where("id % 5 = 1 and id % 7 > 0").select(F.col("id").alias("z"), F.col("b").alias("zb"))
-    return spatial.bbox_join(left, right, "ab", "zb", "a", "z", 0.25)
+    left = _plots(spark, d, 0).select(F.col("id").alias("a"), F.col("b").alias("ab"))
+    right = _plots(spark, d, 250).select(F.col("id").alias("z"), F.col("b").alias("zb"))
+    return spatial.bbox_join(left, right, "ab", "zb", "a", "z", 0.03)
 
 
-BBOX_JOIN = f"with b as (select * from {_BOX} where id % 7 > 0) select p.id as a, q.id as z from b p join b q on p.id % 3 = 0 and q.id % 5 = 1 and p.w <= q.e and q.w <= p.e and p.s <= q.n and q.s <= p.n"
+BBOX_JOIN = f"select p.id as a, q.id as z from {_plots_sql(0)} p join {_plots_sql(250)} q on p.w <= q.e and q.w <= p.e and p.s <= q.n and q.s <= p.n"
 
 _RINGS = [[[1.0, 47.2], [2.6, 47.0], [2.9, 48.6], [1.7, 48.9], [1.0, 47.2]], [[1.6, 47.6], [2.2, 47.6], [2.2, 48.1], [1.6, 48.1]]]
 
@@ -108,7 +123,7 @@ POINT_IN_POLYGON = f"select id, {_duck_ring('w', 's', _RINGS[0])} and not {_duck
 
 def coverage_forall(spark: SparkSession, d: str) -> DataFrame:
     boxes = _boxes(spark, d).select("id", F.col("b").alias("bounds"))
-    contours = boxes.where("id % 4 > 0").select("id", F.array(_literal(_RINGS)).alias("polygons"))
+    contours = boxes.select(F.expr("case when id % 4 = 0 then -1 - id else id end").alias("id"), F.array(_literal(_RINGS)).alias("polygons"))
     both = spatial.covered_boxes(boxes, contours, "id").join(boxes.select("id", G.inside_contours(F.col("bounds"), F.array(_literal(_RINGS))).alias("direct"), G.coverage_contains(F.col("bounds"), F.expr("array()").cast("array<array<array<array<double>>>>"), F.col("bounds")).alias("own")), "id")
     return both
 
@@ -182,9 +197,37 @@ select vec_id, n::bigint as n, round(y, 1) as last from f where i = 32
 
 
 def line_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy joins of polylines end to end (order-dependent: held against brute force in the tests)."""
-    out = spatial.merge_polylines(_segments(spark, d), "key")
-    return out.select("key", "pos", F.size("line").cast("long").alias("n"), F.round(F.get(F.get("line", F.lit(0)), F.lit(0)), 6).alias("lng"))
+    """Greedy joins of polylines end to end: each nation's customers are steps of one path, some of them backwards."""
+    c = tables(spark, d, "customer")[0]
+    k = F.col("c_custkey")
+
+    def node(i):
+        return F.struct((48 + i * i % 13 * 0.001).alias("lat"), (2 + i * 0.001).alias("lng"))
+
+    step = k * 7 % 50
+    line = F.when(k % 3 == 0, F.array(node(step + 1), node(step))).otherwise(F.array(node(step), node(step + 1)))
+    out = spatial.merge_polylines(c.select(F.col("c_nationkey").alias("key"), k.alias("idx"), line.alias("line")), "key")
+    at = lambda i, j: F.round(F.get(F.get("line", i), F.lit(j)), 6)
+    last = F.size("line") - 1
+    return out.select("key", "pos", F.size("line").cast("long").alias("n"), at(F.lit(0), 0).alias("lng"), at(last, 0).alias("last_lng"), at(last, 1).alias("last_lat"))
+
+
+_NEAR = "(abs({a}[1] - {b}[1]) <= 0.000035::double and abs({a}[2] - {b}[2]) <= 0.000035::double)"
+LINE_MERGE = f"""
+with recursive c as (select c_nationkey as key, c_custkey as k, c_custkey * 7 % 50 as i from customer),
+l as (select key, k, [2 + i * 0.001::double, 48 + i * i % 13 * 0.001::double] as a, [2 + (i + 1) * 0.001::double, 48 + (i + 1) * (i + 1) % 13 * 0.001::double] as b from c),
+s as (select key, list(case when k % 3 = 0 then [b, a] else [a, b] end order by k) as w from l group by key),
+r as (
+  select key, w[1] as now, w[2:] as waiting, []::double[][][] as done from s
+  union all
+  select key, case kind when 0 then waiting[1] when 1 then now || o[2:] when 2 then now || list_reverse(o)[2:] when 3 then o || now[2:] else list_reverse(o) || now[2:] end,
+    case when kind = 0 then waiting[2:] else waiting[:j - 1] || waiting[j + 1:] end, case when kind = 0 then list_append(done, now) else done end
+  from (select *, coalesce(kinds[j], 0) as kind, waiting[j] as o from (select *, list_position(list_transform(kinds, lambda x: x > 0), true) as j from (
+    select *, list_transform(waiting, lambda w: case when {_NEAR.format(a="now[-1]", b="w[1]")} then 1 when {_NEAR.format(a="now[-1]", b="w[-1]")} then 2 when {_NEAR.format(a="now[1]", b="w[-1]")} then 3 when {_NEAR.format(a="now[1]", b="w[1]")} then 4 else 0 end) as kinds
+    from r where now is not null)))),
+f as (select key, unnest(done) as line, unnest(range(len(done))) as i from r where now is null)
+select key, row_number() over (partition by key order by -len(line), i) - 1 as pos, len(line) as n, round(line[1][1], 6) as lng, round(line[-1][1], 6) as last_lng, round(line[-1][2], 6) as last_lat from f
+"""
 
 
 def hit_test(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +245,7 @@ def street_boxes(spark: SparkSession, d: str) -> DataFrame:
     lines = _segments(spark, d).groupBy("key").agg(F.collect_list("line").alias("lines"))
     n = tables(spark, d, "nation")[0].select(F.col("n_nationkey").alias("key"))
     point = F.when(F.col("key") % 2 == 0, F.struct(F.lit(1.0).alias("lat"), F.lit(2.0).alias("lng")))
-    rows = n.join(lines.where("key % 3 > 0"), "key", "left").select("key", G.street_bounds(F.coalesce("lines", F.expr("array()").cast("array<array<struct<lat:double,lng:double>>>")), point).alias("b"))
+    rows = n.join(lines.withColumn("key", F.expr("case when key % 3 = 0 then -1 - key else key end")), "key", "left").select("key", G.street_bounds(F.coalesce("lines", F.expr("array()").cast("array<array<struct<lat:double,lng:double>>>")), point).alias("b"))
     return rows.select("key", *[F.round(F.col(f"b.{s}"), 9).alias(s) for s in G.SIDES])
 
 
@@ -214,7 +257,7 @@ select n_nationkey as key, coalesce(s, case when n_nationkey % 2 = 0 then 1.0::d
 
 def places_in(spark: SparkSession, d: str) -> DataFrame:
     """Places of a viewport, and the guard's verdict in a row of its own."""
-    rows = _boxes(spark, d).where("id % 7 > 1 and id % 11 > 0").select((F.col("id") % 400).alias("code"), F.col("id").alias("seq"), "b.*")
+    rows = _plots(spark, d, 3).select((F.col("id") % 400).alias("code"), F.col("id").alias("seq"), "b.*")
     own, guard = landing.places_in(rows, G.bounds(F.lit(48.0), F.lit(2.0), F.lit(48.4), F.lit(2.4)), 20)
     none = F.lit(None)
     verdict = guard.select(none.cast("long").alias("code"), none.cast("long").alias("seq"), none.cast("double").alias("lat"), "too_many")
@@ -222,10 +265,10 @@ def places_in(spark: SparkSession, d: str) -> DataFrame:
 
 
 PLACES_IN = f"""
-with h as (select id % 400 as code, * from {_BOX} where id % 7 > 1 and id % 11 > 0 and w <= 2.4001::double and e >= 1.9999::double and s <= 48.4001::double and n >= 47.9999::double)
+with h as (select id % 400 as code, * from {_plots_sql(3)} where w <= 2.4001::double and e >= 1.9999::double and s <= 48.4001::double and n >= 47.9999::double)
 select code, min(id) as seq, round(arg_min((s + n) / 2, id), 9) as lat, null::boolean as too_many from h group by 1 union all select null, null, null, count(*) > 20 from h
 """
 
-_ALL = (snap_pad, viewport_limits, bounds_validate, bbox_agg, bbox_join, point_in_polygon, coverage_forall, segment_distance, nearest_component, clean_line, hit_test, street_boxes, places_in)
-QUERIES = {f.__name__: f for f in (*_ALL, line_merge)}
+_ALL = (snap_pad, viewport_limits, bounds_validate, bbox_agg, bbox_join, point_in_polygon, coverage_forall, segment_distance, nearest_component, clean_line, line_merge, hit_test, street_boxes, places_in)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {f.__name__: globals()[f.__name__.upper()] for f in _ALL}

@@ -13,7 +13,8 @@ from gridlume.sources.landing import tables
 
 def lookup_with_miss(spark: SparkSession, d: str) -> DataFrame:
     lines, parts = tables(spark, d, "lineitem", "part")
-    dim = parts.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("l_partkey"), F.struct(F.lit("ok").alias("status"), F.col("p_brand").alias("label")).alias("found"))
+    # every third part stands under a key that nobody asks for
+    dim = parts.select(F.expr("case when p_partkey % 3 = 0 then -1 - p_partkey else p_partkey end").alias("l_partkey"), F.struct(F.lit("ok").alias("status"), F.col("p_brand").alias("label")).alias("found"))
     out = enrich.lookup_with_miss(lines.select("l_partkey", "l_quantity"), dim, "l_partkey", "found", F.struct(F.lit("miss").alias("status"), F.lit("").alias("label")))
     return out.groupBy(F.col("found.status").alias("status"), F.col("found.label").alias("label")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
@@ -23,7 +24,7 @@ LOOKUP_WITH_MISS = "select case when p_partkey is null then 'miss' else 'ok' end
 
 def fallback_key_join(spark: SparkSession, d: str) -> DataFrame:
     lines, parts = tables(spark, d, "lineitem", "part")
-    dim = parts.where("p_partkey % 5 < 2").select("p_partkey", "p_name")
+    dim = parts.select(F.expr("case when p_partkey % 5 < 2 then p_partkey else -9 - p_partkey end").alias("p_partkey"), "p_name")
     rows = lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", (F.col("l_partkey") - 1).alias("other"))
     out = enrich.fallback_key_join(rows, dim, "l_partkey", "other", "p_partkey", "p_name")
     return out.groupBy("l_partkey").agg(F.min("p_name").alias("name"), F.count("p_name").alias("n"), F.count("*").alias("all"))
@@ -34,8 +35,8 @@ FALLBACK_KEY_JOIN = 'with dim as (select * from part where p_partkey % 5 < 2) se
 
 def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = tables(spark, d, "part")[0].select(F.col("p_partkey").alias("k"), "p_name")
-    one = rows.where("k % 6 <> 5").select("k", F.expr("case k % 6 when 0 then 'ok' when 1 then 'miss' when 2 then 'failed' when 3 then 'rate_limited' else 'failed' end").alias("status"), F.concat(F.lit("p"), "p_name").alias("payload"))
-    two = rows.where("k % 5 <> 4").select("k", F.expr("case k % 5 when 0 then 'ok' when 1 then 'miss' when 2 then 'rate_limited' else 'failed' end").alias("status"), F.concat(F.lit("f"), "p_name").alias("payload"))
+    one = rows.select(F.expr("case when k % 6 = 5 then -1 - k else k end").alias("k"), F.expr("case k % 6 when 0 then 'ok' when 1 then 'miss' when 2 then 'failed' when 3 then 'rate_limited' else 'failed' end").alias("status"), F.concat(F.lit("p"), "p_name").alias("payload"))
+    two = rows.select(F.expr("case when k % 5 = 4 then -1 - k else k end").alias("k"), F.expr("case k % 5 when 0 then 'ok' when 1 then 'miss' when 2 then 'rate_limited' else 'failed' end").alias("status"), F.concat(F.lit("f"), "p_name").alias("payload"))
     return rows.select("k"), one, two
 
 
@@ -70,7 +71,7 @@ BEST_MATCH = "select q, 'ok' as status, k / 10.0::double as lng, k / 20.0::doubl
 
 def unseen_keys(spark: SparkSession, d: str) -> DataFrame:
     orders, customers = tables(spark, d, "orders", "customer")
-    return enrich.unseen(customers.select("c_custkey", "c_name"), orders.where("o_orderkey % 8 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return enrich.unseen(customers.select("c_custkey", "c_name"), orders.select(F.expr("case when o_orderkey % 8 = 0 then o_custkey else -1 - o_custkey end").alias("c_custkey")), "c_custkey")
 
 
 UNSEEN_KEYS = "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 8 = 0)"
@@ -78,7 +79,7 @@ UNSEEN_KEYS = "select c_custkey, c_name from customer where c_custkey not in (se
 
 def warnings_union(spark: SparkSession, d: str) -> DataFrame:
     o = tables(spark, d, "orders")[0]
-    lists = F.array_distinct(F.concat(F.array("o_orderpriority", "o_orderstatus"), F.array(F.lit("F"), F.col("o_orderpriority"))))
+    lists = rollup.union_distinct(F.array("o_orderpriority", "o_orderstatus"), F.array(F.lit("F"), F.col("o_orderpriority")))
     return o.select("o_orderkey", F.array_join(lists, ",").alias("warnings"))
 
 

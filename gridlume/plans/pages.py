@@ -17,9 +17,8 @@ def place_fact(reports: DataFrame, geocodes: DataFrame, lines: DataFrame) -> tup
     the street's query key, ``lines`` (``key, lines``) by its name key.
     """
     found = ingest.explode_incidents(reports)
-    seq = F.col("seq") * 1_000_000 + F.col("pos")
-    incidents = rollup.incident_rollup(found.withColumn("seq", seq), ["key"])
-    rows = ingest.explode_addresses(found).withColumn("seq", seq * 1_000 + F.col("addr_pos"))
+    incidents = rollup.incident_rollup(found.withColumn("seq", F.struct("seq", "pos")), ["key"])
+    rows = ingest.explode_addresses(found).withColumn("seq", F.struct("seq", "pos", "addr_pos"))
     streets = rollup.street_rollup(rows).withColumn("q", enrich.geocode_key(F.col("name"), F.col("city"), F.col("postcode")))
     placed = enrich.lookup_with_miss(streets, geocodes, "q", "geocode", F.struct(F.lit("miss").alias("status"), F.lit(None).cast("double").alias("lng"), F.lit(None).cast("double").alias("lat")))
     named = placed.withColumn("name_key", X.fold_key(F.col("name")))
@@ -29,7 +28,7 @@ def place_fact(reports: DataFrame, geocodes: DataFrame, lines: DataFrame) -> tup
 
 def viewport_page(places: DataFrame, facts: DataFrame, lat: Column, lng: Column, offset: int) -> DataFrame:
     """Street facts (``code`` beside the street's columns) of one page of places, nearest first, merged."""
-    ranked = paging.page_slice(paging.nearest_pages(places, lat, lng), offset)
+    ranked = paging.page_slice(paging.nearest_pages(places, lat, lng, most=offset + paging.PAGE_SIZE), offset)
     return rollup.merge_streets(facts.join(ranked.select("code", "rank"), "code"), seq="rank")
 
 
@@ -39,24 +38,32 @@ def browser_map(pages: DataFrame, facet: str, query: str, active_key: str = "")
     return features.geojson_features(features.street_filter(merged, facet, query), active_key)
 
 
-def _reports(spark: SparkSession, d: str) -> DataFrame:
-    """A report a nation: its customers as incidents with one or two addresses."""
+def _report_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A report a nation as JSON: its customers as incidents with one address each."""
     c = tables(spark, d, "customer")[0]
     k = F.col("c_custkey")
     street = F.concat(F.lit("R. "), (k % 40).cast("string"), F.lit(", Ville "), F.col("c_nationkey").cast("string"), F.lit(" (69"), F.lpad(F.col("c_nationkey").cast("string"), 3, "0"), F.lit(")"))
     incident = F.struct(F.concat(F.lit("i"), (k % 60).cast("string")).alias("idCoupure"), F.col("c_mktsegment").alias("incidentCoupure"), F.lit("01/02/2025 10:00").alias("dateCoupure"), (k % 7).cast("string").alias("nbFoyersCoupes"), F.array(F.struct(street.alias("localisation"), (k % 5).cast("string").alias("nbFoyersCoupes"))).alias("listeAdresses"))
     by = c.groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), incident.alias("i")))), lambda x: x["i"]).alias("l"))
-    texts = by.select(F.col("c_nationkey").cast("long").alias("seq"), F.col("c_nationkey").cast("string").alias("insee"), F.lit("Lyon").alias("city"), F.to_json(F.struct(F.struct(F.col("l").alias("listeCoupuresInfoReseau")).alias("resultMegacache"))).alias("text"))
-    return ingest.decode_json(texts, "text", ingest.REPORT, "report").select("seq", "insee", "city", "report")
+    return by.select(F.col("c_nationkey").cast("long").alias("seq"), F.col("c_nationkey").cast("string").alias("insee"), F.lit("Lyon").alias("city"), F.to_json(F.struct(F.struct(F.col("l").alias("listeCoupuresInfoReseau")).alias("resultMegacache"))).alias("text"))
 
 
-def _fact(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.decode_json(_report_texts(spark, d), "text", ingest.REPORT, "report").select("seq", "insee", "city", "report")
+
+
+def _dimensions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Geocodes of a third of the streets, lines of a quarter of the names."""
     n = spark.range(40).withColumn("id", F.col("id").cast("long"))
     places = tables(spark, d, "nation")[0].select(F.col("n_nationkey").alias("n"))
     keys = places.select(F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i"), "n").where("(i + n) % 3 = 0")
     geo = keys.select(F.concat(F.lit("RUE "), F.col("i").cast("string"), F.lit(" VILLE "), F.col("n").cast("string"), F.lit(" 69"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("q"), F.struct(F.lit("ok").alias("status"), (2 + F.col("i") / 100.0).alias("lng"), (48 + F.col("n") / 100.0).alias("lat")).alias("geocode"))
     lines = n.where("id % 4 = 0").select(F.concat(F.lit("RUE "), F.col("id").cast("string")).alias("key"), F.array(F.array(F.array(F.lit(2.0), F.lit(48.0)), F.array(F.lit(2.1), F.lit(48.1)))).alias("lines"))
-    return place_fact(_reports(spark, d), geo, lines)
+    return geo, lines
+
+
+def _fact(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return place_fact(_reports(spark, d), *_dimensions(spark, d))
 
 
 def fact_streets(spark: SparkSession, d: str) -> DataFrame:

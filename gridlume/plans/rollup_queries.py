@@ -139,6 +139,17 @@ select max(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')) as updated_at, sum(o_ord
 """
 
 
+def merge_headers_server(spark: SparkSession, d: str) -> DataFrame:
+    """The server's warnings: all pages' lists one after another, repeats and all."""
+    o = tables(spark, d, "customer")[0]
+    pages = o.select(F.col("c_custkey").alias("seq"), F.lit("t").alias("updated_at"), F.array(F.col("c_mktsegment"), F.lit("w")).alias("warnings"))
+    out = rollup.merge_headers(pages, distinct_warnings=False)
+    return out.select("updated_at", F.size("warnings").cast("long").alias("n"), F.sha2(F.array_join("warnings", ","), 256).alias("warnings"))
+
+
+MERGE_HEADERS_SERVER = "select 't' as updated_at, 2 * count(*) as n, sha256(string_agg(c_mktsegment || ',w', ',' order by c_custkey)) as warnings from customer"
+
+
 def stats_refresh(spark: SparkSession, d: str) -> DataFrame:
     s = tables(spark, d, "supplier", "customer")[1]
     k = F.col("c_custkey")
@@ -190,7 +201,7 @@ def group_lines(spark: SparkSession, d: str) -> DataFrame:
 
 GROUP_LINES = """
 with w as (select p_partkey as k, lower(p_brand) || case when p_partkey % 2 = 0 then ' é' else ' E' end as name from part where p_partkey % 7 <> 0 and p_partkey % 3 = 2 and p_partkey % 11 <> 0)
-select upper(replace(name, 'é', 'e')) as key, array_to_string(list_sort(list(distinct name)), ',') as names, count(*) as n, string_agg(k::varchar, ',' order by k) as "order" from w group by 1
+select upper(replace(name, 'é', 'e')) as key, string_agg(distinct name, ',' order by name collate en) as names, count(*) as n, string_agg(k::varchar, ',' order by k) as "order" from w group by 1
 """
 
 
@@ -264,6 +275,6 @@ from o where o_custkey % 10 <> 0
 union all select null, null, null, null, null, null, null, null, w from (select distinct o_custkey || ': invalid response' as w from orders where o_custkey % 10 = 0)
 """
 
-_ALL = (entity_rollup, street_rollup, global_counters, first_non_null, partial_final_merge, page_merge_browser, merge_headers, stats_refresh, facet_counts, date_extrema, ordered_distinct, group_lines, combine_polygons, cache_outcomes, dedupe_first, dedupe_last, merge_incidents, report_explode)
+_ALL = (merge_headers_server, entity_rollup, street_rollup, global_counters, first_non_null, partial_final_merge, page_merge_browser, merge_headers, stats_refresh, facet_counts, date_extrema, ordered_distinct, group_lines, combine_polygons, cache_outcomes, dedupe_first, dedupe_last, merge_incidents, report_explode)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {f.__name__: globals()[f.__name__.upper()] for f in _ALL}

@@ -78,14 +78,18 @@ def js_number(spark: SparkSession, d: str) -> DataFrame:
     text = F.expr("case event_id % 8 when 0 then '' when 1 then '  ' when 2 then 'd' when 3 then 'e1' when 4 then '.5' when 5 then 'Infinity' when 6 then '' else 'e999' end")
     head = F.expr("case event_id % 8 when 5 then '' when 6 then '0x' when 1 then ' -' else '' end")
     body = F.when(F.col("event_id") % 8 == 5, F.lit("")).otherwise(k)
-    return e.select("event_id", S.js_number(F.concat(head, body, text)).alias("number"))
+    event = F.col("event_id")
+    # other bases: the event's id in binary and octal, and in hexadecimal with more digits than a double holds
+    based = F.when(event % 3 == 0, F.concat(F.lit("0b"), F.conv(event, 10, 2))).when(event % 3 == 1, F.concat(F.lit(" 0O"), F.conv(event, 10, 8))).otherwise(F.concat(F.lit("0x"), F.hex(event + 16), F.repeat(F.lit("f"), 16)))
+    return e.select("event_id", S.js_number(F.concat(head, body, text)).alias("number"), S.js_number(based).alias("based"))
 
 
 JS_NUMBER = r"""
 with t as (select event_id, json_extract_string(props, '$.k') as k from events)
 select event_id, case event_id % 8 when 0 then try_cast(k as double) when 1 then -try_cast(k as double) when 2 then 0 when 3 then try_cast(k as double) * 10
   when 4 then try_cast(k || '.5' as double) when 5 then 0 when 6 then coalesce(try_cast('0x' || k as bigint)::double, list_sum(list_transform(range(0, length(k)), lambda i: (ascii(k[i + 1]) - 48) * pow(16, length(k) - 1 - i)))::double)
-  else case when try_cast(k as double) = 0 then 0 else 0 end end + 0.0::double as number from t
+  else case when try_cast(k as double) = 0 then 0 else 0 end end + 0.0::double as number,
+  case when event_id % 3 < 2 then event_id::double else ((event_id + 17)::hugeint * 18446744073709551616)::double end as based from t
 """
 
 
@@ -111,10 +115,14 @@ select o_orderkey, case when o_orderkey % 11 = 0 then 0 else epoch_ms(make_date(
 
 def digest_key(spark: SparkSession, d: str) -> DataFrame:
     n = tables(spark, d, "nation")[0]
-    return n.groupBy("n_regionkey").agg(F.collect_list("n_name").alias("names")).select("n_regionkey", S.digest_key(F.concat("names", F.array(F.lit(""), F.lit("ZZ")))).alias("digest"))
+    names = n.groupBy("n_regionkey").agg(F.collect_list(F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name"))).alias("names"))
+    return names.select("n_regionkey", S.digest_key(F.concat("names", F.array(*map(F.lit, ("", "ZZ", "zz", "Évry", "Ezy", "Eu", "œuf"))))).alias("digest"))
 
 
-DIGEST_KEY = """select n_regionkey, sha256('["' || array_to_string(list_sort(list_append(list(distinct n_name), 'ZZ')), '","') || '"]') as digest from nation group by 1"""
+DIGEST_KEY = """
+with n as (select n_regionkey, case when n_nationkey % 2 = 0 then lower(n_name) else n_name end as name from nation union select n_regionkey, unnest(['ZZ', 'zz', 'Évry', 'Ezy', 'Eu', 'œuf']) from nation)
+select n_regionkey, sha256('["' || string_agg(name, '","' order by name collate en) || '"]') as digest from n group by 1
+"""
 
 
 def department_code(spark: SparkSession, d: str) -> DataFrame:
@@ -132,12 +140,12 @@ select s_suppkey, code, case when length(code) >= 3 and (code like '97%' or code
 def fixed_decimals(spark: SparkSession, d: str) -> DataFrame:
     p = tables(spark, d, "part")[0]
     v = F.col("p_retailprice") / F.when(F.col("p_partkey") % 2 == 0, 7.0).otherwise(-8.0)
-    return p.select("p_partkey", S.fixed(v, 4).alias("four"), S.fixed(v, 6).alias("six"), S.fixed(F.col("p_partkey") / 20.0, 1).alias("one"))
+    return p.select("p_partkey", S.fixed(v, 4).alias("four"), S.fixed(v, 6).alias("six"), S.fixed(F.col("p_partkey") / 20.0, 1).alias("one"), S.fixed(F.col("p_partkey") / -1e6, 3).alias("tiny"))
 
 
 FIXED_DECIMALS = """
 with v as (select p_partkey, p_retailprice / case when p_partkey % 2 = 0 then 7.0::double else -8.0::double end as v from part)
-select p_partkey, printf('%.4f', v) as four, printf('%.6f', v) as six, printf('%.1f', (p_partkey + case when p_partkey % 10 = 5 then 1 else 0 end) / 20.0::double) as one from v
+select p_partkey, printf('%.4f', v) as four, printf('%.6f', v) as six, printf('%.1f', (p_partkey + case when p_partkey % 10 = 5 then 1 else 0 end) / 20.0::double) as one, case when p_partkey = 0 then '0.000' else printf('%.3f', p_partkey / -1e6::double) end as tiny from v
 """
 
 
@@ -151,6 +159,15 @@ _URL = "'https://example.org/x?q=' || replace(url_encode('a b&' || page_id::varc
 REQUEST_KEYS = f"select page_id, {_URL} as url, 'GET:' || {_URL} || ':x' as key, strlen(html) <= 3000 as fits from pages"
 
 
+def upstream_texts(spark: SparkSession, d: str) -> DataFrame:
+    e = tables(spark, d, "events")[0]
+    kind = F.expr("case event_id % 4 when 0 then 'UpstreamTransportError' when 1 then 'UpstreamStatusError' when 2 then 'UpstreamDecodeError' else 'Other' end")
+    return e.select("event_id", S.upstream_message(kind, F.col("event_type"), F.col("event_id") % 600).alias("message"))
+
+
+UPSTREAM_TEXTS = "select event_id, case event_id % 4 when 0 then event_type || ' transport failed' when 1 then event_type || ' returned HTTP ' || (event_id % 600)::varchar when 2 then event_type || ' returned an invalid response' end as message from events"
+
+
 def error_texts(spark: SparkSession, d: str) -> DataFrame:
     kinds = [k for k, _, _ in S.ERRORS] + ["Other"]
     e = tables(spark, d, "events")[0].select("event_id", F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % len(kinds) + 1).cast("int")).alias("kind"))
@@ -222,8 +239,9 @@ def signed_tokens(spark: SparkSession, d: str) -> DataFrame:
 _JSON = """'{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}'"""
 SIGNED_TOKENS = f"select n_nationkey, rtrim(replace(replace(base64(encode({_JSON})), '+', '-'), '/', '_'), '=') as head, {_JSON} as back, null::varchar as wrong from nation"
 
-QUERIES = {f.__name__: f for f in (accent_fold, street_normalize, location_parse, js_number, duration_parse, date_parse, digest_key, department_code, fixed_decimals, request_keys, error_texts, display_texts, name_patterns, french_times, signed_tokens)}
+QUERIES = {f.__name__: f for f in (upstream_texts, accent_fold, street_normalize, location_parse, js_number, duration_parse, date_parse, digest_key, department_code, fixed_decimals, request_keys, error_texts, display_texts, name_patterns, french_times, signed_tokens)}
 ORACLE_SQL = {
+    "upstream_texts": UPSTREAM_TEXTS,
     "accent_fold": ACCENT_FOLD, "street_normalize": STREET_NORMALIZE, "location_parse": LOCATION_PARSE, "js_number": JS_NUMBER, "duration_parse": DURATION_PARSE, "date_parse": DATE_PARSE,
     "digest_key": DIGEST_KEY, "department_code": DEPARTMENT_CODE, "fixed_decimals": FIXED_DECIMALS, "request_keys": REQUEST_KEYS, "error_texts": ERROR_TEXTS, "display_texts": DISPLAY_TEXTS, "name_patterns": NAME_PATTERNS, "french_times": FRENCH_TIMES, "signed_tokens": SIGNED_TOKENS,
 }

@@ -89,11 +89,24 @@ LATE_RESULTS = "select user_id, event_id, event_id <= 5000 as expired from event
 
 
 def recent_cache(spark: SparkSession, d: str) -> DataFrame:
-    """Bounded caches, one an event type (eviction by insertion: held against brute force in the tests)."""
+    """Bounded caches, one an event type, with eviction by insertion."""
     e = _events(spark, d).withColumn("chars", F.length("props"))
     return state.recent_cache(e, "event_type", "user_id", ttl_ms=3_600_000 * 8, entries=16, most_bytes=600)
 
 
+_LIVE = "list_filter(c.held, lambda x: x.until > e.ms)"
+_FITS = "list_filter(range(0, len(live) + 1), lambda j: len(live) - j < 16 and coalesce(list_sum(list_transform(live[j + 1:], lambda x: x.size)), 0) + size <= 600)"
+RECENT_CACHE = f"""
+with recursive e as (select event_type, event_id, user_id, epoch_us(ts) // 1000 as ms, 2 * length(props) as size, row_number() over (partition by event_type order by epoch_us(ts) // 1000, event_id) as rn from events),
+c as (
+  select event_type, 0::bigint as rn, null::bigint as event_id, false as hit, []::struct(k bigint, until bigint, size bigint)[] as held from e where rn = 1
+  union all
+  select event_type, rn, event_id, hit, case when hit or size > 600 then live else list_append(live[list_min({_FITS}) + 1:], {{'k': user_id::bigint, 'until': ms + 28800000, 'size': size::bigint}}) end
+  from (select e.event_type, e.rn, e.event_id, e.user_id, e.ms, e.size, {_LIVE} as live, len(list_filter({_LIVE}, lambda x: x.k = e.user_id)) > 0 as hit from c join e on e.event_type = c.event_type and e.rn = c.rn + 1))
+select event_type, event_id, hit from c where rn > 0
+"""
+
+
 def permit_queue(spark: SparkSession, d: str) -> DataFrame:
     """Queues, one an event type (an event simulation: held against small worked cases in the tests)."""
     e = _events(spark, d).withColumn("lasts_ms", (F.col("event_id") % 50) * 60_000)
@@ -119,6 +132,6 @@ def freshness_stream(spark: SparkSession, d: str) -> DataFrame:
     return twins.drain(twins.freshness_stream(_event_stream(spark, d), "user_id", FRESH_MS), "freshness").withColumnRenamed("key", "user_id")
 
 
-_ALL = (token_bucket, swr_cache, coalesce_requests, rate_window, latest_page, late_results)
-QUERIES = {f.__name__: f for f in (*_ALL, recent_cache, permit_queue, token_bucket_stream, freshness_stream)}
+_ALL = (token_bucket, swr_cache, coalesce_requests, rate_window, latest_page, late_results, recent_cache)
+QUERIES = {f.__name__: f for f in (*_ALL, permit_queue, token_bucket_stream, freshness_stream)}
 ORACLE_SQL = {f.__name__: globals()[f.__name__.upper()] for f in _ALL} | {"token_bucket_stream": TOKEN_BUCKET, "freshness_stream": SWR_CACHE}

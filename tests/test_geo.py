@@ -86,3 +86,35 @@ def test_merge_frame(spark):
     rows = [("k", 0, [(48.0, 2.0), (48.1, 2.1)]), ("k", 1, [(48.2, 2.2), (48.1, 2.1)]), ("k", 2, [(49.0, 3.0)]), ("k", 3, [])]
     df = spark.createDataFrame(rows, "key string, idx int, line array<struct<lat:double,lng:double>>")
     assert [r.line for r in spatial.merge_polylines(df, "key").collect()] == [[[2.0, 48.0], [2.1, 48.1], [2.2, 48.2]]]
+
+
+def test_boxes_of_all_sizes(spark):
+    """Every pair that overlaps, once; reversed and null boxes overlap nothing."""
+    import random
+
+    from gridlume.functions import geo
+    from gridlume.operators import spatial
+
+    rng = random.Random(3)
+
+    def box():
+        size = rng.choice([0, 0.001, 0.05, 0.2, 3, 40, 200])
+        s, w = rng.uniform(-80, 60), rng.uniform(-170, 100)
+        return (s, w, s + size * rng.random(), w + size * rng.random())
+
+    a, b = [(i, *box()) for i in range(150)], [(i, *box()) for i in range(150)]
+    a += [(900, 10.0, 10.0, 5.0, 12.0), (901, None, 1.0, 2.0, 3.0), (902, -90.0, -180.0, 90.0, 180.0)]
+    b += [(900, -90.0, -180.0, 90.0, 180.0), *[(1000 + i, 1.0, 1.0, 1.0, 1.0) for i in range(20)]]
+    make = lambda rows, k, c: spark.createDataFrame(rows, f"{k} long, s double, w double, n double, e double").select(k, geo.bounds(F.col("s"), F.col("w"), F.col("n"), F.col("e")).alias(c))
+    got = [(r.a, r.b) for r in spatial.bbox_join(make(a, "a", "ab"), make(b, "b", "bb"), "ab", "bb", "a", "b", 0.1).collect()]
+    want = {(p[0], q[0]) for p in a for q in b if p[1] is not None and p[1] <= p[3] and p[2] <= p[4] and p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
+def test_one_null_feature_spoils_a_collection(spark):
+    from gridlume.operators import features
+
+    one = '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}}'
+    rows = [("a", f'{{"type":"FeatureCollection","features":[{one}]}}'), ("b", f'{{"type":"FeatureCollection","features":[null,{one}]}}'), ("c", '{"type":"FeatureCollection","features":[]}')]
+    got = features.area_features(spark.createDataFrame(rows, "key string, text string")).collect()
+    assert [r.key for r in got] == ["a"]

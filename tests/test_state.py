@@ -1,6 +1,7 @@
 """Budgets, caches and queues: worked cases."""
 
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -76,3 +77,42 @@ def test_keyed(spark):
     keys = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
     assert {r.key: r.value for r in keyed.get(table, keys, F.lit(59_999)).collect()} == {"a": None, "b": "2", "c": None}
     assert {r.key: r.value for r in keyed.get(table, keys, F.lit(60_000)).collect()} == {"a": None, "b": None, "c": None}
+
+
+def test_walks_carry_state_over_batches(spark):
+    """More events of a key than a batch holds; null keys are a key of their own."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(k, i, i * 100) for k in ("a", None, "b") for i in range(50)]
+        events = spark.createDataFrame(rows, "k string, event_id long, ms long")
+        got = state.token_bucket(events, "k", 2.0, 3.0).collect()
+        tokens, at, want = 3.0, None, []
+        for i in range(50):
+            tokens = min(3.0, tokens + (0 if at is None else i * 100 - at) * 2.0 / 1000)
+            at = i * 100
+            want.append(tokens >= 1)
+            tokens -= tokens >= 1
+        assert all([r.allowed for r in sorted(got, key=lambda r: r.event_id) if r.k == k] == want for k in ("a", None, "b"))
+        shared = state.coalesce_requests(events, "k", 1000).collect()
+        assert all(r.leader == r.event_id // 10 * 10 for r in shared) and len(shared) == 150
+        seen = state.swr_cache(events, "k", 500, 1000).collect()
+        assert {(r.event_id, r.outcome) for r in seen if r.event_id < 7} == {(0, "MISS"), (5, "STALE"), *((i, "HIT") for i in (1, 2, 3, 4, 6))}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_recent_cache_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i % 2, i, rng.randrange(12), rng.randrange(3000), rng.randrange(1, 60)) for i in range(400)]
+    events = spark.createDataFrame(rows, "c long, event_id long, k long, ms long, chars long")
+    got = {r.event_id: r.hit for r in state.recent_cache(events, "c", "k", ttl_ms=400, entries=4, most_bytes=200).collect()}
+    for c in (0, 1):
+        held = []
+        for _, i, k, ms, chars in sorted((r for r in rows if r[0] == c), key=lambda r: (r[3], r[1])):
+            held = [h for h in held if h[1] > ms]
+            assert got[i] == any(h[0] == k for h in held)
+            if not got[i] and 2 * chars <= 200:
+                while len(held) >= 4 or sum(h[2] for h in held) + 2 * chars > 200:
+                    held.pop(0)
+                held.append((k, ms + 400, 2 * chars))

@@ -58,7 +58,8 @@ def test_durations(spark):
 
 
 def test_fixed(spark):
-    assert column(spark, lambda c: S.fixed(c, 1), [0.15, 0.25, -0.04, 1.0, None], "double") == ["0.1", "0.3", "0.0", "1.0", None]
+    assert column(spark, lambda c: S.fixed(c, 1), [0.15, 0.25, -0.04, 1.0, None], "double") == ["0.1", "0.3", "-0.0", "1.0", None]
+    assert column(spark, lambda c: S.fixed(c, 6), [-1e-7, 1e-7, -0.0], "double") == ["-0.000000", "0.000000", "0.000000"]
     assert column(spark, lambda c: S.fixed(c, 6), [2.35, -48.85], "double") == ["2.350000", "-48.850000"]
 
 
@@ -84,3 +85,27 @@ def test_variants(spark):
 
 def test_times(spark):
     assert column(spark, S.french_time, ["2026-03-21T09:05:00Z", "", "oops", None]) == ["21/03 09:05", "-", "-", "-"]
+
+
+def test_numbers_in_other_bases(spark):
+    """Against Python's own conversion, ties and overflow too."""
+    hard = [(1 << 53) + 1, (1 << 54) + 2, (1 << 54) + 6, (1 << 60) - 1, ((1 << 53) + 1) << 11, (((1 << 53) + 1) << 40) + 1, (1 << 1023) + (1 << 970), 0, 7]
+    texts = [f(n) for n in hard for f in (hex, oct, bin)] + ["0x", "0b2", "0o8", "-0x5", "0xg", "0x" + "f" * 300, " 0B101 "]
+    want = [float(n) for n in hard for _ in range(3)] + [0.0] * 6 + [5.0]
+    assert column(spark, S.js_number, texts) == want
+
+
+#: Rewrites of street texts that must come out so (abbreviations, house numbers, class boundaries).
+STREETS = {
+    "12 R. de Longchamp": "RUE DE LONGCHAMP",
+    "BD Saint-Michel": "BOULEVARD SAINT-MICHEL",
+}
+
+
+def test_streets_of_fixed_results(spark):
+    assert column(spark, X.normalize_street, list(STREETS)) == list(STREETS.values())
+
+
+def test_language_aware_order(spark):
+    row = spark.range(1).select(S.locale_sorted(F.array(*map(F.lit, ["b", "É", "a", "Z", "e", "A", "f", "B"]))).alias("l")).first()
+    assert row.l == ["a", "A", "b", "B", "e", "É", "f", "Z"]
