@@ -42,16 +42,16 @@ class Settings:
     @classmethod
     def load(cls, env: Mapping[str, str]) -> Settings:
         """Settings of an environment; a production one without an https origin or a long secret fails at once."""
-        production = env.get("APP_ENV") == "production"
+        production = env.get("GRIDLUME_MODE") == "production"
         out = cls(
             production,
-            env.get("APP_ORIGIN", cls.origin),
-            env.get("CURSOR_SIGNING_SECRET", "" if production else "local-development-secret-of-no-value"),
-            env.get("CACHE_PREFIX", cls.prefix),
-            duration(env.get("OUTAGE_CACHE_TTL"), cls.fact_ttl),
-            duration(env.get("OUTAGE_CACHE_STALE_TTL"), cls.fact_stale_ttl),
-            duration(env.get("COMMUNES_CACHE_TTL"), cls.directory_ttl),
-            duration(env.get("CURSOR_TTL"), cls.cursor_ttl),
+            env.get("GRIDLUME_ORIGIN", cls.origin),
+            env.get("GRIDLUME_CURSOR_SECRET", "" if production else "local-development-secret-of-no-value"),
+            env.get("GRIDLUME_PREFIX", cls.prefix),
+            duration(env.get("GRIDLUME_FACT_TTL"), cls.fact_ttl),
+            duration(env.get("GRIDLUME_FACT_STALE_TTL"), cls.fact_stale_ttl),
+            duration(env.get("GRIDLUME_DIRECTORY_TTL"), cls.directory_ttl),
+            duration(env.get("GRIDLUME_CURSOR_TTL"), cls.cursor_ttl),
         )
         if production and (not secure_origin(out.origin) or len(out.cursor_secret) < LEAST_SECRET):
             raise ValueError("production needs an https origin and a signing secret of 32 characters or more")

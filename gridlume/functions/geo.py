@@ -91,7 +91,8 @@ def parse_bounds(values: dict[str, Column]) -> Column:
 
     South and north are swapped if need be; boxes over the antimeridian, beyond the globe or without area are errors.
     """
-    number = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^0[xX][0-9a-fA-F]+$"
+    number = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^0[xX][0-9a-fA-F]+$|^0[oO][0-7]+$|^0[bB][01]+$"
+    # The texts of the faults below, in their order.
     read = [F.struct(values[s].alias("raw"), js_number(values[s]).alias("number"), F.rlike(trim(values[s]), F.lit(number)).alias("readable"), trim(values[s]).try_cast("double").alias("plain")).alias(s) for s in SIDES]
 
     def check(v: Column) -> Column:

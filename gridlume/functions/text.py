@@ -144,6 +144,9 @@ def plural(n: Column, word: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n > 1, F.lit("s")).otherwise(F.lit("")))
 
 
+# The French words and sentences of the four functions below.
+
+
 def summary_text(city: Column, postcode: Column, incident_ids: Column) -> Column:
     """Place and number of incidents; empty parts are left out."""
     place = F.concat_ws(" ", F.nullif(city, F.lit("")), F.nullif(postcode, F.lit("")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gridlume.functions.scalars import earliest, latest
+from gridlume.functions.scalars import earliest, latest, let
 from gridlume.functions.text import parse_location, street_id
 
 
@@ -55,11 +55,21 @@ def _flat_ordered(lists: Column, seq: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(pairs, lambda p: p["v"])))
 
 
+def _distinct_structs(values: Column) -> Column:
+    """Distinct structs in order of first appearance, by sorting (``array_distinct`` compares structs pair by pair)."""
+
+    def firsts(sorted_: Column) -> Column:
+        new = F.filter(sorted_, lambda p, i: (i == 0) | ~F.get(sorted_, i - 1)["v"].eqNullSafe(p["v"]))
+        return F.transform(F.array_sort(F.transform(new, lambda p: F.struct(p["i"].alias("i"), p["v"].alias("v")))), lambda p: p["v"])
+
+    return let(F.array_sort(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i")))), firsts)
+
+
 def incident_rollup(incidents: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
     """One row a key: first scalars, summed households, earliest start, latest restore, distinct (text, number) addresses."""
     s = F.col(seq)
     first = [first_by(c, s).alias(c) for c in ("id", "status", "type", "electric_state", "place_code") if c in incidents.columns and c not in key]
-    return incidents.groupBy(*key).agg(*first, F.sum("households").alias("households"), earliest(F.col("start"), s).alias("start"), latest(F.col("restore"), s).alias("restore"), _flat_ordered(F.col("addresses"), s).alias("addresses"))
+    return incidents.groupBy(*key).agg(*first, F.sum("households").alias("households"), earliest(F.col("start"), s).alias("start"), latest(F.col("restore"), s).alias("restore"), _distinct_structs(_flat_kept(F.col("addresses"), s)).alias("addresses"))
 
 
 def street_rollup(addresses: DataFrame, seq: str = "seq", parsed: str | None = None) -> DataFrame:

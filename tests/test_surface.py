@@ -31,10 +31,10 @@ def test_tokens(spark):
 
 
 def test_settings():
-    assert Settings.load({}).fact_ttl == 900 and Settings.load({"OUTAGE_CACHE_TTL": "2h"}).fact_ttl == 7200
+    assert Settings.load({}).fact_ttl == 900 and Settings.load({"GRIDLUME_FACT_TTL": "2h"}).fact_ttl == 7200
     with pytest.raises(ValueError, match="https"):
-        Settings.load({"APP_ENV": "production", "APP_ORIGIN": "https://x.example/", "CURSOR_SIGNING_SECRET": "s" * 32})
-    assert Settings.load({"APP_ENV": "production", "APP_ORIGIN": "https://x.example", "CURSOR_SIGNING_SECRET": "s" * 32}).production
+        Settings.load({"GRIDLUME_MODE": "production", "GRIDLUME_ORIGIN": "https://x.example/", "GRIDLUME_CURSOR_SECRET": "s" * 32})
+    assert Settings.load({"GRIDLUME_MODE": "production", "GRIDLUME_ORIGIN": "https://x.example", "GRIDLUME_CURSOR_SECRET": "s" * 32}).production
     assert duration("x", 3) == 3 and duration("0.5s", 3) == 0.5
 
 
