@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -142,29 +145,66 @@ def nearest_components(lines: DataFrame, points: DataFrame, key: str) -> DataFra
 
 
 def chain_lines(lines: list[np.ndarray], tolerance: float = 0.000035) -> list[np.ndarray]:
-    """Polylines (rows of lng, lat) joined greedily end to end, in order, and sorted by vertex count, longest first."""
-    waiting, done = [np.asarray(x, float) for x in lines], []
-
-    def near(p: np.ndarray, q: np.ndarray) -> bool:
-        return bool((np.abs(p - q) <= tolerance).all())
-
-    while waiting:
-        now = waiting.pop(0)
-        i = 0
-        while i < len(waiting):
-            other = waiting[i]
-            if not len(now) or not len(other):
-                i += 1
-                continue
-            for keep, turned in ((near(now[-1], other[0]), lambda a, b: (a, b)), (near(now[-1], other[-1]), lambda a, b: (a, b[::-1])), (near(now[0], other[-1]), lambda a, b: (b, a)), (near(now[0], other[0]), lambda a, b: (b[::-1], a))):
-                if keep:
-                    head, tail = turned(now, other)
-                    now = thin_line(np.concatenate([head, tail[1:]]))
-                    del waiting[i]
-                    i = -1
-                    break
-            i += 1
-        done.append(now)
+    """Polylines (rows of lng, lat, thinned) joined greedily end to end, in order, and sorted by vertex count, longest first.
+
+    Ends are found by cells of the tolerance, and a chain is kept as its pieces, so the work grows with the vertices.
+    """
+    lines, step = [np.asarray(x, float) for x in lines], tolerance * 1.001
+    cells: dict[tuple[int, int], list[int]] = {}
+    for i, x in enumerate(lines):
+        for p in (x[0], x[-1]) if len(x) else ():
+            cells.setdefault((math.floor(p[0] / step), math.floor(p[1] / step)), []).append(i)
+    free = [True] * len(lines)
+
+    def near(p: np.ndarray, q: np.ndarray, most: float = tolerance) -> bool:
+        return bool(abs(p[0] - q[0]) <= most and abs(p[1] - q[1]) <= most)
+
+    def around(p: np.ndarray) -> list[int]:
+        x, y = math.floor(p[0] / step), math.floor(p[1] / step)
+        found = []
+        for c in ((x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
+            if c in cells:
+                cells[c] = [i for i in cells[c] if free[i]]
+                found += cells[c]
+        return found
+
+    def joined(head: deque, tail: deque) -> deque:
+        """``tail`` behind ``head``: without its first vertex, and without those that then repeat the head's last."""
+        last, rest = head[-1][-1], deque(tail)
+        rest[0] = rest[0][1:]
+        while rest and (not len(rest[0]) or near(rest[0][0], last, 0.000001)):
+            if len(rest[0]):
+                rest[0] = rest[0][1:]
+            else:
+                rest.popleft()
+        if len(rest) > len(head):
+            rest.extendleft(reversed(head))
+            return rest
+        head.extend(rest)
+        return head
+
+    done = []
+    for k, line in enumerate(lines):
+        if not free[k]:
+            continue
+        free[k] = False
+        now = deque([line])
+        while len(line):
+            first, last = now[0][0], now[-1][-1]
+            # the first line in order that has an end at one of ours
+            fits = lambda i: any(near(p, q) for p in (first, last) for q in (lines[i][0], lines[i][-1]))  # noqa: B023, E731
+            best = min(filter(fits, {*around(first), *around(last)}), default=None)
+            if best is None:
+                break
+            free[best] = False
+            other = lines[best]
+            if near(last, other[0]):
+                now = joined(now, deque([other]))
+            elif near(last, other[-1]):
+                now = joined(now, deque([other[::-1]]))
+            else:
+                now = joined(deque([other if near(first, other[-1]) else other[::-1]]), now)
+        done.append(np.concatenate(list(now)) if len(now) > 1 else now[0])
     return sorted(done, key=lambda x: -len(x))
 
 

@@ -118,3 +118,38 @@ def test_one_null_feature_spoils_a_collection(spark):
     rows = [("a", f'{{"type":"FeatureCollection","features":[{one}]}}'), ("b", f'{{"type":"FeatureCollection","features":[null,{one}]}}'), ("c", '{"type":"FeatureCollection","features":[]}')]
     got = features.area_features(spark.createDataFrame(rows, "key string, text string")).collect()
     assert [r.key for r in got] == ["a"]
+
+
+def test_chains_against_brute_force():
+    """The greedy rule written plainly: take the first line, and again and again the first of the others that fits."""
+    import random
+
+    from gridlume.operators.spatial import chain_lines, thin_line
+
+    def plainly(lines):
+        waiting, done = list(lines), []
+        near = lambda p, q: max(abs(p - q)) <= 0.000035
+        while waiting:
+            now, again = waiting.pop(0), True
+            while again:
+                again = False
+                for i, o in enumerate(waiting):
+                    if not len(now) or not len(o):
+                        continue
+                    pair = (now, o) if near(now[-1], o[0]) else (now, o[::-1]) if near(now[-1], o[-1]) else (o, now) if near(now[0], o[-1]) else (o[::-1], now) if near(now[0], o[0]) else None
+                    if pair:
+                        now, again = thin_line(np.concatenate([pair[0], pair[1][1:]])), True
+                        del waiting[i]
+                        break
+            done.append(now)
+        return sorted(done, key=lambda x: -len(x))
+
+    rng = random.Random(5)
+    for _ in range(60):
+        nodes = [(rng.randrange(4) * 0.001 + rng.choice([0, 0.00002, 0.0000005]), rng.randrange(4) * 0.001) for _ in range(30)]
+        lines = [thin_line(np.array([rng.choice(nodes) for _ in range(rng.choice([0, 2, 2, 3, 5]))], float).reshape(-1, 2)) for _ in range(rng.randrange(14))]
+        got, want = chain_lines(lines), plainly(lines)
+        assert [x.tolist() for x in got] == [x.tolist() for x in want]
+    long_ = [np.array([[i * 0.001, 0.0], [(i + 1) * 0.001, 0.0]]) for i in range(20_000)]
+    rng.shuffle(long_)
+    assert sum(len(x) for x in chain_lines(long_)) >= 20_001
