@@ -115,7 +115,7 @@ def permit_queue(spark: SparkSession, d: str) -> DataFrame:
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 16).parquet(d)
     return stream.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
 
 

@@ -1,6 +1,7 @@
 """Streaming state: one small state a key, however many events it sees.
 
 State lives in the RocksDB provider (``use_rocksdb``); within a batch a key's events are taken in order of time, then id.
+They are sorted in memory for that, so bound a batch by its source (``maxFilesPerTrigger``).
 """
 
 from __future__ import annotations
