@@ -234,11 +234,14 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     # one row a distinct (id, text); a row that is fine as it is needs no mark
     marks = found.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
     marks = scratch.save(marks.select(F.col("doc_id").alias("_nd_id"), F.col("text_key").alias("_nd_key"), F.col("kept").alias("_nd_kept")), "marks")
+    repeated = marks.where("_nd_kept").limit(1).count() > 0
     if marks.limit(most_broadcast + 1).count() <= most_broadcast:
         marks = F.broadcast(marks)
     key = F.xxhash64(F.col(text_col).cast("string"))
     marked = docs.join(marks, (F.col(id_col).cast("long") == F.col("_nd_id")) & (key == F.col("_nd_key")), "left")
     rest = marked.where("_nd_id is null").select(docs.columns)
+    if not repeated:
+        return rest
     # the others that stay are rows that repeat id and text
     again = marked.where("_nd_kept").groupBy("_nd_id", "_nd_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return rest.unionByName(again)
