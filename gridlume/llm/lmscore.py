@@ -26,7 +26,7 @@ from gridlume.llm.membership import mark_members
 from gridlume.runtime import ship
 
 #: Megabytes of text in a chunk, and those that a range of hashes answers for.
-CHUNK_MB, RANGE_MB = 16, 32
+CHUNK_MB, RANGE_MB = 12, 12
 
 _HEAD = struct.Struct("<cqq")
 _ROWS = "chunk long, part long, body binary"
@@ -80,8 +80,9 @@ def _requests(rows: DataFrame, parts: int, chunk_mb: int, documents: bool) -> Da
                 own = flags[part.row : part.row + len(part)][w.doc]
                 words, pairs, inner = _ngrams(w.hash, w.doc)
                 keys, n = np.unique(np.concatenate([words, pairs]), return_counts=True)
+                n = n.astype(np.int32)  # a chunk's counts are far below 2**31
                 of_target, m = np.unique(np.concatenate([words[own], pairs[own[inner]]]), return_counts=True)
-                target = np.zeros(len(keys), np.int64)
+                target = np.zeros(len(keys), np.int32)
                 target[np.searchsorted(keys, of_target)] = m
                 cuts = _ranges(keys, parts)
                 out = [(p, _pack(np.diff(keys[a:b], prepend=T.U64(0)), n[a:b], target[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
