@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlume.llm.align import align_tokenizers
+from gridlume.llm.curvepack import pack_along_curve
 from gridlume.llm.decontam import contaminated_documents
+from gridlume.llm.divergence import source_divergence
 from gridlume.llm.importance import importance_resample
 from gridlume.llm.lmscore import cross_entropy_difference
 from gridlume.llm.neardup import near_duplicates
@@ -107,6 +110,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_along_curve(table(spark, sf_dir, "documents"), tokenizer_file(), size=2048, end_id=1)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -115,7 +131,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_tool_calls, op3_importance, op4_secrets, op5_near_duplicates, op6_repeated_strings, op7_lm_scores, op8_packing, op9_decontamination, op10_toxicity, pipeline)
+    for f in (op1_quality_rules, op2_tool_calls, op3_importance, op4_secrets, op5_near_duplicates, op6_repeated_strings, op7_lm_scores, op8_packing, op9_decontamination, op10_toxicity, op11_curve_packing, op12_alignment, op13_source_divergence, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -236,4 +252,22 @@ from b left join e on e.doc_id = b.doc_id
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_tool_calls": OP2_SQL, "op4_secrets": _op4_sql(), "op5_near_duplicates": OP5_SQL, "op6_repeated_strings": OP6_SQL}
+OP13_SQL = r"""
+with d as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+w as (select row, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+c as (select lang, source, term, count(*)::hugeint as n from w group by all),
+k as (select lang, term, count(*)::hugeint as total from w group by all having count(distinct row) >= 10),
+l as (select d.lang, coalesce(any_value(v), 0) as v, coalesce(any_value(size), 0) as size from d left join (select lang, count(*)::hugeint as v, sum(total)::hugeint as size from k group by 1) x on x.lang = d.lang group by 1),
+g as (select d.lang, d.source, coalesce(any_value(s.size), 0)::hugeint as size from d left join (select c.lang, c.source, sum(n)::hugeint as size from c join k on k.lang = c.lang and k.term = c.term group by all) s on s.lang = d.lang and s.source = d.source group by all),
+cell as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 2) // (g.size + 2 * l.v) as p, 1 + 1000000000::hugeint * (k.total + 2) // (l.size + 2 * l.v) as q
+  from g join l on l.lang = g.lang join k on k.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pair as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::hugeint as value from cell a join cell b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(pair.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pair on pair.lang = a.lang and pair.source = a.source and pair.item = b.source
+  union all select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from cell where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as r from every)
+select lang, source, part, item, value::bigint as value, r::int as rank from ranked where part = 'pair' or r <= 10
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_tool_calls": OP2_SQL, "op4_secrets": _op4_sql(), "op5_near_duplicates": OP5_SQL, "op6_repeated_strings": OP6_SQL, "op13_source_divergence": OP13_SQL}
