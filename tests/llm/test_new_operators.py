@@ -28,7 +28,7 @@ def corpus(seed=3, n=60):
     rng = random.Random(seed)
     rows = [(i, words(rng, rng.randint(1, 80)), rng.choice(["en", "de", "de"]), f"s{rng.randint(0, 3)}") for i in range(n)]
     rows += [(900 + k, rows[k][1], "de", "s0") for k in range(8)]
-    rows += [(950, None, "en", None), (951, "", None, "s1"), (952, "   ", "fr", "s1"), (953, "x  y\n\tz <|endoftext|></s> it's 12,5", "en", "s1"), (953, "again", "en", "s1"), (None, "no id ▁ here", "en", "s2"), (954, "a b c　d 漢字 かな " * 3, "de", "s2"), (-(2**63), "\x00 nul \x1c", "en", "s1"), (2**63 - 1, "Ärger ÄRGER ", "xx", "only")]
+    rows += [(950, None, None, None), (951, "", None, "s1"), (952, "   ", "fr", "s1"), (953, "x  y\n\tz <|endoftext|></s> it's 12,5", "en", "s1"), (953, "again", "en", "s1"), (None, "no id ▁ here", "en", "s2"), (954, "a b c　d 漢字 かな " * 3, "de", "s2"), (-(2**63), "\x00 nul \x1c", "en", "s1"), (2**63 - 1, "Ärger ÄRGER ", "xx", "only")]
     return rows
 
 
