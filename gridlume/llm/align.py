@@ -4,8 +4,8 @@ Both tokenizers cut a text's bytes (with a space before it) into tokens, so each
 In compressed sparse rows, Gustavson's row product A * B^T links tokens that share bytes (the entry is their number); where
 tokens of both end, a group ends, and the product of the token-group incidences links tokens of one group.
 
-Neither tokenizer joins across a space that follows something else, so a text falls into units there, and tokens, links and
-groups of a unit depend on it alone. Units repeat a great deal: a task encodes and multiplies each once, knows it by a hash, and
+Neither tokenizer joins across a space that follows something else, nor letters, digits, marks and line ends with each other
+(``spaced_units`` has the exact rule), so a text falls into units there, and tokens, links and groups of a unit depend on it alone. Units repeat a great deal: a task encodes and multiplies each once, knows it by a hash, and
 gathers what texts need. (U+2581, which the second tokenizer writes for a space, is never given back, so texts that hold it have no
 tokens, in units or whole.) Two passes: the first counts the links of every pair of ids over the corpus (a task adds its units'
 occurrences up before it multiplies them out), the second sums the counts over each text's links. The table of counted pairs
@@ -30,7 +30,7 @@ from gridlume.llm.tokens import UnitTokenizer
 from gridlume.runtime import ship
 
 #: Units that a worker remembers; entries of a product that are spread out at a time.
-MOST_UNITS, _ENTRIES = 400_000, 1 << 20
+MOST_UNITS, _ENTRIES = 900_000, 1 << 20
 _LOW = (1 << 32) - 1
 
 
@@ -61,8 +61,7 @@ class Csr:
             named = self.indices[self.indptr[a] : self.indptr[b]]
             size = width[named]
             row = np.repeat(np.repeat(np.arange(a, b), np.diff(self.indptr[a : b + 1])), size)
-            at = np.repeat(other.indptr[named] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            cell, value = np.unique(row * other.columns + other.indices[at], return_counts=True)
+            cell, value = np.unique(row * other.columns + other.indices[_ranges(other.indptr[named], size)], return_counts=True)
             yield cell // other.columns, cell % other.columns, value
             a = b
 
@@ -101,6 +100,30 @@ class Aligned:
         return token_groups(self.a_ends, self.common).product(token_groups(self.b_ends, self.common).transpose())
 
 
+_LETTER, _MARK, _DIGIT, _LINE, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+for _c in range(33, 127):
+    _KIND[_c] = _LETTER if chr(_c).isalpha() else _DIGIT if chr(_c).isdigit() else _MARK
+_KIND[ord("'")], _KIND[0x0A] = _OTHER, _LINE
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of many ranges, one range after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+class Strings:
+    """Many byte strings in one buffer."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.array([len(x) for x in strings], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.pool = np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, at: np.ndarray) -> np.ndarray:
+        return self.pool[_ranges(self.start[at], self.size[at])]
+
+
 class Both:
     """The two tokenizers and the bytes of their tokens."""
 
@@ -111,27 +134,80 @@ class Both:
 
         self.a, self.b = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
         self.a.encode_special_tokens = True  # their strings in a text are plain text
-        byte = _byte_level()
-        self.a_bytes = {i: bytes(byte[c] for c in w) if all(c in byte for c in w) else w.encode() for w, i in self.a.get_vocab().items()}
+        byte, vocab = _byte_level(), self.a.get_vocab()
+        a_bytes = [b""] * (1 + max(vocab.values(), default=-1))
+        for w, i in vocab.items():
+            a_bytes[i] = bytes(byte[c] for c in w) if all(c in byte for c in w) else w.encode()
         piece = self.b.id_to_piece
-        self.b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
+        b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
+        self.a_bytes, self.b_bytes = Strings(a_bytes), Strings(b_bytes)
         self.space = self.b.piece_to_id("▁")
 
     def encode(self, units: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids by both of strings that begin with a space, which the second tokenizer adds itself."""
+        """Ids by both, unit by unit. The second tokenizer puts a space before its texts: it is the unit's own, or it goes before a line end that is
+        taken away again."""
         own = [e.ids for e in self.a.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
-        other = self.b.encode([u[1:].decode() for u in units], num_threads=1)
-        return own, [x if len(u) > 1 else [self.space] for u, x in zip(units, other, strict=True)]
+        other = self.b.encode([u[1:].decode() if u[0] == 0x20 else "\n" + u.decode() for u in units], num_threads=1)
+        return own, [[self.space] if u == b" " else x if u[0] == 0x20 else x[2:] for u, x in zip(units, other, strict=True)]
 
-    def aligned(self, units: list[bytes]) -> tuple[Aligned, np.ndarray]:
+    def one_by_one(self, units: list[bytes]) -> tuple[Aligned, np.ndarray]:
         """The tokens of ``units``, and which of them both tokenizers give back byte for byte; others have no tokens."""
         own, other = self.encode(units)
-        good = np.array([b"".join([self.a_bytes[i] for i in x]) == u and b"".join([self.b_bytes[i] for i in y]) == u for u, x, y in zip(units, own, other, strict=True)], bool)
-        for k in np.flatnonzero(~good):
-            own[k], other[k] = [], []
-        a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (own, other))
-        ends = [np.cumsum(np.array([len(table[i]) for i in ids.tolist()], np.int64)) for ids, table in ((a, self.a_bytes), (b, self.b_bytes))]
-        return Aligned(a, b, *ends, *(np.append(0, np.cumsum([len(x) for x in ids])) for ids in (own, other))), good
+        good = np.zeros(len(units), bool)
+        for k, (u, x, y) in enumerate(zip(units, own, other, strict=True)):
+            good[k] = self.a_bytes.joined(np.array(x, np.int64)).tobytes() == u and self.b_bytes.joined(np.array(y, np.int64)).tobytes() == u
+            if not good[k]:
+                own[k], other[k] = [], []
+        return self._aligned(*((np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids], np.int64)) for ids in (own, other))), good
+
+    def _aligned(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> Aligned:
+        return Aligned(a[0], b[0], np.cumsum(self.a_bytes.size[a[0]]), np.cumsum(self.b_bytes.size[b[0]]), np.append(0, np.cumsum(a[1])), np.append(0, np.cumsum(b[1])))
+
+    def aligned(self, units: list[bytes]) -> tuple[list[int], Aligned, np.ndarray]:
+        """The same of many units, in an order of its own (returned first).
+
+        Most go through both tokenizers as one text: units that begin with a space one after another, others behind line
+        ends of their own. If that text isn't given back, or not cut at all units, they go one by one.
+        """
+        spaced, plain, odd = [], [], []
+        for k, u in enumerate(units):
+            (odd if not _ends_plainly(u) else spaced if u[0] == 0x20 else plain if _begins_plainly(u) else odd).append(k)
+        order = spaced + plain
+        size = np.array([len(units[k]) for k in order], np.int64)
+        start = np.cumsum(size) - size + 2 + np.concatenate([np.zeros(len(spaced), np.int64), np.arange(1, len(plain) + 1)])
+        text = b"".join([b" x", *(units[k] for k in spaced), *(b"\n" + units[k] for k in plain)])
+        found = self._cut(text, start, start + size) if order else None
+        if found is None:
+            order, odd = [], [*range(len(units))]
+        if odd:
+            x, good = self.one_by_one([units[k] for k in odd])
+            rest = ((x.a, np.diff(x.a_first)), (x.b, np.diff(x.b_first)))
+            found = rest if found is None else tuple((np.concatenate([p[0], q[0]]), np.concatenate([p[1], q[1]])) for p, q in zip(found, rest, strict=True))
+        good = np.concatenate([np.ones(len(order), bool), good]) if odd else np.ones(len(order), bool)
+        return order + odd, self._aligned(*found), good
+
+    def _cut(self, text: bytes, start: np.ndarray, end: np.ndarray) -> tuple | None:
+        """(ids, number of them a unit) of both kinds inside the places of units; none if text or places are not kept."""
+        raw, out = np.frombuffer(text, np.uint8), []
+        both = (self.a.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, self.b.encode(text[1:].decode()))
+        for ids, table in zip(both, (self.a_bytes, self.b_bytes), strict=True):
+            ids = np.array(ids, np.int64)
+            if not np.array_equal(table.joined(ids), raw):
+                return None
+            ends = np.append(0, np.cumsum(table.size[ids]))
+            first, last = np.searchsorted(ends, start), np.searchsorted(ends, end)
+            if (ends[first] != start).any() or (ends[last] != end).any():
+                return None
+            out.append((ids[_ranges(first, last - first)], last - first))
+        return tuple(out)
+
+
+def _begins_plainly(unit: bytes) -> bool:
+    return _KIND[unit[0]] < _LINE or unit[0] == 0xC3 and unit[1] not in (0x97, 0xB7)
+
+
+def _ends_plainly(unit: bytes) -> bool:
+    return _KIND[unit[-1]] < _LINE or len(unit) > 1 and unit[-2] == 0xC3 and unit[-1] not in (0x97, 0xB7)
 
 
 def _byte_level() -> dict[str, int]:
@@ -144,8 +220,10 @@ def _byte_level() -> dict[str, int]:
 def spaced_units(part: T.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of a slice's texts with a space before each, and where each unit starts and ends; first[d]:first[d + 1] are those of text d.
 
-    A unit begins at each text and at each space behind what is no white space. Bytes that may end white space beyond ASCII
-    count as such, which only makes a unit longer.
+    A unit begins at each text; at each space behind what is no white space; between letters, digits and marks of different
+    kinds (ASCII and the letters from U+00C0 to U+00FF; the apostrophe, which makes contractions, is none of them); at a line end behind one
+    of these; and behind a line end that stands alone between two of them. Both tokenizers cut at all these places, whatever else
+    the text holds. Bytes that may end white space beyond ASCII count as such, which only makes a unit longer.
     """
     n = len(part)
     sizes = np.diff(part.offsets)
@@ -156,7 +234,16 @@ def spaced_units(part: T.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     two, three = np.zeros(len(buf), np.uint8), np.zeros(len(buf), np.uint8)
     two[1:], three[2:] = buf[:-1], buf[:-2]
     white = (buf <= 0x20) | (two == 0xC2) & ((buf == 0x85) | (buf == 0xA0)) | (three == 0xE1) & (two == 0x9A) | (three == 0xE2) & ((two == 0x80) | (two == 0x81)) | (three == 0xE3) & (two == 0x80)
-    cut[1:-1] = (buf[1:] == 0x20) & ~white[:-1]
+    kind = _KIND[buf]
+    lead = np.zeros(len(buf), bool)  # of a letter of two bytes; its second byte is never read as the lead of another
+    lead[:-1] = (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+    kind[lead] = _LETTER
+    kind[1:][lead[:-1]] = _LETTER
+    a, b = kind[:-1], kind[1:]
+    plain = a < _LINE
+    line = b == _LINE
+    cut[1:-1] = (buf[1:] == 0x20) & ~white[:-1] | plain & (b < _LINE) & (a != b) | plain & line
+    cut[2:-1] |= (plain[:-1] & line[:-1]) & (kind[2:] < _LINE)
     cut[offsets] = True
     at = np.flatnonzero(cut)
     start, end = at[:-1], at[1:]
@@ -177,7 +264,8 @@ class UnitTable(UnitTokenizer):
     def _reset(self, least: int = 0) -> None:
         super()._reset(least)
         self.facts = np.zeros((1 << 16, len(_FACTS)), np.int64)
-        self.groups: list[bytes] = []
+        self.text = np.zeros(1 << 20, np.uint8)  # of the groups of all units, each with ``;`` behind it
+        self.text_end = np.zeros(1 << 16, np.int64)
         self.links: list[np.ndarray] = []  # of the units learned at one go: their codes
         self.linked: list[np.ndarray] = []  # and how many each has
 
@@ -200,7 +288,8 @@ class UnitTable(UnitTokenizer):
         return len(np.unique(key[self._find(key) < 0]))
 
     def _learn_units(self, key: np.ndarray, units: list[bytes]) -> None:
-        x, good = self.both.aligned(units)
+        order, x, good = self.both.aligned(units)
+        key = key[order]
         facts = np.zeros((len(units), len(_FACTS)), np.int64)
         facts[:, 0], facts[:, 1], facts[:, 2] = good, np.diff(x.a_first), np.diff(x.b_first)
         unit_a = np.repeat(np.arange(len(units)), facts[:, 1])
@@ -222,13 +311,38 @@ class UnitTable(UnitTokenizer):
         else:
             self.links.append(codes), self.linked.append(facts[:, 4])
         if self.texts:
-            self.groups += _group_texts(x, group_a, group_b, facts[:, 3])
+            self._add_texts(*_group_texts(x, group_a, group_b), facts[:, 3])
         while self.n + len(units) > len(self.facts):
             self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
         self.facts[self.n : self.n + len(units)] = facts
         self._store(key, np.arange(self.n, self.n + len(units), dtype=np.int32))
         self.n += len(units)
 
+    def _add_texts(self, text: np.ndarray, group_size: np.ndarray, n_groups: np.ndarray) -> None:
+        used = int(self.text_end[self.n - 1]) if self.n else 0
+        while used + len(text) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        while self.n + len(n_groups) > len(self.text_end):
+            self.text_end = np.concatenate([self.text_end, np.zeros_like(self.text_end)])
+        self.text[used : used + len(text)] = text
+        upto = np.append(0, np.cumsum(group_size))
+        self.text_end[self.n : self.n + len(n_groups)] = used + upto[np.cumsum(n_groups)]
+
+    def digests(self, part: Part) -> list[str]:
+        """SHA-256 of each text's groups; nothing for texts without tokens."""
+        end = self.text_end[part.unit]
+        start = np.where(part.unit > 0, self.text_end[np.maximum(part.unit, 1) - 1], 0)
+        upto, out, a = np.append(0, np.cumsum(end - start)), [], 0
+        while a < len(part.good):
+            # some MB at a time
+            b = max(a + 1, int(np.searchsorted(upto[part.first], upto[part.first[a]] + (4 << 20), "right")) - 1)
+            i, j = part.first[a], part.first[b]
+            raw = memoryview(self.text[_ranges(start[i:j], (end - start)[i:j])].tobytes())
+            at = (upto[part.first[a : b + 1]] - upto[i]).tolist()
+            out += [hashlib.sha256(raw[p : q - 1]).hexdigest() if good else "" for p, q, good in zip(at[:-1], at[1:], part.good[a:b].tolist(), strict=True)]
+            a = b
+        return out
+
     def pairs(self, occurs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes (A id << 32 | B id) of all links of units that occur so often, and how often each is linked."""
         if not self.links:
@@ -241,17 +355,26 @@ class UnitTable(UnitTokenizer):
         return code[total > 0], total[total > 0]
 
 
-def _group_texts(x: Aligned, group_a: np.ndarray, group_b: np.ndarray, n_groups: np.ndarray) -> list[bytes]:
-    """The groups of each string, as ``a1,a2|b1;a3|b2,b3``."""
-    sides: list[list[list[str]]] = []
-    for ids, group in ((x.a, group_a), (x.b, group_b)):
-        own: list[list[str]] = [[] for _ in range(len(x.common))]
-        for g, i in zip(group.tolist(), ids.tolist(), strict=True):
-            own[g].append(str(i))
-        sides.append(own)
-    each = [f"{','.join(a)}|{','.join(b)}" for a, b in zip(*sides, strict=True)]
-    first = np.append(0, np.cumsum(n_groups)).tolist()
-    return [";".join(each[p:q]).encode() for p, q in zip(first[:-1], first[1:], strict=True)]
+_DECIMAL: list[Strings] = []
+
+
+def _group_texts(x: Aligned, group_a: np.ndarray, group_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The groups as ``a1,a2|b1;a3|b2,b3;``, all in one buffer, and how long each is.
+
+    Tokens of both kinds are put in order of group and kind; each is its number and the mark behind it.
+    """
+    most = max(int(x.a.max(initial=0)), int(x.b.max(initial=0)))
+    if not _DECIMAL or len(_DECIMAL[0].size) <= most:
+        _DECIMAL[:] = [Strings([str(i).encode() + b"," for i in range(most + 1 + 60_000)])]
+    group, ids = np.concatenate([group_a, group_b]), np.concatenate([x.a, x.b])
+    kind = np.repeat([0, 1], [len(group_a), len(group_b)])
+    order = np.argsort(2 * group + kind, kind="stable")
+    group, kind, size = group[order], kind[order], _DECIMAL[0].size[ids[order]]
+    text = _DECIMAL[0].joined(ids[order]).copy()
+    last = np.cumsum(size) - 1
+    ends = np.append((2 * group + kind)[1:] != (2 * group + kind)[:-1], True) if len(group) else np.zeros(0, bool)
+    text[last[ends]] = np.where(kind[ends] == 0, ord("|"), ord(";"))
+    return text, np.bincount(group, size, len(x.common)).astype(np.int64)
 
 
 @dataclass
@@ -327,10 +450,7 @@ def _document_sums(docs: DataFrame, a: str, b: str, counts: tuple[np.ndarray, ..
             for part in T.slices(batch.column(1)):
                 p = _parts(table, part, lambda: None)
                 sums = p.sums(table.facts)[:, 1:]
-                sha, bounds = [], p.first.tolist()
-                for d, good in enumerate(p.good.tolist()):
-                    sha.append(hashlib.sha256(b";".join([table.groups[u] for u in p.unit[bounds[d] : bounds[d + 1]].tolist()])).hexdigest() if good else "")
-                columns = [batch.column(0).slice(p.row, len(part)), *(pa.array(c) for c in sums.T), pa.array(sha, pa.string())]
+                columns = [batch.column(0).slice(p.row, len(part)), *(pa.array(c) for c in sums.T), pa.array(table.digests(p), pa.string())]
                 if counts is None:
                     columns.append(_own_pairs(table, p, struct))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *_SUMS, "groups_sha256", *["pairs"] * (counts is None)])
@@ -346,8 +466,7 @@ def _own_pairs(table: UnitTable, p: Part, struct: pa.DataType) -> pa.ListArray:
     found, n = [], []
     for d in range(len(p.good)):
         unit = p.unit[p.first[d] : p.first[d + 1]] if p.good[d] else p.unit[:0]
-        place = np.repeat(at[unit] - (np.cumsum(size[unit]) - size[unit]), size[unit]) + np.arange(int(size[unit].sum()))
-        code, count = np.unique(codes[place], return_counts=True)
+        code, count = np.unique(codes[_ranges(at[unit], size[unit])], return_counts=True)
         found.append(code), n.append(count)
     code, count = np.concatenate(found), np.concatenate(n)
     rows = pa.StructArray.from_arrays([pa.array(code >> 32), pa.array(code & _LOW), pa.array(count)], fields=list(struct))
@@ -393,12 +512,12 @@ def alignment_links(docs: DataFrame, a: str, b: str, *, kind: str = "overlap", i
     state: dict[str, Both] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = state.get("t") or state.setdefault("t", Both(a, b))
+        both = state.setdefault("t", state.get("t") or Both(a, b))
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
-                x, _ = both.aligned([b" " + text.encode()])
+                x, _ = both.one_by_one([b" " + text.encode()])
                 for i, j, value in x.overlap() if kind == "overlap" else x.shared_group():
                     yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(i), pa.int64()), *(pa.array(c) for c in (i, j, x.a[i], x.b[j], value))], _LINKS)
 
