@@ -5,10 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -42,3 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
         _LOCAL.append(tempfile.mkdtemp(prefix="gridlume-"))
         atexit.register(shutil.rmtree, _LOCAL[0], True)
     return f"file://{_LOCAL[0]}"
+
+
+class Written:
+    """Intermediate tables of one call in the shared folder: lineage ends there, so a lost executor costs a read."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
+        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        """``df`` as it is now: partition numbers and made-up ids stay what they were when it was written."""
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores behind it, so that no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
