@@ -16,7 +16,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,6 +141,8 @@ def _object(text: str | None) -> dict | None:
 
 
 _EVENTS = "conv_id long, turn long, role string, pos int, kind string, call_id string, name string, problem string, refs array<string>, json string"
+_NAMES = [x.split()[0] for x in _EVENTS.split(", ")]
+_TYPES = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(x.split()[1], pa.list_(pa.string())) for x in _EVENTS.split(", ")]
 
 
 def events(chats: DataFrame, tools: dict[str, dict] | None) -> DataFrame:
@@ -174,15 +175,12 @@ def events(chats: DataFrame, tools: dict[str, dict] | None) -> DataFrame:
             name = whole_text(call["name"]) if isinstance(call.get("name"), str) else None
             yield conv, turn, role, k, "call", own, name, problem and whole_text(problem), sorted(map(whole_text, _refs(args))), canonical({"arguments": args, "id": own, "name": name})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in _EVENTS.split(", ")]
-        for f in frames:
-            ints = [f[c].astype("object").where(f[c].notna(), None) for c in ("conv_id", "turn")]
-            found = [r for x in zip(*ints, f["role"], f["text"], strict=True) for r in rows(*x)]
-            out = pd.DataFrame(found, columns=names)
-            yield out.astype({"conv_id": "Int64", "turn": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [r for x in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in rows(*x)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(_TYPES)], _NAMES)
 
-    return chats.mapInPandas(run, _EVENTS)
+    return chats.mapInArrow(run, _EVENTS)
 
 
 _AT = "at struct<turn:long,rank:long>"
