@@ -261,6 +261,17 @@ def _apply(rows: DataFrame, length: int) -> DataFrame:
     return T.map_slices(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
+def _free_least(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """``docs`` with the least number free of ids, as null ids stand for it: where it is one, it and the ids right above it move up by
+    one into the first gap (returned)."""
+    if docs.where(F.col("doc_id") == _NO_ID).limit(1).count() == 0:
+        return docs, None
+    ids = docs.select("doc_id").distinct().where("doc_id is not null")
+    after = ids.where(F.col("doc_id") < (1 << 63) - 1).select((F.col("doc_id") + 1).alias("doc_id"))
+    gap = after.join(ids, "doc_id", "left_anti").agg(F.min("doc_id")).first()[0]
+    return docs.withColumn("doc_id", F.when(F.col("doc_id") < gap, F.col("doc_id") + 1).otherwise(F.col("doc_id"))), gap
+
+
 def repeated_strings(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, step: int = STEP, trigger_bits: int = 64) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` for every row; spans: from, to, from, to, ... in bytes.
 
@@ -273,7 +284,8 @@ def repeated_strings(docs: DataFrame, *, length: int = 100, id_col: str = "doc_i
     a trigger. None of the three changes a result.
     """
     scratch = Scratch(docs.sparkSession, "phrasedup")
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs, gap = _free_least(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")))
+    docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
     rows, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
     # where ids repeat, a document is its id and its text
     tagged = rows != ids
@@ -309,4 +321,5 @@ def repeated_strings(docs: DataFrame, *, length: int = 100, id_col: str = "doc_i
     removed = scratch.save(places.groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places")), "removed")
     scratch.drop("graded", "found")
     out = _apply(docs.join(removed, ["doc_id", "tag"], "left").select("doc_id", "text", "places"), length)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
+    own = F.nullif("doc_id", F.lit(_NO_ID))
+    return out.withColumn("doc_id", own if gap is None else F.when(own <= gap, own - 1).otherwise(own))
