@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlume.runtime import unused
+
 #: The key patterns, in reporting order.
 ASSIGN = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -44,15 +46,19 @@ CLASSES = (
     CharacterClass("base36", r"^([0-9a-z]+|[0-9A-Z]+)$", _DIGITS + _LOWER + _LOWER.upper(), 3.5),
     CharacterClass("base64", r"^[A-Za-z0-9+/_-]+=*$", _DIGITS + _LOWER + _LOWER.upper() + "+/_-=", 3.7),
 )
-#: Candidates that are no secrets: UUIDs, digits and marks only, integrity hashes, sample keys.
+#: Candidates that are no secrets: UUIDs, digits and marks only, integrity hashes of their length, published sample keys.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9+/_=-]+$",
-    r"^sha(1|256|384|512)-",
-    r"(EXAMPLE|example|SAMPLE|sample|xxxx|XXXX)",
+    r"^(sha1-[A-Za-z0-9+/]{27}|sha256-[A-Za-z0-9+/]{43}|sha384-[A-Za-z0-9+/]{64}|sha512-[A-Za-z0-9+/]{86})=?=?$",
+    r"EXAMPLE(KEY)?$",
 )
-#: Stretches of a candidate that are none, whatever stands beside them: version or date paths, and folders of samples.
-ALLOW_PARTS = r"(^|/)(v?[0-9]+([-_/][0-9]+)+|examples?|samples?)(/|$)"
+#: Stretches of a candidate that are none, whatever stands beside them: version or date paths, folders and words of samples.
+_PARTS = r"(^|/)({path}|examples?|samples?)(/|$)|example|sample|SAMPLE|EXAMPLE[_-]|x{{4,}}|X{{4,}}"
+ALLOW_PARTS = _PARTS.format(path="v?[0-9]+([-_/][0-9]+)+")
+#: The same strings for the JVM's matcher, which walks a repeated group of varying length by recursion and ends the process on a long one: a mark
+#: between digits is one that a digit follows, so a stretch grows by a character at a time, in a loop.
+_JVM_PARTS = _PARTS.format(path="v?[0-9]+[-_/][0-9](?:(?![-_/](?![0-9]))[0-9/_-])*")
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 WINDOW = 20
 
@@ -211,7 +217,7 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select("doc_id", base.alias("base"), _found(t, CANDIDATE, 3).alias("candidates"))
 
     def allowed_cut(c: Column) -> Column:
-        parts = F.filter(_found(c["body"], ALLOW_PARTS, 3, between=True), lambda p: p["end"] - p["start"] >= WINDOW)
+        parts = F.filter(_found(c["body"], _JVM_PARTS, 3, between=True), lambda p: p["end"] - p["start"] >= WINDOW)
         return F.transform(parts, lambda p: F.struct((c["start"] + p["start"]).alias("start"), p["k"].alias("k"), (c["start"] + p["end"]).alias("end"), p["body"].alias("body")))
 
     pieces = F.flatten(F.transform(_outside(F.col("base"), F.col("candidates")), allowed_cut))
@@ -225,8 +231,9 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
     Rows without secrets, null texts among them, are returned unchanged. ``n_chars`` is counted anew where there is one.
     """
-    spans = secret_spans(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), id_col="row").select("doc_id.*", F.col("spans").alias("_secret_spans"))
-    text = F.col(text_col)
+    found, mark, fresh = (unused(docs, c) for c in ("_secret_spans", "_secret_dirty", "_secret_text"))
+    text, list_ = F.col(f"`{text_col}`"), F.col(found)
+    spans = secret_spans(docs.select(F.struct("*").alias("row"), text.alias("text")), id_col="row").select("doc_id.*", F.col("spans").alias(found))
 
     def between(blocks: Column, a: Column, b: Column) -> Column:
         # substring walks its string from the beginning, so it is given blocks only
@@ -237,25 +244,26 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
     def cleaned(x: Column) -> Column:
         # a span that starts inside those before it only moves their end
-        ends = F.concat(F.array(F.lit(0)), _running(F.transform("_secret_spans", lambda s: s["end"]), lambda a, b: F.greatest(a, b)))
+        ends = F.concat(F.array(F.lit(0)), _running(F.transform(list_, lambda s: s["end"]), lambda a, b: F.greatest(a, b)))
 
         def joined(at: Column) -> Column:
-            pieces = F.transform("_secret_spans", lambda s, i: F.when(s["start"] >= F.get(at, i), F.concat(between(x, F.get(at, i), s["start"]), F.lit("[SECRET]"))).otherwise(""))
+            pieces = F.transform(list_, lambda s, i: F.when(s["start"] >= F.get(at, i), F.concat(between(x, F.get(at, i), s["start"]), F.lit("[SECRET]"))).otherwise(""))
             return F.concat(F.array_join(pieces, ""), between(x, F.get(at, F.size(at) - 1), F.length(text)))
 
         return _let(ends, joined)
 
     blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
     clean = _let(blocks, cleaned)
-    dirty = F.size("_secret_spans") > 0
-    rows = spans.select(*docs.columns, dirty.alias("_secret_dirty"), F.when(dirty, clean).otherwise(text).alias("_secret_text"))
-    new, changed = F.col("_secret_text"), F.col("_secret_dirty")
+    dirty = F.size(list_) > 0
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = spans.select(*own, dirty.alias(mark), F.when(dirty, clean).otherwise(text).alias(fresh))
+    new, changed = F.col(fresh), F.col(mark)
 
     def column(name: str) -> Column:
         if name == text_col:
             return new.alias(name)
         if name == "n_chars":
             return F.when(changed, F.length(new).cast(docs.schema[name].dataType)).otherwise(F.col(name)).alias(name)
-        return F.col(name)
+        return F.col(f"`{name}`")
 
     return rows.select(*map(column, docs.columns))
