@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from gridlume.llm import textops as T
 from gridlume.llm.components import connected_components
 from gridlume.llm.scratch import Scratch
+from gridlume.runtime import unused
 
 SIDE, ROWS = 17, 3
 #: Bits of the bitmaps that the exact join compares, as words of 64.
@@ -225,7 +226,7 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     """``docs`` with one row left of each group of near duplicates; columns stay.
 
     The row left is the one of the least id. Rows that repeat id and text are one document, too: the least by the other
-    columns stays. Rows without an id or without words stay as they are, each of them. Only ids and text hashes decide, never the
+    columns (as JSON) stays. Rows without an id or without words stay as they are, each of them. Only ids and text hashes decide, never the
     id alone: other texts under a dropped row's id stay. Rows are matched in place if no more than ``most_broadcast``
     rows are affected (counted first), else by shuffle.
     """
@@ -233,15 +234,18 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id is not null and n_shingles > 0")
     # one row a distinct (id, text); a row that is fine as it is needs no mark
     marks = found.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
-    marks = scratch.save(marks.select(F.col("doc_id").alias("_nd_id"), F.col("text_key").alias("_nd_key"), F.col("kept").alias("_nd_kept")), "marks")
-    repeated = marks.where("_nd_kept").limit(1).count() > 0
+    mid, mkey, mkept = (unused(docs, c) for c in ("_nd_id", "_nd_key", "_nd_kept"))
+    marks = scratch.save(marks.select(F.col("doc_id").alias(mid), F.col("text_key").alias(mkey), F.col("kept").alias(mkept)), "marks")
+    repeated = marks.where(mkept).limit(1).count() > 0
     if marks.limit(most_broadcast + 1).count() <= most_broadcast:
         marks = F.broadcast(marks)
-    key = F.xxhash64(F.col(text_col).cast("string"))
-    marked = docs.join(marks, (F.col(id_col).cast("long") == F.col("_nd_id")) & (key == F.col("_nd_key")), "left")
-    rest = marked.where("_nd_id is null").select(docs.columns)
+    key = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    marked = docs.join(marks, (F.col(f"`{id_col}`").cast("long") == F.col(mid)) & (key == F.col(mkey)), "left")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rest = marked.where(F.col(mid).isNull()).select(*own)
     if not repeated:
         return rest
-    # the others that stay are rows that repeat id and text
-    again = marked.where("_nd_kept").groupBy("_nd_id", "_nd_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    # the others that stay are rows that repeat id and text; as text they can be ordered whatever their types
+    row = F.struct(*own)
+    again = marked.where(mkept).groupBy(mid, mkey).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
     return rest.unionByName(again)
