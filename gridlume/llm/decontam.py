@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from gridlume.llm import textops as T
 from gridlume.llm.scratch import Scratch
+from gridlume.runtime import unused
 
 #: Words that are units when a number stands before them.
 UNITS = (
@@ -172,6 +173,35 @@ def _occurrences(hits: list) -> list[list]:
     return [hits] if len(shifts) == 1 else [*shifts.values(), *runs, hits]
 
 
+def _paired(groups: list) -> list:
+    """Hits of an item and a document from their equal windows: per window its places with fillers in the item, and in the document.
+
+    A window that only one side repeats makes a hit of each repetition. Where both repeat it, the document's k-th occurrence is
+    held against the item's k-th, again and again through the copies, counted from the front and from the back; and at each shift that the
+    other windows speak for, the best ones first, in a number that the document's length over the item's bounds. So hits
+    are in proportion to both lengths together, however often words repeat.
+    """
+    hits, repeated, places = [], [], []
+    for g in groups:
+        here, there = (sorted(((w["at"], w["fillers"]) for w in g[side]), key=lambda w: w[0]) for side in ("here", "there"))
+        places.append((here[-1][0], there[0][0], there[-1][0]))
+        if len(here) > 1 and len(there) > 1:
+            repeated.append((here, there))
+        else:
+            hits += [(p, a, list(zip(own, other))) for p, own in here for a, other in there if len(own) == len(other)]  # noqa: B905
+    if not repeated:
+        return hits
+    length, span = 1 + max(p[0] for p in places), 1 + max(p[2] for p in places) - min(p[1] for p in places)
+    shifts = [s for s, _ in Counter(a - p for p, a, _ in hits).most_common(8 * (span // length + 1))]
+    for here, there in repeated:
+        m, d = len(here), len(there)
+        pairs = {(t % m, t) for t in range(d)} | {(m - 1 - t % m, d - 1 - t) for t in range(d)}
+        at = {a: t for t, (a, _) in enumerate(there)}
+        pairs |= {(i, at[p + s]) for s in shifts for i, (p, _) in enumerate(here) if p + s in at}
+        hits += [(here[i][0], there[t][0], list(zip(here[i][1], there[t][1]))) for i, t in pairs if len(here[i][1]) == len(there[t][1])]  # noqa: B905
+    return hits
+
+
 def _most_consistent(hits: list) -> int:
     """Consistent windows of the item's best occurrence."""
     most = 0
@@ -182,16 +212,15 @@ def _most_consistent(hits: list) -> int:
 
 
 def _judged(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``good``, the consistent windows of each row's hits."""
+    """``pairs`` with ``good``, the consistent windows of each row's groups of equal windows."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("hits")).to_pylist()
-            good = [_most_consistent([(h["pos"], h["at"], list(zip(h["own"], h["other"], strict=True))) for h in hits]) for hits in lists]
-            keep = [c for c in batch.schema.names if c != "hits"]
+            good = [_most_consistent(_paired(groups.as_py())) for groups in batch.column(batch.schema.get_field_index("groups"))]
+            keep = [c for c in batch.schema.names if c != "groups"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(good, pa.int64())], [*keep, "good"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema if f.name != "hits")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema if f.name != "groups")
     return pairs.mapInArrow(run, f"{fields}, good long")
 
 
@@ -211,16 +240,16 @@ def _hits(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: s
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     seen = T.map_slices(texts, lambda part, batch: _windows(part, batch, sizes, known), _SCHEMA)
-    item = ["item_id", "item_key", "reading"]
-    keys = keys.select(F.col("doc_id").alias("item_id"), F.col("text_key").alias("item_key"), "reading", "n", F.col("at").alias("pos"), "key", F.col("fillers").alias("own"))
+    item, window_ = ["item_id", "item_key", "reading"], ["reading", "n", "key"]
+    keys = keys.select(F.col("doc_id").alias("item_id"), F.col("text_key").alias("item_key"), *window_, "at", "fillers")
     total = keys.groupBy(*item).agg(F.count("*").alias("total"))
-    keys = keys.join(total, item)
+    # equal windows of one text are a row: rows that meet are no more than windows of either side, whatever repeats
+    keys = keys.groupBy(*item, "n", "key").agg(F.collect_list(F.struct("at", "fillers")).alias("here")).join(total, item)
     if keys.limit(most_broadcast + 1).count() <= most_broadcast:
         keys = F.broadcast(keys)
-    met = seen.withColumnRenamed("fillers", "other").join(keys, ["reading", "n", "key"]).where(F.size("own") == F.size("other"))
-    # equal rows of a document are one: what is collected is a set, and no longer than the document
-    pairs = met.groupBy("doc_id", "text_key", *item, "total").agg(F.collect_set(F.struct("pos", "at", "own", "other")).alias("hits"))
-    pairs = pairs.withColumn("matched", F.size(F.array_distinct(F.transform("hits", lambda h: h["pos"]))).cast("long"))
+    # rows that repeat id and text are one document: what is collected is a set
+    seen = seen.groupBy("doc_id", "text_key", *window_).agg(F.collect_set(F.struct("at", "fillers")).alias("there"))
+    pairs = seen.join(keys, window_).groupBy("doc_id", "text_key", *item, "total").agg(F.collect_list(F.struct("here", "there")).alias("groups"), F.sum(F.size("here")).cast("long").alias("matched"))
     if found_only:
         pairs = pairs.where(F.col("matched") * 100 >= F.col("total") * percent)
     best = F.max_by(F.struct("total", "matched", "good"), F.struct(F.col("good") / F.col("total"), -F.col("reading")))
@@ -255,10 +284,11 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str =
     Rows go by id and text, null ids too. Rows are matched in place if no more than ``most_broadcast`` are to go, else by shuffle.
     """
     bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, found_only=True, most_broadcast=most_broadcast, **options).where("contaminated")
-    bad = Scratch(docs.sparkSession, "decontam-rows").save(bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct(), "bad")
+    bad_id, bad_key = unused(docs, "_bad_id"), unused(docs, "_bad_key")
+    bad = Scratch(docs.sparkSession, "decontam-rows").save(bad.select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)).distinct(), "bad")
     if bad.limit(most_broadcast + 1).count() <= most_broadcast:
         bad = F.broadcast(bad)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_bad_key"))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(bad_id)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(bad_key))
     return docs.join(bad, same, "left_anti")
 
 
