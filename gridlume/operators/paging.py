@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridlume.operators.order import global_rank
+
 PAGE_SIZE, MOST_PLACES = 6, 200
 
 
@@ -47,7 +49,12 @@ def next_offset(offset: Column, total: Column, page_size: int = PAGE_SIZE) -> Co
 
 
 def label_rank(rows: DataFrame, label: str, key: str, group: list[str], out: str = "rank") -> DataFrame:
-    """``rows`` with their place in presentation order within each group (a page, a place): language-aware on the label, then the key."""
+    """``rows`` with their place in presentation order: language-aware on the label, then the key.
+
+    Within each group (a page, a place), or, without ``group``, in the whole table, which is ranked over ranges of labels.
+    """
+    if not group:
+        return global_rank(rows, [F.collate(F.col(label), "UNICODE"), F.col(key)], out)
     w = W.partitionBy(*group).orderBy(F.collate(F.col(label), "UNICODE"), F.col(key))
     return rows.withColumn(out, F.row_number().over(w))
 
