@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlume.functions.geo import EARTH_RADIUS, point_in_multipolygon, sample_points
-from gridlume.runtime import ship
+from gridlume.functions.geo import point_in_multipolygon, sample_points
+from gridlume.operators.nearness import MOST_ENDS, Earth, Flat, label_lines, line_components
+from gridlume.operators.order import global_rank
+from gridlume.runtime import Written, ship
 
 JOIN_METERS, MATCH_METERS, SLACK_METERS = 35.0, 1800.0, 350.0
+CHAIN_DEGREES = 0.000035
+_ENDS = ["y0", "x0", "y1", "x1"]
 
 
 def _cells(b: Column, grid: float) -> Column:
@@ -75,58 +81,18 @@ def covered_boxes(boxes: DataFrame, contours: DataFrame, key: str) -> DataFrame:
     return boxes.select(key).join(hit, key, "left").select(key, (F.coalesce("n", F.lit(0)) == 9).alias("covered"))
 
 
-def _xy(lat: np.ndarray, lng: np.ndarray, at: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
-    scale = np.pi * EARTH_RADIUS / 180
-    return lng * scale * np.cos(np.radians(at)), lat * scale
-
-
 def label_segments(ends: np.ndarray, meters: float = JOIN_METERS) -> np.ndarray:
-    """Component (least index) of each segment; ``ends``: lat, lng of both ends. Segments join where ends are near.
+    """Component (least index) of each segment; ``ends``: lat, lng of both ends. Segments join where ends are near."""
+    return label_lines(np.asarray(ends, float).reshape(-1, 2, 2), Earth(meters))
 
-    Ends are bucketed into cells of the joining distance, so only neighbours are compared.
-    """
-    n = len(ends)
-    parent = np.arange(n)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return int(i)
-
-    lat, lng = ends[:, [0, 2]].ravel(), ends[:, [1, 3]].ravel()
-    step = meters / (np.pi * EARTH_RADIUS / 180) * 1.001
-    narrow = max(0.01, np.cos(np.radians(min(89.0, np.abs(lat).max() + 0.01)))) if n else 1.0
-    cells: dict[tuple[int, int], list[int]] = {}
-    ys, xs = np.floor(lat / step).astype(np.int64), np.floor(lng / (step / narrow)).astype(np.int64)
-    for i in range(2 * n):
-        x, y = int(xs[i]), int(ys[i])
-        for dx in (-1, 0, 1):
-            for dy in (-1, 0, 1):
-                for j in cells.get((x + dx, y + dy), ()):
-                    ex, ey = _xy(lat[i] - lat[j], lng[i] - lng[j], (lat[i] + lat[j]) / 2)
-                    if np.hypot(ex, ey) <= meters:
-                        a, b = root(i // 2), root(j // 2)
-                        parent[max(a, b)] = min(a, b)
-        cells.setdefault((x, y), []).append(i)
-    return np.array([root(i) for i in range(n)], np.int64)
-
-
-def segment_components(lines: DataFrame, key: str, meters: float = JOIN_METERS) -> DataFrame:
+
+def segment_components(lines: DataFrame, key: str, meters: float = JOIN_METERS, most_ends: int = MOST_ENDS) -> DataFrame:
     """``key, idx, component`` of lines (``key``, ``idx``, ``line``) by nearness of their ends within each key.
 
-    A key is one street, so its lines fit a task; keys are dealt over all tasks.
+    Lines of a key with few ends meet in one task; those of a larger key are dealt by place, over all tasks.
     """
-    kind = dict(lines.dtypes)[key]
-    ends = lines.where(F.size("line") > 0).select(key, F.col("idx").cast("long").alias("idx"), *[F.element_at("line", i)[c].alias(f"{c}{i}") for i in (1, -1) for c in ("lat", "lng")])
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("idx").reset_index(drop=True)
-        own = label_segments(f.iloc[:, 2:6].to_numpy(float), meters)
-        return pd.DataFrame({key: f[key], "idx": f["idx"], "component": f["idx"].to_numpy()[own]})
-
-    ship(lines.sparkSession)
-    return ends.groupBy(key).applyInPandas(run, f"`{key}` {kind}, idx long, component long")
+    ends = lines.where(F.size("line") > 0).select(F.col(f"`{key}`"), "idx", *[F.element_at("line", i)[c].alias(f"{a}{k}") for k, i in enumerate((1, -1)) for a, c in (("y", "lat"), ("x", "lng"))])
+    return line_components(ends, key, Earth(meters), most_ends)
 
 
 def nearest_components(lines: DataFrame, points: DataFrame, key: str) -> DataFrame:
@@ -144,8 +110,13 @@ def nearest_components(lines: DataFrame, points: DataFrame, key: str) -> DataFra
     return each.drop("d").join(kept, [key, "component"])
 
 
-def chain_lines(lines: list[np.ndarray], tolerance: float = 0.000035) -> list[np.ndarray]:
-    """Polylines (rows of lng, lat, thinned) joined greedily end to end, in order, and sorted by vertex count, longest first.
+def chain_lines(lines: list[np.ndarray], tolerance: float = CHAIN_DEGREES) -> list[np.ndarray]:
+    """Polylines (rows of lng, lat, thinned) joined greedily end to end, in order, and sorted by vertex count, longest first."""
+    return sorted((x for _, x in chains(lines, tolerance)), key=lambda x: -len(x))
+
+
+def chains(lines: list[np.ndarray], tolerance: float = CHAIN_DEGREES) -> list[tuple[int, np.ndarray]]:
+    """The same in the order of the lines that begin them, with these lines' places.
 
     Ends are found by cells of the tolerance, and a chain is kept as its pieces, so the work grows with the vertices.
     """
@@ -204,8 +175,8 @@ def chain_lines(lines: list[np.ndarray], tolerance: float = 0.000035) -> list[np
                 now = joined(now, deque([other[::-1]]))
             else:
                 now = joined(deque([other if near(first, other[-1]) else other[::-1]]), now)
-        done.append(np.concatenate(list(now)) if len(now) > 1 else now[0])
-    return sorted(done, key=lambda x: -len(x))
+        done.append((k, np.concatenate(list(now)) if len(now) > 1 else now[0]))
+    return done
 
 
 def thin_line(line: np.ndarray, tolerance: float = 0.000001) -> np.ndarray:
@@ -217,26 +188,58 @@ def thin_line(line: np.ndarray, tolerance: float = 0.000001) -> np.ndarray:
     return line[kept]
 
 
-def merge_polylines(lines: DataFrame, key: str) -> DataFrame:
+def _clean(line: list | np.ndarray) -> np.ndarray:
+    """Vertices (rows of lng, lat) of an array of lat/lng structs that are numbers and differ from the one before."""
+    a = np.array([[p["lng"], p["lat"]] for p in line if p["lng"] is not None and p["lat"] is not None], float).reshape(-1, 2)
+    return thin_line(a[np.isfinite(a).all(axis=1)])
+
+
+_CHAIN = "_n long, _first long, line array<array<double>>"
+
+
+def merge_polylines(lines: DataFrame, key: str, most_lines: int = 50_000) -> DataFrame:
     """``key, pos, line`` (arrays of [lng, lat]) of cleaned lines (``key``, ``idx``, ``line`` of lat/lng structs) joined per key.
 
-    Joining is greedy and depends on order, so a key's lines meet in one task.
+    Joining is greedy in order of ``idx``, but only lines that hang together by their ends can ever be joined. So of a key with more than
+    ``most_lines`` lines (counted first) each such component is a task of its own, and ``pos`` (longest chain first, then by the line that began
+    it) is ranked over ranges; the lines of other keys meet in one task. Null lines and those of under two vertices are left out.
     """
-    kind = dict(lines.dtypes)[key]
+    kind, k = dict(lines.dtypes)[key], F.col(f"`{key}`")
+    lines = lines.where("line is not null").select(k, F.col("idx").cast("long").alias("idx"), "line")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    def whole(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("idx")
-        found = []
-        for line in f["line"]:
-            a = np.array([[p["lng"], p["lat"]] for p in line if p["lng"] is not None and p["lat"] is not None], float).reshape(-1, 2)
-            a = thin_line(a[np.isfinite(a).all(axis=1)])
-            if len(a) > 1:
-                found.append(a)
-        out = chain_lines(found)
+        out = chain_lines([a for a in map(_clean, f["line"]) if len(a) > 1])
         return pd.DataFrame({key: [f[key].iloc[0]] * len(out), "pos": range(len(out)), "line": [x.tolist() for x in out]})
 
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_clean(x) for x in batch.column(2).to_pylist()]
+            keep = [i for i, a in enumerate(found) if len(a) > 1]
+            ends = np.array([[*found[i][0, ::-1], *found[i][-1, ::-1]] for i in keep]).reshape(-1, 4)
+            shape = pa.list_(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64())), *map(pa.array, ends.T.copy()), pa.array([found[i].tolist() for i in keep], shape)], [key, "idx", *_ENDS, "line"])
+
+    def component(table: pa.Table) -> pa.Table:
+        table = table.sort_by("idx")
+        out = chains([np.array(x) for x in table["line"].to_pylist()])
+        first = table["idx"].combine_chunks().take(pa.array([i for i, _ in out], pa.int64()))
+        return pa.table([table[key].combine_chunks().take(pa.array([0] * len(out), pa.int64())), pa.array([len(x) for _, x in out], pa.int64()), first, pa.array([x.tolist() for _, x in out], pa.list_(pa.list_(pa.float64())))], [key, "_n", "_first", "line"])
+
     ship(lines.sparkSession)
-    return lines.select(key, "idx", "line").groupBy(key).applyInPandas(run, f"`{key}` {kind}, pos long, line array<array<double>>")
+    written = Written(lines.sparkSession, "polylines")
+    large = written.save(lines.groupBy(k).count().where(F.col("count") > most_lines).select(k.alias("_large")))
+    schema = f"`{key}` {kind}, pos long, line array<array<double>>"
+    if not large.limit(1).count():
+        return lines.groupBy(k).applyInPandas(whole, schema)
+    same = k.eqNullSafe(F.col("_large"))
+    rest = lines.join(large, same, "left_anti").groupBy(k).applyInPandas(whole, schema)
+    own = written.save(lines.join(large, same, "left_semi").mapInArrow(cleaned, f"`{key}` {kind}, idx long, " + ", ".join(f"{c} double" for c in _ENDS) + ", line array<array<double>>"))
+    comp = line_components(own, key, Flat(CHAIN_DEGREES), 2 * most_lines).withColumnRenamed("idx", "_idx").withColumnRenamed(key, "_key")
+    placed = own.join(comp, k.eqNullSafe(F.col("_key")) & (F.col("idx") == F.col("_idx"))).select(k, "idx", "component", "line")
+    chained = placed.groupBy(k, "component").applyInArrow(component, f"`{key}` {kind}, {_CHAIN}")
+    ranked = global_rank(chained, [F.desc("_n"), F.col("_first")], "pos", [key])
+    return rest.unionByName(ranked.select(k, (F.col("pos") - 1).alias("pos"), "line"))
 
 
 def hit_test(features: DataFrame, probes: DataFrame, reach: float, probe_key: str) -> DataFrame:
@@ -247,4 +250,3 @@ def hit_test(features: DataFrame, probes: DataFrame, reach: float, probe_key: st
     p = probes.select(probe_key, "x", "y", around.alias("d")).select(probe_key, "x", "y", (cell(F.col("x")) + F.col("d.i")).alias("cx"), (cell(F.col("y")) + F.col("d.j")).alias("cy"))
     near = p.join(f, ["cx", "cy"]).where((F.abs(F.col("x") - F.col("fx")) <= reach) & (F.abs(F.col("y") - F.col("fy")) <= reach))
     return near.groupBy(probe_key).agg(F.min_by("feature", "seq").alias("feature"))
-

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlume.functions import geo as G
-from gridlume.operators import spatial
+from gridlume.operators import cover, spatial
 from gridlume.sources import landing
 from gridlume.sources.landing import tables
 
@@ -133,6 +133,28 @@ _ALLIN = " and ".join(f"({_duck_ring(x, y, _RINGS[0])} and not {_duck_ring(x, y,
 COVERAGE_FORALL = f"select id, id % 4 > 0 and {_ALLIN} as covered, {_ALLIN} as direct, true as own from {_BOX}"
 
 
+def _shape(x, k) -> list:
+    """A slanted outline with a hole, moved and stretched by k; ``x`` writes a number."""
+    at = lambda a, b: x(a, k, b)
+    return [[[at(1.0, 0.04), at(47.2, 0.0)], [at(1.9, 0.04), at(47.0, 0.03)], [at(2.2, 0.04), at(48.0, 0.0)], [at(1.3, 0.04), at(48.4, 0.02)]], [[at(1.5, 0.04), at(47.5, 0.0)], [at(1.7, 0.04), at(47.5, 0.0)], [at(1.7, 0.04), at(47.8, 0.0)], [at(1.5, 0.04), at(47.8, 0.0)]]]
+
+
+def contour_search(spark: SparkSession, d: str) -> DataFrame:
+    """All boxes against all outlines, without a key in common: outlines around each box, and whether they cover it."""
+    n = tables(spark, d, "nation")[0].select(F.col("n_nationkey").alias("contour"))
+    rings = F.array(*(F.array(*(F.array(*p) for p in ring)) for ring in _shape(lambda a, k, b: F.lit(a) + k * F.lit(b), F.col("contour"))))
+    boxes = _boxes(spark, d).select("id", F.col("b").alias("bounds"))
+    return cover.boxes_in_contours(boxes, n.select("contour", F.array(rings).alias("polygons")), "id", "contour")
+
+
+_SHAPE = _shape(lambda a, k, b: f"({a}::double + {k} * {b}::double)", "k")
+_HELD = ", ".join(f"({_duck_ring(x, y, _SHAPE[0])} and not {_duck_ring(x, y, _SHAPE[1])}) as h{i}" for i, (x, y) in enumerate(_PTS))
+CONTOUR_SEARCH = f"""
+with h as (select id, k, {_HELD} from {_BOX}, (select n_nationkey as k from nation))
+select id, count(*) filter ({" or ".join(f"h{i}" for i in range(9))}) as contours, {" and ".join(f"bool_or(h{i})" for i in range(9))} as covered from h group by id
+"""
+
+
 def segment_distance(spark: SparkSession, d: str) -> DataFrame:
     b = F.col("b")
     p, a, z = F.struct(b["south"].alias("lat"), b["west"].alias("lng")), F.struct(F.lit(48.0).alias("lat"), F.lit(2.0).alias("lng")), F.struct(F.lit(48.1).alias("lat"), F.lit(2.2).alias("lng"))
@@ -181,6 +203,25 @@ select comp.key, comp.idx, component, round(distance, 3) as distance, closest <=
 """
 
 
+def large_key_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components where all segments are one key's, dealt by place: the way that keys with very many ends go."""
+    c = tables(spark, d, "customer")[0]
+    k = F.col("c_custkey")
+    lat, lng = 48 + k % 97 * 0.0004, 2 + k % 89 * 0.0005
+    line = F.array(F.struct(lat.alias("lat"), lng.alias("lng")), F.struct((lat + 0.0002).alias("lat"), (lng + k % 3 * 0.0001).alias("lng")))
+    return spatial.segment_components(c.select(F.lit("all").alias("key"), k.alias("idx"), line.alias("line")), "key", most_ends=0)
+
+
+LARGE_KEY_COMPONENTS = f"""
+with recursive c as (select c_custkey as idx, 48 + c_custkey % 97 * 0.0004::double as y0, 2 + c_custkey % 89 * 0.0005::double as x0 from customer),
+p as (select idx, unnest([y0, y0 + 0.0002::double]) as y, unnest([x0, x0 + idx % 3 * 0.0001::double]) as x from c),
+q as (select idx, y, x, floor(y * 2000)::int as cy from p),
+e as (select distinct a.idx as u, b.idx as v from (select *, unnest([cy - 1, cy, cy + 1]) as near from q) a join q b on b.cy = a.near where sqrt(pow((a.x - b.x) * {_LM} * cos((a.y + b.y) / 2 * pi() / 180), 2) + pow((a.y - b.y) * {_LM}, 2)) <= 35),
+r as (select idx as u, idx as v from c union select r.u, e.v from r join e on e.u = r.v)
+select 'all' as key, u as idx, min(v) as component from r group by u
+"""
+
+
 def clean_line(spark: SparkSession, d: str) -> DataFrame:
     pts = F.transform("pts", lambda p: F.struct(F.round(F.get(p, F.lit(1)), 1).alias("lat"), F.round(F.get(p, F.lit(0)) * 0.1, 1).alias("lng")))
     out = G.clean_line(pts, 0.11)
@@ -198,6 +239,15 @@ select vec_id, n::bigint as n, round(y, 1) as last from f where i = 32
 
 def line_merge(spark: SparkSession, d: str) -> DataFrame:
     """Greedy joins of polylines end to end: each nation's customers are steps of one path, some of them backwards."""
+    return _merged(spark, d, 50_000)
+
+
+def large_key_chains(spark: SparkSession, d: str) -> DataFrame:
+    """The same joins with each component of touching ends as a task of its own: the way that keys with very many lines go."""
+    return _merged(spark, d, 0)
+
+
+def _merged(spark: SparkSession, d: str, most_lines: int) -> DataFrame:
     c = tables(spark, d, "customer")[0]
     k = F.col("c_custkey")
 
@@ -206,7 +256,7 @@ def line_merge(spark: SparkSession, d: str) -> DataFrame:
 
     step = k * 7 % 50
     line = F.when(k % 3 == 0, F.array(node(step + 1), node(step))).otherwise(F.array(node(step), node(step + 1)))
-    out = spatial.merge_polylines(c.select(F.col("c_nationkey").alias("key"), k.alias("idx"), line.alias("line")), "key")
+    out = spatial.merge_polylines(c.select(F.col("c_nationkey").alias("key"), k.alias("idx"), line.alias("line")), "key", most_lines)
     at = lambda i, j: F.round(F.get(F.get("line", i), F.lit(j)), 6)
     last = F.size("line") - 1
     return out.select("key", "pos", F.size("line").cast("long").alias("n"), at(F.lit(0), 0).alias("lng"), at(last, 0).alias("last_lng"), at(last, 1).alias("last_lat"))
@@ -230,6 +280,9 @@ select key, row_number() over (partition by key order by -len(line), i) - 1 as p
 """
 
 
+LARGE_KEY_CHAINS = LINE_MERGE
+
+
 def hit_test(spark: SparkSession, d: str) -> DataFrame:
     c = tables(spark, d, "customer")[0]
     k = F.col("c_custkey")
@@ -269,6 +322,6 @@ with h as (select id % 400 as code, * from {_plots_sql(3)} where w <= 2.4001::do
 select code, min(id) as seq, round(arg_min((s + n) / 2, id), 9) as lat, null::boolean as too_many from h group by 1 union all select null, null, null, count(*) > 20 from h
 """
 
-_ALL = (snap_pad, viewport_limits, bounds_validate, bbox_agg, bbox_join, point_in_polygon, coverage_forall, segment_distance, nearest_component, clean_line, line_merge, hit_test, street_boxes, places_in)
+_ALL = (snap_pad, viewport_limits, bounds_validate, bbox_agg, bbox_join, point_in_polygon, coverage_forall, contour_search, segment_distance, nearest_component, large_key_components, clean_line, line_merge, large_key_chains, hit_test, street_boxes, places_in)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {f.__name__: globals()[f.__name__.upper()] for f in _ALL}
