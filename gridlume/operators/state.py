@@ -2,8 +2,9 @@
 
 Events are dealt by key and sorted within their partition (a sort that spills), and one pass carries the state of the key at
 hand from batch to batch. Neither a key's events nor its results are ever held, and a key of any length costs its length;
-as each step needs the one before, one key is one task's work. The streaming twins keep the same state between micro-batches.
-Events of a key are ordered by time, then id; keys may be null, and a null time adds none.
+as each step needs the one before, one key is one task's work. Freshness and coalescing know another way for keys with very many
+events (``renewal``), which deals them over all tasks. The streaming twins keep the same state between micro-batches.
+Events of a key are ordered by time, then id; keys may be null, and a null time adds none: no time passes up to such an event.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridlume.runtime import ship
+from gridlume.operators.renewal import BLOCK, MOST_EVENTS, renewals
+from gridlume.runtime import Written, ship
 
 # Per provider refill a second, burst, concurrency, timeout (ms) and body limit (bytes).
 POLICIES = {
@@ -87,10 +89,23 @@ def token_bucket(events: DataFrame, key: str, rate: float, burst: float, millis:
     return _walk(_timed(events, key, millis, event_id), key, ["ms", "event_id"], lambda: (burst, None), step, fields)
 
 
-def swr_cache(events: DataFrame, key: str, fresh_ms: int, stale_ms: int | None = None, millis: str = "ms", event_id: str = "event_id") -> DataFrame:
+def _by_size(events: DataFrame, key: str, walked: Callable[[DataFrame], DataFrame], dealt: Callable[[DataFrame], DataFrame], most_events: int) -> DataFrame:
+    """``walked`` of the keys with up to ``most_events`` timed events (counted first), ``dealt`` of all others; events without a time are walked."""
+    own = F.col(f"`{key}`")
+    large = Written(events.sparkSession, "state-keys").save(events.groupBy(own).agg(F.count("ms").alias("n")).where(F.col("n") > most_events).select(own.alias("_large")))
+    if not large.limit(1).count():
+        return walked(events)
+    timed, same = F.col("ms").isNotNull(), own.eqNullSafe(F.col("_large"))
+    # a key's first timed event finds nothing in force, with or without events before that have no time
+    small = events.where(timed).join(large, same, "left_anti").unionByName(events.where(~timed))
+    return walked(small).unionByName(dealt(events.where(timed).join(large, same, "left_semi")))
+
+
+def swr_cache(events: DataFrame, key: str, fresh_ms: int, stale_ms: int | None = None, millis: str = "ms", event_id: str = "event_id", most_events: int = MOST_EVENTS, block: int = BLOCK) -> DataFrame:
     """``key, event_id, ms, outcome``: MISS without an entry, HIT while fresh, else STALE with a refresh behind the answer.
 
-    An entry is kept for the longer of both times; misses and stale reads renew it, hits don't.
+    An entry is kept for the longer of both times; misses and stale reads renew it, hits don't. An event without a time misses.
+    Keys with more than ``most_events`` events are cut into blocks of ``block`` events.
     """
     keep = None if stale_ms is None else max(fresh_ms, stale_ms)
 
@@ -99,11 +114,19 @@ def swr_cache(events: DataFrame, key: str, fresh_ms: int, stale_ms: int | None =
         outcome = "MISS" if age is None or (keep is not None and age >= keep) else "HIT" if age < fresh_ms else "STALE"
         return (at if outcome == "HIT" else ms), (event, ms, outcome)
 
-    return _walk(_timed(events, key, millis, event_id), key, ["ms", "event_id"], lambda: None, step, _EVENT | {"outcome": pa.string()})
+    def dealt(rows: DataFrame) -> DataFrame:
+        gone = F.col("since").isNull() if keep is None else F.col("since").isNull() | (F.col("ms") - F.col("since") >= keep)
+        return renewals(rows, key, fresh_ms, block).select(F.col(f"`{key}`"), "event_id", "ms", F.when(gone, "MISS").when(F.col("renews"), "STALE").otherwise("HIT").alias("outcome"))
+
+    walked = lambda rows: _walk(rows, key, ["ms", "event_id"], lambda: None, step, _EVENT | {"outcome": pa.string()})
+    return _by_size(_timed(events, key, millis, event_id), key, walked, dealt, most_events)
 
 
-def coalesce_requests(events: DataFrame, key: str, lasts_ms: int, millis: str = "ms", event_id: str = "event_id") -> DataFrame:
-    """``key, event_id, ms, leader``: requests that arrive while an equal one runs share it; ``leader`` is that one's id."""
+def coalesce_requests(events: DataFrame, key: str, lasts_ms: int, millis: str = "ms", event_id: str = "event_id", most_events: int = MOST_EVENTS, block: int = BLOCK) -> DataFrame:
+    """``key, event_id, ms, leader``: requests that arrive while an equal one runs share it; ``leader`` is that one's id.
+
+    A request without a time leads itself. Keys with more than ``most_events`` events are cut into blocks of ``block`` events.
+    """
 
     def step(state: tuple[int | None, int | None], ms: int | None, event: int) -> tuple:
         until, leader = state
@@ -111,7 +134,9 @@ def coalesce_requests(events: DataFrame, key: str, lasts_ms: int, millis: str =
             until, leader = None if ms is None else ms + lasts_ms, event
         return (until, leader), (event, ms, leader)
 
-    return _walk(_timed(events, key, millis, event_id), key, ["ms", "event_id"], lambda: (None, None), step, _EVENT | {"leader": pa.int64()})
+    walked = lambda rows: _walk(rows, key, ["ms", "event_id"], lambda: (None, None), step, _EVENT | {"leader": pa.int64()})
+    dealt = lambda rows: renewals(rows, key, lasts_ms, block).select(F.col(f"`{key}`"), "event_id", "ms", "leader")
+    return _by_size(_timed(events, key, millis, event_id), key, walked, dealt, most_events)
 
 
 def rate_window(events: DataFrame, key: str, most: int, seconds: int, time: str = "ts", event_id: str = "event_id") -> DataFrame:
@@ -141,14 +166,17 @@ def expired(expires_at: Column, now: Column) -> Column:
 def recent_cache(events: DataFrame, cache: str, key: str, ttl_ms: int = RECENT_TTL_MS, entries: int = RECENT_ENTRIES, most_bytes: int = RECENT_BYTES, millis: str = "ms", chars: str = "chars", event_id: str = "event_id") -> DataFrame:
     """``cache, event_id, hit``: a bounded cache that evicts in order of insertion; reading doesn't renew, two bytes a character.
 
-    The limits tie all keys of a cache together, so a cache is one walk.
+    The limits tie all keys of a cache together, so a cache is one walk. Before the first time nothing has a time to live: events without one
+    come first, are no hits, and leave nothing in the cache.
     """
 
     def start() -> list:
         return [OrderedDict(), 0]
 
-    def step(state: list, now: int, event: int, k: Any, n: int) -> tuple:
+    def step(state: list, now: int | None, event: int, k: Any, n: int | None) -> tuple:
         held, used = state
+        if now is None:
+            return state, (event, False)
         # entries live equally long, so the oldest goes first
         while held and next(iter(held.values()))[0] <= now:
             used -= held.popitem(last=False)[1][1]
@@ -168,7 +196,8 @@ def permit_queue(events: DataFrame, provider: str, rate: float, burst: float, co
     """``provider, event_id, outcome, start_ms``: a first-in-first-out queue before a concurrency limit and a token bucket.
 
     outcome: ``started``, or ``concurrency`` (the queue was full, or the wait for a place ran out) or ``budget`` (no token
-    came in time). Only the head of the queue is ever tried. A provider is simulated by one task, event by event.
+    came in time). Only the head of the queue is ever tried. A provider is simulated by one task, event by event. A null duration
+    is none; a request without a time never comes to the queue: outcome and start are null.
     """
     kind = dict(events.dtypes)[provider]
 
@@ -220,5 +249,7 @@ def permit_queue(events: DataFrame, provider: str, rate: float, burst: float, co
             due = pump()
         return pd.DataFrame({provider: f[provider], "event_id": f["event_id"], "outcome": outcome, "start_ms": pd.array([None if s < 0 else int(s) for s in start], "Int64")})
 
-    rows = events.select(provider, F.col(millis).alias("ms"), F.col(lasts).alias("lasts"), F.col(event_id).cast("long").alias("event_id"))
-    return rows.groupBy(provider).applyInPandas(run, f"`{provider}` {kind}, event_id long, outcome string, start_ms long")
+    rows = events.select(provider, F.col(millis).cast("long").alias("ms"), F.coalesce(F.col(lasts).cast("long"), F.lit(0)).alias("lasts"), F.col(event_id).cast("long").alias("event_id"))
+    schema = f"`{provider}` {kind}, event_id long, outcome string, start_ms long"
+    untimed = rows.where("ms is null").select(provider, "event_id", F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("long").alias("start_ms"))
+    return rows.where("ms is not null").groupBy(provider).applyInPandas(run, schema).unionByName(untimed)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlume.operators import state
 from gridlume.sources.landing import tables
-from gridlume.streaming import twins
+from gridlume.streaming import facts, twins
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +63,35 @@ select user_id, event_id, ms, leader from c
 """
 
 
+STALE_MS = 9_000_000
+
+
+def large_key_cache(spark: SparkSession, d: str) -> DataFrame:
+    """A cache entry an event type, its events cut into blocks: the way that keys with very many events go."""
+    return state.swr_cache(_events(spark, d), "event_type", STALE_MS // 3, STALE_MS, most_events=0, block=97)
+
+
+LARGE_KEY_CACHE = f"""
+with recursive e as (select event_type, event_id, epoch_us(ts) // 1000 as ms, row_number() over (partition by event_type order by epoch_us(ts) // 1000, event_id) as rn from events),
+c as (select event_type, rn, event_id, ms, ms as at, 'MISS' as outcome from e where rn = 1 union all
+  select e.event_type, e.rn, e.event_id, e.ms, case when e.ms - c.at < {STALE_MS // 3} then c.at else e.ms end, case when e.ms - c.at >= {STALE_MS} then 'MISS' when e.ms - c.at < {STALE_MS // 3} then 'HIT' else 'STALE' end from c join e on e.event_type = c.event_type and e.rn = c.rn + 1)
+select event_type, event_id, ms, outcome from c
+"""
+
+
+def large_key_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of an event type that share one in flight, cut into blocks likewise."""
+    return state.coalesce_requests(_events(spark, d), "event_type", STALE_MS, most_events=0, block=97)
+
+
+LARGE_KEY_REQUESTS = f"""
+with recursive e as (select event_type, event_id, epoch_us(ts) // 1000 as ms, row_number() over (partition by event_type order by epoch_us(ts) // 1000, event_id) as rn from events),
+c as (select event_type, rn, event_id, ms, ms + {STALE_MS} as until, event_id as leader from e where rn = 1 union all
+  select e.event_type, e.rn, e.event_id, e.ms, case when e.ms >= c.until then e.ms + {STALE_MS} else c.until end, case when e.ms >= c.until then e.event_id else c.leader end from c join e on e.event_type = c.event_type and e.rn = c.rn + 1)
+select event_type, event_id, ms, leader from c
+"""
+
+
 def rate_window(spark: SparkSession, d: str) -> DataFrame:
     return state.rate_window(tables(spark, d, "events")[0], "user_id", 2, 86_400).select("event_id", "allowed")
 
@@ -132,6 +161,23 @@ def freshness_stream(spark: SparkSession, d: str) -> DataFrame:
     return twins.drain(twins.freshness_stream(_event_stream(spark, d), "user_id", FRESH_MS), "freshness").withColumnRenamed("key", "user_id")
 
 
-_ALL = (token_bucket, swr_cache, coalesce_requests, rate_window, latest_page, late_results, recent_cache)
-QUERIES = {f.__name__: f for f in (*_ALL, permit_queue, token_bucket_stream, freshness_stream)}
-ORACLE_SQL = {f.__name__: globals()[f.__name__.upper()] for f in _ALL} | {"token_bucket_stream": TOKEN_BUCKET, "freshness_stream": SWR_CACHE}
+def merge_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of streets as a stream, each delivered many times: four pages a user, whose newest event is the page's share."""
+    twins.use_rocksdb(spark)
+    k = F.col("event_id")
+    share = facts.page_fact(k % 7, label=F.col("event_type"), types=F.array("event_type"), incident_ids=F.array((k % 3).cast("string"), F.lit("")))
+    stream = _event_stream(spark, d).select(F.col("user_id").alias("key"), (k % 4).alias("page"), k.alias("version"), share.alias("fact"))
+    out = facts.latest_facts(twins.drain(facts.street_facts_stream(stream), "facts"))
+    return out.select("key", "pages", "households", "label", F.array_join("types", ",").alias("types"), F.array_join("incident_ids", ",").alias("ids"))
+
+
+MERGE_STREAM = """
+with p as (select user_id, event_id % 4 as page, max(event_id) as e, arg_max(event_type, event_id) as t from events group by 1, 2),
+t as (select user_id, t, min(page) as first from p group by 1, 2), i as (select user_id, (e % 3)::varchar as i, min(page) as first from p group by 1, 2),
+l as (select user_id, string_agg(t, ',' order by first) as types from t group by 1), m as (select user_id, string_agg(i, ',' order by first) as ids from i group by 1)
+select p.user_id as key, count(*) as pages, sum(e % 7)::double as households, arg_min(t, page) as label, any_value(types) as types, any_value(ids) as ids from p join l using (user_id) join m using (user_id) group by p.user_id
+"""
+
+_ALL = (token_bucket, swr_cache, coalesce_requests, large_key_cache, large_key_requests, rate_window, latest_page, late_results, recent_cache)
+QUERIES = {f.__name__: f for f in (*_ALL, permit_queue, token_bucket_stream, freshness_stream, merge_stream)}
+ORACLE_SQL = {f.__name__: globals()[f.__name__.upper()] for f in _ALL} | {"token_bucket_stream": TOKEN_BUCKET, "freshness_stream": SWR_CACHE, "merge_stream": MERGE_STREAM}

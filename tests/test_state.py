@@ -116,3 +116,62 @@ def test_recent_cache_against_brute_force(spark):
                 while len(held) >= 4 or sum(h[2] for h in held) + 2 * chars > 200:
                     held.pop(0)
                 held.append((k, ms + 400, 2 * chars))
+
+
+def test_events_without_a_time(spark):
+    """They come first, find nothing and leave nothing behind."""
+    rows = [(0, "c", "a", 5, 1), (1, "c", "a", None, 1), (2, "c", "a", 6, None), (3, None, "a", None, 1)]
+    df = spark.createDataFrame(rows, "event_id long, cache string, k string, ms long, chars int")
+    assert {r.event_id: r.hit for r in state.recent_cache(df, "cache", "k").collect()} == {0: False, 1: False, 2: True, 3: False}
+    df = spark.createDataFrame([(0, "p", 0, 5), (1, "p", None, 5), (2, "p", 1, None), (3, None, None, None)], "event_id long, p string, ms long, lasts_ms long")
+    got = {r.event_id: (r.outcome, r.start_ms) for r in state.permit_queue(df, "p", rate=1.0, burst=9, concurrency=5).collect()}
+    assert got == {0: ("started", 0), 1: (None, None), 2: ("started", 1), 3: (None, None)}
+    df = spark.createDataFrame([(0, "a", None), (1, "a", 10), (2, "a", None), (3, "a", 11)], "event_id long, k string, ms long")
+    for most in (1_000_000, 0):
+        assert {r.event_id: r.outcome for r in state.swr_cache(df, "k", 5, most_events=most).collect()} == {0: "MISS", 2: "MISS", 1: "MISS", 3: "HIT"}
+        assert {r.event_id: r.leader for r in state.coalesce_requests(df, "k", 5, most_events=most).collect()} == {0: 0, 2: 2, 1: 1, 3: 1}
+
+
+@pytest.mark.parametrize(("fresh", "stale", "block"), [(40, 90, 7), (0, 3, 25), (3000, None, 30)])
+def test_large_keys_equal_the_walk(spark, fresh, stale, block):
+    """One key cut into blocks, shorter and longer than what lasts, with ties and gaps; and a null key."""
+    rng = random.Random(fresh + block)
+    at, rows = 0, []
+    for _ in range(100):
+        at += rng.choice([0, 0, 1, 3, 15, 60]) if rng.random() < 0.97 else 700
+        rows.append((rng.choice(["a", "a", "a", None]), at))
+    df = events(spark, rows)
+    for op, args in ((state.swr_cache, (fresh, stale)), (state.coalesce_requests, (fresh,))):
+        walked = sorted(map(tuple, op(df, "k", *args).collect()), key=str)
+        dealt = sorted(map(tuple, op(df, "k", *args, most_events=20, block=block).collect()), key=str)
+        assert walked == dealt and len(walked) == 100
+
+
+def test_retried_pages_take_back_their_share(spark, tmp_path):
+    """Deliveries in several batches, replays and late ones among them, amount to the batch merge of the newest of each page."""
+    from gridlume.operators import rollup
+    from gridlume.streaming import facts, twins
+
+    twins.use_rocksdb(spark)
+    rng = random.Random(11)
+    rows = []
+    for version in range(120):
+        key, page = rng.choice("abc"), rng.randrange(5)
+        rows.append((key, page, version, float(rng.randrange(9)), f"label {page}", rng.sample(["t1", "t2", "t3", ""], 2), [f"i{rng.randrange(4)}"], [f"l{rng.randrange(3)}"]))
+    df = spark.createDataFrame(rows, "key string, page long, version long, households double, label string, types array<string>, incident_ids array<string>, locations array<string>")
+    for column in ("name", "city", "postcode"):
+        df = df.withColumn(column, F.col("label"))
+    share = facts.page_fact(F.col("households"), **{c: F.col(c) for c in ("label", "name", "city", "postcode", "types", "incident_ids", "locations")})
+    sent = df.select("key", "page", "version", share.alias("fact"))
+    for k, low in enumerate((40, 0, 40, 80)):  # out of order, and one batch twice
+        sent.where(F.col("version").between(low, low + 39)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    revisions = twins.drain(facts.street_facts_stream(stream), "facts-test")
+    got = {r["key"]: r for r in facts.latest_facts(revisions).collect()}
+    newest = df.groupBy("key", "page").agg(F.max_by(F.struct(*[c for c in df.columns if c not in ("key", "page")]), "version").alias("r")).select("key", "page", "r.*")
+    whole = newest.withColumn("seq", F.col("page")).withColumns({c: F.lit("") for c in ("first_seen", "restore_at")})
+    want = {r["key"]: r for r in rollup.merge_streets(whole).collect()}
+    assert set(got) == set(want)
+    for key, r in want.items():
+        assert [got[key][c] for c in ("households", "label", "types", "incident_ids", "locations")] == [r[c] for c in ("households", "label", "types", "incident_ids", "locations")]
+    assert revisions.count() > len(want)
