@@ -61,7 +61,7 @@ _POLYGON, _MULTI = "array<array<array<double>>>", "array<array<array<array<doubl
 
 
 def area_features(collections: DataFrame, text: str = "text", key: str = "key") -> DataFrame:
-    """``key, pos, properties, polygons`` of GeoJSON area collections; a collection with one bad feature gives nothing at all."""
+    """``key, pos, properties, polygons`` of GeoJSON area collections; a collection with one bad feature, down to a single number, gives nothing at all."""
     whole = F.from_json(F.col(text), "struct<type string, features array<string>>")
     rows = collections.select(key, whole.alias("c")).where("c.type = 'FeatureCollection' and c.features is not null")
     each = rows.select(key, F.posexplode_outer("c.features").alias("pos", "f"))
@@ -69,7 +69,13 @@ def area_features(collections: DataFrame, text: str = "text", key: str = "key")
     raw = F.get_json_object("f", "$.geometry.coordinates")
     one, many = F.from_json(raw, _POLYGON), F.from_json(raw, _MULTI)
     polygons = F.when(kind == "Polygon", F.array(one)).when(kind == "MultiPolygon", many)
-    deep = F.when(kind == "Polygon", F.coalesce(F.forall(one, lambda r: F.coalesce(F.forall(r, lambda p: F.coalesce(F.forall(p, lambda v: v.isNotNull()), F.lit(False))), F.lit(False))), F.lit(False))).otherwise(F.coalesce(F.forall(many, lambda g: F.coalesce(F.forall(g, lambda r: r.isNotNull()), F.lit(False))), F.lit(False)))
+
+    def sound(polygon: Column) -> Column:
+        """Every ring is one, every position of it, and every number of that."""
+        real = lambda a, test: F.coalesce(F.forall(a, test), F.lit(False))
+        return real(polygon, lambda ring: real(ring, lambda at: real(at, lambda v: v.isNotNull())))
+
+    deep = F.when(kind == "Polygon", sound(one)).otherwise(F.coalesce(F.forall(many, sound), F.lit(False)))
     good = (F.get_json_object("f", "$.type") == "Feature") & polygons.isNotNull() & deep
     properties = F.get_json_object("f", "$.properties")
     each = each.select(key, "pos", F.when(F.rlike(properties, F.lit(r"^\{")), properties).otherwise(F.lit("{}")).alias("properties"), polygons.alias("polygons"), (F.col("pos").isNull() | F.coalesce(good, F.lit(False))).alias("good"))

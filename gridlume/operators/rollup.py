@@ -1,17 +1,20 @@
 """Mergeable incident and street facts.
 
 Order matters in these roll-ups (first value wins, lists keep their order), so each takes a ``seq`` (a number, or a struct of
-positions) and never relies on row order. Sums count duplicates; only lists are distinct. All aggregates have map-side partials except the
-ordered lists, which hold a key's distinct values.
+positions) and never relies on row order. Sums count duplicates; only lists are distinct. All aggregates have map-side partials: lists
+are taken apart, each value's least place is found by key and value, and only a key's distinct values meet in its row. What is
+the whole result in one row (all warnings, all polygons) is still gathered there.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gridlume.functions.scalars import earliest, latest, let
+from gridlume.functions.scalars import earliest, latest
 from gridlume.functions.text import parse_location, street_id
 
 
@@ -49,27 +52,35 @@ def sorted_distinct(value: str | Column, keep_empty: bool = False) -> Column:
     return F.array_sort(F.collect_set(value if keep_empty else F.nullif(value, F.lit(""))))
 
 
-def _flat_ordered(lists: Column, seq: Column) -> Column:
-    """Aggregate: the distinct elements of lists, in order of the lists and within them."""
-    pairs = F.array_sort(F.collect_list(F.struct(seq.alias("s"), lists.alias("v"))))
-    return F.array_distinct(F.flatten(F.transform(pairs, lambda p: p["v"])))
-
+def ordered_lists(rows: DataFrame, key: list[str], lists: list[str], seq: Column) -> DataFrame:
+    """``key, lists``: a key's distinct elements of each list column (all of one type), in order of ``seq`` and of place in the list.
 
-def _distinct_structs(values: Column) -> Column:
-    """Distinct structs in order of first appearance, by sorting (``array_distinct`` compares structs pair by pair)."""
+    A repeated element is gone after a partial minimum by key and element, wherever it stands. Null and empty lists add nothing; a key with none
+    but such has no row here.
+    """
+    own = [F.col(f"`{c}`") for c in key]
+    each = rows.select(*own, seq.alias("_seq"), F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).alias("list")) for i, c in enumerate(lists)))).alias("_l"))
+    each = each.select(*own, "_seq", F.col("_l.kind").alias("_kind"), F.posexplode("_l.list").alias("_pos", "_value"))
+    least = each.groupBy(*own, "_kind", "_value").agg(F.min(F.struct("_seq", "_pos")).alias("_at"))
+    gathered = lambda i: F.array_sort(F.collect_list(F.when(F.col("_kind") == i, F.struct("_at", "_value"))))
+    return least.groupBy(*own).agg(*(F.transform(gathered(i), lambda x: x["_value"]).alias(c) for i, c in enumerate(lists)))
 
-    def firsts(sorted_: Column) -> Column:
-        new = F.filter(sorted_, lambda p, i: (i == 0) | ~F.get(sorted_, i - 1)["v"].eqNullSafe(p["v"]))
-        return F.transform(F.array_sort(F.transform(new, lambda p: F.struct(p["i"].alias("i"), p["v"].alias("v")))), lambda p: p["v"])
 
-    return let(F.array_sort(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i")))), firsts)
+def _with_lists(facts: DataFrame, lists: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """``facts`` with list columns of ``lists``, empty where a key has none; keys may be null."""
+    named = lists.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(key)), *(F.col(c).alias(f"_l{i}") for i, c in enumerate(columns)))
+    same = reduce(lambda a, b: a & b, (F.col(f"`{c}`").eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)))
+    kinds = dict(lists.dtypes)
+    empty = lambda c: F.expr("array()").cast(kinds[c])
+    return facts.join(named, same, "left").select(*(F.col(f"`{c}`") for c in facts.columns), *(F.coalesce(f"_l{i}", empty(c)).alias(c) for i, c in enumerate(columns)))
 
 
 def incident_rollup(incidents: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
     """One row a key: first scalars, summed households, earliest start, latest restore, distinct (text, number) addresses."""
     s = F.col(seq)
     first = [first_by(c, s).alias(c) for c in ("id", "status", "type", "electric_state", "place_code") if c in incidents.columns and c not in key]
-    return incidents.groupBy(*key).agg(*first, F.sum("households").alias("households"), earliest(F.col("start"), s).alias("start"), latest(F.col("restore"), s).alias("restore"), _distinct_structs(_flat_kept(F.col("addresses"), s)).alias("addresses"))
+    facts = incidents.groupBy(*key).agg(*first, F.sum("households").alias("households"), earliest(F.col("start"), s).alias("start"), latest(F.col("restore"), s).alias("restore"))
+    return _with_lists(facts, ordered_lists(incidents, key, ["addresses"], s), key, ["addresses"])
 
 
 def street_rollup(addresses: DataFrame, seq: str = "seq", parsed: str | None = None) -> DataFrame:
@@ -103,13 +114,14 @@ def merge_streets(partials: DataFrame, *, seq: str = "seq", sort_lists: bool = F
     ``sort_lists``: the browser's rule, under which keys that really merged get sorted lists with empty texts kept, and
     keys of a single page keep theirs; else the server's, which keeps order and drops empty texts.
     """
-    s = F.col(seq)
-    lists = []
-    for c in ("locations", "incident_ids", "types"):
-        flat = _flat_ordered(F.col(c), s)
-        lists.append((F.when(F.count("*") > 1, F.array_sort(flat)).otherwise(flat) if sort_lists else F.filter(flat, lambda v: v != "")).alias(c))
+    s, names = F.col(seq), ["locations", "incident_ids", "types"]
     extra = [first_some(c, s).alias(c) for c in ("geocode", "geometry") if c in partials.columns]
-    return partials.groupBy("key").agg(*[first_by(c, s).alias(c) for c in ("label", "name", "city", "postcode")], *lists, earliest(F.col("first_seen"), s).alias("first_seen"), latest(F.col("restore_at"), s).alias("restore_at"), F.sum("households").alias("households"), *extra)
+    scalars = [first_by(c, s).alias(c) for c in ("label", "name", "city", "postcode")]
+    facts = partials.groupBy("key").agg(*scalars, F.count("*").alias("_pages"), earliest(F.col("first_seen"), s).alias("first_seen"), latest(F.col("restore_at"), s).alias("restore_at"), F.sum("households").alias("households"), *extra)
+    found = _with_lists(facts, ordered_lists(partials, ["key"], names, s), ["key"], names)
+    final = lambda c: F.when(F.col("_pages") > 1, F.array_sort(c)).otherwise(F.col(c)) if sort_lists else F.filter(c, lambda v: v != "")
+    order = ["key", "label", "name", "city", "postcode", *names, "first_seen", "restore_at", "households"]
+    return found.select(*(final(c).alias(c) if c in names else F.col(c) for c in order), *(F.col(c) for c in ("geocode", "geometry") if c in partials.columns))
 
 
 def merge_incidents(partials: DataFrame, seq: str = "seq") -> DataFrame:
@@ -128,7 +140,12 @@ def merge_headers(pages: DataFrame, seq: str = "seq", distinct_warnings: bool =
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("address_rows", "incidents", "works", "low_voltage") if c in pages.columns]
     firsts = [first_some(c, s).alias(c) for c in ("recap", "crises") if c in pages.columns] + [first_by(c, s).alias(c) for c in ("viewport", "place_total") if c in pages.columns]
     lasts = [F.max_by(F.struct(F.col(c).alias("v")), s)["v"].alias(c) for c in ("next_cursor",) if c in pages.columns]
-    return pages.agg(F.max("updated_at").alias("updated_at"), *sums, *firsts, *lasts, *([(_flat_ordered if distinct_warnings else _flat_kept)(F.col("warnings"), s).alias("warnings")] if "warnings" in pages.columns else []))
+    own = [_flat_kept(F.col("warnings"), s).alias("warnings")] if "warnings" in pages.columns and not distinct_warnings else []
+    out = pages.agg(F.max("updated_at").alias("updated_at"), *sums, *firsts, *lasts, *own)
+    if "warnings" not in pages.columns or own:
+        return out
+    once = ordered_lists(pages.withColumn("_one", F.lit(0)), ["_one"], ["warnings"], s)
+    return _with_lists(out.withColumn("_one", F.lit(0)), once, ["_one"], ["warnings"]).drop("_one")
 
 
 def distinct_first(rows: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:

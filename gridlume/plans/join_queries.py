@@ -203,8 +203,9 @@ def area_features(spark: SparkSession, d: str) -> DataFrame:
     one = F.concat(F.lit('{"type":"Feature","properties":{"k":'), k, F.lit('},"geometry":{"type":"Polygon","coordinates":'), ring, F.lit("}}"))
     many = F.concat(F.lit('{"type":"Feature","geometry":{"type":"MultiPolygon","coordinates":['), ring, F.lit(","), ring, F.lit("]}}"))
     bad = F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]}}')
+    deep = F.lit('{"type":"Feature","geometry":{"type":"MultiPolygon","coordinates":[[[[1,2],[3,null],null]]]}}')
     inner = F.expr("n_nationkey % 4")
-    body = F.when(inner == 0, F.concat(one, F.lit(","), many)).when(inner == 1, one).when(inner == 2, F.concat(one, F.lit(","), bad)).otherwise(F.lit(""))
+    body = F.when(inner == 0, F.concat(one, F.lit(","), many)).when(inner == 1, one).when(inner == 2, F.concat(one, F.lit(","), bad)).when(F.expr("n_nationkey % 8 = 3"), F.concat(one, F.lit(","), deep)).otherwise(F.lit(""))
     rows = n.select(F.col("n_nationkey").alias("key"), F.concat(F.lit('{"type":"'), F.when(F.col("n_nationkey") % 5 == 4, "Oops").otherwise("FeatureCollection"), F.lit('","features":['), body, F.lit("]}")).alias("text"))
     out = features.area_features(rows)
     return out.select("key", F.col("pos").cast("long").alias("pos"), "properties", F.size("polygons").cast("long").alias("n"))

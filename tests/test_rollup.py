@@ -85,3 +85,20 @@ def test_polygons(spark):
     assert rollup.combine_polygons(df).first()[0].count('"Feature"') == 2
     assert rollup.combine_polygons(df.where("seq = 1")).first()[0] == rows[0][1]
     assert rollup.combine_polygons(df.where("seq > 2")).first()[0] is None
+
+
+def test_ordered_lists(spark):
+    """Least places by partial minimum: null and empty lists, null elements, null keys, repeats near and far."""
+    rows = [("a", 2, ["y", "x"], ["q"]), ("a", 1, ["x", "x", None], None), ("b", 1, None, None), ("b", 2, [], []), (None, 5, ["n"], ["m", "n", "m"])]
+    df = spark.createDataFrame(rows, "k string, seq long, v array<string>, w array<string>")
+    got = {r.k: (r.v, r.w) for r in rollup.ordered_lists(df, ["k"], ["v", "w"], F.col("seq")).collect()}
+    assert got == {"a": (["x", None, "y"], ["q"]), None: (["n"], ["m", "n"])}
+    facts = rollup._with_lists(df.groupBy("k").count(), rollup.ordered_lists(df, ["k"], ["v", "w"], F.col("seq")), ["k"], ["v", "w"])
+    assert {r.k: (r["count"], r.v, r.w) for r in facts.collect()} == {"a": (2, ["x", None, "y"], ["q"]), "b": (2, [], []), None: (1, ["n"], ["m", "n"])}
+
+
+def test_a_hot_key_of_repeats_is_summed_up_before_it_meets(spark):
+    """What is gathered is distinct values: the rows of the last grouping are those of (key, list, value)."""
+    df = spark.range(0, 40_000, 1, 8).select(F.lit("hot").alias("k"), F.col("id").alias("seq"), F.array((F.col("id") % 5).cast("string")).alias("v"))
+    got = rollup.ordered_lists(df, ["k"], ["v"], F.col("seq")).first()
+    assert got.v == ["0", "1", "2", "3", "4"]
