@@ -32,6 +32,31 @@ def viewport_page(places: DataFrame, facts: DataFrame, lat: Column, lng: Column,
     return rollup.merge_streets(facts.join(ranked.select("code", "rank"), "code"), seq="rank")
 
 
+def viewport_result(places: DataFrame, facts: DataFrame, incidents: DataFrame, outcomes: DataFrame, lat: Column, lng: Column, offset: int) -> DataFrame:
+    """All of one page's answer as ``kind, pos, key, value``: streets in presentation order, incidents by id, warnings, cache counters and totals.
+
+    ``facts`` and ``incidents`` (of a place: ``code`` beside the fact's columns); ``outcomes``: ``code, name, cache, warning``, where a place
+    without an outcome failed: it gives a warning and counts as a miss, its facts are left out. Streets and incidents of several places merge. Positions
+    begin at 1: streets by label, incidents by id (both language-aware), warnings by place, each text once.
+    """
+    ranked = paging.page_slice(paging.nearest_pages(places, lat, lng, most=offset + paging.PAGE_SIZE), offset)
+    asked = outcomes.join(ranked.select("code", "rank"), "code")
+    good = asked.where("cache is not null").select("code", "rank")
+    streets = rollup.merge_streets(facts.join(good, "code"), seq="rank")
+    merged = rollup.merge_incidents(incidents.join(good, "code"), seq="rank")
+    row = lambda kind, key, value: (F.lit(kind).alias("kind"), F.col("pos").cast("long").alias("pos"), key.alias("key"), value.cast("double").alias("value"))
+    failed = F.concat(F.col("name"), F.lit(" ("), F.col("code"), F.lit("): "), F.col("warning"))
+    warnings = rollup.ordered_lists(asked.select(F.lit(0).alias("_"), "rank", F.array(F.when(F.col("cache").isNull(), failed).otherwise(F.col("warning"))).alias("w")), ["_"], ["w"], F.col("rank"))
+    counted = rollup.cache_outcomes(asked, "cache").join(places.agg(F.count("*").alias("places")), F.lit(True))  # one row each
+    totals = F.explode(F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for i, c in enumerate(("hits", "stale", "misses", "places"), 1))))
+    return (
+        paging.label_rank(streets, "label", "key", [], "pos").select(*row("street", F.col("key"), F.col("households")))
+        .unionByName(paging.label_rank(merged, "id", "merge_key", [], "pos").select(*row("incident", F.col("id"), F.col("households"))))
+        .unionByName(warnings.select(F.posexplode("w").alias("pos", "w")).where("w is not null").withColumn("pos", F.row_number().over(paging.W.partitionBy(F.lit(0)).orderBy("pos"))).select(*row("warning", F.col("w"), F.lit(None))))
+        .unionByName(counted.select(totals.alias("t")).select("t.*").select(*row("total", F.col("key"), F.col("value"))))
+    )
+
+
 def browser_map(pages: DataFrame, facet: str, query: str, active_key: str = "") -> DataFrame:
     """Features of pages of streets: merged by the browser's rule, filtered, drawn."""
     merged = rollup.merge_streets(pages, seq="page", sort_lists=True).withColumn("lines", F.col("geometry.lines"))
@@ -97,6 +122,34 @@ select 'RUE ' || i || '|69' || lpad(n::varchar, 3, '0') || '|VILLE ' || n as key
 """
 
 
+def viewport_page_result(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of a viewport with all that comes with it; every fourth place has failed."""
+    code = F.regexp_extract("city", r"(\d+)$", 1)
+    found = ingest.explode_incidents(_reports(spark, d))
+    incidents = rollup.incident_rollup(found.withColumn("seq", F.struct("seq", "pos")), ["insee", "key"]).withColumnRenamed("insee", "code")
+    n = tables(spark, d, "nation")[0].select(F.col("n_nationkey").alias("n"))
+    places = n.select(F.col("n").cast("string").alias("code"), (48 + F.col("n") * 7 % 25 / 10.0).alias("lat"), F.lit(2.0).alias("lng"))
+    cache = F.when(F.col("n") % 4 == 0, "HIT").when(F.col("n") % 4 == 1, "STALE").when(F.col("n") % 4 == 2, "MISS")
+    warning = F.when(F.col("n") % 4 == 3, "no answer").when(F.col("n") % 4 == 2, "lines are late")
+    outcomes = n.select(F.col("n").cast("string").alias("code"), F.concat(F.lit("Ville "), "n").alias("name"), cache.alias("cache"), warning.alias("warning"))
+    return viewport_result(places, _fact(spark, d)[1].withColumn("code", code), incidents, outcomes, F.lit(48.0), F.lit(2.0), 6)
+
+
+VIEWPORT_PAGE_RESULT = """
+with r as (select n_nationkey as n, row_number() over (order by pow(n_nationkey * 7 % 25 / 10.0::double, 2), n_nationkey::varchar) as rank from nation),
+p as (select * from r where rank between 7 and 12),
+a as (select c_custkey % 40 as i, c_nationkey as n, 'i' || (c_custkey % 60) as id, (c_custkey % 5)::double as h, (c_custkey % 7)::double as hi from customer join p on p.n = c_nationkey where c_nationkey % 4 <> 3),
+s as (select 'RUE ' || i || '|69' || lpad(n::varchar, 3, '0') || '|VILLE ' || n as key, 'Rue ' || i as label, sum(h) as h from a group by i, n),
+c as (select id, sum(hi) as h from a group by 1),
+w as (select case n % 4 when 3 then 'Ville ' || n || ' (' || n || '): no answer' else 'lines are late' end as w, min(rank) as first from p where n % 4 >= 2 group by 1)
+select 'street' as kind, row_number() over (order by label collate en, key) as pos, key, h as value from s
+union all select 'incident', row_number() over (order by id collate en), id, h from c
+union all select 'warning', row_number() over (order by first), w, null from w
+union all select 'total', 1, 'hits', count(*) filter (n % 4 = 0)::double from p union all select 'total', 2, 'stale', count(*) filter (n % 4 = 1)::double from p
+union all select 'total', 3, 'misses', count(*) filter (n % 4 >= 2)::double from p union all select 'total', 4, 'places', count(*)::double from nation
+"""
+
+
 def map_features(spark: SparkSession, d: str) -> DataFrame:
     streets = _fact(spark, d)[1].withColumn("page", F.length("key"))
     pages = streets.union(streets.withColumn("page", F.col("page") + 1))
@@ -110,6 +163,6 @@ with a as (select c_custkey % 40 as i, c_nationkey as n, 'i' || (c_custkey % 60)
 select 'RUE ' || i || '|69' || lpad(n::varchar, 3, '0') || '|VILLE ' || n as key, case when i % 4 = 0 then 'MultiLineString' else 'Point' end as type, least(13.0::double, 7 + k * 1.5::double) as radius from s where list_contains(ts, 'BUILDING') and (i = 1 or i between 10 and 19) and (i % 4 = 0 or (i + n) % 3 = 0)
 """
 
-_ALL = (fact_streets, fact_incidents, viewport_streets, map_features)
+_ALL = (fact_streets, fact_incidents, viewport_streets, viewport_page_result, map_features)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {f.__name__: globals()[f.__name__.upper()] for f in _ALL}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlume.functions.geo import bounds, center, geometry_bounds, snapped
 from gridlume.operators.ingest import REPORT, decode_json
+from gridlume.sources.reports import report_files
 
 
 def tables(spark: SparkSession, path: str, *names: str) -> list[DataFrame]:
@@ -19,11 +20,10 @@ def tables(spark: SparkSession, path: str, *names: str) -> list[DataFrame]:
 
 
 def report_landing(spark: SparkSession, path: str) -> DataFrame:
-    """Reports (one JSON text a file) of a folder partitioned by ``insee``: ``insee, value, error``; bad files keep their row."""
-    rows = spark.read.option("wholetext", True).text(path)
-    if "insee" not in rows.columns:
-        rows = rows.withColumn("insee", F.regexp_extract(F.input_file_name(), r"([^/=]+)\.json$", 1))
-    return decode_json(rows.withColumn("insee", F.col("insee").cast("string")), "value", REPORT, out="report").drop("value")
+    """Reports (one JSON text a file) of a folder partitioned by ``insee``: ``insee, report, error``; bad files keep their row."""
+    rows = report_files(spark, path).withColumnRenamed("error", "_unread").drop("path")
+    found = decode_json(rows, "value", REPORT, out="report")
+    return found.withColumn("error", F.coalesce("_unread", "error")).drop("value", "_unread")
 
 
 def places_in(places: DataFrame, box: Column, most: int = 200) -> tuple[DataFrame, DataFrame]:
