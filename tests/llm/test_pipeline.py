@@ -20,7 +20,7 @@ def test_all_queries_are_registered():
     """A wrong import in this subpackage would drop its queries without a word."""
     import __spark_entry__ as e
 
-    assert set(queries.QUERIES) <= set(e.queries()) and len(queries.QUERIES) == 11 and set(queries.ORACLE_SQL) <= set(e.oracle_sql())
+    assert set(queries.QUERIES) <= set(e.queries()) and len(queries.QUERIES) == 14 and set(queries.ORACLE_SQL) <= set(e.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -45,7 +45,7 @@ def test_stages_against_brute_force(spark, data, tmp_path):
         assert name == "packing" or docs.columns == columns
         after = {r.doc_id: getattr(r, "text", None) for r in docs.collect()}
         if name == "toxicity":
-            # held out: the fold that trained nothing is the unlabelled rest, so only labelled rows can be judged here
+            # what was learnt from; ``test_toxic_documents_held_out`` judges others
             known = {r.doc_id for r in labels.collect()} & set(before)
             assert {i for i in known if i not in after} == toxic & set(before)
         if name == "near_duplicates":
@@ -63,6 +63,17 @@ def test_stages_against_brute_force(spark, data, tmp_path):
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed)
 
 
+def test_toxic_documents_held_out(spark, data, tmp_path):
+    """The stage with half of the labels, judged on the other half."""
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    labels.where("doc_id % 2 = 0").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    left = {r.doc_id for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, str(tmp_path)).select("doc_id").collect()}
+    held = [r for r in labels.where("doc_id % 2 = 1").collect()]
+    toxic, clean = [r.doc_id for r in held if r.toxic], [r.doc_id for r in held if not r.toxic]
+    assert toxic and sum(i not in left for i in toxic) >= 0.9 * len(toxic) and sum(i in left for i in clean) >= 0.98 * len(clean)
+
+
 def holds(t, item):
     """Whether half of the item's windows stand in the text with consistent slots, at one shift or anywhere."""
     for reading in (0, 1):
