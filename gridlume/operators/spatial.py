@@ -74,11 +74,14 @@ def bbox_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str,
 def covered_boxes(boxes: DataFrame, contours: DataFrame, key: str) -> DataFrame:
     """``key, covered``: whether each of a box's nine sample points lies in some contour (``polygons``) of its key.
 
-    A division without a cross join: points and contours meet on the key, points are counted, a key without contours is not covered.
+    A division without a cross join: boxes and contours meet on the key, each pair tells the points it holds as nine bits, and bits are put
+    together by key; a key without contours is not covered.
     """
-    points = boxes.select(key, F.posexplode(sample_points(F.col("bounds"))).alias("i", "p"))
-    hit = points.join(contours.select(key, "polygons"), key).where(point_in_multipolygon(F.col("p"), F.col("polygons"))).groupBy(key).agg(F.countDistinct("i").alias("n"))
-    return boxes.select(key).join(hit, key, "left").select(key, (F.coalesce("n", F.lit(0)) == 9).alias("covered"))
+    places = F.array(*(F.lit(1 << i) for i in range(9)))
+    held = F.transform(sample_points(F.col("bounds")), lambda p, i: F.when(point_in_multipolygon(p, F.col("polygons")), F.get(places, i)).otherwise(0))
+    met = boxes.select(key, "bounds").join(contours.select(key, "polygons"), key).select(key, F.aggregate(held, F.lit(0), lambda a, b: a + b).alias("bits"))
+    hit = met.groupBy(key).agg(F.bit_or("bits").alias("bits"))
+    return boxes.select(key).join(hit, key, "left").select(key, (F.coalesce("bits", F.lit(0)) == 511).alias("covered"))
 
 
 def label_segments(ends: np.ndarray, meters: float = JOIN_METERS) -> np.ndarray:

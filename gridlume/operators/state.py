@@ -2,8 +2,8 @@
 
 Events are dealt by key and sorted within their partition (a sort that spills), and one pass carries the state of the key at
 hand from batch to batch. Neither a key's events nor its results are ever held, and a key of any length costs its length;
-as each step needs the one before, one key is one task's work. Freshness and coalescing know another way for keys with very many
-events (``renewal``), which deals them over all tasks. The streaming twins keep the same state between micro-batches.
+as each step needs the one before, one key is one task's work. For keys with very many events, freshness and coalescing know
+another way (``renewal``), which deals them over all tasks, and budgets are cut where they have filled up. The streaming twins keep the same state between micro-batches.
 Events of a key are ordered by time, then id; keys may be null, and a null time adds none: no time passes up to such an event.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridlume.operators.order import global_rank, running_total
 from gridlume.operators.renewal import BLOCK, MOST_EVENTS, renewals
 from gridlume.runtime import Written, ship
 
@@ -69,11 +70,12 @@ def _timed(events: DataFrame, key: str, millis: str, event_id: str, *more: Colum
 _EVENT = {"event_id": pa.int64(), "ms": pa.int64()}
 
 
-def token_bucket(events: DataFrame, key: str, rate: float, burst: float, millis: str = "ms", event_id: str = "event_id") -> DataFrame:
+def token_bucket(events: DataFrame, key: str, rate: float, burst: float, millis: str = "ms", event_id: str = "event_id", most_events: int = MOST_EVENTS) -> DataFrame:
     """``key, event_id, ms, allowed, tokens, retry_after`` for every event.
 
     Elapsed time refills up to the burst (a clock that goes back mints nothing); an event takes one token if there is one, else waits
-    at least a second; the balance is kept even on refusal.
+    at least a second; the balance is kept even on refusal. A key with more than ``most_events`` events is cut where it rests
+    long enough to fill up whatever was left, and each stretch is walked by itself; one that never rests so long is one walk.
     """
     rate, burst = float(rate), float(burst)
 
@@ -86,7 +88,21 @@ def token_bucket(events: DataFrame, key: str, rate: float, burst: float, millis:
         return (left, ms), (event, ms, ok, left, None if ok else max(1, math.ceil((1 - have) / rate)))
 
     fields = _EVENT | {"allowed": pa.bool_(), "tokens": pa.float64(), "retry_after": pa.int64()}
-    return _walk(_timed(events, key, millis, event_id), key, ["ms", "event_id"], lambda: (burst, None), step, fields)
+    rows, own = _timed(events, key, millis, event_id), F.col(f"`{key}`")
+    walked = lambda df, by: _walk(df, by, ["ms", "event_id"], lambda: (burst, None), step, fields)
+    written = Written(events.sparkSession, "buckets")
+    large = written.save(rows.groupBy(own).count().where(F.col("count") > most_events).select(own.alias("_large")).withColumn("_n", F.monotonically_increasing_id()))
+    if not large.limit(1).count():
+        return walked(rows, key)
+    same = own.eqNullSafe(F.col("_large"))
+    # a full bucket is full to the last bit: no sum of what was left and more than the burst is less than the burst
+    ranked = written.save(global_rank(rows.join(large, same).select("_n", "ms", "event_id"), [F.col("ms"), F.col("event_id")], "_r", ["_n"]))
+    before = ranked.select("_n", (F.col("_r") + 1).alias("_r"), F.col("ms").alias("_ms"))
+    rested = F.coalesce((F.col("ms") - F.col("_ms")) * rate / 1000 >= burst, F.lit(False))
+    cut = running_total(ranked.join(before, ["_n", "_r"], "left"), rested.cast("int"), [F.col("_r")], "_stretch", ["_n"])
+    found = walked(cut.select(F.struct("_n", "_stretch").alias("_part"), "ms", "event_id"), "_part")
+    found = found.join(large, F.col("_part._n") == F.col("_n")).select(F.col("_large").alias(key), *fields)
+    return walked(rows.join(large, same, "left_anti"), key).unionByName(found)
 
 
 def _by_size(events: DataFrame, key: str, walked: Callable[[DataFrame], DataFrame], dealt: Callable[[DataFrame], DataFrame], most_events: int) -> DataFrame:

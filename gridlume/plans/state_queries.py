@@ -36,6 +36,15 @@ def token_bucket(spark: SparkSession, d: str) -> DataFrame:
 
 TOKEN_BUCKET = _bucket_sql(RATE, BURST)
 
+
+
+def large_key_budget(spark: SparkSession, d: str) -> DataFrame:
+    """The same budget with each user's events cut where the bucket has filled up: the way that keys with very many events go."""
+    return state.token_bucket(_events(spark, d), "user_id", RATE, BURST, most_events=0).withColumn("tokens", F.round("tokens", 6))
+
+
+LARGE_KEY_BUDGET = TOKEN_BUCKET
+
 FRESH_MS = 3_600_000 * 6
 
 
@@ -178,6 +187,6 @@ l as (select user_id, string_agg(t, ',' order by first) as types from t group by
 select p.user_id as key, count(*) as pages, sum(e % 7)::double as households, arg_min(t, page) as label, any_value(types) as types, any_value(ids) as ids from p join l using (user_id) join m using (user_id) group by p.user_id
 """
 
-_ALL = (token_bucket, swr_cache, coalesce_requests, large_key_cache, large_key_requests, rate_window, latest_page, late_results, recent_cache)
+_ALL = (token_bucket, swr_cache, coalesce_requests, large_key_budget, large_key_cache, large_key_requests, rate_window, latest_page, late_results, recent_cache)
 QUERIES = {f.__name__: f for f in (*_ALL, permit_queue, token_bucket_stream, freshness_stream, merge_stream)}
 ORACLE_SQL = {f.__name__: globals()[f.__name__.upper()] for f in _ALL} | {"token_bucket_stream": TOKEN_BUCKET, "freshness_stream": SWR_CACHE, "merge_stream": MERGE_STREAM}

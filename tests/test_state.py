@@ -175,3 +175,14 @@ def test_retried_pages_take_back_their_share(spark, tmp_path):
     for key, r in want.items():
         assert [got[key][c] for c in ("households", "label", "types", "incident_ids", "locations")] == [r[c] for c in ("households", "label", "types", "incident_ids", "locations")]
     assert revisions.count() > len(want)
+
+
+def test_large_budgets_equal_the_walk_to_the_last_bit(spark):
+    rng = random.Random(17)
+    at, rows = 0, []
+    for _ in range(120):
+        at += rng.choice([0, 0, 100, 333, 700, 1900, 2999, 3000, 3001, 9000])
+        rows.append((rng.choice(["a", "a", None]), at))
+    df = events(spark, rows).unionByName(spark.createDataFrame([(900, "a", None), (901, "a", None), (902, None, None), (903, "b", 5)], "event_id long, k string, ms long"))
+    walked = sorted(map(tuple, state.token_bucket(df, "k", 1 / 1.5, 2.0).collect()), key=str)
+    assert walked == sorted(map(tuple, state.token_bucket(df, "k", 1 / 1.5, 2.0, most_events=20).collect()), key=str) and len(walked) == 124
