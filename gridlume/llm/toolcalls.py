@@ -141,8 +141,8 @@ def _object(text: str | None) -> dict | None:
 
 
 _EVENTS = "conv_id long, turn long, role string, pos int, kind string, call_id string, name string, problem string, refs array<string>, json string"
-_NAMES = [x.split()[0] for x in _EVENTS.split(", ")]
-_TYPES = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(x.split()[1], pa.list_(pa.string())) for x in _EVENTS.split(", ")]
+_EVENT_NAMES = [x.split()[0] for x in _EVENTS.split(", ")]
+_EVENT_TYPES = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(x.split()[1], pa.list_(pa.string())) for x in _EVENTS.split(", ")]
 
 
 def events(chats: DataFrame, tools: dict[str, dict] | None) -> DataFrame:
@@ -178,7 +178,7 @@ def events(chats: DataFrame, tools: dict[str, dict] | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [r for x in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in rows(*x)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(_TYPES)], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(_EVENT_TYPES)], _EVENT_NAMES)
 
     return chats.mapInArrow(run, _EVENTS)
 
