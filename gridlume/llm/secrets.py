@@ -14,6 +14,7 @@ else is mapped over them. A text with very many matches costs its length times a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -211,10 +212,16 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Everything is one projection over the scan: no shuffle, no state beyond a row.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base, candidates, spans = _expressions(docs.sparkSession.sparkContext.applicationId)
+    return docs.select("doc_id", base.alias("base"), candidates.alias("candidates")).select("doc_id", spans.alias("spans"))
+
+
+@cache
+def _expressions(application: str) -> tuple[Column, Column, Column]:
+    """Spans of key patterns and candidates in ``text``, and all spans from ``base`` and ``candidates``; built once an application, as building them takes seconds."""
     t = F.col("text")
     assign = F.filter(_found(t, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["body"], ASSIGN, 2)) >= 12)
     base = F.concat(assign, _found(t, ACCESS, 1), _found(t, HEX, 2))
-    rows = docs.select("doc_id", base.alias("base"), _found(t, CANDIDATE, 3).alias("candidates"))
 
     def allowed_cut(c: Column) -> Column:
         parts = F.filter(_found(c["body"], _JVM_PARTS, 3, between=True), lambda p: p["end"] - p["start"] >= WINDOW)
@@ -223,7 +230,7 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     pieces = F.flatten(F.transform(_outside(F.col("base"), F.col("candidates")), allowed_cut))
     added = F.when(F.size("candidates") > 0, F.filter(pieces, lambda c: _is_secret(c["body"]))).otherwise(_none())
     spans = F.transform(F.array_sort(F.concat("base", added)), lambda s: F.struct(s["start"].alias("start"), F.element_at(F.array(*map(F.lit, KINDS)), s["k"] + 1).alias("kind"), s["end"].alias("end"), s["body"].alias("body")))
-    return rows.select("doc_id", spans.alias("spans"))
+    return base, _found(t, CANDIDATE, 3), spans
 
 
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
