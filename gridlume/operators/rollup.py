@@ -144,8 +144,11 @@ def merge_headers(pages: DataFrame, seq: str = "seq", distinct_warnings: bool =
     out = pages.agg(F.max("updated_at").alias("updated_at"), *sums, *firsts, *lasts, *own)
     if "warnings" not in pages.columns or own:
         return out
-    once = ordered_lists(pages.withColumn("_one", F.lit(0)), ["_one"], ["warnings"], s)
-    return _with_lists(out.withColumn("_one", F.lit(0)), once, ["_one"], ["warnings"]).drop("_one")
+    # two single rows as one: of each column, one of them has a value at most
+    once = ordered_lists(pages, [], ["warnings"], s)
+    both = out.unionByName(once, allowMissingColumns=True)
+    row = both.agg(*(F.max_by(c, F.col(c).isNotNull()).alias(c) for c in both.columns))
+    return row.withColumn("warnings", F.coalesce("warnings", F.expr("array()").cast(dict(pages.dtypes)["warnings"])))
 
 
 def distinct_first(rows: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:

@@ -209,7 +209,7 @@ def large_key_components(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     lat, lng = 48 + k % 97 * 0.0004, 2 + k % 89 * 0.0005
     line = F.array(F.struct(lat.alias("lat"), lng.alias("lng")), F.struct((lat + 0.0002).alias("lat"), (lng + k % 3 * 0.0001).alias("lng")))
-    return spatial.segment_components(c.select(F.lit("all").alias("key"), k.alias("idx"), line.alias("line")), "key", most_ends=0)
+    return spatial.segment_components(c.select(F.translate("c_mktsegment", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "").alias("key"), k.alias("idx"), line.alias("line")), "key", most_ends=0)
 
 
 LARGE_KEY_COMPONENTS = f"""
@@ -218,7 +218,7 @@ p as (select idx, unnest([y0, y0 + 0.0002::double]) as y, unnest([x0, x0 + idx %
 q as (select idx, y, x, floor(y * 2000)::int as cy from p),
 e as (select distinct a.idx as u, b.idx as v from (select *, unnest([cy - 1, cy, cy + 1]) as near from q) a join q b on b.cy = a.near where sqrt(pow((a.x - b.x) * {_LM} * cos((a.y + b.y) / 2 * pi() / 180), 2) + pow((a.y - b.y) * {_LM}, 2)) <= 35),
 r as (select idx as u, idx as v from c union select r.u, e.v from r join e on e.u = r.v)
-select 'all' as key, u as idx, min(v) as component from r group by u
+select '' as key, u as idx, min(v) as component from r group by u
 """
 
 

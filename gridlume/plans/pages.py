@@ -46,14 +46,15 @@ def viewport_result(places: DataFrame, facts: DataFrame, incidents: DataFrame, o
     merged = rollup.merge_incidents(incidents.join(good, "code"), seq="rank")
     row = lambda kind, key, value: (F.lit(kind).alias("kind"), F.col("pos").cast("long").alias("pos"), key.alias("key"), value.cast("double").alias("value"))
     failed = F.concat(F.col("name"), F.lit(" ("), F.col("code"), F.lit("): "), F.col("warning"))
-    warnings = rollup.ordered_lists(asked.select(F.lit(0).alias("_"), "rank", F.array(F.when(F.col("cache").isNull(), failed).otherwise(F.col("warning"))).alias("w")), ["_"], ["w"], F.col("rank"))
-    counted = rollup.cache_outcomes(asked, "cache").join(places.agg(F.count("*").alias("places")), F.lit(True))  # one row each
-    totals = F.explode(F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for i, c in enumerate(("hits", "stale", "misses", "places"), 1))))
+    warnings = rollup.ordered_lists(asked.select("rank", F.array(F.when(F.col("cache").isNull(), failed).otherwise(F.col("warning"))).alias("w")), [], ["w"], F.col("rank"))
+    totals = F.explode(F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for i, c in enumerate(("hits", "stale", "misses"), 1))))
+    counted = rollup.cache_outcomes(asked, "cache").select(totals.alias("t")).select("t.*")
+    counted = counted.unionByName(places.agg(F.lit(4).alias("pos"), F.lit("places").alias("key"), F.count("*").cast("double").alias("value")))
     return (
         paging.label_rank(streets, "label", "key", [], "pos").select(*row("street", F.col("key"), F.col("households")))
         .unionByName(paging.label_rank(merged, "id", "merge_key", [], "pos").select(*row("incident", F.col("id"), F.col("households"))))
         .unionByName(warnings.select(F.posexplode("w").alias("pos", "w")).where("w is not null").withColumn("pos", F.row_number().over(paging.W.partitionBy(F.lit(0)).orderBy("pos"))).select(*row("warning", F.col("w"), F.lit(None))))
-        .unionByName(counted.select(totals.alias("t")).select("t.*").select(*row("total", F.col("key"), F.col("value"))))
+        .unionByName(counted.select(*row("total", F.col("key"), F.col("value"))))
     )
 
 

@@ -8,7 +8,7 @@ from gridlume.functions import geo as G
 from gridlume.operators import enrich, rollup
 from gridlume.sources import landing
 
-STREAMS = {"token_bucket_stream", "freshness_stream"}
+STREAMS = {"token_bucket_stream", "freshness_stream", "merge_stream"}
 
 
 def plan(df):
@@ -31,9 +31,10 @@ def test_box_filter_reaches_the_scan(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(west)" in text and "LessThanOrEqual(west" in text.replace("...", "LessThanOrEqual(west") and "contour" not in text
 
 
-def test_one_exchange_a_rollup(spark):
+def test_exchanges_of_a_rollup(spark):
+    """One for the scalars; two for the lists, by value and by key, so that no row holds repeats; none for putting both together."""
     rows = spark.range(100).select((F.col("id") % 7).cast("string").alias("key"), F.col("id").alias("seq"), F.array(F.col("id").cast("string")).alias("locations"), F.lit("01/01/2025 00:00").alias("first_seen"), F.lit("").alias("restore_at"), F.lit(1.0).alias("households")).selectExpr("*", "locations incident_ids", "locations types", "key label", "key name", "key city", "key postcode")
-    assert plan(rollup.merge_streets(rows)).count("Exchange hashpartitioning") == 1
+    assert plan(rollup.merge_streets(rows)).count("Exchange hashpartitioning") == 3
 
 
 def test_small_dimension_is_broadcast_by_size(spark):
