@@ -11,9 +11,11 @@ length never has to meet in one task.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from json.decoder import scanstring
 from typing import Any
 
 import pyarrow as pa
@@ -23,10 +25,8 @@ from pyspark.sql import functions as F
 from gridlume.llm.scratch import Scratch
 
 
-#: Brackets within brackets beyond which a text counts as plain text, not as JSON.
-MOST_NESTED = 200
-_STRING = re.compile(r'"(?:[^"\\]|\\.)*"?', re.S)
-_NO_BRACKET = re.compile(r"[^\[\]{}]+")
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|(")|(-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?)|(true|false|null|NaN|-?Infinity))')
+_LITERALS = {"true": True, "false": False, "null": None, "NaN": math.nan, "Infinity": math.inf, "-Infinity": -math.inf}
 
 
 def whole_text(s: str) -> str:
@@ -34,30 +34,76 @@ def whole_text(s: str) -> str:
     return s.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
+class _Ready(str):
+    """Text that is JSON as it stands."""
+
+
+def _written(value: Any) -> str:
+    """``canonical`` of values that ``json.dumps`` turns away: nested too deeply for recursion, or with NaN and infinity in them."""
+    out, todo = [], [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, _Ready):
+            out.append(v)
+        elif isinstance(v, (dict, list)):
+            inner = []
+            for k in sorted(v) if isinstance(v, dict) else range(len(v)):
+                name = f"{json.dumps(k, ensure_ascii=False)}:" if isinstance(v, dict) else ""
+                inner += [_Ready(("," if inner else "") + name), v[k]]
+            out.append("{" if isinstance(v, dict) else "[")
+            todo.append(_Ready("}" if isinstance(v, dict) else "]"))
+            todo += reversed(inner)
+        else:
+            out.append("null" if isinstance(v, float) and not math.isfinite(v) else json.dumps(v, ensure_ascii=False))
+    return "".join(out)
+
+
 def canonical(value: Any) -> str:
     """JSON with sorted keys and no spaces; what JSON cannot hold (NaN, infinity) is null, lone surrogates are U+FFFD."""
     try:
         out = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
-    except ValueError:
-        out = json.dumps(_finite(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    except (ValueError, RecursionError):
+        out = _written(value)
     return whole_text(out)
 
 
-def _finite(v: Any) -> Any:
-    if isinstance(v, float):
-        return v if v == v and abs(v) != float("inf") else None
-    if isinstance(v, dict):
-        return {k: _finite(x) for k, x in v.items()}
-    return [_finite(x) for x in v] if isinstance(v, list) else v
-
-
-def _nested(text: str) -> int:
-    """How deep brackets stand within brackets, strings left out."""
-    deep = most = 0
-    for c in _NO_BRACKET.sub("", _STRING.sub("", text)):
-        deep += 1 if c in "[{" else -1
-        most = max(most, deep)
-    return most
+def read_nested(text: str) -> Any:
+    """``json.loads`` for texts nested too deeply for recursion; a ValueError for what is no JSON."""
+    root: list = []
+    open_, names, want, at = [root], [None], "value", 0
+    while m := _TOKEN.match(text, at):
+        mark, quote, number, fraction, exponent, literal = m.groups()
+        at, top = m.end(), open_[-1]
+        if quote and want in ("name", "name or end"):
+            names[-1], at = scanstring(text, at)
+            want = "colon"
+        elif mark == ":" and want == "colon":
+            want = "value"
+        elif mark == "," and want == "next" and top is not root:
+            want = "name" if isinstance(top, dict) else "value"
+        elif mark and mark in "]}" and want in ("next", "value or end", "name or end") and top is not root and isinstance(top, dict) == (mark == "}"):
+            open_.pop(), names.pop()
+            want = "next"
+        elif want in ("value", "value or end") and mark not in ("]", "}", ",", ":"):
+            if quote:
+                value, at = scanstring(text, at)
+            elif number:
+                value = float(number) if fraction or exponent else int(number)
+            else:
+                value = _LITERALS[literal] if literal else [] if mark == "[" else {}
+            if isinstance(top, dict):
+                top[names[-1]] = value
+            else:
+                top.append(value)
+            want = "next"
+            if mark:
+                open_.append(value), names.append(None)
+                want = "value or end" if mark == "[" else "name or end"
+        else:
+            raise ValueError("no JSON")
+    if want != "next" or len(open_) > 1 or text[at:].strip(" \t\n\r"):
+        raise ValueError("no JSON")
+    return root[0]
 
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float)}
@@ -84,7 +130,10 @@ def schema_error(value: Any, schema: dict, path: str = "$") -> str | None:
     """The first way in which ``value`` breaks ``schema`` (type, enum, const, required, properties, items, bounds, pattern), or None.
 
     A ``{"$ref": id}`` object stands for a later value and fits everything. A pattern that is no regular expression fits nothing.
+    Only the schema is walked, so a value may be nested as deeply as it likes.
     """
+    if not schema:
+        return None
     if isinstance(value, dict) and set(value) == {"$ref"}:
         return None
     kind = schema.get("type")
@@ -125,19 +174,34 @@ def schema_error(value: Any, schema: dict, path: str = "$") -> str | None:
 
 
 def _refs(value: Any) -> set[str]:
-    if isinstance(value, dict):
-        return {str(value["$ref"])} if set(value) == {"$ref"} else set().union(*map(_refs, value.values()), set())
-    return set().union(*map(_refs, value), set()) if isinstance(value, list) else set()
+    found, todo = set(), [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict) and set(v) == {"$ref"}:
+            found.add(_id(v["$ref"]))
+        elif isinstance(v, (dict, list)):
+            todo += v.values() if isinstance(v, dict) else v
+    return found
+
+
+def _id(value: Any) -> str:
+    """An identifier as text; objects and lists as their canonical JSON."""
+    return canonical(value) if isinstance(value, (dict, list)) else whole_text(str(value))
 
 
 def _object(text: str | None) -> dict | None:
-    if text and text.lstrip()[:1] == "{" and _nested(text) <= MOST_NESTED:
+    if not text or text.lstrip()[:1] != "{":
+        return None
+    try:
+        value = json.loads(text)
+    except RecursionError:
         try:
-            value = json.loads(text)
-        except (ValueError, RecursionError):
+            value = read_nested(text)
+        except ValueError:
             return None
-        return value if isinstance(value, dict) else None
-    return None
+    except ValueError:
+        return None
+    return value if isinstance(value, dict) else None
 
 
 _EVENTS = "conv_id long, turn long, role string, pos int, kind string, call_id string, name string, problem string, refs array<string>, json string"
@@ -151,7 +215,7 @@ def events(chats: DataFrame, tools: dict[str, dict] | None) -> DataFrame:
     def rows(conv: Any, turn: Any, role: str | None, text: str | None) -> Iterator[tuple]:
         value = _object(text) if role in ("assistant", "tool") else None
         if role == "tool" and value and value.get("tool_call_id") is not None:
-            own = whole_text(str(value["tool_call_id"]))
+            own = _id(value["tool_call_id"])
             yield conv, turn, role, 0, "result", own, None, None, [], canonical({"content": value.get("content"), "role": role, "tool_call_id": own})
             return
         calls = value.get("tool_calls") if value and role == "assistant" else None
@@ -171,9 +235,9 @@ def events(chats: DataFrame, tools: dict[str, dict] | None) -> DataFrame:
                 problem = "arguments are no object"
             elif tools is not None:
                 problem = schema_error(args, tools[call["name"]]) if call["name"] in tools else "unknown tool"
-            own = None if call.get("id") is None else whole_text(str(call["id"]))
+            own = None if call.get("id") is None else _id(call["id"])
             name = whole_text(call["name"]) if isinstance(call.get("name"), str) else None
-            yield conv, turn, role, k, "call", own, name, problem and whole_text(problem), sorted(map(whole_text, _refs(args))), canonical({"arguments": args, "id": own, "name": name})
+            yield conv, turn, role, k, "call", own, name, problem and whole_text(problem), sorted(_refs(args)), canonical({"arguments": args, "id": own, "name": name})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +309,7 @@ def link_tool_calls(chats: DataFrame, *, tools: dict[str, dict] | None = None, m
     conversation), ``cycle`` (it waits for itself, for calls that wait for it, or for such calls), ``unanswered``, else ``ok``;
     of a result: ``orphan`` or ``ok``; of a message: null. An id stands for its first call: that one's arguments tell
     what it needs. References to ids that no call has are ignored. Null texts are empty messages; null roles, turns
-    and conversation ids stay null, and link with nothing. Texts nested deeper than ``MOST_NESTED`` are plain messages. Repeated
+    and conversation ids stay null, and link with nothing. Texts may be nested to any depth; ids that are lists or objects count by their canonical JSON. Repeated
     rows are repeated events. Other columns are not read. Conversations with up to ``most_in_group`` references between their calls are
     ordered in one task each, others by rounds of joins; both are exact.
     """

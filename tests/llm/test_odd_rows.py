@@ -1,5 +1,6 @@
 """Rows that are rare and once went wrong: wide ids beside nulls, very long runs, repeated windows, clashing and dotted names."""
 
+import json
 import random
 import re
 import time
@@ -19,6 +20,53 @@ def test_wide_ids_beside_nulls_stay_what_they_are(spark):
     assert {(r["conv_id"], r["turn"]) for r in got.collect()} == {(WIDE, WIDE + 2), (None, None), (-(2**63), 2**63 - 1), (2**63 - 1, -(2**63))}
 
 
+JSON = st.recursive(st.one_of(st.none(), st.booleans(), st.integers(), st.floats(), st.text(max_size=4)), lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.text(max_size=3), x, max_size=3)), max_leaves=12)
+
+
+@settings(max_examples=400, deadline=None)
+@given(JSON, st.sampled_from([None, 1, 2]))
+def test_json_without_recursion_reads_and_writes_what_json_does(value, indent):
+    """``repr`` compares, as NaN is not equal to itself."""
+    for ascii_ in (True, False):
+        text = json.dumps(value, indent=indent, ensure_ascii=ascii_)
+        assert repr(toolcalls.read_nested(f" {text}\n")) == repr(json.loads(text))
+    try:
+        assert toolcalls._written(value) == json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    except ValueError:
+        assert "null" in toolcalls._written(value)
+    assert toolcalls._written({"k": [float("nan"), float("-inf"), {}, []], "a": {"z": 1, "b": "é"}}) == '{"a":{"b":"é","z":1},"k":[null,null,{},[]]}'
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet='{}[],:"a1-.e \\0nul', max_size=12))
+def test_json_without_recursion_turns_away_what_json_does(text):
+    for t in (text, f"[{text}]", '{"a":' + text + "}"):
+        try:
+            want = repr(json.loads(t))
+        except ValueError:
+            want = None
+        try:
+            got = repr(toolcalls.read_nested(t))
+        except ValueError:
+            got = None
+        assert got == want, t
+
+
+def test_calls_nested_to_any_depth(spark):
+    """References below 50,000 brackets are found, checked and written; deep ids and broken deep texts have a result."""
+    n = 50_000
+    args = '{"a":' * n + '{"$ref":"c0"}' + "}" * n
+    first = json.dumps({"tool_calls": [{"id": "c0", "name": "f", "arguments": {}}]})
+    deep = '{"tool_calls":[{"id":"c1","name":"f","arguments":' + args + '},{"id":' + "[" * n + "]" * n + ',"name":"f","arguments":{"x":NaN}}]}'
+    rows = [(1, 1, "assistant", first), (1, 0, "assistant", deep), (1, 2, "assistant", deep[:-1]), (1, 3, "tool", '{"tool_call_id":"c1","content":' + args + "}")]
+    tools = {"f": {"type": "object", "properties": {"a": {"type": "object"}}}}
+    got = toolcalls.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools=tools).collect()
+    by = {(r.turn, r.pos): r for r in got}
+    assert len(got) == 7 and [by[x].kind for x in ((0, 1), (0, 2), (1, 1), (2, 0), (3, 0))] == ["call", "call", "call", "message", "result"]
+    assert by[0, 1].status == "ok" and by[0, 1].order_turn == 1 and by[0, 1].json == '{"arguments":' + args + ',"id":"c1","name":"f"}'
+    assert by[0, 2].call_id == "[" * n + "]" * n and by[0, 2].json.startswith('{"arguments":{"x":null},') and by[3, 0].linked_turn == 0
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet="0123/-_vx/7", max_size=24))
 def test_both_forms_of_the_allowed_stretches_match_alike(text):

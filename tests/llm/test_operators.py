@@ -871,7 +871,8 @@ def test_tool_texts_that_break_parsers(spark):
     rows = [(1, 0, "assistant", deep), (1, 1, "assistant", odd), (1, 2, "assistant", long_), (1, 2, "assistant", long_), (1, 3, "tool", '{"tool_call_id":"l","content":[[["\\udc00"]]]}'), (None, 1, "assistant", odd)]
     got = toolcalls.link_tool_calls(chats(spark, rows)).collect()
     by = {(r.conv_id, r.kind, r.turn): r for r in got}
-    assert len(got) == 10 and [r.kind for r in got if r.turn == 0] == ["message"]
+    assert len(got) == 11 and sorted(r.kind for r in got if r.turn == 0) == ["call", "message"]
+    assert by[1, "call", 0].json == '{"arguments":' + '{"a":' * 1500 + "1" + "}" * 1500 + ',"id":"d","name":"f"}'
     assert by[1, "call", 1].call_id == "\ufffd" and by[1, "call", 1].status == "cycle" and by[None, "call", 1].status == "unanswered"
     assert by[1, "call", 1].json == '{"arguments":{"k\ufffd":"v","r":{"$ref":"\ufffd"}},"id":"\ufffd","name":"f\ufffd"}'
     assert by[1, "message", 1].json == '{"content":"😀","role":"assistant"}'
