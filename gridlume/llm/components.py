@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +25,17 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, tag: str, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """``node, component`` (least reachable node) for every node of ``edges`` (two columns of ids, any names).
 
-    Rounds grow with the logarithm of the longest chain. Each round is written to the shared folder, and ends the
+    Rounds grow with the logarithm of the longest chain and have no limit. Each round is written to the shared folder, and ends the
     loop when it changes nothing. A node with very many neighbours is pre-aggregated by ``min`` and joined under
     adaptive skew handling. Null ids and self links are ignored; no rows give no rows.
     """
     a, b = edges.columns[:2]
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` is not null and `{b}` is not null and u <> v").distinct()
     now, seen, last = scratch.save(now, f"{tag}-0", release=False), None, f"{tag}-0"
-    for k in range(1, most_rounds + 1):
+    for k in itertools.count(1):
         # no arithmetic on the ids: they may be any 64-bit numbers
         print_ = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if tuple(print_) == seen:
@@ -42,8 +44,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str, most_roun
         now = scratch.save(_star(_star(now, False), True), f"{tag}-{k}", release=False)
         scratch.drop(last)
         last = f"{tag}-{k}"
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return members.union(roots)
