@@ -101,6 +101,8 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, load long, part_bins long, part_bound long"
 #: Pieces that meet in one task at most, on average.
 PIECES_PER_PARTITION = 500_000
+#: Texts that are handed to the tokenizer's worker at once: both sides of the pipe hold a batch.
+TEXTS_PER_BATCH = 1000
 
 
 def _pack(pieces: DataFrame, parts: int, salt: int, size: int) -> DataFrame:
@@ -130,7 +132,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "packing")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # written, so a piece's number is fixed; it deals rows that share id and piece apart
-    pieces = scratch.save(token_pieces(docs, tokenizer, size, end_id).withColumn("nr", F.monotonically_increasing_id()), "pieces")
+    pieces = scratch.save(token_pieces(docs, tokenizer, size, end_id).withColumn("nr", F.monotonically_increasing_id()), "pieces", batch_rows=TEXTS_PER_BATCH)
     by_length = pieces.groupBy("length").count().toArrow()  # at most ``size`` rows
     lengths, number = by_length["length"].to_numpy(), by_length["count"].to_numpy()
     n, tokens, bound = int(number.sum()), int((lengths * number).sum()), bound_of(lengths, number, size)

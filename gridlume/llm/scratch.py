@@ -15,9 +15,19 @@ class Scratch:
         ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, table: str, release: bool = True) -> DataFrame:
-        """Write ``df`` as Parquet and return the written table; ``release`` the shuffle files of the finished job then."""
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}")
+    def save(self, df: DataFrame, table: str, release: bool = True, batch_rows: int | None = None) -> DataFrame:
+        """Write ``df`` as Parquet and return the written table; ``release`` the shuffle files of the finished job then.
+
+        While it is written, Arrow batches hold no more than ``batch_rows`` rows (or the session's own limit, if that is less).
+        """
+        conf, name = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(name)
+        if batch_rows and not 0 < int(before) <= batch_rows:
+            conf.set(name, str(batch_rows))
+        try:
+            df.write.mode("overwrite").parquet(f"{self.root}/{table}")
+        finally:
+            conf.set(name, before)
         if release:
             self.spark._jvm.System.gc()  # Spark drops shuffle files once the driver has collected their handles
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{table}")

@@ -5,11 +5,13 @@ import random
 import re
 import time
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gridlume.llm import decontam, neardup, phrasedup, queries, secrets, toolcalls
+from gridlume.llm.scratch import Scratch
 
 WIDE = 2**53 + 1
 
@@ -149,3 +151,17 @@ def test_stage_of_the_query_reads_ids_as_they_are(spark):
     docs = spark.createDataFrame([(WIDE, "password = abcdefghijkl"), (None, "x")], "doc_id long, text string").coalesce(1)
     assert {r["doc_id"] for r in secrets.secret_spans(docs).collect()} == {WIDE, None}
     assert "op2_tool_calls" in queries.QUERIES
+
+
+def test_batches_of_a_written_table_are_bounded_and_the_session_keeps_its_limit(spark):
+    name, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(0, 50, 1, 1)
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    before, store = spark.conf.get(name), Scratch(spark, "batches")
+    assert [r.n for r in store.save(sizes, "some", batch_rows=20).collect()] == [20, 20, 10] and spark.conf.get(name) == before
+    try:
+        spark.conf.set(name, "15")
+        assert max(r.n for r in store.save(sizes, "less", batch_rows=20).collect()) == 15 and spark.conf.get(name) == "15"
+        spark.conf.set(name, "0")  # no limit
+        assert max(r.n for r in store.save(sizes, "none", batch_rows=20).collect()) == 20
+    finally:
+        spark.conf.set(name, before)
