@@ -72,16 +72,16 @@ def duration_seconds(c: Column, fallback: float) -> Column:
     return F.coalesce(number * scale, F.lit(float(fallback)))
 
 
-def fixed(c: Column, digits: int) -> Column:
-    """Fixed decimals of the exact binary value, halves away from zero (up to nine digits before the point).
+def fixed(c: Column, digits: int, even: bool = False) -> Column:
+    """Fixed decimals of the exact binary value, halves away from zero, or to ``even`` as printf has it (up to nine digits before the point).
 
     The scaled value is kept as a rounded product and its exact error (Dekker's splitting), so 0.15 with one digit is 0.1:
     its binary value lies below the half.
     """
-    return let(c.cast("double"), lambda v: _fixed(v, digits))
+    return let(c.cast("double"), lambda v: _fixed(v, digits, even))
 
 
-def _fixed(c: Column, digits: int) -> Column:
+def _fixed(c: Column, digits: int, even: bool) -> Column:
     x, scale = F.abs(c), float(10**digits)
     product = x * scale
     split = x * 134217729.0
@@ -90,7 +90,8 @@ def _fixed(c: Column, digits: int) -> Column:
     error = (high * scale - product) + low * scale  # the scale is a short number, so both products are exact
     down = F.floor(product)
     rest = product - down
-    n = down + F.when((rest > 0.5) | ((rest == 0.5) & (error >= 0)), 1).otherwise(0)
+    up = (error > 0) | ((error == 0) & (down % 2 == 1)) if even else error >= 0
+    n = down + F.when((rest > 0.5) | ((rest == 0.5) & up), 1).otherwise(0)
     unit = F.lit(10**digits).cast("long")
     whole = F.floor(n / unit).cast("long") if digits else n
     text = F.concat(whole.cast("string"), F.lit("."), F.lpad((n % unit).cast("string"), digits, "0")) if digits else n.cast("string")
