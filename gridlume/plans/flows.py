@@ -20,12 +20,12 @@ from gridlume.sources.runs import RunStore, freshness
 
 
 def _landed(spark: SparkSession, d: str) -> DataFrame:
-    """A report file a nation, dropped into a folder that is partitioned by place; one in eight breaks off in the middle."""
+    """Report files of each nation, dropped into a folder that is partitioned by place; those of one place in eight break off in the middle."""
     texts = pages._report_texts(spark, d)
     n = F.col("insee").cast("int")
-    broken = texts.select("insee", F.when(n % 8 == 5, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("text"))
+    broken = texts.select("insee", "part", F.when(n % 8 == 5, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("text"))
     folder = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
-    broken.repartition("insee").write.partitionBy("insee").text(folder)
+    broken.repartition("insee", "part").write.partitionBy("insee", "part").text(folder)
     return landing.report_landing(spark, folder)
 
 

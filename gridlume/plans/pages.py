@@ -64,14 +64,18 @@ def browser_map(pages: DataFrame, facet: str, query: str, active_key: str = "")
     return features.geojson_features(features.street_filter(merged, facet, query), active_key)
 
 
+#: Fixed value: customers of a report, so that its file has no more bytes than a landed report may have, whatever the table.
+REPORT_CUSTOMERS = 10_000
+
+
 def _report_texts(spark: SparkSession, d: str) -> DataFrame:
-    """A report a nation as JSON: its customers as incidents with one address each."""
+    """Reports of each nation as JSON, one for each range of customer keys: its customers as incidents with one address each."""
     c = tables(spark, d, "customer")[0]
     k = F.col("c_custkey")
     street = F.concat(F.lit("R. "), (k % 40).cast("string"), F.lit(", Ville "), F.col("c_nationkey").cast("string"), F.lit(" (69"), F.lpad(F.col("c_nationkey").cast("string"), 3, "0"), F.lit(")"))
     incident = F.struct(F.concat(F.lit("i"), (k % 60).cast("string")).alias("idCoupure"), F.col("c_mktsegment").alias("incidentCoupure"), F.lit("01/02/2025 10:00").alias("dateCoupure"), (k % 7).cast("string").alias("nbFoyersCoupes"), F.array(F.struct(street.alias("localisation"), (k % 5).cast("string").alias("nbFoyersCoupes"))).alias("listeAdresses"))
-    by = c.groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), incident.alias("i")))), lambda x: x["i"]).alias("l"))
-    return by.select(F.col("c_nationkey").cast("long").alias("seq"), F.col("c_nationkey").cast("string").alias("insee"), F.lit("Lyon").alias("city"), F.to_json(F.struct(F.struct(F.col("l").alias("listeCoupuresInfoReseau")).alias("resultMegacache"))).alias("text"))
+    by = c.groupBy("c_nationkey", F.floor(k / REPORT_CUSTOMERS).cast("long").alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), incident.alias("i")))), lambda x: x["i"]).alias("l"))
+    return by.select(F.struct(F.col("c_nationkey").cast("long").alias("nation"), "part").alias("seq"), "part", F.col("c_nationkey").cast("string").alias("insee"), F.lit("Lyon").alias("city"), F.to_json(F.struct(F.struct(F.col("l").alias("listeCoupuresInfoReseau")).alias("resultMegacache"))).alias("text"))
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:

@@ -27,3 +27,8 @@ def test_exact_halves(alike):
     # 62500 / -1e6 is a half at three digits, 25 / 20 one at one digit, 100.25 / -8 one at four
     price = "case when i % 3 = 0 then 100.25 when i % 3 = 1 then 100.75 else 900.1 end::double"
     alike("fixed_decimals", part=f"select i as p_partkey, {price} as p_retailprice from (select unnest(range(0, 100)) as i union all select unnest(range(500, 700000, 500)))")
+
+
+def test_a_place_of_more_than_a_report_may_have(alike):
+    got = alike("landed_fact", nation="select unnest([3, 5]) as n_nationkey", customer="select i as c_custkey, case i % 20 when 7 then 5 else 3 end as c_nationkey, 'BUILDING' as c_mktsegment from range(20000) t(i)")
+    assert (got["kind"] == "street").sum() == 38
