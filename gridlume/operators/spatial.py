@@ -22,53 +22,56 @@ CHAIN_DEGREES = 0.000035
 _ENDS = ["y0", "x0", "y1", "x1"]
 
 
-def _cells(b: Column, grid: float) -> Column:
-    """All grid cells (x, y) that a box touches."""
-    lo = lambda c: F.floor(c / F.lit(grid)).cast("long")
-    xs, ys = F.sequence(lo(b["west"]), lo(b["east"])), F.sequence(lo(b["south"]), lo(b["north"]))
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
-
-
 #: Levels of the grid pyramid: cells grow by a factor of four, so eight levels reach from 0.1 degrees around the earth.
 LEVELS = 8
 
 
-def _levels(box: Column, grid: float) -> Column:
-    """(level, own, x, y): the cells that a box touches on its own level, where cells are no smaller than it, and on all coarser ones.
-
-    That is at most four cells a level, whatever the box.
-    """
-    size = F.greatest(box["east"] - box["west"], box["north"] - box["south"])
+def _levels(boxes: DataFrame, grid: float) -> DataFrame:
+    """``boxes`` (w, s, e, n) a row for each cell (level, x, y) that they touch on their own level, where cells are no smaller than they, and on
+    all coarser ones, with whether the level is its own and the cell its first in each direction. At most four cells a level, whatever the box."""
+    size = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"))
     own = sum((F.when(size > grid * 4**k, 1).otherwise(0) for k in range(LEVELS - 1)), F.lit(0))
+    cell = F.lit(grid) * F.pow(F.lit(4.0), F.col("level"))
+    lo = lambda c: F.floor(F.col(c) / cell).cast("long")
+    at = boxes.withColumn("_l", own).withColumn("level", F.explode(F.sequence("_l", F.lit(LEVELS - 1))))
+    at = at.withColumns({"x0": lo("w"), "y0": lo("s"), "x1": lo("e"), "y1": lo("n")})
+    at = at.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1")))
+    return at.select(*boxes.columns, "level", "x", "y", (F.col("_l") == F.col("level")).alias("own"), (F.col("x") == F.col("x0")).alias("fx"), (F.col("y") == F.col("y0")).alias("fy"))
 
-    def at(level: int) -> Column:
-        cells = _cells(box, grid * 4**level)
-        return F.when(own <= level, F.transform(cells, lambda c: F.struct(F.lit(level).alias("level"), (own == level).alias("own"), c["x"].alias("x"), c["y"].alias("y"))))
 
-    return F.flatten(F.array_compact(F.array(*map(at, range(LEVELS)))))
+#: Tasks that the smaller boxes of a coarse cell are dealt to; the larger ones, few, go to all of them.
+_DEALT = 32
 
 
 def bbox_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, left_key: str, right_key: str, grid: float = 0.1) -> DataFrame:
     """Pairs of keys whose boxes overlap: an equi-join on cells of a grid pyramid, then the exact test.
 
     Boxes meet on the level of the larger one, so a box of any size makes few rows and small boxes do not meet in large cells. A
-    pair shares one first cell there (the greater of both lower corners), so it comes out once without a distinct.
-    Boxes with null or reversed sides overlap nothing. Cells that very many boxes touch are split by the adaptive skew join. ``grid``: near the usual size.
+    pair shares one first cell there (the greater of both lower corners, so the first one of either box), so it comes out once without a distinct.
+    Boxes with null or reversed sides overlap nothing. In cells of the coarser levels the smaller boxes are dealt to several tasks; cells of the finest
+    that very many boxes touch are split by the adaptive skew join. Both sides are shuffled: rows a cell are many more than
+    the table's size tells, too many to be sent to every executor. ``grid``: near the usual size.
     """
 
-    def rows(df: DataFrame, key: str, box: str, k: str) -> DataFrame:
-        b = F.col(f"_{k}b")
-        named = df.select(F.col(key).alias(f"_{k}k"), F.col(box).alias(f"_{k}b")).where((b["west"] <= b["east"]) & (b["south"] <= b["north"]))
-        return named.select("*", F.explode(_levels(b, grid)).alias("_c")).select(f"_{k}k", f"_{k}b", F.col("_c.level").alias("level"), F.col("_c.x").alias("x"), F.col("_c.y").alias("y"), F.col("_c.own").alias(f"_{k}own"))
-
-    a, b = rows(left, left_key, left_box, "l"), rows(right, right_key, right_box, "r")
-    p, q = F.col("_lb"), F.col("_rb")
-    overlap = (p["west"] <= q["east"]) & (q["west"] <= p["east"]) & (p["south"] <= q["north"]) & (q["south"] <= p["north"])
-    cell = F.lit(grid) * F.pow(F.lit(4.0), F.col("level"))
-    lo = lambda c: F.floor(c / cell).cast("long")
-    home = (F.col("x") == lo(F.greatest(p["west"], q["west"]))) & (F.col("y") == lo(F.greatest(p["south"], q["south"])))
-    met = [a.where("_lown").join(b, ["level", "x", "y"]), a.where("not _lown").join(b.where("_rown"), ["level", "x", "y"])]
-    return met[0].unionByName(met[1]).where(overlap & home).select(F.col("_lk").alias(left_key), F.col("_rk").alias(right_key))
+    def rows(df: DataFrame, key: str, box: str, salt: str) -> DataFrame:
+        b = F.col(box)
+        named = df.select(F.col(key).alias("k"), *(b[c].alias(c[0]) for c in ("west", "south", "east", "north")))
+        named = named.where((F.col("w") <= F.col("e")) & (F.col("s") <= F.col("n")))
+        return _levels(named.withColumn("_s", F.expr(salt)), grid)
+
+    def met(larger: DataFrame, smaller: DataFrame) -> DataFrame:
+        """Pairs on the larger boxes' own level; the names of their columns begin with ``p`` and ``q``."""
+        all_ = F.explode(F.when(F.col("level") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(_DEALT - 1))))
+        cell = ["level", "x", "y", "salt"]
+        p = larger.where("own").withColumn("salt", all_).select(*cell, *(F.col(c).alias(f"p{c}") for c in "kwsen"), F.col("fx").alias("pfx"), F.col("fy").alias("pfy"))
+        q = smaller.withColumn("salt", F.when(F.col("level") == 0, 0).otherwise(F.col("_s"))).select(*cell, *(F.col(c).alias(f"q{c}") for c in "kwsen"), F.col("fx").alias("qfx"), F.col("fy").alias("qfy"))
+        overlap = F.expr("pw <= qe and qw <= pe and ps <= qn and qs <= pn")
+        return q.join(p.hint("merge"), cell).where(overlap & F.expr("(pfx or qfx) and (pfy or qfy)"))
+
+    salt = "cast(pmod(hash(k), {}) as int)".format(_DEALT)
+    a, b = rows(left, left_key, left_box, salt), rows(right, right_key, right_box, salt)
+    pairs = met(a, b).select(F.col("pk").alias(left_key), F.col("qk").alias(right_key))
+    return pairs.unionByName(met(b.where("own"), a.where("not own")).select(F.col("qk").alias(left_key), F.col("pk").alias(right_key)))
 
 
 def covered_boxes(boxes: DataFrame, contours: DataFrame, key: str) -> DataFrame:

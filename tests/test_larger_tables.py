@@ -32,3 +32,9 @@ def test_exact_halves(alike):
 def test_a_place_of_more_than_a_report_may_have(alike):
     got = alike("landed_fact", nation="select unnest([3, 5]) as n_nationkey", customer="select i as c_custkey, case i % 20 when 7 then 5 else 3 end as c_nationkey, 'BUILDING' as c_mktsegment from range(20000) t(i)")
     assert (got["kind"] == "street").sum() == 38
+
+
+def test_rows_a_cell_are_not_broadcast(spark, data):
+    """A small table's boxes are many rows a cell, too many to be sent whole through the driver."""
+    text = catalog.QUERIES["bbox_join"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in text and text.count("SortMergeJoin") == 2
