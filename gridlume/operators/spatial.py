@@ -124,30 +124,44 @@ def chain_lines(lines: list[np.ndarray], tolerance: float = CHAIN_DEGREES) -> li
 def chains(lines: list[np.ndarray], tolerance: float = CHAIN_DEGREES) -> list[tuple[int, np.ndarray]]:
     """The same in the order of the lines that begin them, with these lines' places.
 
-    Ends are found by cells of the tolerance, and a chain is kept as its pieces, so the work grows with the vertices.
+    Ends are found by cells of the tolerance. Each place where lines end keeps its lines in order, so however many lines end there, the first one that
+    is left is at hand; a chain is kept as its pieces. So the work grows with the vertices.
     """
     lines, step = [np.asarray(x, float) for x in lines], tolerance * 1.001
-    cells: dict[tuple[int, int], list[int]] = {}
+    ends: dict[tuple[float, float], deque[int]] = {}
+    cells: dict[tuple[int, int], list[tuple[float, float]]] = {}
     for i, x in enumerate(lines):
-        for p in (x[0], x[-1]) if len(x) else ():
-            cells.setdefault((math.floor(p[0] / step), math.floor(p[1] / step)), []).append(i)
+        for p in ((x[0, 0], x[0, 1]), (x[-1, 0], x[-1, 1])) if len(x) else ():
+            p = (float(p[0]), float(p[1]))
+            if p not in ends:
+                ends[p] = deque()
+                cells.setdefault((math.floor(p[0] / step), math.floor(p[1] / step)), []).append(p)
+            ends[p].append(i)
     free = [True] * len(lines)
 
-    def near(p: np.ndarray, q: np.ndarray, most: float = tolerance) -> bool:
+    def near(p: tuple[float, float] | np.ndarray, q: tuple[float, float] | np.ndarray, most: float = tolerance) -> bool:
         return bool(abs(p[0] - q[0]) <= most and abs(p[1] - q[1]) <= most)
 
-    def around(p: np.ndarray) -> list[int]:
+    def waits(q: tuple[float, float]) -> bool:
+        """Whether a free line ends at ``q``; the first one is then its queue's first."""
+        own = ends[q]
+        while own and not free[own[0]]:
+            own.popleft()
+        return bool(own)
+
+    def around(p: tuple[float, float]) -> list[int]:
+        """The first free line of each place near ``p``."""
         x, y = math.floor(p[0] / step), math.floor(p[1] / step)
         found = []
         for c in ((x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
             if c in cells:
-                cells[c] = [i for i in cells[c] if free[i]]
-                found += cells[c]
+                cells[c] = [q for q in cells[c] if waits(q)]
+                found += [ends[q][0] for q in cells[c] if near(p, q)]
         return found
 
     def joined(head: deque, tail: deque) -> deque:
         """``tail`` behind ``head``: without its first vertex, and without those that then repeat the head's last."""
-        last, rest = head[-1][-1], deque(tail)
+        last, rest = head[-1][-1], tail
         rest[0] = rest[0][1:]
         while rest and (not len(rest[0]) or near(rest[0][0], last, 0.000001)):
             if len(rest[0]):
@@ -167,10 +181,9 @@ def chains(lines: list[np.ndarray], tolerance: float = CHAIN_DEGREES) -> list[tu
         free[k] = False
         now = deque([line])
         while len(line):
-            first, last = now[0][0], now[-1][-1]
+            first, last = tuple(now[0][0].tolist()), tuple(now[-1][-1].tolist())
             # the first line in order that has an end at one of ours
-            fits = lambda i: any(near(p, q) for p in (first, last) for q in (lines[i][0], lines[i][-1]))  # noqa: B023, E731
-            best = min(filter(fits, {*around(first), *around(last)}), default=None)
+            best = min((*around(first), *around(last)), default=None)
             if best is None:
                 break
             free[best] = False
@@ -243,7 +256,7 @@ def merge_polylines(lines: DataFrame, key: str, most_lines: int = 50_000) -> Dat
     own = written.save(lines.join(large, same, "left_semi").mapInArrow(cleaned, f"`{key}` {kind}, idx long, " + ", ".join(f"{c} double" for c in _ENDS) + ", line array<array<double>>"))
     comp = line_components(own, key, Flat(CHAIN_DEGREES), 2 * most_lines).withColumnRenamed("idx", "_idx").withColumnRenamed(key, "_key")
     placed = own.join(comp, k.eqNullSafe(F.col("_key")) & (F.col("idx") == F.col("_idx"))).select(k, "idx", "component", "line")
-    chained = placed.groupBy(k, "component").applyInArrow(component, f"`{key}` {kind}, {_CHAIN}")
+    chained = written.save(placed.groupBy(k, "component").applyInArrow(component, f"`{key}` {kind}, {_CHAIN}"))
     ranked = global_rank(chained, [F.desc("_n"), F.col("_first")], "pos", [key])
     return rest.unionByName(ranked.select(k, (F.col("pos") - 1).alias("pos"), "line"))
 
