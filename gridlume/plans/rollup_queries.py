@@ -9,6 +9,7 @@ from gridlume.functions.scalars import earliest, latest
 from gridlume.operators import ingest, rollup
 from gridlume.plans.scalar_queries import LOCATION_CTES
 from gridlume.plans.standins import DUCK_INCIDENTS, addresses, incidents
+from gridlume.runtime import Written
 from gridlume.sources.landing import tables
 
 def _addr():
@@ -83,14 +84,22 @@ FIRST_NON_NULL = f"with i as ({DUCK_INCIDENTS}) select okey, arg_min(state, seq)
 
 
 def _page_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Street-like partials: one a supplier group (page) and part flag."""
-    rows = incidents(spark, d).withColumn("page", F.col("skey") % 5)
-    s = F.struct("okey", "seq")
-    return rows.groupBy("page", (F.col("okey") % 300).alias("k")).agg(
-        rollup.first_by("flag", s).alias("label"), rollup.first_by("flag", s).alias("name"), rollup.first_by("flag", s).alias("city"), rollup.first_by("flag", s).alias("postcode"),
-        rollup.ordered_distinct("start", s).alias("locations"), rollup.ordered_distinct("flag", s, keep_empty=True).alias("incident_ids"), rollup.ordered_distinct("state", s).alias("types"),
-        earliest(F.col("start"), F.col("okey") * 100 + F.col("seq")).alias("first_seen"), latest(F.col("restore"), F.col("okey") * 100 + F.col("seq")).alias("restore_at"), F.sum("households").alias("households"),
-    ).withColumn("key", F.col("k").cast("string"))
+    """Street-like partials: one a supplier group (page) and part flag.
+
+    Rows alike in all texts are put together first, and each list's values once more, so that lists gather distinct values only.
+    """
+    s, key, names = F.col("s"), ["page", "k"], {"locations": "start", "incident_ids": "flag", "types": "state"}
+    rows = incidents(spark, d).select((F.col("skey") % 5).alias("page"), (F.col("okey") % 300).alias("k"), "flag", "start", "restore", "state", "households", (F.col("okey") * 100 + F.col("seq")).alias("s"))
+    alike = Written(spark, "pages").save(rows.groupBy(*key, "flag", "start", "restore", "state").agg(F.min("s").alias("s"), F.sum("households").alias("households")))
+    facts = alike.groupBy(*key).agg(
+        *(rollup.first_by("flag", s).alias(c) for c in ("label", "name", "city", "postcode")),
+        earliest(F.col("start"), s).alias("first_seen"), latest(F.col("restore"), s).alias("restore_at"), F.sum("households").alias("households"),
+    )
+    values = F.explode(F.array(*(F.struct(F.lit(n).alias("list"), F.col(c).alias("value")) for n, c in names.items())))
+    each = alike.select(*key, "s", values.alias("v")).where("v.value is not null and (v.value <> '' or v.list = 'incident_ids')")
+    first = each.groupBy(*key, F.col("v.list").alias("list"), F.col("v.value").alias("value")).agg(F.min("s").alias("s"))
+    lists = rollup.ordered_lists(first.select(*key, "s", *(F.when(F.col("list") == n, F.array("value")).alias(n) for n in names)), key, list(names), s)
+    return rollup._with_lists(facts, lists, key, list(names)).withColumn("key", F.col("k").cast("string"))
 
 
 def partial_final_merge(spark: SparkSession, d: str) -> DataFrame:
