@@ -51,3 +51,9 @@ def test_many_lines_of_few_ends_are_joined_in_linear_work():
     chained = spatial.chain_lines(lines)
     assert time.process_time() - start < 20  # quadratic before: 3.4 s for 3,600 such lines
     assert sum(len(x) - 1 for x in chained) == 20_000
+
+
+def test_lists_of_pages_gather_distinct_values_only(spark, data):
+    """No set of (place, text) pairs a page: it held every row."""
+    for name in ("partial_final_merge", "page_merge_browser"):
+        assert "collect_set" not in catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
