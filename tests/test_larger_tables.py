@@ -57,3 +57,10 @@ def test_lists_of_pages_gather_distinct_values_only(spark, data):
     """No set of (place, text) pairs a page: it held every row."""
     for name in ("partial_final_merge", "page_merge_browser"):
         assert "collect_set" not in catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_addresses_are_dealt_to_all_cores(spark, data):
+    """A small file is one split, whatever the work a row."""
+    from gridlume.plans.standins import addresses
+
+    assert addresses(spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
