@@ -143,7 +143,8 @@ def contour_search(spark: SparkSession, d: str) -> DataFrame:
     """All boxes against all outlines, without a key in common: outlines around each box, and whether they cover it."""
     n = tables(spark, d, "nation")[0].select(F.col("n_nationkey").alias("contour"))
     rings = F.array(*(F.array(*(F.array(*p) for p in ring)) for ring in _shape(lambda a, k, b: F.lit(a) + k * F.lit(b), F.col("contour"))))
-    boxes = _boxes(spark, d).select("id", F.col("b").alias("bounds"))
+    # few bytes but much work a row: dealt to all cores, not by the file's splits
+    boxes = _boxes(spark, d).select("id", F.col("b").alias("bounds")).repartition(2 * spark.sparkContext.defaultParallelism, "id")
     return cover.boxes_in_contours(boxes, n.select("contour", F.array(rings).alias("polygons")), "id", "contour")
 
 
