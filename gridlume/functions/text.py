@@ -100,8 +100,9 @@ def parse_location(location: Column, fallback_city: Column) -> Column:
     in_street = F.regexp_extract(street, r"(?<![A-Za-z0-9_])(75[0-9]{3})(?![A-Za-z0-9_])", 1)
     bare = trim(F.regexp_replace(city, r"\([^)]*\)", ""))
     city = F.coalesce(F.nullif(bare, F.lit("")), F.nullif(fallback_city, F.lit("")), F.lit("Paris"))
-    name = normalize_street(street)
-    return F.struct(title_case(name).alias("label"), name.alias("name"), F.upper(strip_accents(name)).alias("key"), title_case(city).alias("city"), F.coalesce(F.nullif(in_city, F.lit("")), in_street).alias("postcode"))
+    parts = lambda name: F.struct(title_case(name).alias("label"), name.alias("name"), F.upper(strip_accents(name)).alias("key"), title_case(city).alias("city"), F.coalesce(F.nullif(in_city, F.lit("")), in_street).alias("postcode"))
+    # as an argument the name is there once, not as a chain of rewrites in each of the parts
+    return F.get(F.transform(F.array(normalize_street(street)), parts), F.lit(0))
 
 
 def street_id(parsed: Column) -> Column:

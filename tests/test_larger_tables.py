@@ -64,3 +64,9 @@ def test_addresses_are_dealt_to_all_cores(spark, data):
     from gridlume.plans.standins import addresses
 
     assert addresses(spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_street_is_rewritten_once(spark, data):
+    """Label, name and key are of one name: three chains of rewrites stood in the plan."""
+    text = catalog.QUERIES["street_rollup"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("VINCI") == 1
