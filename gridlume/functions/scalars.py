@@ -44,11 +44,12 @@ def _whole_number(digits: Column, base: int) -> Column:
 
 def french_millis(c: Column) -> Column:
     """Milliseconds of a ``dd/MM/yyyy HH:mm`` text in UTC; days and months roll over, other texts are 0."""
-    part = lambda k: F.regexp_extract(c, _DATE, k).try_cast("int")
-    year = F.when(part(3) < 100, part(3) + 1900).otherwise(part(3))
-    day = F.date_add(F.add_months(F.make_date(year, F.lit(1), F.lit(1)), part(2) - 1), part(1) - 1)
-    millis = F.unix_date(day).cast("long") * 86_400_000 + part(4) * 3_600_000 + part(5) * 60_000
-    return F.when(F.rlike(c, F.lit(_DATE)), millis).otherwise(F.lit(0)).cast("long")
+    # digits stand at fixed places of a text that matches
+    t = F.when(F.rlike(c, F.lit(_DATE)), c)
+    part = lambda at, n=2: F.substring(t, at, n).try_cast("int")
+    year = F.when(part(7, 4) < 100, part(7, 4) + 1900).otherwise(part(7, 4))
+    day = F.date_add(F.add_months(F.make_date(year, F.lit(1), F.lit(1)), part(4) - 1), part(1) - 1)
+    return F.coalesce(F.unix_date(day).cast("long") * 86_400_000 + part(12) * 3_600_000 + part(15) * 60_000, F.lit(0)).cast("long")
 
 
 def earliest(value: Column, seq: Column) -> Column:

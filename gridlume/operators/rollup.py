@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gridlume.functions.scalars import earliest, latest
+from gridlume.functions.scalars import earliest, french_millis, latest
 from gridlume.functions.text import parse_location, street_id
 
 
@@ -76,11 +76,23 @@ def _with_lists(facts: DataFrame, lists: DataFrame, key: list[str], columns: lis
 
 
 def incident_rollup(incidents: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
-    """One row a key: first scalars, summed households, earliest start, latest restore, distinct (text, number) addresses."""
-    s = F.col(seq)
-    first = [first_by(c, s).alias(c) for c in ("id", "status", "type", "electric_state", "place_code") if c in incidents.columns and c not in key]
-    facts = incidents.groupBy(*key).agg(*first, F.sum("households").alias("households"), earliest(F.col("start"), s).alias("start"), latest(F.col("restore"), s).alias("restore"))
-    return _with_lists(facts, ordered_lists(incidents, key, ["addresses"], s), key, ["addresses"])
+    """One row a key: first scalars, summed households, earliest start, latest restore, distinct (text, number) addresses.
+
+    Rows are gone through once: they are put together by key and address, then by key, so scalars and lists need not be joined. A row's scalars
+    go with its first address; dates are read once a row.
+    """
+    own, s = [F.col(f"`{c}`") for c in key], F.col(seq)
+    names = [c for c in ("id", "status", "type", "electric_state", "place_code") if c in incidents.columns and c not in key]
+    dated = lambda c, sign: F.when(F.col(c) != "", F.struct((sign * french_millis(F.col(c))).alias("ms"), s.alias("s"), F.col(c).alias("v")))
+    rows = incidents.select(*own, s.alias("_seq"), F.when(s.isNotNull(), F.struct(s.alias("s"), *names)).alias("_first"), "households", dated("start", 1).alias("_start"), dated("restore", -1).alias("_restore"), "addresses")
+    rows = rows.select(*own, "_seq", "_first", "households", "_start", "_restore", F.posexplode_outer("addresses").alias("_pos", "_value"))
+    head = F.coalesce("_pos", F.lit(0)) == 0
+    once = [f(F.when(head, F.col(c))).alias(c) for f, c in ((F.min, "_first"), (F.sum, "households"), (F.min, "_start"), (F.min, "_restore"))]
+    least = rows.groupBy(*own, "_value").agg(F.min(F.when(F.col("_pos").isNotNull(), F.struct("_seq", "_pos"))).alias("_at"), *once)
+    gathered = F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "_value"))))
+    out = least.groupBy(*own).agg(F.min("_first").alias("_first"), F.sum("households").alias("households"), F.min("_start").alias("_start"), F.min("_restore").alias("_restore"), F.transform(gathered, lambda x: x["_value"]).alias("addresses"))
+    text = lambda c: F.coalesce(F.col(f"_{c}")["v"], F.lit("")).alias(c)
+    return out.select(*own, *(F.col("_first")[c].alias(c) for c in names), "households", text("start"), text("restore"), "addresses")
 
 
 def street_rollup(addresses: DataFrame, seq: str = "seq", parsed: str | None = None) -> DataFrame:

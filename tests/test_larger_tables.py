@@ -70,3 +70,22 @@ def test_a_street_is_rewritten_once(spark, data):
     """Label, name and key are of one name: three chains of rewrites stood in the plan."""
     text = catalog.QUERIES["street_rollup"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("VINCI") == 1
+
+
+def test_incidents_are_gone_through_once(spark, data):
+    """Scalars and lists came from two passes over all rows that were joined."""
+    for name in ("merge_incidents", "entity_rollup"):
+        text = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in text and text.count("FileScan") == 1
+
+
+def test_scalars_of_a_row_count_once_however_many_addresses(spark):
+    from gridlume.operators.rollup import incident_rollup
+
+    schema = "k string, seq long, id string, households double, start string, restore string, addresses array<struct<location: string, households: double>>"
+    x, y = ("x", 1.0), ("y", 2.0)
+    rows = [("a", 2, "i2", 5.0, "02/01/2025 10:00", "", [x, y, x]), ("a", 1, None, 7.0, "", "01/01/2025 10:00", [y]), ("a", 3, "i3", 1.0, "01/01/2025 10:00", "03/01/2025 10:00", []), ("b", 1, "i", None, "x", None, None), (None, 1, "n", 2.0, None, "", [None, x, None])]
+    got = {r["k"]: r for r in incident_rollup(spark.createDataFrame(rows, schema), ["k"]).collect()}
+    assert tuple(got["a"]) == ("a", None, 13.0, "01/01/2025 10:00", "03/01/2025 10:00", [y, x])
+    assert tuple(got["b"]) == ("b", "i", None, "x", "", [])
+    assert tuple(got[None]) == (None, "n", 2.0, "", "", [None, x])
