@@ -89,3 +89,41 @@ def test_scalars_of_a_row_count_once_however_many_addresses(spark):
     assert tuple(got["a"]) == ("a", None, 13.0, "01/01/2025 10:00", "03/01/2025 10:00", [y, x])
     assert tuple(got["b"]) == ("b", "i", None, "x", "", [])
     assert tuple(got[None]) == (None, "n", 2.0, "", "", [None, x])
+
+
+class _Kept(dict):
+    """A state that counts how often it is looked at."""
+
+    looks = 0
+
+    def containsKey(self, at):  # noqa: N802
+        self.looks += 1
+        return at in self
+
+    def getValue(self, at):  # noqa: N802
+        self.looks += 1
+        return self[at]
+
+    def updateValue(self, at, value):  # noqa: N802
+        self.looks += 1
+        self[at] = value
+
+    def iterator(self):
+        return iter(self.items())
+
+
+def test_deliveries_of_a_page_meet_the_state_once_a_batch():
+    import pandas as pd
+
+    from gridlume.streaming.facts import PageFacts
+
+    class Revision(list):
+        exists, get, update = lambda self: bool(self), lambda self: self[-1], lambda self, v: self.append(v)
+
+    facts = PageFacts()
+    facts.pages, facts.revision = _Kept(), Revision()
+    batch = lambda versions: pd.DataFrame({"page": [v % 4 for v in versions], "version": versions, "fact": [f'{{"households": {v}}}' for v in versions]})
+    out = [*facts.handleInputRows(("k",), iter([batch(range(500)), batch(range(999, 499, -1))]), None)]
+    assert facts.pages.looks <= 12 and {k[0]: v[0] for k, v in facts.pages.items()} == {0: 996, 1: 997, 2: 998, 3: 999}
+    assert out[0]["households"].tolist() == [996 + 997 + 998 + 999.0]
+    assert [*facts.handleInputRows(("k",), iter([batch(range(900))]), None)] == []
