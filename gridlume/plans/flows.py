@@ -13,7 +13,7 @@ from gridlume.functions.text import fold_key
 from gridlume.operators import enrich, features, ingest, paging, rollup, spatial
 from gridlume.plans import join_queries, pages
 from gridlume.plans.geo_queries import _segments
-from gridlume.runtime import shared_dir
+from gridlume.runtime import Written, shared_dir
 from gridlume.sources import keyed, landing
 from gridlume.sources.landing import tables
 from gridlume.sources.runs import RunStore, freshness
@@ -84,7 +84,8 @@ def matched_lines(requests: DataFrame, ways: DataFrame, place: str = "place") ->
     found = enrich.ways_in(requests, ways, place)
     name = F.struct(place, "key")
     located = requests.where("point is not null").select(place, fold_key(F.col("name")).alias("key"), "point").dropDuplicates([place, "key"]).select(F.to_json(name).alias("street"), "point")
-    lines = found.select(F.to_json(name).alias("street"), place, "key", F.col("seq").alias("idx"), "line")
+    # written once: all that follows reads it
+    lines = Written(found.sparkSession, "matched").save(found.select(F.to_json(name).alias("street"), place, "key", F.col("seq").alias("idx"), "line"))
     near = spatial.nearest_components(lines.join(located.select("street"), "street", "left_semi"), located, "street").where("kept").select("street", "idx")
     kept = lines.join(located.select("street"), "street", "left_anti").unionByName(lines.join(near, ["street", "idx"]).select(lines.columns))
     return kept.groupBy(place, "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]).alias("lines"))

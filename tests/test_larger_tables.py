@@ -140,3 +140,9 @@ def test_lines_alike_are_one_line(spark, monkeypatch):
     got = {(r["k"], r["idx"]): r["component"] for r in nearness.line_components(ends, "k", nearness.Earth(35.0)).collect()}
     assert seen == [7]
     assert got == {(None if i % 2 else "a", i): i % 6 for i in range(600)} | {("a", 600): 600, ("a", 601): 601, ("a", 602): 601}
+
+
+def test_ways_are_found_once(spark, data):
+    """Found lines are read again, not found again from the tables, by each step after."""
+    files = catalog.QUERIES["matched_fact"](spark, data).inputFiles()
+    assert not [f for f in files if f.endswith("customer.parquet")]
