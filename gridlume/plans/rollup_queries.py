@@ -86,20 +86,27 @@ FIRST_NON_NULL = f"with i as ({DUCK_INCIDENTS}) select okey, arg_min(state, seq)
 def _page_facts(spark: SparkSession, d: str) -> DataFrame:
     """Street-like partials: one a supplier group (page) and part flag.
 
-    Rows alike in all texts are put together first, and each list's values once more, so that lists gather distinct values only.
+    Rows are taken apart into two pairs of texts, pairs alike are put together, and their texts once more, before anything is gathered or a date is
+    read: what is left of a page are its distinct texts, however many rows it has. The partials are written, so that merges that read them twice
+    find them made.
     """
-    s, key, names = F.col("s"), ["page", "k"], {"locations": "start", "incident_ids": "flag", "types": "state"}
+    s, key = F.col("s"), ["page", "k"]
+    pair = lambda v, w: F.struct(F.lit(v).alias("of"), F.col(v).alias("v"), F.col(w).alias("w"))
+    least = [F.min("s").alias("s"), F.sum("households").alias("households")]
     rows = incidents(spark, d).select((F.col("skey") % 5).alias("page"), (F.col("okey") % 300).alias("k"), "flag", "start", "restore", "state", "households", (F.col("okey") * 100 + F.col("seq")).alias("s"))
-    alike = Written(spark, "pages").save(rows.groupBy(*key, "flag", "start", "restore", "state").agg(F.min("s").alias("s"), F.sum("households").alias("households")))
+    pairs = rows.select(*key, "s", "households", F.inline(F.array(pair("flag", "state"), pair("start", "restore"))))
+    pairs = pairs.groupBy(*key, "of", "v", "w").agg(*least)
+    second = F.when(F.col("of") == "flag", "state").otherwise("restore")
+    texts = F.inline(F.array(F.struct(F.col("of"), F.col("v")), F.struct(second.alias("of"), F.col("w").alias("v"))))
+    alike = pairs.select(*key, "s", "households", texts).where("of = 'flag' or v <> ''").groupBy(*key, "of", "v").agg(*least)
+    own = lambda c, value: F.when(F.col("of") == c, value)
+    gathered = lambda c: F.transform(F.array_sort(F.collect_list(own(c, F.when(F.col("v").isNotNull(), F.struct("s", "v"))))), lambda x: x["v"])
     facts = alike.groupBy(*key).agg(
-        *(rollup.first_by("flag", s).alias(c) for c in ("label", "name", "city", "postcode")),
-        earliest(F.col("start"), s).alias("first_seen"), latest(F.col("restore"), s).alias("restore_at"), F.sum("households").alias("households"),
+        *(rollup.first_by("v", own("flag", s)).alias(c) for c in ("label", "name", "city", "postcode")),
+        earliest(own("start", F.col("v")), s).alias("first_seen"), latest(own("restore", F.col("v")), s).alias("restore_at"), F.sum(own("flag", F.col("households"))).alias("households"),
+        gathered("start").alias("locations"), gathered("flag").alias("incident_ids"), gathered("state").alias("types"),
     )
-    values = F.explode(F.array(*(F.struct(F.lit(n).alias("list"), F.col(c).alias("value")) for n, c in names.items())))
-    each = alike.select(*key, "s", values.alias("v")).where("v.value is not null and (v.value <> '' or v.list = 'incident_ids')")
-    first = each.groupBy(*key, F.col("v.list").alias("list"), F.col("v.value").alias("value")).agg(F.min("s").alias("s"))
-    lists = rollup.ordered_lists(first.select(*key, "s", *(F.when(F.col("list") == n, F.array("value")).alias(n) for n in names)), key, list(names), s)
-    return rollup._with_lists(facts, lists, key, list(names)).withColumn("key", F.col("k").cast("string"))
+    return Written(spark, "pages").save(facts.withColumn("key", F.col("k").cast("string")))
 
 
 def partial_final_merge(spark: SparkSession, d: str) -> DataFrame:

@@ -146,3 +146,19 @@ def test_ways_are_found_once(spark, data):
     """Found lines are read again, not found again from the tables, by each step after."""
     files = catalog.QUERIES["matched_fact"](spark, data).inputFiles()
     assert not [f for f in files if f.endswith("customer.parquet")]
+
+
+@pytest.mark.parametrize("name", ["partial_final_merge", "page_merge_browser"])
+def test_merges_of_pages_read_a_row_a_page_and_key(spark, data, name):
+    """The merge read all rows that differ in any text, once for its lists and once for all else."""
+    read = spark.read.parquet(*catalog.QUERIES[name](spark, data).inputFiles())
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").selectExpr("l_suppkey % 5 as page", "l_orderkey % 300 as k")
+    assert read.count() == lines.distinct().count()
+
+
+@pytest.mark.parametrize("name", ["partial_final_merge", "page_merge_browser"])
+def test_pages_of_many_alike_rows_and_of_none_but_nulls(alike, name):
+    line = "i // 4 * 7 % 900 as l_orderkey, i as l_partkey, case when i // 4 % 3 = 0 then 5 else i % 11 end as l_suppkey, (i % 4 + i // 900)::int as l_linenumber, (i % 50)::double as l_quantity, i::double as l_extendedprice"
+    date = "case when i // 4 % 5 > 0 then timestamp '1998-01-01' + to_days((i * 37 % 40)::int) end as l_shipdate"
+    got = alike(name, lineitem=f"select {line}, substr('ANR', 1 + (i * 5 % 3)::int, 1) as l_returnflag, substr('OF', 1 + (i % 2)::int, 1) as l_linestatus, {date} from range(5000) t(i)")
+    assert len(got) == 300
