@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlume.functions.geo import point_in_multipolygon, sample_points
@@ -25,53 +25,108 @@ _ENDS = ["y0", "x0", "y1", "x1"]
 #: Levels of the grid pyramid: cells grow by a factor of four, so eight levels reach from 0.1 degrees around the earth.
 LEVELS = 8
 
+#: Tasks at most that the smaller boxes of a coarse cell are dealt to; the larger ones, few, go to all of them.
+_DEALT = 32
+
+#: Boxes of a block at most.
+_BLOCK = 128
+
+_SIDES, _REACHED, _LISTS = ("w", "s", "e", "n"), ("w1", "s1", "e0", "n0"), ("ws", "ss", "es", "ns")
 
-def _levels(boxes: DataFrame, grid: float) -> DataFrame:
-    """``boxes`` (w, s, e, n) a row for each cell (level, x, y) that they touch on their own level, where cells are no smaller than they, and on
-    all coarser ones, with whether the level is its own and the cell its first in each direction. At most four cells a level, whatever the box."""
+
+def _own_level(grid: float) -> Column:
+    """The finest level whose cells are no smaller than the box (w, s, e, n)."""
     size = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"))
-    own = sum((F.when(size > grid * 4**k, 1).otherwise(0) for k in range(LEVELS - 1)), F.lit(0))
-    cell = F.lit(grid) * F.pow(F.lit(4.0), F.col("level"))
+    return sum((F.when(size > grid * 4**k, 1).otherwise(0) for k in range(LEVELS - 1)), F.lit(0))
+
+
+def _blocks(boxes: DataFrame, grid: float) -> DataFrame:
+    """``boxes`` (k, w, s, e, n, own) that begin in the same cell of their own level, neighbours together, in rows of at most ``_BLOCK``.
+
+    A row has the boxes' keys and sides as lists, the bounds that hold all of them (w, s, e, n) and those that each of them reaches (w1, s1, e0, n0).
+    """
+    cell = F.lit(grid) * F.pow(F.lit(4.0), F.col("own"))
+    bits = F.array(*map(F.lit, (0, 1, 4, 5, 16, 17, 20, 21)))
+    eighth = lambda c: F.get(bits, F.pmod(F.floor(F.col(c) / cell * 8), F.lit(8)).cast("int"))
+    at = boxes.withColumns({"cx": F.floor(F.col("w") / cell).cast("long"), "cy": F.floor(F.col("s") / cell).cast("long"), "z": eighth("w") + eighth("s") * 2})
+    place = F.row_number().over(Window.partitionBy("own", "cx", "cy").orderBy("z", "k", *_SIDES))
+    each = at.withColumn("part", F.floor((place - 1) / _BLOCK)).groupBy("own", "cx", "cy", "part")
+    held = each.agg(
+        *(F.min(c).alias(c) for c in "ws"), *(F.max(c).alias(c) for c in "en"), *(F.max(c).alias(f"{c}1") for c in "ws"), *(F.min(c).alias(f"{c}0") for c in "en"),
+        F.collect_list(F.struct("k", *_SIDES)).alias("rows"),
+    )
+    lists = (F.col(f"rows.{c}").alias(f"{c}s") for c in ("k", *_SIDES))
+    return held.select("own", *_SIDES, *_REACHED, *lists, F.hash("cx", "cy", "part").alias("salt"))
+
+
+def _in_cells(blocks: DataFrame, grid: float) -> DataFrame:
+    """``blocks`` a row for each cell (level, x, y) that they touch on their own level and all coarser ones, with whether it is their first in each direction.
+
+    Cells to meet in are four times as wide as those that blocks begin in, so most blocks touch one of a level and none more than four.
+    """
+    cell = F.lit(grid) * F.pow(F.lit(4.0), F.col("level") + 1)
     lo = lambda c: F.floor(F.col(c) / cell).cast("long")
-    at = boxes.withColumn("_l", own).withColumn("level", F.explode(F.sequence("_l", F.lit(LEVELS - 1))))
+    at = blocks.withColumn("level", F.explode(F.sequence("own", F.lit(LEVELS - 1))))
     at = at.withColumns({"x0": lo("w"), "y0": lo("s"), "x1": lo("e"), "y1": lo("n")})
     at = at.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1")))
-    return at.select(*boxes.columns, "level", "x", "y", (F.col("_l") == F.col("level")).alias("own"), (F.col("x") == F.col("x0")).alias("fx"), (F.col("y") == F.col("y0")).alias("fy"))
+    return at.withColumns({"fx": F.col("x") == F.col("x0"), "fy": F.col("y") == F.col("y0")})
 
 
-#: Tasks that the smaller boxes of a coarse cell are dealt to; the larger ones, few, go to all of them.
-_DEALT = 32
+def _overlap(p: str, q: str) -> Column:
+    return F.expr(f"{p}w <= {q}e and {q}w <= {p}e and {p}s <= {q}n and {q}s <= {p}n")
 
 
 def bbox_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, left_key: str, right_key: str, grid: float = 0.1) -> DataFrame:
-    """Pairs of keys whose boxes overlap: an equi-join on cells of a grid pyramid, then the exact test.
+    """Pairs of keys whose boxes overlap: an equi-join of blocks of neighbouring boxes on cells of a grid pyramid, then the exact test.
+
+    Blocks meet on the level of the larger boxes, so a box of any size makes few rows and small boxes do not meet in large cells. Two
+    blocks share one first cell there (the greater of both lower corners, so the first one of either), so a pair comes out once without a distinct.
+    Boxes with null or reversed sides overlap nothing. A box that overlaps all of a block is paired with its keys as they stand; only at its edges are boxes tested
+    one by one. So little is shuffled for each box, and the result, however many pairs it has, repeats the same keys in the same order, which files hold in few bytes.
 
-    Boxes meet on the level of the larger one, so a box of any size makes few rows and small boxes do not meet in large cells. A
-    pair shares one first cell there (the greater of both lower corners, so the first one of either box), so it comes out once without a distinct.
-    Boxes with null or reversed sides overlap nothing. In cells of the coarser levels the smaller boxes are dealt to several tasks; cells of the finest
-    that very many boxes touch are split by the adaptive skew join. Both sides are shuffled: rows a cell are many more than
-    the table's size tells, too many to be sent to every executor. ``grid``: near the usual size.
+    Blocks of the finest level meet in a join of their own, whose crowded cells the adaptive skew join splits. On coarser levels the smaller boxes of a cell are
+    dealt to several tasks. Both sides are shuffled, none is sent whole to every executor. ``grid``: near the usual size.
     """
 
-    def rows(df: DataFrame, key: str, box: str, salt: str) -> DataFrame:
+    def rows(df: DataFrame, key: str, box: str) -> DataFrame:
         b = F.col(box)
         named = df.select(F.col(key).alias("k"), *(b[c].alias(c[0]) for c in ("west", "south", "east", "north")))
-        named = named.where((F.col("w") <= F.col("e")) & (F.col("s") <= F.col("n")))
-        return _levels(named.withColumn("_s", F.expr(salt)), grid)
-
-    def met(larger: DataFrame, smaller: DataFrame) -> DataFrame:
-        """Pairs on the larger boxes' own level; the names of their columns begin with ``p`` and ``q``."""
-        all_ = F.explode(F.when(F.col("level") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(_DEALT - 1))))
-        cell = ["level", "x", "y", "salt"]
-        p = larger.where("own").withColumn("salt", all_).select(*cell, *(F.col(c).alias(f"p{c}") for c in "kwsen"), F.col("fx").alias("pfx"), F.col("fy").alias("pfy"))
-        q = smaller.withColumn("salt", F.when(F.col("level") == 0, 0).otherwise(F.col("_s"))).select(*cell, *(F.col(c).alias(f"q{c}") for c in "kwsen"), F.col("fx").alias("qfx"), F.col("fy").alias("qfy"))
-        overlap = F.expr("pw <= qe and qw <= pe and ps <= qn and qs <= pn")
-        return q.join(p.hint("merge"), cell).where(overlap & F.expr("(pfx or qfx) and (pfy or qfy)"))
-
-    salt = "cast(pmod(hash(k), {}) as int)".format(_DEALT)
-    a, b = rows(left, left_key, left_box, salt), rows(right, right_key, right_box, salt)
-    pairs = met(a, b).select(F.col("pk").alias(left_key), F.col("qk").alias(right_key))
-    return pairs.unionByName(met(b.where("own"), a.where("not own")).select(F.col("qk").alias(left_key), F.col("pk").alias(right_key)))
+        return named.where((F.col("w") <= F.col("e")) & (F.col("s") <= F.col("n"))).withColumn("own", _own_level(grid))
+
+    def met(p: DataFrame, q: DataFrame, cell: list[str]) -> DataFrame:
+        """Pairs of blocks, the larger boxes' first."""
+        p, q = (x.select(*cell, *(F.col(c).alias(f"{k}_{c}") for c in [*_SIDES, "fx", "fy", *more, *_LISTS, "a", "z"])) for k, x, more in (("p", p, ()), ("q", q, _REACHED)))
+        both = q.join(p.hint("merge"), cell).where(_overlap("p_", "q_") & F.expr("(p_fx or q_fx) and (p_fy or q_fy)"))
+        keys = (F.coalesce(f"p_{c}", f"q_{c}").alias(c) for c in "az")
+        return both.select("of_left", *(f"p_{c}" for c in _LISTS), *(f"q_{c}" for c in (*_LISTS, *_SIDES, *_REACHED)), *keys)
+
+    def larger(blocks: DataFrame, of_left: bool) -> DataFrame:
+        own = blocks.where("level > 0 and level <= own")
+        return own.withColumns({"salt": F.explode(F.sequence(F.lit(0), dealt - 1)), "of_left": F.lit(of_left)})
+
+    def smaller(blocks: DataFrame, others: DataFrame, of_left: bool) -> DataFrame:
+        """Blocks in the cells of the coarser levels that the other side has boxes of; of one level, those of the left count as larger."""
+        found = F.array_contains(others.agg(F.collect_set("own")).scalar(), F.col("level"))
+        return blocks.where(F.expr("level > 0" if of_left else "level > own") & found).withColumns({"salt": F.pmod("salt", dealt), "of_left": F.lit(of_left)})
+
+    # a cell holds sixteen cells of the level below
+    dealt = F.least(F.lit(_DEALT), F.pow(F.lit(4), F.col("level")).cast("int"))
+    a, b = rows(left, left_key, left_box), rows(right, right_key, right_box)
+    none_a, none_z = (F.lit(None).cast(f"array<{x.schema['k'].dataType.simpleString()}>") for x in (a, b))
+    ab = _in_cells(_blocks(a, grid).withColumnRenamed("ks", "a").withColumn("z", none_z), grid)
+    zb = _in_cells(_blocks(b, grid).withColumnRenamed("ks", "z").withColumn("a", none_a), grid)
+    spark, cell = left.sparkSession, ["of_left", "level", "x", "y", "salt"]
+    # the bytes of blocks don't tell their pairs, so these tasks are not put together by size
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    coarse = (larger(ab, True).unionByName(larger(zb, False)), smaller(zb, a, True).unionByName(smaller(ab, b, False)))
+    finest = (x.where("level = 0").withColumn("of_left", F.lit(True)) for x in (ab, zb))
+    blocks = met(*finest, ["of_left", "level", "x", "y"]).unionByName(met(*(x.repartition(n, *cell) for x in coarse), cell))
+    # behind the union, so a block's pairs are made one pair of blocks at a time
+    one = blocks.select("*", F.posexplode("p_ws").alias("i", "pw")).withColumns({f"p{c}": F.get(f"p_{c}s", "i") for c in "sen"}).where(_overlap("p", "q_"))
+    whole = F.expr("pw <= q_e0 and q_w1 <= pe and ps <= q_n0 and q_s1 <= pn")
+    each = one.withColumn("whole", whole).select("*", F.posexplode("q_ws").alias("j", "qw"))
+    each = each.where("whole or pw <= get(q_es, j) and qw <= pe and ps <= get(q_ns, j) and get(q_ss, j) <= pn")
+    return each.select(F.expr("get(a, if(of_left, i, j))").alias(left_key), F.expr("get(z, if(of_left, j, i))").alias(right_key))
 
 
 def covered_boxes(boxes: DataFrame, contours: DataFrame, key: str) -> DataFrame:

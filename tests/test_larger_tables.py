@@ -44,6 +44,34 @@ def test_rows_a_cell_are_not_broadcast(spark, data):
     assert "Broadcast" not in text and text.count("SortMergeJoin") == 2
 
 
+def _plots(spark, n: int, key: str, box: str, kind: str, far: int):
+    """Boxes that begin at places of a lattice, so many are alike or only touch: a few large, one in a hundred of half a degree, small ones and points."""
+    i = f"(id * {far})"
+    size = f"case when id % 500 = 3 then 2 when id % 100 = 7 then 0.5 when id % 700 = 9 then 60 else id % 5 / 32 end"
+    at = spark.range(n).selectExpr("id", f"{i} * 37 % 61 / 32 - 1 as s", f"{i} * 53 % 67 / 32 - 1 as w", f"cast({size} as double) as d")
+    k = f"case when id % 97 = 5 then null else cast(id % 4000 as {kind}) end as {key}"
+    return at.selectExpr(k, f"named_struct('south', s, 'west', w, 'north', s + d, 'east', w + d * 0.5) as {box}")
+
+
+def test_boxes_in_blocks_are_paired_as_one_by_one(spark):
+    """Cells of many blocks, keys of two types, some null or given twice: the same pairs as often as a plain join has them."""
+    left, right = _plots(spark, 6000, "a", "ab", "long", 1), _plots(spark, 5000, "z", "zb", "string", 7)
+    test = "ab.west <= zb.east and zb.west <= ab.east and ab.south <= zb.north and zb.south <= ab.north"
+    pairs = lambda df: df.groupBy("a", "z").count()
+    got, want = pairs(spatial.bbox_join(left, right, "ab", "zb", "a", "z", 0.03)).persist(), pairs(left.join(right).where(test).select("a", "z")).persist()
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and want.count() > 100_000
+
+
+def test_pairs_of_boxes_take_few_bytes(spark, tmp_path):
+    """Keys of a block are paired in the same order with each larger box, so written pairs shrink: they filled the disk."""
+    box = lambda size: f"named_struct('south', s, 'west', w, 'north', s + {size}, 'east', w + {size})"
+    at = lambda n: spark.range(n).selectExpr("id", "id * 37 % 997 / 1000 as s", "id * 53 % 991 / 1000 as w")
+    df = spatial.bbox_join(at(500).selectExpr("id as a", f"{box(0.5)} as ab"), at(40_000).selectExpr("id as z", f"{box(0.001)} as zb"), "ab", "zb", "a", "z", 0.03)
+    df.coalesce(4).write.parquet(f"{tmp_path}/pairs")
+    n = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert n > 2_000_000 and sum(x.stat().st_size for x in (tmp_path / "pairs").glob("*.parquet")) < 0.7 * n
+
+
 def test_many_lines_of_few_ends_are_joined_in_linear_work():
     node = lambda i: [2 + i * 0.001, 48 + i * i % 13 * 0.001]
     lines = [np.array([node(i * 7 % 50), node(i * 7 % 50 + 1)][:: 1 if i % 3 else -1]) for i in range(20_000)]
